@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import only
 from .decontaminate import contamination
+from .packing import pack
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,3 +26,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str, **kinds: str) -> DataFra
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", doc_id="long", text="string")
     return contamination(docs, _read(spark, sf_dir, "benchmark", item_id="string", text="string")).drop("text")
+
+
+@_query
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents", doc_id="long", text="string"), public_tokenizers.path("word_bpe_49k.json"))
