@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import only
 from .decontaminate import contamination
+from .minhash import near_duplicates
 from .packing import pack
 
 QUERIES: dict = {}
@@ -31,3 +32,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents", doc_id="long", text="string"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents", doc_id="long", text="string"), k=4, percent=80)
