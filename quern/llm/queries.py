@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import only
 from .decontaminate import contamination
+from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
 
@@ -37,3 +38,8 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", doc_id="long", text="string"), k=4, percent=80)
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents", doc_id="long", text="string", lang="string"))
