@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import detect
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,3 +44,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents", doc_id="long", text="string", lang="string"))
+
+
+@_query
+def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(_read(spark, sf_dir, "documents", doc_id="long", text="string"))
