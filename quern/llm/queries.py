@@ -11,6 +11,7 @@ from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import detect
+from .pq import near_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +50,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_read(spark, sf_dir, "documents", doc_id="long", text="string"))
+
+
+@_query
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings", vec_id="long", embedding="array<double>"), 0.9)
