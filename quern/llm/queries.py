@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .pii import detect
 from .pq import near_vectors
+from .warc import round_trip
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,3 +56,22 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings", vec_id="long", embedding="array<double>"), 0.9)
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages", page_id="long", url="string", html="string"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::INTEGER >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
+SQL["op8_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h,
+             min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d
+"""
