@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import only
 from .decontaminate import contamination
 from .langid import identify
+from .linkgraph import Rule, judge
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import detect
@@ -75,3 +76,9 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM d
 """
+
+
+@_query
+def op6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
+    return judge(_read(spark, sf_dir, "pages", page_id="long", url="string", html="string"), rules)
