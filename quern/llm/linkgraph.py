@@ -4,8 +4,8 @@ Rules decide where one fits. Elsewhere a host's verdict comes from two personali
 trust spreads along links from hosts with pages that an allow rule fits, distrust against them from hosts with pages
 that a block rule fits (who links to a blocked host is suspect). Seeds weigh by their numbers of such pages. Links are the
 absolute and scheme-relative addresses in pages' html; a host and the same host behind ``www.`` or ``m.`` also link to each
-other. A host's own pages without a rule speak for it with their share of all such pages. A host is blocked where
-distrust is over ``THRESHOLD`` of trust, distrust and that share together.
+other. A third rank spreads like trust from all hosts by their pages without a rule, as what is neither good nor bad. A
+host is blocked where distrust is over ``THRESHOLD`` of the three together. A host without links keeps its rank.
 
 Each iteration is a join and a sum over host pairs (one row per pair, whatever the number of links); ranks are written
 to shared storage every ``WRITTEN`` iterations.
@@ -76,18 +76,26 @@ def _variants(hosts: DataFrame) -> DataFrame:
     return bare.selectExpr("host as src", "bare as dst", "1.0d as n").unionAll(bare.selectExpr("bare as src", "host as dst", "1.0d as n"))
 
 
-def ranks(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """host, trust, distrust: personalised PageRanks over ``links`` (src, dst, n) from ``seeds`` (host, allow, block).
+#: Kinds of rank: the seeds' column, and whether it spreads along links or against them.
+KINDS = {"trust": ("allow", True), "distrust": ("block", False), "neutral": ("other", True)}
+
 
-    A host without links passes nothing on.
-    """
-    both = links.select(F.lit(0).alias("kind"), "src", "dst", "n").unionAll(links.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    summed = both.groupBy("kind", "src", "dst").agg(F.sum("n").alias("n"))
+def ranks(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """host, trust, distrust, neutral: personalised PageRanks over ``links`` (src, dst, n) from ``seeds`` (host, allow,
+    block, other: one row per host, zeros where it is none)."""
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    summed = None
+    for kind, (_, along) in KINDS.items():
+        one = (links.select("src", "dst", "n") if along else back).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+        # who has no link of this direction keeps its rank
+        one = one.unionAll(seeds.join(one, F.col("host") == F.col("src"), "left_anti").select("host", F.col("host").alias("dst"), F.lit(1.0).alias("n")))
+        one = one.select(F.lit(kind).alias("kind"), "src", "dst", "n")
+        summed = one if summed is None else summed.unionAll(one)
     out = summed.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = keep(summed.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("w")))
-    total = seeds.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    share = lambda c: F.col(c) / F.lit(float(total[c] or 1))
-    start = keep(seeds.select(F.lit(0).alias("kind"), "host", share("allow").alias("s")).unionAll(seeds.select(F.lit(1).alias("kind"), "host", share("block").alias("s"))).where("s > 0"))
+    total = seeds.agg(*[F.sum(c).alias(c) for c, _ in KINDS.values()]).first()
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(c) / F.lit(float(total[c] or 1))).alias("s")) for k, (c, _) in KINDS.items()])
+    start = keep(seeds.select("host", F.explode(each).alias("x")).select("x.kind", "host", "x.s").where("s > 0"))
     rank, stale = start.withColumnRenamed("s", "r"), None
     base = start.select("kind", "host", ((1 - DAMPING) * F.col("s")).alias("r"))
     for i in range(iterations):
@@ -99,12 +107,11 @@ def ranks(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) -> D
                 drop(stale)
             stale = rank
     drop(edges, start)
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0))
-    return rank.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
+    return rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)).alias(k) for k in KINDS])
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for each row of ``pages`` (page_id, url, html)."""
+    """page_id, host, path, rule, verdict, trust, distrust, neutral for each row of ``pages`` (page_id, url, html)."""
     pages = only(pages, page_id="long", url="string", html="string")
     host, path = parts(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -114,17 +121,15 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD) ->
     placed = cut.withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).withColumn("said", said)
     seen = keep(placed.where("host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").cast("double").alias("allow"), F.count_if(F.col("said") == "block").cast("double").alias("block"), F.count_if(F.col("said").isNull()).cast("double").alias("other")))
     links = keep(host_links(cut))
-    nodes = seen.select("host").unionAll(links.select("dst")).distinct()
-    found = ranks(links.unionByName(_variants(nodes)), seen)
-    free = float(seen.agg(F.sum("other")).first()[0] or 1)
-    own = seen.select("host", ((1 - DAMPING) * F.col("other") / F.lit(free)).alias("own"))
-    known = placed.select("page_id", "host", "path", "rule", "said").join(own.join(found, "host", "left"), "host", "left")
-    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("own"))
+    nodes = keep(seen.unionByName(links.select(F.col("dst").alias("host"), *[F.lit(0.0).alias(c) for c in ("allow", "block", "other")])).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("allow", "block", "other")]))
+    found = ranks(links.unionByName(_variants(nodes)), nodes)
+    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("neutral"))
     verdict = F.coalesce("said", F.when(bad, "block").otherwise("allow"))
+    known = placed.select("page_id", "host", "path", "rule", "said").join(found, "host", "left")
     number = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"), number("trust"), number("distrust"))
+    return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"), number("trust"), number("distrust"), number("neutral"))
 
 
 def filter_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, trust, distrust of the allowed pages alone."""
-    return judge(pages, rules).where("verdict = 'allow'").drop("verdict")
+    return judge(pages, rules).where("verdict = 'allow'").select("page_id", "host", "path", "rule", "trust", "distrust")
