@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, quality
 from .common import only
 from .decontaminate import contamination
 from .langid import identify
@@ -82,3 +83,15 @@ FROM d
 def op6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
     return judge(_read(spark, sf_dir, "pages", page_id="long", url="string", html="string"), rules)
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", doc_id="long", text="string", lang="string", source="string")
+    labels = _read(spark, sf_dir, "labels", doc_id="long", quality="int", toxic="int")
+    return quality.judge(docs, labels, host=docs["source"], path=docs["lang"])
+
+
+@_query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_read(spark, sf_dir, "conversations", conv_id="long", turn="long", role="string", text="string"))
