@@ -237,6 +237,10 @@ def _counts(found: DataFrame) -> dict[int, int]:
     return {r["code"]: r["count"] for r in found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()}
 
 
+def _number(found, kind: str):
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs`` (doc_id, text)."""
     found = keep(propose(only(docs, doc_id="long", text="string")))
@@ -245,7 +249,7 @@ def detect(docs: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s["base"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[_number(base, k).alias(f"n_{k}") for k in KINDS],
         F.sha2(line(base).cast("binary"), 256).alias("base_sha256"),
         line(F.filter("found", lambda s: s["base"] | F.array_contains(good, s["code"]))).alias("spans"),
     )
