@@ -7,9 +7,10 @@ an estimate that throws out clear misses; what is left is confirmed on full shin
 
 Groups of copies: documents with equal sets become one class first (one row, whatever its size). In each band key's
 bucket all are held against the bucket's smallest and largest id alone, which joins a group of near copies by links
-that grow with its size. Buckets that then still hold several components are searched further: those outside the
-first component against the rest of the bucket; in buckets of over ``SMALL`` documents only where a second band agrees
-too. Nothing is capped: a pair of similarity s is a candidate with probability 1 - (1 - s**6)**42 (0.999997 at 0.8).
+that grow with its size. In buckets that then still hold several components, those outside the bucket's largest one are
+held against the rest: by signatures in buckets of at most ``SMALL`` documents, and in larger ones by their differences
+from that component's first document (see ``_by_difference``), which is exact and does not compare all with all.
+Nothing is capped: a pair of similarity s is a candidate with probability 1 - (1 - s**6)**42 (0.999997 at 0.8).
 
 Defined cases: null and wordless texts have empty sets, link with nothing and are kept; a text of fewer words than a
 shingle is one shingle; rows that share a doc_id are one node; a row without doc_id links with nothing, has a null
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -31,11 +32,10 @@ from .components import components
 
 BANDS, ROWS, BITS = 42, 6, 2
 SMALL = 64
-SECOND = 12  # bands after the first in which a pair of a large bucket is looked for again
 MASK_BITS = 1 << 26  # of the filter that keeps texts without candidates out of the shuffle: 8 MB at most
 SLICE = 1 << 20
-#: The estimate's standard deviation at similarity 0.8 is 0.03; six of them below the threshold.
-MARGIN = 0.18
+#: The estimate's standard deviation at similarity 0.8 is 0.03; four of them below the threshold.
+MARGIN = 0.12
 
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLY = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -139,10 +139,9 @@ def _mask(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _confirm(docs: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``edges`` (a, b) whose full shingle sets are similar enough, as a written table."""
-    spark = docs.sparkSession
-    mask = spark.sparkContext.broadcast(_mask(edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id")))))
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles of the documents in ``ids`` (id) and, by chance of a hash, a few more, as a written table."""
+    mask = docs.sparkSession.sparkContext.broadcast(_mask(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -154,14 +153,25 @@ def _confirm(docs: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got.view(np.int64)))], names=["doc_id", "shingles"])
 
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MASK_BITS)).alias("h"))
-    full = keep(hashed.mapInArrow(run, "doc_id long, shingles array<long>"))
+    out = keep(hashed.mapInArrow(run, "doc_id long, shingles array<long>"))
+    mask.destroy()
+    return out
+
+
+def _with_sets(docs: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (a, b and others) with of_a and of_b, the full shingle sets; and the table to drop after use."""
+    full = _full_sets(docs, edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))), k)
     of = lambda name: full.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = edges.join(of("b"), "b").join(of("a"), "a")
+    return edges.join(of("b"), "b").join(of("a"), "a"), full
+
+
+def _confirm(docs: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``edges`` (a, b) whose full shingle sets are similar enough, as a written table."""
+    both, full = _with_sets(docs, edges, k)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     good = F.lit(100) * shared >= F.lit(percent) * (F.size("of_a") + F.size("of_b") - shared)
     out = keep(both.where(good).select("a", "b"))
     drop(full)
-    mask.destroy()
     return out
 
 
@@ -172,23 +182,63 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return keep(near.select("a", "b").distinct())
 
 
-def _further(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and have not been compared: those outside the bucket's first
-    component against the bucket."""
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components and more than their two centres, with each row's component and
+    the one (``main``) that holds most of the bucket, as a written table."""
     of = comps.select(F.col("node").alias("rep"), "comp")
-    now = members.join(of, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    first = comps.select(F.col("node").alias("c1"), F.col("comp").alias("main"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    now = now.join(keep(mixed), "key").join(first, "c1", "left").withColumn("main", F.coalesce("main", "c1"))
-    now = keep(now.where("rep <> c1 and rep <> c2").select("key", "band", "rep", "n", "comp", "main", "size"))
-    small = now.where(F.col("size") <= SMALL).select("key", F.lit(0).cast("long").alias("key2"), "rep", "n", "comp", "main")
-    other = members.select(F.col("rep"), F.col("band").alias("band2"), F.col("key").alias("key2"))
-    large = now.where(F.col("size") > SMALL).join(other, "rep").where(f"pmod(band2 - band, {BANDS}) between 1 and {SECOND}")
-    every = keep(small.unionByName(large.select("key", "key2", "rep", "n", "comp", "main")))
-    left = every.where("comp <> main").select("key", "key2", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = every.select("key", "key2", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") != F.col("main")).alias("out"))
-    pairs = left.join(right, ["key", "key2"]).where(f"cx <> cy and (not out or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    now = keep(members.where("size > 3").join(of, "rep", "left").select("key", "rep", "n", "size", F.coalesce("comp", "rep").alias("comp"), F.expr("rep in (c1, c2)").alias("centre")))
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("count"))
+    main = keep(parts.groupBy("key").agg(F.max(F.struct("count", -F.col("comp"))).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("key", (-F.col("most.col2")).alias("main")))
+    return keep(now.where("not centre").join(main, "key").select("key", "rep", "n", "comp", "main", "size"))
+
+
+def _by_signature(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different components in buckets of at most SMALL documents. Signatures are compared
+    inside the join, so only likely pairs leave it, and a row meets SMALL others at most."""
+    rows = keep(mixed.where(F.col("size") <= SMALL).select("key", "rep", "n", "comp", (F.col("comp") != F.col("main")).alias("out")).join(reps.select("rep", "sig"), "rep"))
+    left = rows.where("out").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("sig").alias("sx"))
+    right = rows.select(F.col("key").alias("key_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "out", F.col("sig").alias("sy"))
+    new = F.expr(f"cx <> cy and (not out or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    near = _estimate(F.col("sx"), F.col("sy")) >= percent / 100 - MARGIN
+    pairs = left.join(right, (F.col("key") == F.col("key_y")) & new & near)
+    return keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components in buckets of over SMALL documents, without holding all against all.
+
+    Let c be the first document of the bucket's main component and d(x) the symmetric difference of x's shingles and
+    c's. Those that link with c itself are found at once. Two documents are linked if |d(x) ^ d(y)| <= t (|x| + |y|),
+    t = (1 - s) / (1 + s), that is if d(x) and d(y) share at least (|d(x)| + |d(y)| - t (|x| + |y|)) / 2 shingles. Where
+    x does not link with c, |d(x)| > t (|x| + |c|), so y must share more than h(y) = (|d(y)| + t (|c| - |y|)) / 2 of its
+    own, and one of them is among the first |d(y)| - floor(h(y)) in any common order. The rarest come first, and near
+    copies rarely share those. The join on them counts what both share and lets out links alone.
+    """
+    t = (100 - percent) / (100 + percent)
+
+    def similar(total, apart):  # 100 * intersection >= percent * union, of sizes' sum and difference
+        return F.lit(100) * (total - apart) >= F.lit(percent) * (total + apart)
+
+    pairs = keep(mixed.where(F.col("size") > SMALL).select(F.col("main").alias("a"), F.col("rep").alias("b"), "comp").where("a <> b").distinct())
+    both, full = _with_sets(docs, pairs, k)
+    diff = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
+    each = both.select("a", "b", "comp", F.size("of_a").alias("nc"), F.size("of_b").alias("n"), diff.alias("d")).withColumn("size", F.size("d"))
+    each = keep(each.withColumn("out", ~similar(F.col("n") + F.col("nc"), F.col("size"))))
+    direct = each.where("not out and comp <> a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    each = each.withColumn("first", F.col("size") - F.floor((F.col("size") + t * (F.col("nc") - F.col("n"))) / 2)).withColumn("e", F.explode("d")).drop("d", "nc")
+    mine = Window.partitionBy("a", "b")
+    each = each.withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).withColumn("rank", F.row_number().over(mine.orderBy("often", "e")))
+    # a shingle that one document alone has cannot be shared
+    each = each.where("often > 1").withColumn("d", F.collect_list("e").over(mine)).where("out or rank <= first")
+    ranked = keep(each.select("a", "e", "b", "out", "comp", "n", "size", (F.col("rank") <= F.col("first")).alias("early"), "d"))
+    x = ranked.where("out").select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "comp", "early", "n", "size", "d")])
+    y = ranked.where("early").select(F.col("a").alias("a2"), F.col("e").alias("e2"), *[F.col(c).alias(f"{c}_y") for c in ("b", "comp", "out", "n", "size", "d")])
+    apart = F.col("size_x") + F.col("size_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    new = F.expr("a = a2 and e = e2 and comp_x <> comp_y and (not out_y or early_x and b_x < b_y)")
+    met = x.join(y, new & similar(F.col("n_x") + F.col("n_y"), apart))
+    out = keep(met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).unionAll(direct).distinct())
+    drop(full, pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,9 +258,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     to = lambda c: members.where(F.col("rep") != F.col(c)).select(F.least("rep", c).alias("a"), F.greatest("rep", c).alias("b"))
     links = _confirm(docs, _likely(to("c1").unionAll(to("c2")), reps, percent), k, percent)
     comps = components(links)
-    more = _likely(_further(members, comps, percent), reps, percent)
-    if not more.isEmpty():
-        comps = components(links.unionAll(_confirm(docs, more, k, percent)))
+    mixed = _mixed(members, comps)
+    more = links
+    if not mixed.where(F.col("size") <= SMALL).isEmpty():
+        more = more.unionAll(_confirm(docs, _by_signature(mixed, reps, percent), k, percent))
+    if not mixed.where(F.col("size") > SMALL).isEmpty():
+        more = more.unionAll(_by_difference(docs, mixed, k, percent))
+    if more is not links:
+        comps = components(more)
     drop(members, shared, reps)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("comp", "rep").alias("comp"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp1")).alias("f1"), F.col("fp2").alias("f2"))
