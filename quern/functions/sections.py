@@ -13,7 +13,10 @@ from .text import blank, literal, strip
 HEADERS = ("Substitution Plan", "Adapted Ingredients", "Adapted Steps", "Flavor Preservation Notes", "Constraint Check")
 SCANNED = ("adapted ingredients", "adapted steps")
 
-NO_TEXT = F.array().cast("array<string>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 PAIR = "array<struct<from:string,to:string,reason:string>>"
 
 
@@ -33,14 +36,14 @@ def split_sections(text: Column, headers: Sequence[str] = HEADERS) -> Column:
     """map<header, body>: bodies of header lines (``**Header**``, ``## Header:`` and the like); of a header that comes
     twice, the last."""
     tagged = F.transform(lines(text), lambda l: F.struct(_header(l, headers).alias("header"), l.alias("line")))
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.map_from_arrays(NO_TEXT, F.array().cast("array<array<string>>")).alias("body"))
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.map_from_arrays(_none(), F.array().cast("array<array<string>>")).alias("body"))
 
     def put(body: Column, key: Column, value: Column) -> Column:
         return F.map_concat(F.map_filter(body, lambda k, _: k != key), F.create_map(key, value))
 
     def step(acc: Column, x: Column) -> Column:
-        more = F.array_append(F.coalesce(F.element_at(acc["body"], acc["now"]), NO_TEXT), x["line"])
-        opened = F.struct(x["header"].alias("now"), put(acc["body"], x["header"], NO_TEXT).alias("body"))
+        more = F.array_append(F.coalesce(F.element_at(acc["body"], acc["now"]), _none()), x["line"])
+        opened = F.struct(x["header"].alias("now"), put(acc["body"], x["header"], _none()).alias("body"))
         grown = F.struct(acc["now"].alias("now"), put(acc["body"], acc["now"], more).alias("body"))
         return F.when(x["header"].isNotNull(), opened).when(acc["now"].isNotNull(), grown).otherwise(acc)
 

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMPTY = F.lit("")
 
 
 def strip(c: Column) -> Column:
@@ -52,7 +51,7 @@ def combine(quantities: Column, parts: Column, aligned: bool = True) -> Column:
     Quantities pair with parts by place, whatever was dropped from either list before.
     """
     def item(part: Column, i: Column) -> Column:
-        name, amount = strip(part), strip(F.coalesce(F.try_element_at(quantities, i + 1), EMPTY))
+        name, amount = strip(part), strip(F.coalesce(F.try_element_at(quantities, i + 1), F.lit("")))
         return F.when(amount.isin("", "NA", "nan"), name).otherwise(F.concat(amount, F.lit(" "), name))
 
     named = F.filter(F.transform(parts, lambda p, i: F.struct(strip(p).alias("name"), item(p, i).alias("item"))), lambda x: x["name"] != "")
@@ -132,7 +131,7 @@ def normal_item(c: Column, units: Sequence[str], adjectives: Sequence[str], alia
     s = singular(strip(F.trim(strip(s), F.lit(","))))
     if aliases:
         s = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(aliases.items()) for x in pair]), s), s)
-    return F.coalesce(strip(s), EMPTY)
+    return F.coalesce(strip(s), F.lit(""))
 
 
 # --- JSON and numbers --------------------------------------------------------------------------------------------
@@ -181,7 +180,7 @@ def truthy(c: Column) -> Column:
 
 
 def reply_text(text: Column) -> Column:
-    return F.coalesce(F.get_json_object(text, "$.choices[0].message.content"), EMPTY)
+    return F.coalesce(F.get_json_object(text, "$.choices[0].message.content"), F.lit(""))
 
 
 def reply_tokens(text: Column, name: str) -> Column:
