@@ -137,10 +137,16 @@ def normal_item(c: Column, units: Sequence[str], adjectives: Sequence[str], alia
 # --- JSON and numbers --------------------------------------------------------------------------------------------
 
 
+def parse_json(c: Column) -> Column:
+    """JSON text as a variant; null for all else. (try_parse_json alone takes ``{} and more`` for an object.)"""
+    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.size(F.try_variant_get(whole, "$", "array<variant>")) == 1, F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def json_object(c: Column) -> Column:
     """What stands from the first { to the last }, where that is a JSON object; else null."""
     text = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+    return F.when(F.schema_of_variant(parse_json(text)).startswith("OBJECT"), text)
 
 
 _NUMBER = r"^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*$"

@@ -43,7 +43,7 @@ def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32) -> Dat
 
     Filters belong before this step: Catalyst does not move them across it. A task asks for ``batch`` rows at a time.
     """
-    out = df.select("*", F.lit("").alias("output"), F.lit("").alias("error")).schema
+    out = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("output", "error")]).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:

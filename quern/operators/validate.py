@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import ROLES
+from ..functions.text import parse_json
 
 
 def _kind(v: Column) -> Column:
@@ -31,7 +32,7 @@ def message_errors(message: Column, place: Column) -> Column:
 
 def validate_lines(lines: DataFrame) -> DataFrame:
     """``lines`` (path, line, value) with status (record, parse_error or blank), errors, assistants."""
-    v = F.try_parse_json("value")
+    v = parse_json(F.col("value"))
     rows = lines.withColumn("_v", v).withColumn("_list", F.try_variant_get("_v", "$.messages", "array<variant>"))
     blank = F.trim(F.regexp_replace("value", r"\s+", " ")) == ""
     role = lambda m: F.coalesce(F.try_variant_get(m, "$.role", "string") == "assistant", F.lit(False))

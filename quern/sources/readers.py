@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import parse_json, strip
 
 
 class MissingColumns(ValueError):
@@ -66,7 +66,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str
     """
     if mode == "failfast":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = lines(spark, path).where(strip(F.col("value")) != "").withColumn("_v", F.try_parse_json("value"))
+    rows = lines(spark, path).where(strip(F.col("value")) != "").withColumn("_v", parse_json(F.col("value")))
     bad = ~F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     if mode == "strict" and (first := rows.where(bad).orderBy("path", "line").select("path", "line").first()):
         raise BadLines(f"{first['path']}:{first['line']} is no JSON object")
@@ -75,7 +75,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str
 
 def document(spark: SparkSession, path: str) -> dict:
     """A small JSON document; its root must be an object."""
-    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).limit(1).collect())
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
     out = json.loads(text)
     if not isinstance(out, dict):
         raise BadLines(f"{path} is no JSON object")
