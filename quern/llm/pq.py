@@ -142,7 +142,7 @@ def _search(least: float, index):
         v, vid = _matrix(right.column("unit").combine_chunks()), right.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
         error, list_ = right.column("error").to_numpy(), right.column("list")[0].as_py()
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(q), 256):
             x, y = np.nonzero(model.estimates(q[i : i + 256], list_, codes) <= reach + error + SLACK)
             x += i
