@@ -14,8 +14,8 @@ its two states. So no task holds more than a chunk or ``FAN`` tables, but for tu
 One row comes back for each turn, with ``piece``: the rendered text that it adds, marks before it and, behind the last
 turn, the end included. The pieces of a conversation in the order of ``turn`` (then role and text) make its rendered text.
 
-Defined cases: unknown and null roles must be relabelled; null text is empty; turns are ordered by number (null first),
-role and text; repeated rows are turns of their own; rows without conv_id make one conversation; other columns play
+Defined cases: unknown and null roles must be relabelled; null text is empty; turns are ordered by number (null
+counts as -1), role and text; repeated rows are turns of their own; rows without conv_id make one conversation; other columns play
 no part; equal costs are settled by the order of states and of moves, so results repeat.
 """
 
@@ -126,8 +126,8 @@ _PART = "conv_id long, part long, costs array<long>"
 
 def _tables(turns: DataFrame) -> DataFrame:
     """_PART: the table of each chunk, from its roles in order."""
-    turn = F.struct("turn", "role", F.xxhash64("text").alias("h"))
-    chunks = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn), _order).alias("turns")).select("conv_id", "part", F.transform("turns", lambda t: t["role"]).alias("roles"))
+    turn = F.struct("at", "role")
+    chunks = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", "part", F.transform("turns", lambda t: t["role"]).alias("roles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,16 +137,14 @@ def _tables(turns: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, _PART)
 
 
-def _order(a, b):
-    """Turns by number (null first) and role (null first); what is left does not matter to costs."""
-    by = lambda x, y: F.when(x.eqNullSafe(y), 0).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1)
-    first = by(a["turn"], b["turn"])
-    return F.when(first != 0, first).otherwise(by(a["role"], b["role"]))
+def _above():
+    """The next level's part: division toward zero keeps order, and ends at 0 for negative numbers too."""
+    return F.expr(f"part div {FAN}")
 
 
 def _grouped(parts: DataFrame, more: list[str]) -> DataFrame:
     """Parts that meet in one of the next level, in order: conv_id, part (the next level's), parts."""
-    return parts.groupBy("conv_id", F.floor(F.col("part") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("part", *more))).alias("parts")).withColumnRenamed("up", "part")
+    return parts.groupBy("conv_id", _above().alias("up")).agg(F.array_sort(F.collect_list(F.struct("part", *more))).alias("parts")).withColumnRenamed("up", "part")
 
 
 def _up(parts: DataFrame) -> DataFrame:
@@ -199,7 +197,7 @@ def _down(parts: DataFrame, borders: DataFrame | None) -> DataFrame:
 
 def _borders(parts: DataFrame) -> DataFrame:
     levels = [parts]
-    while not levels[-1].groupBy("conv_id").agg(F.min(F.floor(F.col("part") / FAN)).alias("a"), F.max(F.floor(F.col("part") / FAN)).alias("b")).where("a < b").isEmpty():
+    while not levels[-1].groupBy("conv_id").agg(F.min(_above()).alias("a"), F.max(_above()).alias("b")).where("a < b").isEmpty():
         levels.append(keep(_up(levels[-1])))
     borders = None
     for level in reversed(levels):
@@ -244,11 +242,11 @@ def repair(conversations: DataFrame) -> DataFrame:
     """
     workers(conversations.sparkSession)
     turns = only(conversations, conv_id="long", turn="long", role="string", text="string")
-    turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 54)))).withColumn("text", F.coalesce("text", F.lit("")))
+    turns = turns.withColumn("at", F.coalesce("turn", F.lit(-1))).withColumn("part", F.floor(F.col("at") / CHUNK)).withColumn("text", F.coalesce("text", F.lit("")))
     parts = keep(_tables(turns))
     borders = _borders(parts).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "first", "last", "head", "tail")
     drop(parts)
-    turn = F.struct("turn", "role", "text")
+    turn = F.struct("at", "role", "text", "turn")
     chunks = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     known = chunks.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv_id", "turns", "first", "last", "head", "tail")
 
