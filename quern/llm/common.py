@@ -39,8 +39,14 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+ROWS_PER_BATCH = 1000
+
+
 def workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where only the driver's sys.path names it."""
+    """Let Python workers import this package where only the driver's sys.path names it, and take texts in batches of
+    ROWS_PER_BATCH rows unless the session asks for another number: Spark's 10,000 rows of long texts fill an executor."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

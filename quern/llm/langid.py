@@ -33,12 +33,12 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 STEPS = 64
-SAMPLE = 250
-SAMPLE_CHARS = 20_000
+SAMPLE = 150
+SAMPLE_CHARS = 8_000
 SEQUENCES = 2_400
 EPOCHS, BATCH, RATE, DECAY = 6, 100, 0.15, 1e-4
 MOST_LABELS = 500
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _letter: np.ndarray | None = None
 
@@ -55,44 +55,39 @@ def _letters() -> np.ndarray:
     return _letter
 
 
-@dataclass
 class Features:
-    """Words of some texts: feature rows for each n-gram, whose word each is, and words' places."""
-
-    rows: list[np.ndarray]  # by order, then the whole words
-    start: list[np.ndarray]  # where each word's features start in rows
-    at: np.ndarray  # each text's first word's place, with the count behind
-
-
-def features(texts: list[str | None]) -> Features:
-    """N-grams are of the letters with one border sign on either side; a word of n letters has n + 3 - k of order k > 1."""
-    joined = "\n".join(t or "" for t in texts)
-    code = _letters()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
-    size = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
-    border = np.zeros(1, np.int32)
-    code = np.concatenate([border, code, np.zeros(max(ORDERS), np.int32)])
-    inside = code > 0
-    step = np.diff(inside.astype(np.int8))
-    first, last = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
-    at = np.searchsorted(first - 1, np.concatenate([[0], np.cumsum(size)]))
-    length = last - first
-    wide = code.astype(textnum.U) + textnum.U(1)
-    rows, starts = [], []
-    for k in ORDERS:
+    """Words of some texts: places and letters; rows of weights for their n-grams are made order by order.
+
+    N-grams are of the letters with one border sign on either side; a word of n letters has n + 3 - k of order k > 1.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        joined = "\n".join(t or "" for t in texts)
+        code = _letters()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
+        code = np.concatenate([np.zeros(1, np.int32), code, np.zeros(max(ORDERS), np.int32)])
+        step = np.diff((code > 0).astype(np.int8))
+        self.first, self.last = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+        size = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+        self.at = np.searchsorted(self.first - 1, np.concatenate([[0], np.cumsum(size)]))  # each text's first word, and the count behind
+        self.wide = code.astype(textnum.U) + textnum.U(1)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the n-grams of order k, where each word's start)."""
+        length = self.last - self.first
         n = np.maximum(length + 3 - k, 0) if k > 1 else length
         start = np.cumsum(n) - n
-        place = np.repeat(first - (k > 1) - start, n) + np.arange(int(n.sum()))
+        place = np.repeat(self.first - (k > 1) - start, n) + np.arange(int(n.sum()))
         h = np.full(len(place), k, textnum.U)
         for j in range(k):
-            h = (h + wide[place + j]) * textnum.U(0x9E3779B97F4A7C15)
+            h = (h + self.wide[place + j]) * textnum.U(0x9E3779B97F4A7C15)
             h ^= h >> textnum.U(29)
-        rows.append((h >> textnum.U(64 - 17)).astype(np.int64))
-        starts.append(start)
-    total = np.concatenate([np.zeros(1, textnum.U), np.cumsum(wide * textnum._pow(textnum._BASE, len(wide)))])
-    whole = textnum.mix((total[last] - total[first]) * textnum._pow(textnum._INV, len(wide))[first])
-    rows.append((whole >> textnum.U(64 - 17)).astype(np.int64))
-    starts.append(np.arange(len(first)))
-    return Features(rows, starts, at)
+        return (h >> textnum.U(64 - 17)).astype(np.int32), start
+
+    def words(self) -> np.ndarray:
+        """The row of each whole word."""
+        total = np.concatenate([np.zeros(1, textnum.U), np.cumsum(self.wide * textnum._pow(textnum._BASE, len(self.wide)))])
+        whole = textnum.mix((total[self.last] - total[self.first]) * textnum._pow(textnum._INV, len(self.wide))[self.first])
+        return (whole >> textnum.U(64 - 17)).astype(np.int32)
 
 
 @dataclass
@@ -105,13 +100,14 @@ class Model:
 
 def emissions(f: Features, weights: np.ndarray) -> np.ndarray:
     """(words, labels): the sum of each word's rows of weights."""
-    n = int(f.at[-1])
-    out = np.zeros((n, weights.shape[1]))
-    for rows, start in zip(f.rows[:-1], f.start[:-1], strict=True):
-        run = np.zeros((len(rows) + 1, weights.shape[1]))
-        np.cumsum(weights[rows], axis=0, out=run[1:])
-        out += run[np.append(start[1:], len(rows))] - run[start]
-    return out + weights[f.rows[-1]]
+    out = weights[f.words()]
+    for k in ORDERS:
+        rows, start = f.grams(k)
+        for c in range(weights.shape[1]):
+            run = np.zeros(len(rows) + 1)
+            np.cumsum(weights[rows, c], out=run[1:])
+            out[:, c] += run[np.append(start[1:], len(rows))] - run[start] if len(start) else 0
+    return out
 
 
 def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +161,7 @@ def posteriors(f: Features, model: Model) -> np.ndarray:
 
 def _sequences(texts: list[str], label: np.ndarray, n: int, seed: int) -> tuple[Features, np.ndarray, np.ndarray]:
     """Features, and word places and labels of spliced sequences: one to three stretches of different documents."""
-    f = features(texts)
+    f = Features(texts)
     draw = np.random.default_rng(seed)
     count = np.diff(f.at)
     by = [np.flatnonzero((label == k) & (count > 0)) for k in range(label.max() + 1)]
@@ -193,7 +189,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         return model
     label = np.array([labels.index(x) for x in langs])
     f, place, gold = _sequences(texts, label, SEQUENCES, seed)
-    ends = [np.append(s[1:], len(r)) for r, s in zip(f.rows, f.start, strict=True)]
+    every = [f.grams(o) for o in ORDERS]
+    every.append((f.words(), np.arange(len(f.first))))
+    every = [(rows, start, np.append(start[1:], len(rows))) for rows, start in every]
     size = [np.full((BUCKETS, k), 1e-2), np.full(k, 1e-2), np.full((k, k), 1e-2)]
     length = np.full(BATCH, STEPS)
     draw = np.random.default_rng(seed + 1)
@@ -203,7 +201,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             chosen = order[at : at + BATCH]
             word, want = place[chosen].ravel(), gold[chosen]
             found, whose = [], []
-            for rows, start, end in zip(f.rows, f.start, ends, strict=True):
+            for rows, start, end in every:
                 n = end[word] - start[word]
                 base = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 found.append(rows[base])
@@ -270,7 +268,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 n, k = b.num_rows, len(m.labels)
                 best, score = np.full(n, -1), np.zeros(n)
                 if k:
-                    f = features(b.column("text").to_pylist())
+                    f = Features(b.column("text").to_pylist())
                     run_ = np.zeros((int(f.at[-1]) + 1, k))
                     if len(run_) > 1:
                         np.cumsum(posteriors(f, m), axis=0, out=run_[1:])

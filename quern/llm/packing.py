@@ -30,7 +30,7 @@ from .common import only, workers
 WINDOW = 4096
 END_ID = 2
 MOST_OPEN = 2048
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 _LETTERS = "a-zß-öø-ÿ"
 _SPACE = " \\t\\n\\r\\x0b\\x0c"
