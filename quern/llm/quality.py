@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import keep, only, workers
 
-SAMPLE = 8000
+SAMPLE = 5000
 SAMPLE_BYTES = 100_000  # longer texts are not learned from
 BUCKETS = 1 << 18
 MEASURES = 7
@@ -90,12 +90,11 @@ class Model:
         return np.stack([self.rows(form, _by_word(self.words[bucket, t], starts)) @ b for t, b in enumerate(self.beta)], 1)
 
 
-def fit(texts: pa.Array, target: np.ndarray) -> Model:
+def fit(bucket: np.ndarray, starts: np.ndarray, form: np.ndarray, target: np.ndarray) -> Model:
     """Word weights from counts, then Newton's method on the logistic loss of ``target`` (rows, targets; each 0 or 1).
 
     While fitting, a text's own label is left out of its words' weights.
     """
-    bucket, starts, form = evidence(texts)
     n, k = target.shape
     model = Model(np.zeros((BUCKETS, k)), np.zeros((k, 2 * MEASURES + 4)), form.mean(0) if n else np.zeros(MEASURES), form.std(0) + 1e-3 if n else np.ones(MEASURES))
     if not n:
@@ -126,18 +125,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        for b in batches:
-            got = b.column("doc_id").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
+        for whole in batches:
+            got = whole.column("doc_id").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
             spot = np.minimum(np.searchsorted(ids, got), max(len(ids) - 1, 0))
-            yield b.filter(pa.array(ids[spot] == got if len(ids) else np.zeros(len(got), bool)))
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string").where(F.octet_length("text") <= SAMPLE_BYTES)
-    texts, target = [], []
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"])):
-        for pair in truth[r["doc_id"]]:
-            texts.append(r["text"])
+            chosen = whole.filter(pa.array(ids[spot] == got if len(ids) else np.zeros(len(got), bool)))
+            for b in textnum.slices(chosen, "text", SLICE):
+                bucket, starts, form = evidence(b.column("text"))
+                words = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bucket.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), words, pa.array(list(form))], names=["doc_id", "words", "form"])
+
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
+    rows = short.mapInArrow(run, "doc_id long, words array<int>, form array<double>")
+    words, form, target = [np.zeros(0, np.int32)], [], []
+    for r in sorted(((r["doc_id"], np.array(r["words"], np.int32), r["form"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[2])):
+        for pair in truth[r[0]]:
+            words.append(r[1])
+            form.append(r[2])
             target.append(pair)
-    return fit(pa.array(texts, pa.string()), np.array(target, float).reshape(-1, len(TARGETS)))
+    starts = np.cumsum([0, *map(len, words[1:])])
+    return fit(np.concatenate(words), starts, np.array(form, float).reshape(-1, MEASURES), np.array(target, float).reshape(-1, len(TARGETS)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
