@@ -278,7 +278,8 @@ _QUOTAS = _quota_sql()
 
 @_query(f"""WITH {_PAIRS} {_QUOTAS} SELECT id, con AS "constraint" FROM taken""")
 def quota_select(spark, sf_dir):
-    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint")
+    # every stage of the selection reads the pairs: scanned once, kept in memory and on disk, recomputed where lost
+    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint").persist()
     return select.quota_select(found, select.quotas(4000, SHARES))
 
 
@@ -286,7 +287,8 @@ def quota_select(spark, sf_dir):
 f AS (SELECT id, arg_min(con, rank) AS con FROM pairs JOIN r USING (con) WHERE id NOT IN (SELECT id FROM taken) GROUP BY id)
 SELECT id, con AS "constraint" FROM f ORDER BY md5('42:top-up:' || id), id LIMIT 500""")
 def quota_topup(spark, sf_dir):
-    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint")
+    # every stage of the selection reads the pairs: scanned once, kept in memory and on disk, recomputed where lost
+    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint").persist()
     taken = select.quota_select(found, select.quotas(4000, SHARES))
     return select.top_up(found, taken, 500, list(LEXICON.terms))
 
