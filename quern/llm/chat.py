@@ -6,14 +6,18 @@ costs ``RELABEL``) or joined to the one before it if that was written in the sam
 inserted anywhere, at the end too (``INSERT`` each). Dynamic programming over the automaton's states finds the cheapest
 repair, which is then rendered.
 
-A conversation of any length is cut into chunks of ``CHUNK`` turn numbers. A chunk is a table of least costs from each
+Turns are sorted into a written table, and a conversation of any length is cut into chunks of at most ``CHUNK`` turns by
+their positions in it, whatever their numbers are. A chunk is a table of least costs from each
 state to each other one, and tables combine by (min, +) products, level by level ``FAN`` at a time, up to one for the
 conversation; states at the borders are then settled from the top down, and each chunk is repaired by itself between
-its two states. So no task holds more than a chunk or ``FAN`` tables, but for turns that share one number.
+its two states. So nothing that is collected holds more than a chunk or ``FAN`` tables.
 
 One row comes back for each turn, with ``piece``: the rendered text that it adds, marks before it and, behind the last
 turn, the end included. The pieces of a conversation in the order of ``turn`` (then role and text) make its rendered text.
 
+The sort ranges on the first ``PREFIX`` characters of roles and texts (bounds are sampled to the driver), so rows of a
+conversation that agree in turn number, role and those are sorted by one task, on disk if they have to be.
+
 Defined cases: unknown and null roles must be relabelled; null text is empty; turns are ordered by number (null
 counts as -1), role and text; repeated rows are turns of their own; rows without conv_id make one conversation; other columns play
 no part; equal costs are settled by the order of states and of moves, so results repeat.
@@ -24,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +42,7 @@ NEXT = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",)
 LAST = "assistant"
 MERGE, RELABEL, INSERT = 1, 2, 3
 CHUNK, FAN = 256, 256
+PREFIX = 64
 NEVER = 1 << 40
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -121,12 +127,62 @@ def _square(x: list[int]) -> Table:
     return [x[i * n : (i + 1) * n] for i in range(n)]
 
 
+_PLACED = "conv_id long, turn long, role string, text string, slice int, pos long, i long, lead boolean"
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text) with pos: each one's place in its conversation, from 0; a written table.
+
+    Slices of the sorted rows are numbered each by itself. Of a slice's conversations only the first can have begun
+    before, so one number for each slice shifts that one's places.
+    """
+    spark = turns.sparkSession
+    turns = turns.withColumn("at", F.coalesce("turn", F.lit(-1)))
+    head = [F.substring(c, 1, PREFIX) for c in ("role", "text")]
+    slices = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = turns.repartitionByRange(slices, "conv_id", "at", *head).sortWithinPartitions("conv_id", "at", "role", "text", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seen, first, done = None, 0, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("conv_id")
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            if first is None:
+                first = before = (bool(none[0]), int(value[0]))
+            new = np.append((bool(none[0]), int(value[0])) != before, (none[1:] != none[:-1]) | (value[1:] != value[:-1]))
+            start = np.flatnonzero(new)
+            at = np.arange(b.num_rows)
+            run_ = np.searchsorted(start, at, "right")  # 0: goes on from the batch before
+            pos = np.where(run_ > 0, at - np.append(0, start)[run_], at + seen)
+            before, seen = (bool(none[-1]), int(value[-1])), int(pos[-1]) + 1
+            lead = (none == first[0]) & (value == first[1])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("conv_id", "turn", "role", "text", "slice")], pa.array(pos), pa.array(at + done), pa.array(lead)], names=[x.split()[0] for x in _PLACED.split(", ")])
+            done += b.num_rows
+
+    local = keep(ranged.select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("slice")).mapInArrow(run, _PLACED))
+    ends = local.groupBy("slice").agg(F.min_by(F.struct("conv_id"), "i").alias("first"), F.max_by(F.struct("conv_id", "pos"), "i").alias("last"))
+    shift, before, count = {}, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["slice"]):
+        first, last = r["first"]["conv_id"], r["last"]["conv_id"]
+        if before is not None and first == before[0]:
+            shift[r["slice"]] = count
+        count = r["last"]["pos"] + 1 + (shift.get(r["slice"], 0) if first == last else 0)
+        before = (last,)
+    if not shift:
+        return local
+    by = F.element_at(F.create_map(*[F.lit(x) for pair in shift.items() for x in pair]).cast("map<int,long>"), F.col("slice"))
+    return local.withColumn("pos", F.col("pos") + F.when(F.col("lead"), F.coalesce(by, F.lit(0))).otherwise(0))
+
+
 _PART = "conv_id long, part long, costs array<long>"
 
 
 def _tables(turns: DataFrame) -> DataFrame:
     """_PART: the table of each chunk, from its roles in order."""
-    turn = F.struct("at", "role")
+    turn = F.struct("pos", "role")
     chunks = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", "part", F.transform("turns", lambda t: t["role"]).alias("roles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +194,7 @@ def _tables(turns: DataFrame) -> DataFrame:
 
 
 def _above():
-    """The next level's part: division toward zero keeps order, and ends at 0 for negative numbers too."""
+    """The next level's part."""
     return F.expr(f"part div {FAN}")
 
 
@@ -242,11 +298,11 @@ def repair(conversations: DataFrame) -> DataFrame:
     """
     workers(conversations.sparkSession)
     turns = only(conversations, conv_id="long", turn="long", role="string", text="string")
-    turns = turns.withColumn("at", F.coalesce("turn", F.lit(-1))).withColumn("part", F.floor(F.col("at") / CHUNK)).withColumn("text", F.coalesce("text", F.lit("")))
+    turns = _placed(turns.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("part", F.expr(f"pos div {CHUNK}"))
     parts = keep(_tables(turns))
     borders = _borders(parts).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "first", "last", "head", "tail")
     drop(parts)
-    turn = F.struct("at", "role", "text", "turn")
+    turn = F.struct("pos", "role", "text", "turn")
     chunks = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     known = chunks.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv_id", "turns", "first", "last", "head", "tail")
 

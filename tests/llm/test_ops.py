@@ -278,6 +278,23 @@ def test_chat(spark, monkeypatch, chunk, fan):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("same", ["turn", "null"])
+def test_chat_chunks_are_bounded(spark, monkeypatch, same):
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    monkeypatch.setattr(chat, "FAN", 4)
+    most, table = [], chat._tables
+    monkeypatch.setattr(chat, "_tables", lambda turns: most.append(max(r["count"] for r in turns.groupBy("conv_id", "part").count().collect())) or table(turns))
+    rnd = random.Random(8)
+    # all under one turn number, and all rows without conv_id
+    rows = [(None if same == "null" else 5, None if same == "null" else 3, rnd.choice(["user", "assistant", "tool"]), f"t{i:03}") for i in range(300)]
+    rows += [(c, i, "user", f"u{i}") for c in range(6, 40) for i in range(c % 3 + 1)]
+    got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert most == [8] and sorted((str(r.conv_id), str(r.turn), r.role) for r in got) == sorted((str(c), str(t), r) for c, t, r, _ in rows)
+    hot = sorted((r for r in rows if r[0] == rows[0][0]), key=lambda r: (r[2], r[3]))
+    assert sum(r.cost for r in got if r.conv_id == rows[0][0]) == cheapest([r[2] for r in hot])
+    assert sum(bool(r.appended) or r.piece.endswith(chat.CLOSE) for r in got if r.conv_id == rows[0][0]) == 1
+
+
 # --- op6 -----------------------------------------------------------------------------------------------------------
 
 
