@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import keep
+
 
 def shuffled(key: Column, seed: int | str = 42) -> Column:
     """An order that looks random and repeats: the md5 of seed and key."""
@@ -43,14 +45,15 @@ def quotas(total: int, shares: dict[str, float]) -> dict[str, int]:
 def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``rank`` from 1 in a total order, without a window over all rows in one task.
 
-    Rows are range-partitioned and sorted; each partition's row count shifts the next ones' ranks. The counts (one per
-    partition) are all that meets in one place.
+    Rows are range-partitioned, sorted and written once with their partition and place in it: each partitioning samples
+    bounds of its own, so counts and rows must come from one. Each partition's row count shifts the next ones' ranks; the
+    counts (one per partition) are all that meets in one place.
     """
     names = df.columns
     keyed = df.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
     parts = keyed.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 2, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
+    parts = keep(parts.select(*names, "_p", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)).alias("_r")))
     before = parts.groupBy("_p").agg(F.count("*").alias("n"))
     shift = before.select("_p", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_s"))
     return parts.join(shift, "_p").select(*names, (F.col("_r") + F.coalesce("_s", F.lit(0))).alias("rank"))

@@ -16,6 +16,17 @@ def test_global_rank_is_total(spark):
     assert [g[2] for g in got] == list(range(1, 1001))
 
 
+def test_global_rank_with_sampled_bounds(spark):
+    # each input partition holds far more rows than the sampler of bounds takes
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        rows = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.xxhash64("id").alias("k"), F.concat(F.lit("x"), F.col("id")).alias("other"))
+        got = select.global_rank(rows, F.col("k"), F.col("id")).agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.max("other")).first()
+        assert tuple(got) == (20_000, 20_000, 1, 20_000, "x9999")
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+
+
 def test_quotas_take_each_id_once(spark):
     pairs = spark.createDataFrame([(i, c) for i in range(100) for c in ("a", "b") if c == "a" or i % 2], "id long, constraint string")
     got = select.quota_select(pairs, {"a": 60, "b": 60, "c": 5}).collect()
