@@ -6,8 +6,9 @@ each is a row of weights in a table of ``BUCKETS`` rows, learned together with t
 posteriors come from forward-backward over runs of ``STEPS`` words; a text's language is the one with the largest sum of
 posteriors over all its words, its score that sum's share.
 
-Training: on at most ``SAMPLE`` labelled documents of each language (those with the smallest hashes of their ids), of at
-most ``SAMPLE_CHARS`` characters each, spliced into sequences that switch between documents and so between languages.
+Training: on at most ``SAMPLE`` labelled documents of each language (those with the smallest hashes of their ids, whatever
+their lengths), of each an excerpt of ``SAMPLE_CHARS`` characters from its first letter on, spliced into sequences that
+switch between documents and so between languages.
 The fit takes a fixed number of steps over at most ``SEQUENCES`` sequences. Prediction covers all documents and their
 whole texts.
 
@@ -230,7 +231,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang) that are not held out."""
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(docs["doc_id"]), F.lit(True)) & (F.length("text") <= SAMPLE_CHARS))
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(docs["doc_id"]), F.lit(True)))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"over {MOST_LABELS} languages to learn")
@@ -242,7 +243,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     h = F.xxhash64(F.col("doc_id"))
     near = usable.withColumn("h", h).where(F.pmod("h", F.lit(space)) < share[F.col("lang")])
     rows: dict[str, list] = {r["lang"]: [] for r in counts}
-    for r in near.select("lang", "h", "text").toLocalIterator():
+    excerpt = F.substring(F.col("text"), F.greatest(F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(1)), F.lit(SAMPLE_CHARS))
+    for r in near.select("lang", "h", excerpt.alias("text")).toLocalIterator():
         have = rows[r["lang"]]
         have.append((r["h"], r["text"]))
         if len(have) >= 4 * sample:

@@ -441,6 +441,17 @@ def test_code_switching():
     assert p[:30, 0].min() > 0.5 and p[30:, 1].min() > 0.5 and np.allclose(p.sum(1), 1)
 
 
+def test_long_texts_are_learned_from(spark):
+    words = {"x": ["lahon", "lemon", "lasson"], "y": ["grubst", "drabst", "knabst"]}
+    rnd = random.Random(2)
+    long = lambda lang: "1 " * 10_000 + " ".join(rnd.choice(words[lang]) for _ in range(4_000))
+    rows = [(i, long("x"), "x") for i in range(30)] + [(i, " ".join(rnd.choice(words["y"]) for _ in range(80)), "y") for i in range(30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()} == {(i, lang) for i, _, lang in rows}
+    # long texts alone: none is lost
+    assert langid.known(docs.where("lang = 'x'"), 0.3).count() == 30
+
+
 # --- op10 ----------------------------------------------------------------------------------------------------------
 
 
