@@ -19,6 +19,7 @@ component and is kept; other columns play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.select import global_rank
 from . import textnum
 from .common import drop, keep, numbered, only, workers
 from .components import components
@@ -274,10 +276,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return found.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def _nodes(named: DataFrame) -> DataFrame:
+    """``named`` (doc_id, text and others) with ``node``, one number for each doc_id and text, in the order of doc_id: it
+    is the doc_id where no two texts share one; else all pairs are numbered."""
+    mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    if named.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
+        return named.withColumn("node", F.col("doc_id").cast("long"))
+    ids = global_rank(named.select("doc_id", mark.alias("mark")).distinct(), F.col("doc_id"), F.col("mark")).withColumnRenamed("rank", "node")
+    return keep(named.withColumn("mark", mark).join(ids, ["doc_id", "mark"]).drop("mark"))
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (the smallest doc_id; of rows that share it, one) with all its columns; rows without
-    doc_id stay."""
+    """One document of each group (the smallest doc_id; of different texts under it, the smallest md5) with all its
+    columns; rows without doc_id stay. Different texts under one doc_id are documents of their own; of rows that share
+    both, the one with the smallest hash of all columns stays."""
     plain = numbered(docs, "doc_id", "text")
-    kept = near_duplicates(plain, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = plain.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = _nodes(plain.where("doc_id is not null"))
+    kept = near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"), k, percent).where("kept").select(F.col("doc_id").alias("node")).distinct()
+    rows = nodes.join(kept, "node", "left_semi")
+    order = F.xxhash64(*[F.to_json(F.struct(c)) if re.search("map<|variant", kind) else F.col(c) for c, kind in plain.dtypes])
+    named = rows.groupBy("node").agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
     return named.unionByName(plain.where("doc_id is null")).select(*plain.columns).toDF(*docs.columns)

@@ -223,6 +223,17 @@ def test_deduplicate_odd(spark, odd, empty):
     assert minhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_shared_ids(spark):
+    rnd = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{rnd.randrange(300)}" for _ in range(60)) for x in "abcd")
+    # 7: a near copy of 3's text and two of its own; 8: an exact copy of 3's and one of its own; 9: one row twice
+    rows = [(3, a), (7, a + " more"), (7, b), (7, c), (8, a), (8, d), (9, "x y"), (9, "x y"), (None, a)]
+    df = spark.createDataFrame([(*r, {"n": i}) for i, r in enumerate(rows)], "doc_id long, text string, tags map<string,int>")
+    got = [[(r.doc_id, r.text, r.tags["n"]) for r in minhash.deduplicate(x).collect()] for x in (df, df.repartition(5, "text"))]
+    assert sorted((t, str(i)) for i, t, _ in got[0]) == sorted([(a, "3"), (b, "7"), (c, "7"), (d, "8"), ("x y", "9"), (a, "None")])
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+
+
 # --- op5 -----------------------------------------------------------------------------------------------------------
 
 
