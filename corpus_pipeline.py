@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, langid, minhash, packing, pii
 from quern.llm.common import keep
 
-#: Shares of posterior below this are no language at all; with two languages or more in equal parts it is still kept.
+#: Words whose largest posteriors are below this on average have no language; texts of several languages in equal parts are
+#: kept, however many those are.
 LEAST_SCORE = 0.3
 SHINGLE, PERCENT = 5, 80
 

@@ -4,7 +4,8 @@ Words (runs of letters, lower-cased) are labelled with languages. A word's featu
 n-grams that touch its border), its inner n-grams of one to four letters, and the whole word, which is the lexicon:
 each is a row of weights in a table of ``BUCKETS`` rows, learned together with the transitions between languages. Labels'
 posteriors come from forward-backward over runs of ``STEPS`` words; a text's language is the one with the largest sum of
-posteriors over all its words, its score that sum's share.
+posteriors over all its words, its score that sum's share. How ``sure`` a text's words are is the mean over them of each
+one's largest posterior, so a text that switches between any number of languages is as sure as its words.
 
 Training: on at most ``SAMPLE`` labelled documents of each language (those with the smallest hashes of their ids, whatever
 their lengths), of each an excerpt of ``SAMPLE_CHARS`` characters from its first letter on, spliced into sequences that
@@ -39,6 +40,7 @@ SAMPLE_CHARS = 8_000
 SEQUENCES = 2_400
 EPOCHS, BATCH, RATE, DECAY = 6, 100, 0.15, 1e-4
 MOST_LABELS = 500
+ABOVE_CHANCE = 1.2
 SLICE = 1 << 19
 
 _letter: np.ndarray | None = None
@@ -255,12 +257,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs``, one row for one, with ``lang_pred`` and ``score`` (names it must not have already) behind its columns."""
+    """``docs``, one row for one, with ``lang_pred``, ``score`` and ``sure`` (names it must not have already) behind its
+    columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     workers(docs.sparkSession)
     names = docs.columns
-    out = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    out = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("sure")).schema
     schema, shared = to_arrow_schema(out), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,18 +271,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for b in textnum.slices(whole, "text", SLICE):
                 n, k = b.num_rows, len(m.labels)
-                best, score = np.full(n, -1), np.zeros(n)
+                best, score, sure = np.full(n, -1), np.zeros(n), np.zeros(n)
                 if k:
                     f = Features(b.column("text").to_pylist())
-                    run_ = np.zeros((int(f.at[-1]) + 1, k))
+                    run_, most = np.zeros((int(f.at[-1]) + 1, k)), np.zeros(int(f.at[-1]) + 1)
                     if len(run_) > 1:
-                        np.cumsum(posteriors(f, m), axis=0, out=run_[1:])
+                        each = posteriors(f, m)
+                        np.cumsum(each, axis=0, out=run_[1:])
+                        np.cumsum(each.max(1), out=most[1:])
+                        del each
                     mass, count = run_[f.at[1:]] - run_[f.at[:-1]], np.diff(f.at)
                     best = np.where(count > 0, mass.argmax(1), -1)
                     score = np.clip(np.where(count > 0, mass.max(1) / np.maximum(count, 1), 0), 0, 1)
+                    sure = np.clip(np.where(count > 0, (most[f.at[1:]] - most[f.at[:-1]]) / np.maximum(count, 1), 0), 0, 1)
                 lang = pa.array(np.array([*m.labels, UNKNOWN], object)[best], pa.string())
                 cols = [b.column(x).cast(schema.field(i).type) for i, x in enumerate(names)]
-                yield pa.RecordBatch.from_arrays([*cols, lang, pa.array(score)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*cols, lang, pa.array(score), pa.array(sure)], schema=schema)
 
     return docs.mapInArrow(run, out)
 
@@ -292,7 +299,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` (doc_id, text, lang and others) without the texts that have no language or a score under ``least``."""
+    """``docs`` (doc_id, text, lang and others) without the texts that have no language or whose words are not sure of
+    theirs: under ``least``, or ABOVE_CHANCE times what chance gives where that is less (with over four languages)."""
     model = train(only(docs, doc_id="long", text="string", lang="string"))
     plain = numbered(docs, "text")
-    return predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*plain.columns).toDF(*docs.columns)
+    least = min(least, ABOVE_CHANCE / max(1, len(model.labels)))
+    return predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= least)).select(*plain.columns).toDF(*docs.columns)

@@ -463,6 +463,16 @@ def test_long_texts_are_learned_from(spark):
     assert langid.known(docs.where("lang = 'x'"), 0.3).count() == 30
 
 
+def test_texts_of_many_languages_are_known(spark):
+    words = {"v": ["lahon", "lemon"], "w": ["grubst", "drabst"], "x": ["ouiki", "touiki"], "y": ["zzapa", "ezzapa"]}
+    say = lambda lang, n: " ".join(words[lang][i % 2] for i in range(n))
+    rows = [(i, say("vwxy"[i % 4], 80), "vwxy"[i % 4]) for i in range(120)] + [(1000, " ".join(say(x, 30) for x in "vwxy"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = docs.where("doc_id = 1000")
+    assert langid.predict(mixed, langid.train(docs)).first().score < 0.3
+    assert langid.known(docs, 0.3).where("doc_id = 1000").count() == 1
+
+
 # --- op10 ----------------------------------------------------------------------------------------------------------
 
 
