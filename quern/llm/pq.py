@@ -1,20 +1,23 @@
 """Embedding near-duplicates by product quantisation.
 
-Coarse centres (k-means) cut the vectors into inverted lists; what is left of each vector after its centre is coded by
-subspace codebooks. Both are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed. A search looks
+Vectors of each number of components are searched by themselves, with an index of their own. Coarse centres (k-means) cut
+them into inverted lists; what is left of each vector after its centre is coded by
+subspace codebooks. Both are fitted on a bounded sample (``SAMPLE`` vectors of a dimension); every vector is indexed.
+Dimensions of at most ``FEW`` vectors are one list without codes, where all are held against all. A search looks
 a query's distances up in one table per subspace (asymmetric: the query is not coded) and reranks what comes near by the
 exact cosine in double precision.
 
 A query probes the ``PROBES`` lists with the nearest centres (8 found all 616,930 links of 51,282 vectors in 200 lists,
-4 all of them too, 1 99.97 %). Within a probed list nothing is lost: a vector is reranked if its table distance is at most
+4 all of them too, 1 99.97 %; recall in 2,500 lists is not measured). A link that only one end's probes find is counted
+at both: vectors carry their probes and queries their list. Within a probed list nothing is lost: a vector is reranked if its table distance is at most
 the link distance plus its own quantisation error, which the triangle inequality asks for.
 
 Work is dealt in cells: a list of any size is cut into blocks of about ``BLOCK`` vectors and its queries into parts of
 about ``PART`` by hashes of ids, and a task holds a part against a block, so a list that holds a third of all rows is
 many tasks. A task returns a count for each query and a spanning forest of its links, never the pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those whose number of
-components is not the most common one, link with nothing and are kept; repeated rows of a vec_id are one vector (the
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
+vectors of different numbers of components never link; repeated rows of a vec_id are one vector (the
 smallest by its numbers); rows without vec_id link with nothing, have a null component and are kept; other columns play no part.
 """
 
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,7 @@ PROBES = 8
 SUBSPACES, CODES = 8, 64
 ROUNDS = 8
 BLOCK, PART = 2048, 4096
+FEW = 2048
 SLACK = 1e-6  # of rounding
 
 
@@ -121,14 +126,27 @@ def _units(vectors: DataFrame) -> DataFrame:
     at = F.col("embedding")
     big = F.array_max(F.transform(at, lambda v: F.abs(v)))  # first to about 1, so that no square over- or underflows
     good = only(vectors, vec_id="long", embedding="array<double>").where(F.col("vec_id").isNotNull() & (F.size(at) > 0) & F.forall(at, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(at, lambda v: v != 0))
-    sizes = good.groupBy(F.size(at).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return good.select("vec_id", at.alias("unit"))
-    scaled = good.where(F.size(at) == sizes[0]["n"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform(at, lambda v: v / big).alias("embedding"))
+    scaled = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform(at, lambda v: v / big).alias("embedding"))
     norm = F.sqrt(F.aggregate(at, F.lit(0.0), lambda s, v: s + v * v))
     return scaled.withColumn("norm", norm).select("vec_id", F.transform(at, lambda v: v / F.col("norm")).alias("unit"))
 
 
+def _indices(units: DataFrame, counts: dict[int, int]) -> dict[int, tuple[int, Index | None]]:
+    """For each dimension of ``counts``: the number of its first list, and its index (None for at most FEW vectors)."""
+    out, first = {}, 0
+    for n, rows in sorted(counts.items()):
+        index = None
+        if rows > FEW:
+            share = min(1 << 20, 2 * SAMPLE * (1 << 20) // rows + 1)
+            mine = units.where(F.size("unit") == n)
+            picked = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("unit").limit(SAMPLE)
+            sample = np.array([r["unit"] for r in picked.toLocalIterator()] or [mine.first()["unit"]])
+            index = Index(sample, rows)
+        out[n] = (first, index)
+        first += len(index.centre) if index else 1
+    return out
+
+
 def _search(least: float, index):
     """A function for the rows of one pair of blocks: counts of each query's links, and a forest of them as rows (a, b)."""
     reach = float(np.sqrt(2 - 2 * least))
@@ -137,22 +155,26 @@ def _search(least: float, index):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
-        model = index.value
+        first, model = index.value[len(left.column("unit")[0])]
         q, qid = _matrix(left.column("unit").combine_chunks()), left.column("vec_id").to_numpy()
         v, vid = _matrix(right.column("unit").combine_chunks()), right.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
-        error, list_ = right.column("error").to_numpy(), right.column("list")[0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        error, list_ = right.column("error").to_numpy(), right.column("list")[0].as_py() - first
+        home, probed = left.column("home").to_numpy(), _matrix(right.column("probes").combine_chunks())
+        a, b, back = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(q), 256):
-            x, y = np.nonzero(model.estimates(q[i : i + 256], list_, codes) <= reach + error + SLACK)
+            some = q[i : i + 256]
+            x, y = np.nonzero(model.estimates(some, list_, codes) <= reach + error + SLACK if model else np.ones((len(some), len(v)), bool))
             x += i
             for s in range(0, len(x), 1 << 16):
                 at, to = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
                 near = ((q[at] * v[to]).sum(1) >= least) & (qid[at] != vid[to])
                 a.append(qid[at[near]])
                 b.append(vid[to[near]])
+                at, to = at[near], to[near]
+                back.append(vid[to[(probed[to] != home[at, None]).all(1)]])  # these do not look where the query lies
         a, b = np.concatenate(a), np.concatenate(b)
-        ids, count = np.unique(a, return_counts=True)
+        ids, count = np.unique(np.concatenate([a, *back]), return_counts=True)
         forest = _forest(a, b)
         return pa.table({"a": [*ids.tolist(), *(x for x, _ in forest)], "b": [*[None] * len(ids), *(y for _, y in forest)], "n": [*count.tolist(), *[0] * len(forest)]}, schema=shape)
 
@@ -164,31 +186,32 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     spark = vectors.sparkSession
     workers(spark)
     units = keep(_units(vectors))
-    rows = units.count()
+    counts = {r["n"]: r["count"] for r in units.groupBy(F.size("unit").alias("n")).count().collect()}
     all_ = only(vectors, vec_id="long")
-    if not rows:
+    if not counts:
         return all_.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    share = min(1 << 20, 2 * SAMPLE * (1 << 20) // rows + 1)
-    picked = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("unit").limit(SAMPLE)
-    sample = np.array([r["unit"] for r in picked.toLocalIterator()] or [units.first()["unit"]])
-    index = spark.sparkContext.broadcast(Index(sample, rows))
+    index = spark.sparkContext.broadcast(_indices(units, counts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                own, codes, error = index.value.encode(_matrix(b.column("unit")))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error)], names=["vec_id", "unit", "list", "codes", "error"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                lists = index.value.probes(_matrix(b.column("unit")))
-                row = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), b.column("unit").take(row), pa.array(lists.ravel().astype(np.int32))], names=["vec_id", "unit", "list"])
-
-    coded = units.mapInArrow(encode, "vec_id long, unit array<double>, list int, codes binary, error double")
-    asked = units.mapInArrow(probe, "vec_id long, unit array<double>, list int")
+            size = pc.list_value_length(whole.column("unit")).to_numpy(zero_copy_only=False)
+            for n in np.unique(size):
+                mine = whole.filter(pa.array(size == n))
+                first, model = index.value[int(n)]
+                for at in range(0, mine.num_rows, 1024):
+                    b = mine.slice(at, 1024)
+                    if model:
+                        x = _matrix(b.column("unit"))
+                        (own, codes, error), probes = model.encode(x), model.probes(x)
+                    else:
+                        own, codes, error, probes = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 1), np.uint8), np.zeros(b.num_rows), np.zeros((b.num_rows, 1), np.int64)
+                    lists = pa.array(list((probes + first).astype(np.int32)), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "unit", "list", "codes", "error", "probes"])
+
+    # written, so that both sides of the search read the same lists
+    coded = keep(units.mapInArrow(encode, "vec_id long, unit array<double>, list int, codes binary, error double, probes array<int>"))
+    drop(units)
+    asked = coded.select("vec_id", "unit", F.col("list").alias("home"), F.explode("probes").alias("list"))
 
     def shares(df: DataFrame, most: int):
         """In how many shares a row's list is cut; at most as many lists as centres."""
@@ -202,9 +225,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     right = coded.where(parts.isNotNull()).withColumn("block", share(blocks, 2)).withColumn("part", every(parts))
     on = ["list", "block", "part"]
     found = keep(left.where("block is not null").groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_search(least, index), "a long, b long, n long"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
-    drop(units)
-    out = all_.join(counts.join(comps, "id"), F.col("vec_id") == F.col("id"), "left")
+    drop(coded)
+    out = all_.join(links.join(comps, "id"), F.col("vec_id") == F.col("id"), "left")
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))

@@ -80,6 +80,23 @@ def test_near_vectors(spark, monkeypatch):
     assert pq.near_vectors(df.limit(0)).count() == 0 and pq.near_vectors(df.where("vec_id = 601")).count() == 1
 
 
+def test_near_vectors_of_all_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(pq, "FEW", 100)  # 16 components are indexed, 24 are one list
+    monkeypatch.setattr(pq, "LIST", 4)
+    monkeypatch.setattr(pq, "PROBES", 1)  # many links are found from one end alone
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for n, size, spread in ((16, 200, 0.08), (24, 60, 0.05)):
+        x = np.repeat(rng.normal(size=(size // 4, n)), 4, 0) + spread * rng.normal(size=(size, n))
+        ids = list(range(len(rows), len(rows) + size))
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+        want |= links_of(ids, x)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == want[i] for i in range(200, 260)) and any(n for n, _ in want.values())
+    # an end's links are those of its component: with both ends counted the sum is even, and no linked vector has none
+    assert sum(n for n, _ in got.values()) % 2 == 0 and all(got[i][0] for i in got if sum(c == got[i][1] for _, c in got.values()) > 1)
+
+
 # --- op2 -----------------------------------------------------------------------------------------------------------
 
 
