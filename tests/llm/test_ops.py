@@ -81,7 +81,7 @@ def test_near_vectors(spark, monkeypatch):
 
 
 def test_near_vectors_of_all_dimensions(spark, monkeypatch):
-    monkeypatch.setattr(pq, "FEW", 100)  # 16 components are indexed, 24 are one list
+    monkeypatch.setattr(pq, "FEW", 100, raising=False)  # 16 components are indexed, 24 are one list
     monkeypatch.setattr(pq, "LIST", 4)
     monkeypatch.setattr(pq, "PROBES", 1)  # many links are found from one end alone
     rng = np.random.default_rng(4)
