@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a session whose executors
+    are threads of one machine; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _own[app] = base
@@ -27,3 +31,12 @@ def keep(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables written by :func:`keep` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_quern_path", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
