@@ -6,25 +6,19 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import keep as keep, scratch as scratch
+from ..common import drop as drop, keep as keep, scratch as scratch
 
-def drop(*frames: DataFrame) -> None:
-    """Delete tables written by :func:`keep` that nothing reads any more."""
-    for df in frames:
-        if path := getattr(df, "_quern_path", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-ROWS_PER_BATCH = 1000
+#: Bounds of Arrow batches where nobody has set them: Spark's 10,000 rows and 64 MB of long texts fill an executor.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where only the driver's sys.path names it, and take texts in batches of
-    ROWS_PER_BATCH rows unless the session asks for another number: Spark's 10,000 rows of long texts fill an executor."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Let Python workers import this package where only the driver's sys.path names it, and bound Arrow batches (BATCHES)
+    where neither the session nor its context does."""
+    have = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in have:
+            spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -1,15 +1,20 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Each shard (some megabytes of consecutive training texts) is turned into word numbers and indexed by a suffix array;
-every suffix of every benchmark item is binary-searched in it, which yields its longest verbatim match and all places
+every suffix of every benchmark item (those that begin alike together, in sorted order) is binary-searched in it, which yields its longest verbatim match and all places
 of it. Shards are built and searched inside one Arrow task each: no text is shuffled, memory is bounded by the shard
 (or one long text), and a lost executor costs a repeat of its tasks.
 
+Suffixes that share a window share a range of the array, and ranges of one window length are equal or disjoint, so each
+distinct range is gone through once: work and memory are bounded by the shard, not by how often items repeat it. Items
+that share ranges are kept as sets of items, and a document's items are the union of its sets. How far each place of a
+text matches any test suffix (``longest``) falls out of how many of the nested ranges cover it.
+
 The suffix array leaves out suffixes that cannot match: those at a word that no item has, or in a run of known words
 shorter than the shortest window. The benchmark is sent to the tasks in blocks of ``BLOCK_CHARS`` characters at most
 (one longer item stands alone); each block is one pass.
 
-Defined cases: null or wordless texts have no words and no hits; a null or wordless item never occurs; repeated rows
+Defined cases: null or wordless texts have no words and no hits, longest 0 and longest_at null; a null or wordless item never occurs; repeated rows
 are judged each by itself; items that share an id count once; other columns of either table play no part.
 """
 
@@ -28,7 +33,7 @@ from . import textnum
 from .common import drop, keep, numbered, only, workers
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_CHARS = 16 << 20
 
 
@@ -43,6 +48,10 @@ class Tests:
     item: np.ndarray  # whose it is
     left: np.ndarray  # words from there to the item's end
     window: np.ndarray  # length of the window that starts there; 0 where none does
+    group: np.ndarray  # which set of items has the window that starts there; -1 where none does
+    sets: list[np.ndarray]  # the items of each set
+    order: np.ndarray  # suffixes in order
+    shared: np.ndarray  # how many words each has in common with the one before in that order (-1: the first)
 
 
 def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Tests:
@@ -55,7 +64,42 @@ def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Tests:
     words[suffix] = ids + 1
     left = at[1:][item] - np.arange(len(number))
     whole = np.minimum(window, count)[item]
-    return Tests([str(i) for i, _ in rows], vocabulary, words, suffix, item, left, np.where(left >= whole, whole, 0))
+    size = np.where(left >= whole, whole, 0)
+    group, sets = _sets(words, suffix, item, size)
+    place = SuffixArray(words, int(left.max()) if len(left) else 1).order
+    order = place - np.searchsorted(np.flatnonzero(words == 0), place)  # without the 0 behind each item before
+    shared = np.zeros(len(order), np.int64)
+    same = np.arange(1, len(order))
+    while len(same):
+        depth = shared[same]
+        a, b = order[same - 1], order[same]
+        same = same[(left[a] > depth) & (left[b] > depth) & (words[suffix[a] + depth] == words[suffix[b] + depth])]
+        shared[same] += 1
+    shared[:1] = -1
+    return Tests([str(i) for i, _ in rows], vocabulary, words, suffix, item, left, size, group, sets, order, shared)
+
+
+def _sets(words: np.ndarray, suffix: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(each suffix's set of items, or -1; the sets): windows that occur in the same items have one set."""
+    group, start = np.full(len(suffix), -1), np.flatnonzero(size)
+    if not len(start):
+        return group, []
+    rank, most = np.zeros(len(start), np.int64), int(size.max())
+    for j in range(most):  # equal windows get one rank
+        word = np.where(size[start] > j, words[np.minimum(suffix[start] + j, len(words) - 1)], 0)
+        rank = np.unique(rank * (int(words.max()) + 1) + word, return_inverse=True)[1]
+    pair = np.unique(rank * (int(item.max()) + 1) + item[start])
+    of, who = pair // (int(item.max()) + 1), pair % (int(item.max()) + 1)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    known: dict[bytes, int] = {}
+    sets: list[np.ndarray] = []
+    number = np.zeros(len(first), np.int64)
+    for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(of)), strict=True)):
+        number[i] = known.setdefault(who[a:b].tobytes(), len(sets))
+        if number[i] == len(sets):
+            sets.append(who[a:b])
+    group[start] = number[rank]
+    return group, sets
 
 
 class SuffixArray:
@@ -92,9 +136,10 @@ class SuffixArray:
 
 
 def search(text: np.ndarray, tests: Tests) -> dict[str, np.ndarray]:
-    """For every test suffix: the range of window occurrences and of its longest match, as places in ``text``."""
+    """For every test suffix: the range of window occurrences and of its longest match in ``places`` (of ``text``), the
+    suffixes of the index in order; and for each of those how many words of it some test suffix starts with."""
     n = len(tests.suffix)
-    shortest = int(tests.window[tests.window > 0].min())
+    shortest, widest = int(tests.window[tests.window > 0].min()), int(tests.window.max())
     ends = np.append(np.flatnonzero(text == 0), len(text))
     starts = np.append(-1, ends[:-1]) + 1
     run = np.flatnonzero(ends - starts >= shortest)
@@ -102,23 +147,61 @@ def search(text: np.ndarray, tests: Tests) -> dict[str, np.ndarray]:
     # the runs that may hold a window, one 0 behind each
     base = np.cumsum(length + 1) - length - 1
     total = int((length + 1).sum())
-    place = np.arange(total) - np.repeat(base - starts[run], length + 1)
-    kept = np.where(np.arange(total) == np.repeat(base + length, length + 1), 0, np.append(text, 0)[place])
+    spot = np.arange(total) - np.repeat(base - starts[run], length + 1)
+    kept = np.where(np.arange(total) == np.repeat(base + length, length + 1), 0, np.append(text, 0)[spot])
     index = SuffixArray(kept, int(tests.left.max()))
-    low, high = np.zeros(n, np.int64), np.full(n, len(index.order))
     window_low, window_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
     longest, best_low, best_high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live, depth = np.flatnonzero(high > low), 0
-    while len(live):
-        a, b = index.narrow(low[live], high[live], depth, tests.words[tests.suffix[live] + depth])
-        live, a, b = live[b > a], a[b > a], b[b > a]
+    change = np.zeros(len(index.order) + 1, np.int64)
+    by_end, by_split = _at(tests.left[tests.order]), _at(tests.shared)
+    # runs of sorted suffixes that share their first ``depth`` words, and where those are in the index
+    lo, hi, low, high, depth = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64), np.full(1, len(index.order)), 0
+
+    def settle(run: np.ndarray, owner: np.ndarray) -> None:
+        who = tests.order[run]
+        longest[who], best_low[who], best_high[who] = depth, low[owner], high[owner]
+
+    while len(lo):
+        ended = by_end(depth)  # these come first in their runs
+        first, last = np.searchsorted(ended, lo), np.searchsorted(ended, hi)
+        settle(*_pick(ended, first, last))
+        lo = lo + last - first
+        split = by_split(depth)
+        first, last = np.searchsorted(split, lo, "right"), np.searchsorted(split, hi)
+        some = np.flatnonzero(lo < hi)
+        cut, owner = _pick(split, first[some], last[some])
+        start, owner = np.concatenate([lo[some], cut]), np.concatenate([some, some[owner]])
+        place = np.argsort(start)
+        start, owner = start[place], owner[place]
+        end = np.minimum(np.append(start[1:], n), hi[owner])
+        a, b = index.narrow(low[owner], high[owner], depth, tests.words[tests.suffix[tests.order[start]] + depth])
+        dead = b <= a
+        if depth:
+            run, whose = _ranges(start[dead], end[dead])
+            settle(run, owner[dead][whose])
+        lo, hi, low, high = start[~dead], end[~dead], a[~dead], b[~dead]
         depth += 1
-        low[live], high[live] = a, b
-        longest[live], best_low[live], best_high[live] = depth, a, b
-        here = tests.window[live] == depth
-        window_low[live[here]], window_high[live[here]] = a[here], b[here]
-        live = live[tests.left[live] > depth]
-    return {"places": place[index.order], "low": window_low, "high": window_high, "longest": longest, "best_low": best_low, "best_high": best_high}
+        change[low] += 1  # ranges of one depth are disjoint
+        change[high] -= 1
+        if depth <= widest:
+            run, whose = _ranges(lo, hi)
+            who = tests.order[run]
+            here = tests.window[who] == depth
+            window_low[who[here]], window_high[who[here]] = low[whose[here]], high[whose[here]]
+    return {"places": spot[index.order], "low": window_low, "high": window_high, "longest": longest, "best_low": best_low, "best_high": best_high, "match": np.cumsum(change[:-1])}
+
+
+def _at(value: np.ndarray):
+    """A function that gives the places of a value, in order."""
+    order = np.argsort(value, kind="stable")
+    ranked = value[order]
+    return lambda v: order[np.searchsorted(ranked, v) : np.searchsorted(ranked, v, "right")]
+
+
+def _pick(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values at all places from ``first`` to before ``last`` of each, and whose each is."""
+    place, who = _ranges(first, last)
+    return values[place], who
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,27 +223,51 @@ def _shard(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nd
     return text, at[:-1] + np.arange(len(count)), count, search(text, tests)
 
 
-def _judge(texts: pa.Array, tests: Tests, hits: list, items: list) -> tuple[list, list, np.ndarray]:
-    """Add this block's findings to each row's hit ranges and items."""
+@dataclass
+class Found:
+    """What is known of one row: ranges of hit words, item ids, the longest match and where it starts."""
+
+    hits: list[tuple[int, int]]
+    items: set[str]
+    longest: int
+    at: int | None
+
+
+def _judge(texts: pa.Array, tests: Tests, rows: dict[int, Found]) -> np.ndarray:
+    """Add this block's findings to ``rows`` (those with a hit alone); returns the rows' word counts."""
     if not len(tests.suffix):
-        at = textnum.words(texts, textnum.ALNUM)[1]
-        return hits, items, np.diff(at)
+        return np.diff(textnum.words(texts, textnum.ALNUM)[1])
     text, start, count, found = _shard(texts, tests)
-    place, who = _ranges(found["low"], found["high"])
-    place = found["places"][place]
+    some = np.flatnonzero(found["high"] > found["low"])
+    # each distinct range once: suffixes with one range have one window, and so one set of items
+    some = some[np.unique(np.stack([tests.window[some], found["low"][some]]), axis=1, return_index=True)[1]]
+    place, who = _ranges(found["low"][some], found["high"][some])
+    place, size, group = found["places"][place], tests.window[some][who], tests.group[some][who]
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, place, 1)
-    np.add.at(change, place + tests.window[who], -1)
+    np.add.at(change, place + size, -1)
     hit = np.append(np.cumsum(change[:-1]) > 0, False)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
     first, last = edge[::2], edge[1::2]
     row = np.searchsorted(start, first, "right") - 1
-    for r, a, b in zip(row, first - start[row], last - start[row], strict=True):
-        hits[r].append((int(a), int(b)))
-    pairs = np.unique((np.searchsorted(start, place, "right") - 1) * len(tests.ids) + tests.item[who])
-    for r, i in zip(pairs // len(tests.ids), pairs % len(tests.ids), strict=True):
-        items[r].add(tests.ids[i])
-    return hits, items, count
+    for r, a, b in zip(row.tolist(), (first - start[row]).tolist(), (last - start[row]).tolist(), strict=True):
+        rows.setdefault(r, Found([], set(), 0, None)).hits.append((a, b))
+    pair = np.unique((np.searchsorted(start, place, "right") - 1) * len(tests.sets) + group)
+    of, group = pair // max(1, len(tests.sets)), pair % max(1, len(tests.sets))
+    cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64), len(of))
+    for a, b in zip(cut, cut[1:], strict=False):
+        mine = np.unique(np.concatenate([tests.sets[g] for g in group[a:b]]))
+        rows[int(of[a])].items.update(tests.ids[i] for i in mine)
+    # the longest match of each such row, the first of equals
+    row = np.searchsorted(start, found["places"], "right") - 1
+    order = np.lexsort((found["places"], -found["match"], row))
+    of = row[order]
+    for i in order[np.append(True, of[1:] != of[:-1])] if len(order) else order:
+        if (mine := rows.get(int(row[i]))) is not None:
+            longest, at = int(found["match"][i]), int(found["places"][i] - start[row[i]])
+            if longest > mine.longest or longest == mine.longest and at < mine.at:
+                mine.longest, mine.at = longest, at
+    return count
 
 
 def _union(ranges: list[tuple[int, int]]) -> int:
@@ -171,24 +278,28 @@ def _union(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
-_STATE = {"_hits": "array<array<long>>", "_items": "array<string>"}
-RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
+_STATE = {"_hits": "array<array<long>>", "_items": "array<string>", "_longest": "long", "_at": "long"}
+RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "longest": "long", "longest_at": "long"}
 
 
 def _batches(tests, final: bool, names: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = tests.value
+        block, nothing = tests.value, Found([], set(), 0, None)
         for whole in batches:
             for b in textnum.slices(whole, "text", SHARD_BYTES):
-                earlier = "_hits" in b.schema.names
-                hits = [[tuple(x) for x in h] for h in b.column("_hits").to_pylist()] if earlier else [[] for _ in range(b.num_rows)]
-                items = [set(x) for x in b.column("_items").to_pylist()] if earlier else [set() for _ in range(b.num_rows)]
-                hits, items, count = _judge(b.column("text"), block, hits, items)
+                rows: dict[int, Found] = {}
+                if "_hits" in b.schema.names:
+                    for i, (h, items, longest, at) in enumerate(zip(*(b.column(c).to_pylist() for c in _STATE), strict=True)):
+                        if h:
+                            rows[i] = Found([tuple(x) for x in h], set(items), longest, at)
+                count = _judge(b.column("text"), block, rows)
+                each = [rows.get(i, nothing) for i in range(b.num_rows)]
                 if final:
-                    n_hit = [_union(h) for h in hits]
-                    more = [count.tolist(), n_hit, [len(i) for i in items], [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], [x > 0 for x in n_hit]]
+                    n_hit = [_union(r.hits) for r in each]
+                    digests = [hashlib.sha256(",".join(sorted(r.items)).encode()).hexdigest() for r in each]
+                    more = [count.tolist(), n_hit, [len(r.items) for r in each], digests, [x > 0 for x in n_hit], [r.longest for r in each], [r.at for r in each]]
                 else:
-                    more = [[[list(x) for x in h] for h in hits], [sorted(i) for i in items]]
+                    more = [[[list(x) for x in r.hits] for r in each], [sorted(r.items) for r in each], [r.longest for r in each], [r.at for r in each]]
                 cols = [b.column(n) for n in names] + [pa.array(x, f.type) for x, f in zip(more, list(schema)[len(names) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -213,7 +324,11 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Tests]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``, one row for one, with the columns of RESULT behind its own (which it must not have already)."""
+    """``docs``, one row for one, with the columns of RESULT behind its own (which it must not have already).
+
+    longest, longest_at: of a document that is hit, the most consecutive words that an item has too, and at which of its
+    words (from 0) they first start.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     workers(docs.sparkSession)
@@ -223,9 +338,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         after = next(blocks, None)
         made = _STATE if after is not None else RESULT
         out = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(k).alias(c) for c, k in made.items()]).schema
-        docs = docs.mapInArrow(_batches(docs.sparkSession.sparkContext.broadcast(block), after is None, names, to_arrow_schema(out)), out)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(_batches(shared, after is None, names, to_arrow_schema(out)), out)
         if after is not None:
             docs, stale = keep(docs), before
+            shared.destroy()
             before = docs
             if stale is not None:
                 drop(stale)
@@ -242,7 +359,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches of a window's length at least: item_id, item_start, doc_id, doc_start, length (words).
 
-    One row for each place in each shard where a test suffix has its longest match there.
+    One row for each place in each shard where a test suffix has its longest match there: as many as the repeats of
+    texts and items multiply to, streamed out, so this is for inspection.
     """
     workers(docs.sparkSession)
     out = None

@@ -25,7 +25,7 @@ def _pow(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, U)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 

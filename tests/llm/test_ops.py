@@ -116,10 +116,39 @@ def hits_of(docs, items, window):
                 if g := grams.get(tuple(w[j : j + k])):
                     hit |= set(range(j, j + k))
                     seen |= g
-        out.append((d, len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit), *(longest_of(w, [words(t) for _, t in items]) if hit else (0, None))))
     return sorted(out, key=str)
 
 
+def longest_of(w, items):
+    """(most consecutive words of ``w`` that an item has too, their first place)."""
+    best = (0, None)
+    for i in range(len(w)):
+        n = max((next((k for k in range(min(len(w) - i, len(t) - j) + 1) if k == min(len(w) - i, len(t) - j) or w[i + k] != t[j + k]), 0) for t in items for j in range(len(t)) if t[j] == w[i]), default=0)
+        if n > best[0]:
+            best = (n, i)
+    return best
+
+
+def test_repetitive_texts_take_room_in_proportion():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "word " * 4_000
+    for items in ([("a", text)], [(f"i{i:04}", f"{' '.join('abcdefghij')} x{i}") for i in range(1000)]):
+        tests = decontaminate.prepare(items)
+        docs = pa.array([text, "a b c d e f g h i j " * 400])
+        rows = {}
+        tracemalloc.start()
+        count = decontaminate._judge(docs, tests, rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        hit = rows[0] if len(items) == 1 else rows[1]
+        assert peak < 20 << 20 and count.tolist() == [4_000, 4_000] and len(hit.items) == len(items)
+        assert decontaminate._union(hit.hits) == 4_000 and hit.longest == (4_000 if len(items) == 1 else 10)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
