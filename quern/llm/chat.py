@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, only, workers
+from .common import drop, keep, lean, only, workers
 
 ROLES = ("system", "user", "assistant", "tool")
 STATES = ("start", *ROLES)
@@ -162,7 +162,7 @@ def _placed(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("conv_id", "turn", "role", "text", "slice")], pa.array(pos), pa.array(at + done), pa.array(lead)], names=[x.split()[0] for x in _PLACED.split(", ")])
             done += b.num_rows
 
-    local = keep(ranged.select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("slice")).mapInArrow(run, _PLACED))
+    local = keep(ranged.select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("slice")).mapInArrow(lean(run), _PLACED))
     ends = local.groupBy("slice").agg(F.min_by(F.struct("conv_id"), "i").alias("first"), F.max_by(F.struct("conv_id", "pos"), "i").alias("last"))
     shift, before, count = {}, None, 0
     for r in sorted(ends.collect(), key=lambda r: r["slice"]):
@@ -190,7 +190,7 @@ def _tables(turns: DataFrame) -> DataFrame:
             costs = [_flat(table(r)) for r in b.column("roles").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(costs, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
 
-    return chunks.mapInArrow(run, _PART)
+    return chunks.mapInArrow(lean(run), _PART)
 
 
 def _above():
@@ -214,7 +214,7 @@ def _up(parts: DataFrame) -> DataFrame:
                 costs.append(_flat(whole))
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(costs, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
 
-    return _grouped(parts, ["costs"]).mapInArrow(run, _PART)
+    return _grouped(parts, ["costs"]).mapInArrow(lean(run), _PART)
 
 
 _BORDERS = "conv_id long, part long, first int, last int, head boolean, tail boolean"
@@ -248,7 +248,7 @@ def _down(parts: DataFrame, borders: DataFrame | None) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "part", "first", "last", "head", "tail"])
 
-    return groups.mapInArrow(run, _BORDERS)
+    return groups.mapInArrow(lean(run), _BORDERS)
 
 
 def _borders(parts: DataFrame) -> DataFrame:
@@ -317,4 +317,4 @@ def repair(conversations: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return known.mapInArrow(run, REPAIRED)
+    return known.mapInArrow(lean(run), REPAIRED)

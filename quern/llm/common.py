@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,31 @@ def workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: idle workers are kept, and what they held stays counted against an executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches) for an Arrow task, giving freed memory back every few batches and at the end."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            for i, b in enumerate(run(batches)):
+                yield b
+                if i % 16 == 15:
+                    _give_back()
+        finally:
+            _give_back()
+
+    return task
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast to the given types; other columns (whatever their names) play no part."""
     return df.select(*[df[f"`{c}`"].cast(k).alias(c) for c, k in kinds.items()])

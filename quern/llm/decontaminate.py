@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import drop, keep, numbered, only, workers
+from .common import drop, keep, lean, numbered, only, workers
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -339,7 +339,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         made = _STATE if after is not None else RESULT
         out = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(k).alias(c) for c, k in made.items()]).schema
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(_batches(shared, after is None, names, to_arrow_schema(out)), out)
+        docs = docs.mapInArrow(lean(_batches(shared, after is None, names, to_arrow_schema(out))), out)
         if after is not None:
             docs, stale = keep(docs), before
             shared.destroy()
@@ -384,6 +384,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                         names=["item_id", "item_start", "doc_id", "doc_start", "length"],
                     )
 
-        part = only(docs, doc_id="long", text="string").mapInArrow(run, "item_id string, item_start long, doc_id long, doc_start long, length long")
+        part = only(docs, doc_id="long", text="string").mapInArrow(lean(run), "item_id string, item_start long, doc_id long, doc_start long, length long")
         out = part if out is None else out.unionAll(part)
     return out

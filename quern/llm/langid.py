@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import numbered, only, workers
+from .common import lean, numbered, only, workers
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [b.column(x).cast(schema.field(i).type) for i, x in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*cols, lang, pa.array(score), pa.array(sure)], schema=schema)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.select import global_rank
 from . import textnum
-from .common import drop, keep, numbered, only, workers
+from .common import drop, keep, lean, numbered, only, workers
 from .components import components
 
 BANDS, ROWS, BITS = 42, 6, 2
@@ -112,7 +112,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(run, _SIGNED)
+    return docs.mapInArrow(lean(run), _SIGNED)
 
 
 def _estimate(a, b):
@@ -155,7 +155,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got.view(np.int64)))], names=["doc_id", "shingles"])
 
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MASK_BITS)).alias("h"))
-    out = keep(hashed.mapInArrow(run, "doc_id long, shingles array<long>"))
+    out = keep(hashed.mapInArrow(lean(run), "doc_id long, shingles array<long>"))
     mask.destroy()
     return out
 

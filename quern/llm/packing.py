@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import textnum
-from .common import only, workers
+from .common import lean, only, workers
 
 WINDOW = 4096
 END_ID = 2
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         if rows:
             yield batch()
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
+    return only(docs, doc_id="long", text="string").mapInArrow(lean(run), schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import drop, keep, numbered, only, workers
+from .common import drop, keep, lean, numbered, only, workers
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND = 40
@@ -229,7 +229,7 @@ def propose(docs: DataFrame) -> DataFrame:
                 rows = [[{"start": a, "kind": KINDS[k], "end": e, "code": c, "base": base} for a, k, e, c, base in spans(t)] for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(lean(run), _FOUND)
 
 
 def _counts(found: DataFrame) -> dict[int, int]:
@@ -283,4 +283,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = pa.array([mask(t, good) for t in b.column("text").to_pylist()], schema.field("text").type)
                 yield pa.RecordBatch.from_arrays([texts if f.name == "text" else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, only, workers
+from .common import drop, keep, lean, only, workers
 from .components import components
 
 SAMPLE = 20_000
@@ -209,7 +209,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "unit", "list", "codes", "error", "probes"])
 
     # written, so that both sides of the search read the same lists
-    coded = keep(units.mapInArrow(encode, "vec_id long, unit array<double>, list int, codes binary, error double, probes array<int>"))
+    coded = keep(units.mapInArrow(lean(encode), "vec_id long, unit array<double>, list int, codes binary, error double, probes array<int>"))
     drop(units)
     asked = coded.select("vec_id", "unit", F.col("list").alias("home"), F.explode("probes").alias("list"))
 

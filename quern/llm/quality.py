@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import keep, only, workers
+from .common import keep, lean, only, workers
 
 SAMPLE = 5000
 SAMPLE_BYTES = 100_000  # longer texts are not learned from
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), words, pa.array(list(form))], names=["doc_id", "words", "form"])
 
     short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = short.mapInArrow(run, "doc_id long, words array<int>, form array<double>")
+    rows = short.mapInArrow(lean(run), "doc_id long, words array<int>, form array<double>")
     words, form, target = [np.zeros(0, np.int32)], [], []
     for r in sorted(((r["doc_id"], np.array(r["words"], np.int32), r["form"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[2])):
         for pair in truth[r[0]]:
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 odds = shared.value.odds(bucket, starts, form)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("path"), pa.array(odds[:, 0]), pa.array(odds[:, 1]), pa.array(np.diff(starts) == 0)], names=["doc_id", "host", "path", "quality_odds", "toxic_odds", "empty"])
 
-    return docs.select("doc_id", "text", "host", "path").mapInArrow(run, "doc_id long, host string, path string, quality_odds double, toxic_odds double, empty boolean")
+    return docs.select("doc_id", "text", "host", "path").mapInArrow(lean(run), "doc_id long, host string, path string, quality_odds double, toxic_odds double, empty boolean")
 
 
 def _probability(odds):

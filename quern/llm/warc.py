@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keep, only, scratch, workers
+from .common import drop, keep, lean, only, scratch, workers
 
 RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -140,7 +140,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _READ[n][1]) for i, n in enumerate(names)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"{n} {_READ[n][0]}" for n in names))
+    return files.mapInArrow(lean(run), ", ".join(f"{n} {_READ[n][0]}" for n in names))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
