@@ -47,9 +47,9 @@ def _shielded(lexicon: Lexicon, term: str, text: Column) -> Column:
 
 
 def reason(lexicon: Lexicon, constraint: str, item: Column) -> Column:
-    """Of the longest key that is part of the item."""
+    """Of the longest key that is part of the item; of equals the first given."""
     out = F.lit(f"violates_{constraint}")
-    for key, name in sorted(lexicon.reasons.get(constraint, {}).items(), key=lambda x: len(x[0])):
+    for key, name in sorted(reversed(lexicon.reasons.get(constraint, {}).items()), key=lambda x: len(x[0])):
         out = F.when(F.contains(F.lower(item), F.lit(key)), name).otherwise(out)
     return out
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hashing import coin
 from .text import strip
 
+# The system turn, and how many tokens a reply may have, by richness tier.
+SYSTEM = (
+    "You are a culinary adaptation assistant. Priority: (1) strict dietary compliance, (2) preserve dish identity and flavor profile, (3) keep instructions practical and cookable. "
+    "Never include forbidden ingredients or their derivatives (stocks, sauces, pastes, broths). If no exact compliant substitute exists, acknowledge the gap, choose the closest viable option, and state the trade-off. "
+    "Output sections exactly: Substitution Plan, Adapted Ingredients, Adapted Steps, Flavor Preservation Notes, Constraint Check."
+)
+SYSTEMS = {
+    "concise": SYSTEM + " Be concise: keep rationale to one phrase per substitution and provide exactly 3 flavor preservation notes.",
+    "standard": SYSTEM,
+    "rich": SYSTEM + " For each substitution provide deep rationale covering flavor chemistry, texture mechanics, and technique adjustments. Include one alternative swap option per substitution. Provide at least 5 concrete flavor preservation notes.",
+}
 BUDGET = {"concise": 512, "standard": 1024, "rich": 2048}
 
 
@@ -23,19 +36,48 @@ def _listed(items: Column, mark: str) -> Column:
     return F.transform(items, one)
 
 
-def user_prompt(template: Column, title: Column, items: Column, steps: Column, constraint: Column, cuisine: Column, notes: Column) -> Column:
-    """The user turn in one of three templates. The optional line hangs on the constraint alone."""
-    shown, noted, comma = F.replace(constraint, F.lit("_"), F.lit("-")), F.array_join(notes, ", "), F.array_join(items, ", ")
-    inline = F.array_join(F.transform(_listed(steps, ") "), lambda s: F.rtrim(s, F.lit("."))), " ")
-    bullets = F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")
-    extra = F.when(coin(F.lit(""), constraint), "\nWeeknight-friendly, under 45 minutes where possible.").otherwise("")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    a = text("Recipe: ", title, "\nCuisine: ", cuisine, "\nIngredients: ", comma, "\nSteps: ", inline, "\nRestrictions: ", shown, "\nMust Keep Flavor Notes: ", noted)
-    b = text("I have a recipe for ", title, " (", cuisine, ") that I need to make ", shown, "-friendly.\n\nThe ingredients are: ", comma, ".\n\nHere's how it's made: ", prose(steps), "\n\nPlease adapt it while keeping the dish recognizable.")
-    c = text("Goal: make ", title, " fully ", shown, "-compliant.\n\nSource ingredients:\n", bullets, "\n\nSource steps:\n", F.array_join(_listed(steps, ". "), "\n"), "\n\nPreserve these flavors: ", noted, ".", extra)
+# The wording of the user turn in each template; {extra} stands for EXTRA where the coin says so.
+WORDING = {
+    "A": "Recipe: {title}\nCuisine: {cuisine}\nIngredients: {comma}\nSteps: {inline}\nRestrictions: {restriction}\nMust Keep Flavor Notes: {notes}",
+    "B": "I have a recipe for {title} ({cuisine}) that I need to make {restriction}-friendly.\n\nThe ingredients are: {comma}.\n\nHere's how it's made: {prose}\n\nPlease adapt it while keeping the dish recognizable.",
+    "C": "Goal: make {title} fully {restriction}-compliant.\n\nSource ingredients:\n{bullets}\n\nSource steps:\n{numbered}\n\nPreserve these flavors: {notes}.{extra}",
+}
+EXTRA = "\nWeeknight-friendly, under 45 minutes where possible."
+
+
+def filled(wording: str, fields: dict[str, Column]) -> Column:
+    """``wording`` with each {name} in it replaced by the column of that name."""
+    parts = re.split(r"\{(\w+)\}", wording)
+    return F.concat(*[fields[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def user_prompt(template: Column, title: Column, items: Column, steps: Column, constraint: Column, cuisine: Column, notes: Column, wording: dict[str, str] = WORDING, extra: str = EXTRA) -> Column:
+    """The user turn in one of three templates (any other than A and B is C). The optional line hangs on the constraint
+    alone."""
+    fields = {
+        "title": title, "cuisine": cuisine, "restriction": F.replace(constraint, F.lit("_"), F.lit("-")), "notes": F.array_join(notes, ", "), "comma": F.array_join(items, ", "), "prose": prose(steps),
+        "inline": F.array_join(F.transform(_listed(steps, ") "), lambda s: F.rtrim(s, F.lit("."))), " "),
+        "bullets": F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n"), "numbered": F.array_join(_listed(steps, ". "), "\n"),
+        "extra": F.when(coin(F.lit(""), constraint), extra).otherwise(""),
+    }
+    a, b, c = (filled(wording[t], fields) for t in "ABC")
     return F.when(template == "A", a).when(template == "B", b).otherwise(c)
 
 
+# What a judge is told, and asked for.
+JUDGE_SYSTEM = "You are an expert evaluator for recipe adaptation outputs. Score strictly and return JSON only."
+JUDGE_USER = (
+    "Evaluate the model output.\n\nRestrictions: {restrictions}\n\nOriginal user request:\n{user}\n\nModel output:\n{output}\n\n"
+    "Return JSON with keys: compliance (1-10), flavor_fidelity (1-10), dish_identity_preservation (1-10), explanation_quality (1-10), overall_score (float 1-10), verdict (PASS/FAIL), notes (string)."
+)
+
+
+def judge_messages(restrictions: Column, user: Column, output: Column) -> Column:
+    """The two messages that ask a judge for its scores."""
+    named = F.when(F.size(restrictions) > 0, F.array_join(restrictions, ", ")).otherwise("(not provided)")
+    return chat(F.lit(JUDGE_SYSTEM), filled(JUDGE_USER, {"restrictions": named, "user": user, "output": output}))
+
+
 def by_tier(tier: Column, values: dict) -> Column:
     """A value for each richness tier."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair]), tier)

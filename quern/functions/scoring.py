@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, occurrences, passes, title_terms
-from .text import normal_item, strip
+from .text import let, normal_item, strip
 
 
 @dataclass
@@ -46,20 +46,34 @@ def completeness_failures(text: Column, parsed: Column, violations: Column, voca
     unmapped = F.transform(unmapped, lambda i: F.concat(F.lit("violation_unmapped_in_substitution_plan: "), i))
 
     name = lambda c: vocabulary.name(c, aliased=False)
-    left = F.transform(items, name)
     changed = F.filter(parsed["pairs"], lambda p: (strip(p["from"]) != "") & (strip(p["to"]) != "") & ~F.rlike(strip(p["to"]), F.lit(r"^[–—\-\s]+$")) & ~F.rlike(p["to"], F.lit(_STAYS)))
-    still = F.filter(changed, lambda p: (name(p["from"]) != "") & ~F.contains(name(p["to"]), name(p["from"])) & F.array_contains(left, name(p["from"])))
-    still = F.transform(still, lambda p: F.concat(F.lit("banned_ingredient_in_adapted_content: "), strip(p["from"])))
+    plain = F.struct(F.transform(items, name).alias("left"), F.transform(changed, lambda p: F.struct(strip(p["from"]).alias("said"), name(p["from"]).alias("from"), name(p["to"]).alias("to"))).alias("changed"))
+    still = let(plain, lambda x: F.filter(x["changed"], lambda p: (p["from"] != "") & ~F.contains(p["to"], p["from"]) & F.array_contains(x["left"], p["from"])))
+    still = F.transform(still, lambda p: F.concat(F.lit("banned_ingredient_in_adapted_content: "), p["said"]))
     return F.concat(F.when(F.contains(text, F.lit("...")), F.array(F.lit("contains_ellipsis"))).otherwise(none), amounts, unmapped, still)
 
 
+def allowed(items: Column, lexicon: Lexicon, constraint: str) -> Column:
+    """The items that none of the constraint's terms matches."""
+    pattern = lexicon.pattern(constraint)
+    return F.filter(items, lambda i: ~F.rlike(F.lower(i), F.lit(pattern))) if pattern else items
+
+
+def names_of(items: Column, vocabulary: Vocabulary) -> Column:
+    return F.transform(items, lambda i: vocabulary.name(i))
+
+
+def retained(source: Column, wanted: Column, adapted: Column) -> Column:
+    """The share of ``wanted`` names (repeats count) that are among ``adapted`` ones; 0 without a source, 1 where none of
+    it is wanted. Arrays of names are compared as they are, so each item is normalised once."""
+    kept = F.filter(wanted, lambda i: F.array_contains(adapted, i))
+    return F.when(F.size(source) == 0, 0.0).when(F.size(wanted) == 0, 1.0).otherwise(F.bround(F.try_divide(F.size(kept), F.size(wanted)), 4))
+
+
 def relevance(source: Column, adapted: Column, lexicon: Lexicon, constraint: str, vocabulary: Vocabulary) -> Column:
     """The share of source items not banned that the adapted items still have (repeats in the source count)."""
-    pattern = lexicon.pattern(constraint)
-    allowed = F.filter(source, lambda i: ~F.rlike(F.lower(i), F.lit(pattern))) if pattern else source
-    names = F.transform(adapted, lambda i: vocabulary.name(i))
-    kept = F.filter(F.transform(allowed, lambda i: vocabulary.name(i)), lambda i: F.array_contains(names, i))
-    return F.when(F.size(source) == 0, 0.0).when(F.size(allowed) == 0, 1.0).otherwise(F.bround(F.try_divide(F.size(kept), F.size(allowed)), 4))
+    both = F.struct(names_of(allowed(source, lexicon, constraint), vocabulary).alias("wanted"), names_of(adapted, vocabulary).alias("adapted"))
+    return let(both, lambda x: retained(source, x["wanted"], x["adapted"]))
 
 
 def steps_changed(source: Column, adapted: Column) -> Column:
@@ -127,5 +141,3 @@ def row_score(judge: Column, constraint: Column, formatted: Column) -> Column:
 def source_bucket(a: Column, b: Column) -> Column:
     """How a pair of scores came about."""
     return F.when((a == "none") | (b == "none"), "missing").when(a == b, a).otherwise("mixed")
-
-

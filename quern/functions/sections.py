@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, literal, strip
+from .text import blank, let, literal, strip
 
 # The sections of a response, in order, and those that hold adapted content.
 HEADERS = ("Substitution Plan", "Adapted Ingredients", "Adapted Steps", "Flavor Preservation Notes", "Constraint Check")
 SCANNED = ("adapted ingredients", "adapted steps")
 
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -33,21 +34,24 @@ def _header(line: Column, headers: Sequence[str]) -> Column:
 
 
 def split_sections(text: Column, headers: Sequence[str] = HEADERS) -> Column:
-    """map<header, body>: bodies of header lines (``**Header**``, ``## Header:`` and the like); of a header that comes
-    twice, the last."""
-    tagged = F.transform(lines(text), lambda l: F.struct(_header(l, headers).alias("header"), l.alias("line")))
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.map_from_arrays(_none(), F.array().cast("array<array<string>>")).alias("body"))
+    """map<header, body> in the order of the headers' first lines: bodies of header lines (``**Header**``, ``## Header:``
+    and the like); of a header that comes twice, the last.
+
+    Header lines are found once, and each body is one slice of the lines.
+    """
+    marks = lambda rows: F.filter(F.transform(rows, lambda l, i: F.struct(i.alias("at"), _header(l, headers).alias("header"))), lambda m: m["header"].isNotNull())
 
-    def put(body: Column, key: Column, value: Column) -> Column:
-        return F.map_concat(F.map_filter(body, lambda k, _: k != key), F.create_map(key, value))
+    def body(rows: Column, found: Column, h: str) -> Column:
+        mine = F.transform(F.filter(found, lambda m: m["header"] == h), lambda m: m["at"])
+        last = F.array_max(mine)
+        end = F.coalesce(F.array_min(F.transform(F.filter(found, lambda m: m["at"] > last), lambda m: m["at"])), F.size(rows))
+        return F.struct(F.array_min(mine).alias("first"), F.lit(h).alias("header"), strip(F.array_join(F.slice(rows, last + 2, end - last - 1), "\n")).alias("body"))
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array_append(F.coalesce(F.element_at(acc["body"], acc["now"]), _none()), x["line"])
-        opened = F.struct(x["header"].alias("now"), put(acc["body"], x["header"], _none()).alias("body"))
-        grown = F.struct(acc["now"].alias("now"), put(acc["body"], acc["now"], more).alias("body"))
-        return F.when(x["header"].isNotNull(), opened).when(acc["now"].isNotNull(), grown).otherwise(acc)
+    def build(rows: Column, found: Column) -> Column:
+        each = F.array_sort(F.filter(F.array(*[body(rows, found, h) for h in headers]), lambda s: s["first"].isNotNull()))
+        return F.map_from_entries(F.transform(each, lambda s: F.struct(s["header"], s["body"])))
 
-    return F.aggregate(tagged, start, step, lambda acc: F.transform_values(acc["body"], lambda _, v: strip(F.array_join(v, "\n"))))
+    return let(lines(text), lambda rows: let(marks(rows), lambda found: build(rows, found)))
 
 
 def section(sections: Column, header: str) -> Column:
@@ -59,7 +63,10 @@ def _bare(line: Column) -> Column:
     return F.replace(strip(F.regexp_replace(strip(line), r"^[-•*]+", "")), F.lit("**"), F.lit(""))
 
 
+# How a plan writes a replacement: with an arrow, in a table's columns, or in prose.
 _ARROW = r"^(.+?)\s*(?:->|→)\s*(.+?)(?:\s*:\s*(.+)|\s+\((.+)\))?$"
+_OLD, _NEW = "(?i)original|ingredient", "(?i)substitut|replacement|swap"
+_PROSE = r"(?i)replaced?\s+([^,;\n]+?)\s+with\s+([^,;\n.]+)"
 
 
 def arrow_pairs(text: Column) -> Column:
@@ -74,8 +81,7 @@ def table_pairs(text: Column) -> Column:
     first line that is no table row."""
     cells = F.transform(lines(text), lambda l: F.when(F.contains(l, F.lit("|")), F.transform(F.split(l, r"\|"), lambda c: F.replace(strip(c), F.lit("**"), F.lit("")))))
     place = lambda row, pattern: F.array_max(F.transform(row, lambda c, i: F.when(F.rlike(c, F.lit(pattern)), i).otherwise(-1)))
-    old, new = "(?i)original|ingredient", "(?i)substitut|replacement|swap"
-    heads = F.transform(cells, lambda row, i: F.struct(i.alias("at"), place(row, old).alias("old"), place(row, new).alias("new")))
+    heads = F.transform(cells, lambda row, i: F.struct(i.alias("at"), place(row, _OLD).alias("old"), place(row, _NEW).alias("new")))
     head = F.try_element_at(F.filter(heads, lambda h: (h["old"] >= 0) & (h["new"] >= 0)), F.lit(1))
     end = F.array_min(F.transform(cells, lambda row, i: F.when(row.isNull() & (i >= head["at"] + 2), i).otherwise(F.size(cells))))
     body = F.filter(cells, lambda row, i: (i >= head["at"] + 2) & (i < end))
@@ -84,9 +90,6 @@ def table_pairs(text: Column) -> Column:
     return F.when(head.isNotNull(), good).otherwise(F.array().cast(PAIR))
 
 
-_PROSE = r"(?i)replaced?\s+([^,;\n]+?)\s+with\s+([^,;\n.]+)"
-
-
 def prose_pairs(text: Column) -> Column:
     """``replace X with Y``; leading letters of "the " go from X, as a set of characters."""
     plain = F.replace(text, F.lit("**"), F.lit(""))
@@ -113,12 +116,14 @@ def step_list(text: Column) -> Column:
 
 def parse(text: Column) -> Column:
     """struct<plan, ingredients_text, steps_text, notes, check, pairs, ingredients, steps, found> of a response."""
-    got = split_sections(text)
-    plan, items, steps, notes, check = (section(got, h) for h in HEADERS)
-    return F.struct(
-        plan.alias("plan"), items.alias("ingredients_text"), steps.alias("steps_text"), notes.alias("notes"), check.alias("check"),
-        pairs(plan).alias("pairs"), ingredient_list(items).alias("ingredients"), step_list(steps).alias("steps"), F.map_keys(got).alias("found"),
-    )
+    def build(got: Column) -> Column:
+        plan, items, steps, notes, check = (section(got, h) for h in HEADERS)
+        return F.struct(
+            plan.alias("plan"), items.alias("ingredients_text"), steps.alias("steps_text"), notes.alias("notes"), check.alias("check"),
+            pairs(plan).alias("pairs"), ingredient_list(items).alias("ingredients"), step_list(steps).alias("steps"), F.map_keys(got).alias("found"),
+        )
+
+    return let(split_sections(text), build)
 
 
 # --- the evaluation's own, stricter reading ------------------------------------------------------------------------

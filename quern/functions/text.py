@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often it stands in it (inside lambdas too)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode's) at either end; F.trim takes off U+0020 alone."""
@@ -181,8 +187,65 @@ def first_present(text: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[F.get_json_object(text, p) for p in paths])
 
 
+def _found(value, key: str):
+    """The value of ``key`` in nested maps and lists: of the outermost map first, then the first in order that is not null."""
+    if isinstance(value, dict):
+        if key in value:
+            return value[key]
+        value = list(value.values())
+    for v in value if isinstance(value, list) else ():
+        if (got := _found(v, key)) is not None:
+            return got
+    return None
+
+
+def find_key(text: Column, keys: Sequence[str]) -> Column:
+    """The first of ``keys`` that JSON text has, as JSON text: a dotted key is a path from the root, any other is looked for
+    at the top and then at all depths. For small documents such as reports: Python walks them, in Arrow batches."""
+    keys = list(keys)
+
+    @F.pandas_udf("string")
+    def search(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                root = json.loads(t)
+            except (TypeError, ValueError):
+                return None
+            for key in keys:
+                value = root if isinstance(root, dict) else None
+                if "." in key:
+                    for part in key.split("."):
+                        value = value.get(part) if isinstance(value, dict) else None
+                else:
+                    value = _found(root, key)
+                if value is not None:
+                    return json.dumps(value)
+            return None
+
+        return texts.map(one).astype("object")
+
+    return search(text)
+
+
+def plain(c: Column) -> Column:
+    """JSON text of a string without its quotes; other JSON text as it is."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "string"), c)
+
+
 def truthy(c: Column) -> Column:
-    return F.coalesce(F.lower(strip(c)).isin("1", "true", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin("1", "true", "yes", "y", "on"), F.lit(False))
+
+
+def has_anchor(listed: Column, single: Column) -> Column:
+    """Whether a row names what to keep: a list that is not empty, or where there is no list a text that is not blank."""
+    return F.when(listed.isNotNull(), F.size(listed) > 0).otherwise(F.coalesce(strip(single) != "", F.lit(False)))
+
+
+def model_name(document: Column) -> Column:
+    """The fine-tuned model that a manifest names: only a string under a map counts, and not a blank one."""
+    v = F.try_parse_json(document)
+    at = F.try_variant_get(v, "$.job.fine_tuned_model", "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", blank(strip(F.try_variant_get(v, "$.job.fine_tuned_model", "string"))))
 
 
 def reply_text(text: Column) -> Column:
@@ -201,23 +264,39 @@ def cache_key(**fields: Column) -> Column:
 # --- formatting ---------------------------------------------------------------------------------------------------
 
 
-def show_float(c: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("n/a"))
+# How reports write what is missing.
+MISSING = "N/A"
+
+
+def shown(form: str, c: Column) -> Column:
+    """A number in a printf form (format_string alone writes ``null`` for none)."""
+    return F.when(c.isNotNull(), F.format_string(form, c.cast("double"))).otherwise(MISSING)
+
+
+def show_float(c: Column, digits: int = 3) -> Column:
+    return shown(f"%.{digits}f", c)
 
 
 def show_delta(c: Column) -> Column:
-    """A share's change in percentage points, with its sign."""
-    return F.coalesce(F.format_string("%+.1f%%", c.cast("double") * 100), F.lit("n/a"))
+    """A share's change in per cent, with its sign."""
+    return shown("%+.2f%%", c.cast("double") * 100)
+
+
+def show_score_delta(c: Column) -> Column:
+    return shown("%+.3f", c)
 
 
 def show_money(c: Column) -> Column:
-    return F.coalesce(F.format_string("$%.4f", c.cast("double")), F.lit("n/a"))
+    return shown("$%.6f", c)
 
 
 def show_flag(c: Column) -> Column:
-    return F.when(c, "yes").when(~c, "no").otherwise("n/a")
+    return F.when(F.coalesce(c, F.lit(False)), "YES").otherwise("NO")
 
 
-def show_time(c: Column, zone: str = "Asia/Tokyo") -> Column:
-    """An ISO time in UTC as local time of ``zone``."""
-    return F.date_format(F.from_utc_timestamp(c.try_cast("timestamp"), zone), "yyyy-MM-dd HH:mm:ss")
+def show_time(c: Column, zone: str = "Asia/Tokyo", name: str = "JST") -> Column:
+    """An ISO time (UTC where it names no zone) as local time of ``zone`` (in a session whose zone is UTC); other text as it
+    is; ``MISSING`` where there is none."""
+    at = F.when(F.rlike(c, F.lit(r"^\s*\d{4}-\d\d-\d\d")), strip(c)).try_cast("timestamp")
+    local = F.concat(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm:ss"), F.lit(" " + name))
+    return F.coalesce(local, blank(strip(c)), F.lit(MISSING))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import shown
+
 
 def count_by(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
@@ -71,7 +73,7 @@ def gate(one: DataFrame, checks: tuple[Check, ...] = GATE) -> DataFrame:
 def gate_report(one: DataFrame, checks: tuple[Check, ...] = GATE) -> DataFrame:
     """gate_passed, failures: one row."""
     got = gate(one, checks)
-    line = F.concat(F.col("metric"), F.lit(": "), F.coalesce(F.format_string("%.4f", "value"), F.lit("none")), F.lit(" not "), F.col("op"), F.lit(" "), F.format_string("%.4f", "threshold"))
+    line = F.concat(F.col("metric"), F.lit(": "), shown("%.4f", F.col("value")), F.lit(" not "), F.col("op"), F.lit(" "), F.format_string("%.4f", "threshold"))
     return got.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("gate_passed"), F.array_sort(F.collect_list(F.when(~F.col("passed"), line))).alias("failures"))
 
 

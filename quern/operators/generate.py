@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import judge_messages
+from ..functions.text import json_object, optional_float
+
 #: Takes a list of (system, user, max_tokens), returns texts or raises.
 Provider = Callable[[list[tuple[str, str, int]]], list[str]]
 
-RETRYABLE = ("429", "rate limit", "timeout", "timed out", "temporarily", "502", "503", "504", "connection")
+# Parts of messages of errors that are worth another try.
+RETRYABLE = ("502", "503", "504", "429", "bad gateway", "service unavailable", "gateway timeout", "rate limit", "too many requests", "connection", "timeout", "reset")
 
 
 def mock(requests: list[tuple[str, str, int]]) -> list[str]:
@@ -58,13 +62,23 @@ def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32) -> Dat
     return df.mapInPandas(run, out)
 
 
-JUDGE_MOCK = '{"compliance": 7, "flavor_fidelity": 7, "dish_identity_preservation": 7, "explanation_quality": 7, "overall_score": 7, "verdict": "dry run"}'
+# The reply of a judge in a dry run.
+JUDGE_MOCK = '{"compliance": 7, "flavor_fidelity": 7, "dish_identity_preservation": 7, "explanation_quality": 7, "overall_score": 7.0, "verdict": "PASS", "notes": "dry_run mock judge output"}'
 
 
 def judge_mock(requests: list[tuple[str, str, int]]) -> list[str]:
     return [JUDGE_MOCK for _ in requests]
 
 
+def judged(rows: DataFrame, provider: Provider = judge_mock, batch: int = 32, max_tokens: int = 512) -> DataFrame:
+    """``rows`` (restrictions, user_text, output_text and others) with ``judge``: the overall score that the judge's reply
+    has (a number or numeric text), and ``judge_reply``, its JSON; null where there is none."""
+    asked = judge_messages(F.col("restrictions"), F.col("user_text"), F.col("output_text"))
+    todo = rows.withColumn("_m", asked).select(*rows.columns, F.col("_m")[0]["content"].alias("system"), F.col("_m")[1]["content"].alias("user"), F.lit(max_tokens).alias("max_tokens"))
+    done = call_model(todo, provider, batch).withColumn("judge_reply", json_object(F.col("output")))
+    return done.withColumn("judge", optional_float(F.col("judge_reply"), "$.overall_score")).drop("system", "user", "max_tokens", "output", "error")
+
+
 def scored_output(output, error):
     """What an endpoint's row is scored on: its output, or a note of its error."""
     return F.coalesce(output, F.concat(F.lit("[space_error] "), error))

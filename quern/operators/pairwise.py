@@ -13,13 +13,17 @@ class DuplicateIds(ValueError):
     """An id that should stand for one row is missing or stands for several."""
 
 
+def bad_ids(rows: DataFrame, key: str = "row_id") -> DataFrame:
+    """The trimmed ids that are blank, missing or stand for several rows, with how many rows have them (``n``)."""
+    named = rows.groupBy(strip(F.col(key).cast("string")).alias(key)).agg(F.count("*").alias("n"))
+    return named.where((F.col("n") > 1) | F.col(key).isNull() | (F.col(key) == ""))
+
+
 def require_unique(rows: DataFrame, key: str = "row_id") -> DataFrame:
     """``rows`` with trimmed ids; raises where one is blank or repeated."""
-    named = rows.withColumn(key, strip(F.col(key).cast("string")))
-    bad = named.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull() | (F.col(key) == "")).limit(5).collect()
-    if bad:
-        raise DuplicateIds(", ".join(f"{r[key]!r} x {r['count']}" for r in bad))
-    return named
+    if bad := bad_ids(rows, key).limit(5).collect():
+        raise DuplicateIds(", ".join(f"{r[key]!r} x {r['n']}" for r in bad))
+    return rows.withColumn(key, strip(F.col(key).cast("string")))
 
 
 def scored(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import keep
+from ..common import drop, keep
 
 
 def shuffled(key: Column, seed: int | str = 42) -> Column:
@@ -13,20 +13,45 @@ def shuffled(key: Column, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def first_by(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of ``df`` by ``order`` (hexadecimal text, evenly spread, as of :func:`shuffled`) and ``key``.
+
+    Rows are counted by the first four digits (65,536 counts at most meet), which says where the cut falls: whole prefixes
+    below it are a filter, and only the rows of the one prefix that is cut are sorted. ``df`` is read twice, so it should
+    be a table or cheap.
+    """
+    prefix = F.substring(order, 1, 4)
+    left, cut = max(0, n), None
+    for r in df.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        if r["n"] >= left:
+            cut = r["p"]
+            break
+        left -= r["n"]
+    if cut is None:
+        return df if left else df.limit(0)
+    return df.where(prefix < cut).unionAll(df.where(prefix == cut).orderBy(order, key).limit(left))
+
+
 def quota_select(candidates: DataFrame, quotas: dict[str, int], seed: int = 42) -> DataFrame:
     """``candidates`` (id, constraint) with each id once: constraints in the order of ``quotas`` take up to their number
     of ids that none before has taken, in shuffled order.
 
-    One stage per constraint: an anti-join with what is taken and a top-n, which Spark cuts down in each task before it
-    shuffles. The number of stages is the number of constraints, whatever the data.
+    The pairs are written once with their order, and what each constraint takes is a small table of its own: a
+    constraint's turn reads its pairs and the tables before it, so plans and work grow in proportion to constraints.
     """
+    names = list(quotas)
+    pairs = candidates.where(F.col("constraint").isin(names)).select("id", "constraint").distinct()
+    pairs = keep(pairs.withColumn("_h", shuffled(F.concat("constraint", F.lit(":"), F.col("id").cast("string")), seed)))
     taken = None
-    for constraint, quota in quotas.items():
-        mine = candidates.where(F.col("constraint") == constraint).select("id").distinct()
+    for constraint in names:
+        mine = pairs.where(F.col("constraint") == constraint)
         if taken is not None:
             mine = mine.join(taken.select("id"), "id", "left_anti")
-        got = mine.orderBy(shuffled(F.concat(F.lit(constraint + ":"), F.col("id").cast("string")), seed), "id").limit(max(0, quota)).select("id", F.lit(constraint).alias("constraint"))
+        mine = keep(mine)
+        got = keep(first_by(mine, F.col("_h"), "id", quotas[constraint]).select("id", "constraint"))
+        drop(mine)
         taken = got if taken is None else taken.unionAll(got)
+    drop(pairs)
     return taken if taken is not None else candidates.select("id", "constraint").limit(0)
 
 
@@ -35,7 +60,8 @@ def top_up(candidates: DataFrame, taken: DataFrame, short: int, order: list[str]
     rank = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("constraint"))
     first = candidates.where(rank > 0).groupBy("id").agg(F.min(rank).alias("rank")).join(taken.select("id"), "id", "left_anti")
     named = first.select("id", F.element_at(F.array(*[F.lit(c) for c in order]), F.col("rank").cast("int")).alias("constraint"))
-    return named.orderBy(shuffled(F.concat(F.lit("top-up:"), F.col("id").cast("string")), seed), "id").limit(max(0, short))
+    named = keep(named.withColumn("_h", shuffled(F.concat(F.lit("top-up:"), F.col("id").cast("string")), seed)))
+    return first_by(named, F.col("_h"), "id", short).select("id", "constraint")
 
 
 def quotas(total: int, shares: dict[str, float]) -> dict[str, int]:

@@ -62,6 +62,9 @@ def first_errors(checked: DataFrame, n: int = 20) -> DataFrame:
 
 
 def preflight(stats: DataFrame, sizes: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
-    """``stats`` joined to ``sizes`` (path, bytes), with ``passed``: no errors, some records, not too large."""
+    """``sizes`` (path, bytes; all files there are) with their ``stats`` (none: an empty file), and ``passed``: no errors,
+    some records, not too large."""
+    counts = ["lines", "records", "assistants", "parse_errors", "schema_errors"]
+    rows = sizes.select("path", "bytes").join(stats, "path", "left").select("path", "bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
     good = (F.col("parse_errors") == 0) & (F.col("schema_errors") == 0) & (F.col("records") > 0) & (F.col("bytes") <= most_bytes)
-    return stats.join(sizes, "path").withColumn("passed", good)
+    return rows.withColumn("passed", good)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keep
 from .functions import hashing, lexicon, messages, prompts, scoring, sections, text
 from .operators import audit, decide, evals, pairwise, select, validate
 
@@ -278,8 +279,7 @@ _QUOTAS = _quota_sql()
 
 @_query(f"""WITH {_PAIRS} {_QUOTAS} SELECT id, con AS "constraint" FROM taken""")
 def quota_select(spark, sf_dir):
-    # every stage of the selection reads the pairs: scanned once, kept in memory and on disk, recomputed where lost
-    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint").persist()
+    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint")
     return select.quota_select(found, select.quotas(4000, SHARES))
 
 
@@ -287,8 +287,8 @@ def quota_select(spark, sf_dir):
 f AS (SELECT id, arg_min(con, rank) AS con FROM pairs JOIN r USING (con) WHERE id NOT IN (SELECT id FROM taken) GROUP BY id)
 SELECT id, con AS "constraint" FROM f ORDER BY md5('42:top-up:' || id), id LIMIT 500""")
 def quota_topup(spark, sf_dir):
-    # every stage of the selection reads the pairs: scanned once, kept in memory and on disk, recomputed where lost
-    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint").persist()
+    # read by the quotas and by the top-up
+    found = keep(lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint"))
     taken = select.quota_select(found, select.quotas(4000, SHARES))
     return select.top_up(found, taken, 500, list(LEXICON.terms))
 
@@ -407,7 +407,11 @@ def step_change(spark, sf_dir):
 SELECT k, CASE WHEN len(ok) = 0 THEN 1.0 ELSE round_even(len(list_filter(ok, lambda i: list_contains(names2, i))) / len(ok), 4) END::DOUBLE AS relevance FROM x""")
 def relevance(spark, sf_dir):
     plain = scoring.Vocabulary(("cup",), ())
-    return _neighbours(spark, sf_dir).select("k", scoring.relevance(F.col("items"), F.col("items2"), LEXICON, "no_metal", plain).alias("relevance"))
+    wanted, names = scoring.names_of(scoring.allowed(F.col("items"), LEXICON, "no_metal"), plain), scoring.names_of(F.col("items"), plain)
+    # each recipe's names are made once and written; the join then compares arrays
+    rows = keep(_recipes(spark, sf_dir).select(F.col("id").cast("bigint").alias("k"), "items", wanted.alias("wanted"), names.alias("names")))
+    both = rows.select("k", "items", "wanted").join(rows.select((F.col("k") - 1).alias("k"), "names"), "k")
+    return both.select("k", scoring.retained(F.col("items"), F.col("wanted"), F.col("names")).alias("relevance"))
 
 
 @_query(f"""WITH {_NEXT}, x AS (SELECT k, len(list_filter(items2, lambda i: i LIKE '2%')) AS made, n, ({_CHANGED}) AS changed FROM pair)
@@ -454,6 +458,7 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = "E' \\t\\n\\r'"
+_CHATS_SQL = f"WITH c AS (SELECT *, trim(text, {_SPACE}) AS said FROM conversations)"
 
 
 @_query(f"SELECT conv_id, coalesce(string_agg(trim(text, {_SPACE}), chr(10) || chr(10) ORDER BY turn, text) FILTER (role = 'user' AND trim(text, {_SPACE}) <> ''), '') AS user_text FROM conversations GROUP BY conv_id")

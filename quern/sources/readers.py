@@ -52,10 +52,15 @@ def recipes_csv(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 1), value: text lines with their numbers.
 
-    Lines are ordered within a file by Spark's running id, which follows the file's splits; the window is by file.
+    A file of any size is read in blocks. Spark's running id counts within a block; how many lines a file's earlier blocks
+    have is summed over a table of one row per block.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_i"), "value")
-    return raw.select("path", F.row_number().over(Window.partitionBy("path").orderBy("_i")).alias("line"), "value")
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("_i"), "value")
+    blocks = raw.groupBy("at").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("at.path").orderBy("at.block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("at").alias("_at"), "_first", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    return raw.join(blocks, F.col("at") == F.col("_at")).select("at.path", (F.col("_i") - F.col("_first") + F.col("_earlier") + 1).alias("line"), "value")
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str = "strict") -> DataFrame:
@@ -113,5 +118,44 @@ def lexicon(spark: SparkSession, path: str):
     return Lexicon({k: list(v.get("banned", [])) for k, v in d.items() if not k.startswith("_") and isinstance(v, dict)}, list(d.get("_meta", {}).get("known_false_positives", [])))
 
 
+def vocabulary(spark: SparkSession, path: str):
+    """What item names are cleaned of, from a JSON document: ``aliases``, ``prep_adjectives``, ``units_to_strip``."""
+    from ..functions.scoring import Vocabulary
+
+    d = document(spark, path)
+    return Vocabulary(tuple(d.get("units_to_strip", [])), tuple(d.get("prep_adjectives", [])), dict(d.get("aliases", {})))
+
+
+def swap_rules(spark: SparkSession, path: str) -> DataFrame:
+    """rule_id, constraint, term, replacement, rationale: the ``rules`` of a JSON document, a row for each constraint and
+    term of each."""
+    shape = "rules array<struct<rule_id:string,applies_to_constraints:array<string>,match_terms:array<string>,replacement:array<string>,rationale:string>>"
+    rules = spark.read.schema(shape).option("multiLine", True).json(path).select(F.explode("rules").alias("r")).select("r.*")
+    each = rules.withColumn("constraint", F.explode("applies_to_constraints")).withColumn("term", F.explode("match_terms"))
+    return each.select("rule_id", "constraint", "term", "replacement", "rationale")
+
+
+def model_name(spark: SparkSession, path: str) -> str | None:
+    """The fine-tuned model of a manifest; none where there is no manifest or it names none."""
+    from ..functions.text import model_name as named
+
+    d = optional_document(spark, path)
+    return spark.createDataFrame([(json.dumps(d),)], "d string").select(named(F.col("d")).alias("m")).first()["m"]
+
+
+def splits(spark: SparkSession, folder: str, files: dict[str, str], schema: T.StructType | str) -> dict[str, DataFrame]:
+    """A frame for each named split (``{"train": "train.jsonl", ...}``) of a dataset's folder."""
+    return {name: jsonl(spark, f"{folder.rstrip('/')}/{file}", schema, "lenient") for name, file in files.items()}
+
+
+def largest_csv(spark: SparkSession, folder: str, name: str = "recipe") -> str | None:
+    """The path of a folder's largest CSV whose name holds ``name``, else of its largest CSV."""
+    from ..operators.select import largest_file
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    got = largest_file(files, name).first()
+    return got["path"] if got else None
+
+
 def snapshots_schema() -> str:
     return "captured_at string, poll_index int, status string, job_id string, payload string"

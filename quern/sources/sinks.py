@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import MISSING
+
 
 def merge(old: dict, new: dict) -> dict:
     """Maps merge key by key, all the way down; elsewhere the new value wins."""
@@ -66,7 +68,22 @@ def append_latency(df: DataFrame, path: str) -> None:
 
 
 def markdown(title: str, rows: DataFrame, most: int = 1000) -> str:
-    """A small frame as a Markdown table."""
-    names = rows.columns
-    body = ["| " + " | ".join("n/a" if r[c] is None else str(r[c]) for c in names) + " |" for r in rows.limit(most).collect()]
-    return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names), *body, ""])
+    """A small frame as a Markdown table. It is a report: of a larger frame the first ``most`` rows are shown, and a last
+    line says that there are more."""
+    names, got = rows.columns, rows.limit(most + 1).collect()
+    body = ["| " + " | ".join("n/a" if r[c] is None else str(r[c]) for c in names) + " |" for r in got[:most]]
+    more = [f"There are more than these {most} rows."] if len(got) > most else []
+    return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names), *body, *more, ""])
+
+
+def report(title: str, fields: dict[str, list[tuple[str, object]]]) -> str:
+    """A Markdown report: sections of named values; what is missing is ``N/A``, flags are YES or NO."""
+    def shown(v) -> str:
+        if v is None or v == "":
+            return MISSING
+        return ("YES" if v else "NO") if isinstance(v, bool) else json.dumps(v, ensure_ascii=True) if isinstance(v, dict | list) else str(v)
+
+    out = [f"# {title}", ""]
+    for section, rows in fields.items():
+        out += [f"## {section}", "", *[f"- {name}: {shown(v)}" for name, v in rows], ""]
+    return "\n".join(out)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import snapshots_schema
 
-TERMINAL = ("succeeded", "success", "failed", "cancelled", "canceled", "error", "stopped")
+# Statuses after which a job does not change any more (in lower case), and those of them that are good.
+GOOD = ("success", "succeeded")
+TERMINAL = (*GOOD, "failed", "failed_validation", "cancelled", "canceled")
 
 
 def read(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

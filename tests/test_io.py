@@ -84,3 +84,30 @@ def test_snapshot_stream(spark, tmp_path):
     q = snapshots.write(snapshots.transitions(snapshots.read(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted((r.status, r.final) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("running", False), ("succeeded", True)]
+
+
+def test_line_numbers_across_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"a{i}\n" for i in range(1, 3001)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(1, 11)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 3010 and all(r.value[1:] == str(r.line) for r in got)
+
+
+def test_watch_waits_longer_each_time(spark, tmp_path):
+    import argparse
+
+    from quern.plans import commands
+
+    states, waits = iter(["RUNNING", "RUNNING", "SUCCESS"]), []
+    a = argparse.Namespace(interval_seconds=10.0, backoff=2.0, max_interval_seconds=15.0, max_wait_seconds=1000.0, out=str(tmp_path / "log"))
+    assert commands.watch(spark, a, lambda: {"status": next(states), "id": "j"}, waits.append, lambda: 0.0) == 0
+    assert waits == [10.0, 15.0] and spark.read.json(a.out).count() == 3
+
+
+def test_reports_say_what_is_cut(spark):
+    text = sinks.markdown("T", spark.range(5), most=3)
+    assert text.count("\n| ") == 4 and "more than these 3 rows" in text

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,32 @@ def test_quotas_take_each_id_once(spark):
     assert len(more) == 90 and {r.constraint for r in more} == {"a", "b"}
 
 
+def test_quotas_of_ten_constraints(spark):
+    names = [f"c{i}" for i in range(10)]
+    pairs = spark.range(3000).select("id", F.explode(F.array(*[F.when((F.col("id") * (i + 3)) % 7 < 3, n) for i, n in enumerate(names)])).alias("constraint")).where("constraint is not null")
+    got = select.quota_select(pairs, dict.fromkeys(names, 200))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 10 and len(plan) < 10_000
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r.constraint, []).append(r.id)
+    taken, want = set(), set()
+    for n in names:
+        key = lambda i: (hashlib.md5(f"42:{n}:{i}".encode()).hexdigest(), i)  # noqa: B023,E731
+        mine = sorted((i for i in by[n] if i not in taken), key=key)[:200]
+        taken |= set(mine)
+        want |= {(i, n) for i in mine}
+    assert {(r.id, r.constraint) for r in got.collect()} == want
+
+
+def test_first_by(spark):
+    rows = spark.range(2000).withColumn("h", select.shuffled(F.col("id"))).cache()
+    order = [r.id for r in rows.orderBy("h", "id").collect()]
+    for n in (0, -3, 1, 777, 2000, 5000):
+        assert {r.id for r in select.first_by(rows, F.col("h"), "id", n).collect()} == set(order[: max(0, n)])
+    rows.unpersist()
+
+
 def test_until_target(spark):
     rows = spark.range(10).withColumn("kept", F.col("id") % 2 == 1)
     assert sorted(r.id for r in select.until_target(rows, F.col("kept"), 2, F.col("id")).collect()) == [0, 1, 2, 3]
@@ -110,9 +138,13 @@ def test_validate(spark):
 
 
 def test_decisions(spark):
-    doc = '{"metrics": {"constraint_pass_rate": 100, "kept_rows": "1,200", "semantic_completeness_rate": 1, "mean_relevance": 0.6}, "decision": "FAILED"}'
-    got = {r.check: r.status for r in decide.check_report(spark.createDataFrame([(doc,)], "document string")).collect()}
-    assert got == {"decision": "FAIL", "flag": "SKIP", "kept_rows": "PASS", "constraint_pass_rate": "PASS", "semantic_completeness_rate": "PASS", "mean_relevance": "PASS", "parse_ok_rate": "WARN"}
+    doc = '{"deep": [{"mean_relevance_on_kept": 0.6}], "metrics": {"constraint_pass_rate": 100}, "kept_rows": "1,200", "semantic_completeness_pass_rate_on_kept": 1, "template_distribution": {"A": 5, "B": 3, "C": 2}}'
+    got = lambda d: {r.check: r.status for r in decide.check_report(spark.createDataFrame([(d,)], "document string")).collect()}
+    assert got(doc) == {"decision": "SKIP", "flag": "SKIP", "kept_rows": "PASS", "constraint_pass_rate": "PASS", "semantic_completeness": "PASS", "completeness": "FAIL", "mean_relevance": "PASS", "nontriviality": "FAIL", "spot_check": "WARN", "template_a": "PASS", "template_b": "PASS", "template_c": "PASS"}
+    refused = got(doc[:-1] + ', "decision": "Failed"}')
+    assert refused.pop("decision") == "FAIL" and set(refused.values()) == {"SKIP"}
+    # no template at all, and one that is negative
+    assert got("{}")["template_a"] == "FAIL" == got('{"template_distribution": {"A": 5, "B": 3, "C": -2}}')["template_a"]
     one = lambda c, j: spark.createDataFrame([(c, None, j)], "constraint_pass_rate double, judge_average double, judge_average_scored double")
     assert decide.go_or_not(one(0.1, None), one(0.2, None)).first().decision == "GO_5A"
     assert decide.go_or_not(one(None, 9.0), one(None, 9.2)).first().decision == "RUN_5B"
@@ -144,3 +176,10 @@ def test_recipes(spark):
     got = {r.id: r for r in recipes.parse(raw, [("dessert", "Sweet")], [("rich", ["butter"])]).collect()}
     assert got["1"].skip_reason is None and got["1"].cuisine == "Sweet" and got["1"].flavor_notes == ["rich"] and got["1"].rating == 3.0 and got["1"].ingredients == ["1 butter", "2 flour", "milk"]
     assert got["2"].skip_reason == "no_title" and got["3"].skip_reason == "few_ingredients"
+
+
+def test_reason_of_equal_keys_is_the_first(spark):
+    from quern.functions.lexicon import Lexicon, reason
+
+    lex = Lexicon({"v": ["beef"]}, reasons={"v": {"beef": "meat", "clam": "seafood", "stew": "dish"}})
+    assert spark.range(1).select(reason(lex, "v", F.lit("beef and clam stew"))).first()[0] == "meat"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.queries import QUERIES, SQL
+from quern.catalogue import QUERIES, SQL
 
 from compare import check
 
