@@ -1,28 +1,33 @@
 """Embedding near-duplicates by product quantisation.
 
-Vectors of each number of components are searched by themselves, with an index of their own. Coarse centres (k-means) cut
-them into inverted lists; what is left of each vector after its centre is coded by
+Vectors are scaled to length 1 inside Arrow tasks; those that are equal then are one class, searched once, so a group of
+exact copies of any size costs one row. Vectors of each number of components are searched by themselves, with an index of
+their own. Coarse centres (k-means) cut them into inverted lists; what is left of each vector after its centre is coded by
 subspace codebooks. Both are fitted on a bounded sample (``SAMPLE`` vectors of a dimension); every vector is indexed.
 Dimensions of at most ``FEW`` vectors are one list without codes, where all are held against all. A search looks
 a query's distances up in one table per subspace (asymmetric: the query is not coded) and reranks what comes near by the
 exact cosine in double precision.
 
-A query probes the ``PROBES`` lists with the nearest centres (8 found all 616,930 links of 51,282 vectors in 200 lists,
-4 all of them too, 1 99.97 %; recall in 2,500 lists is not measured). A link that only one end's probes find is counted
+A query probes the ``probes`` lists with the nearest centres (8 found all 616,930 links of 51,282 vectors in 200 lists,
+4 all of them too, 1 99.97 %; tests measure recall on neighbours that are hardly within reach, in many small lists). With
+``probes`` None all lists are probed, which is exact. A link that only one end's probes find is counted
 at both: vectors carry their probes and queries their list. Within a probed list nothing is lost: a vector is reranked if its table distance is at most
 the link distance plus its own quantisation error, which the triangle inequality asks for.
 
 Work is dealt in cells: a list of any size is cut into blocks of about ``BLOCK`` vectors and its queries into parts of
 about ``PART`` by hashes of ids, and a task holds a part against a block, so a list that holds a third of all rows is
-many tasks. A task returns a count for each query and a spanning forest of its links, never the pairs.
+many tasks. A vector is sent to its list once for each part, and a query once for each block: as lists grow beyond a block
+(there are one for each 8 vectors of the sample at most), so does what is sent for each vector. A task returns a count for
+each query and a spanning forest of its links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
 vectors of different numbers of components never link; repeated rows of a vec_id are one vector (the
-smallest by its numbers); rows without vec_id link with nothing, have a null component and are kept; other columns play no part.
+smallest by its numbers at length 1); rows without vec_id link with nothing, have a null component and are kept; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,7 @@ LIST = 256  # vectors a list should hold, by which the number of centres grows,
 PROBES = 8
 SUBSPACES, CODES = 8, 64
 ROUNDS = 8
-BLOCK, PART = 2048, 4096
+BLOCK, PART = 16_384, 8_192
 FEW = 2048
 SLACK = 1e-6  # of rounding
 
@@ -81,10 +86,10 @@ class Index:
         error = np.sqrt(sum(((rest[:, c] - b[codes[:, i]]) ** 2).sum(1) for i, (c, b) in enumerate(zip(self.cut, self.book, strict=True))))
         return own, codes, error
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """(queries, probes): the lists with the nearest centres."""
+    def probes(self, x: np.ndarray, most: int | None) -> np.ndarray:
+        """(queries, probes): the lists with the nearest centres, ``most`` or all."""
         near = (self.centre**2).sum(1) / 2 - x @ self.centre.T
-        n = min(PROBES, near.shape[1])
+        n = min(most or near.shape[1], near.shape[1])
         return np.argpartition(near, n - 1, axis=1)[:, :n]
 
     def estimates(self, queries: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
@@ -102,8 +107,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the same ids as all of (a, b), one fewer than ids in each group."""
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links (rows of two ids, the smaller first) that join the same ids as all of (a, b), one fewer than ids in each group."""
+    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
     over = list(range(len(ids)))
 
@@ -118,17 +124,60 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if i != j:
             over[max(i, j)] = min(i, j)
             out.append((int(ids[min(i, j)]), int(ids[max(i, j)])))
-    return out
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+_UNIT = "vec_id long, unit array<double>, d1 long, d2 long"
+
+
+def _scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors of length 1) of the rows of one number of components that can link."""
+    x = _matrix(column)
+    good = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
+    x = x[good]
+    x = x / np.abs(x).max(1, keepdims=True)  # first to about 1, so that no square over- or underflows
+    return good, x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """vec_id, unit (array<double>) of all vectors that can link, one row for a vec_id."""
-    at = F.col("embedding")
-    big = F.array_max(F.transform(at, lambda v: F.abs(v)))  # first to about 1, so that no square over- or underflows
-    good = only(vectors, vec_id="long", embedding="array<double>").where(F.col("vec_id").isNotNull() & (F.size(at) > 0) & F.forall(at, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(at, lambda v: v != 0))
-    scaled = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform(at, lambda v: v / big).alias("embedding"))
-    norm = F.sqrt(F.aggregate(at, F.lit(0.0), lambda s, v: s + v * v))
-    return scaled.withColumn("norm", norm).select("vec_id", F.transform(at, lambda v: v / F.col("norm")).alias("unit"))
+    """_UNIT for all rows that can link: the vector at length 1 and a digest of it, as a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.fill_null(pc.list_value_length(b.column("embedding")), 0).to_numpy(zero_copy_only=False)
+            size = np.where(b.column("vec_id").is_null().to_numpy(zero_copy_only=False), 0, size)
+            for n in np.unique(size[size > 0]):
+                mine = b.filter(pa.array(size == n))
+                # a null component is no number either
+                raw = pa.FixedSizeListArray.from_arrays(pc.fill_null(mine.column("embedding").flatten(), float("nan")), int(n))
+                good, x = _scaled(raw)
+                if len(good):
+                    digest = np.frombuffer(b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x), np.int64).reshape(-1, 2)
+                    at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(n)
+                    yield pa.RecordBatch.from_arrays([mine.column("vec_id").take(pa.array(good)), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel())), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["vec_id", "unit", "d1", "d2"])
+
+    units = keep(only(vectors, vec_id="long", embedding="array<double>").mapInArrow(lean(run), _UNIT))
+    again = units.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    if again.isEmpty():
+        return units
+    # few as a rule: the arrays of repeated ids alone are sorted
+    again = keep(again)
+    first = units.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("unit", "d1", "d2")).alias("x")).select("vec_id", "x.*")
+    out = keep(units.join(again, "vec_id", "left_anti").unionAll(first))
+    drop(units, again)
+    return out
+
+
+def _classes(units: DataFrame) -> DataFrame:
+    """vec_id (the class's smallest), unit, many: a row for each class of equal vectors, as a written table."""
+    n = F.size("unit").alias("size")
+    classes = keep(units.groupBy("d1", "d2", n).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
+    if classes.where("many > 1").isEmpty():
+        drop(classes)
+        return keep(units.select("vec_id", "unit", F.lit(1).cast("long").alias("many")))
+    out = keep(units.select("vec_id", "unit").join(classes.select("rep", "many"), F.col("vec_id") == F.col("rep")).select("vec_id", "unit", "many"))
+    drop(classes)
+    return out
 
 
 def _indices(units: DataFrame, counts: dict[int, int]) -> dict[int, tuple[int, Index | None]]:
@@ -161,36 +210,39 @@ def _search(least: float, index):
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
         error, list_ = right.column("error").to_numpy(), right.column("list")[0].as_py() - first
         home, probed = left.column("home").to_numpy(), _matrix(right.column("probes").combine_chunks())
-        a, b, back = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        mine, theirs = left.column("many").to_numpy(), right.column("many").to_numpy()  # how many vectors each stands for
+        from_query, from_vector = np.zeros(len(q), np.int64), np.zeros(len(v), np.int64)
+        forest = np.zeros((0, 2), np.int64)
         for i in range(0, len(q), 256):
-            some = q[i : i + 256]
-            x, y = np.nonzero(model.estimates(some, list_, codes) <= reach + error + SLACK if model else np.ones((len(some), len(v)), bool))
-            x += i
-            for s in range(0, len(x), 1 << 16):
-                at, to = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-                near = ((q[at] * v[to]).sum(1) >= least) & (qid[at] != vid[to])
-                a.append(qid[at[near]])
-                b.append(vid[to[near]])
-                at, to = at[near], to[near]
-                back.append(vid[to[(probed[to] != home[at, None]).all(1)]])  # these do not look where the query lies
-        a, b = np.concatenate(a), np.concatenate(b)
-        ids, count = np.unique(np.concatenate([a, *back]), return_counts=True)
-        forest = _forest(a, b)
-        return pa.table({"a": [*ids.tolist(), *(x for x, _ in forest)], "b": [*[None] * len(ids), *(y for _, y in forest)], "n": [*count.tolist(), *[0] * len(forest)]}, schema=shape)
+            for j in range(0, len(v), 2048):
+                some, these = slice(i, i + 256), slice(j, j + 2048)
+                x, y = np.nonzero(model.estimates(q[some], list_, codes[these]) <= reach + error[these] + SLACK if model else np.ones((len(q[some]), len(v[these])), bool))
+                for s in range(0, len(x), 1 << 15):
+                    at, to = x[s : s + (1 << 15)] + i, y[s : s + (1 << 15)] + j
+                    near = ((q[at] * v[to]).sum(1) >= least) & (qid[at] != vid[to])
+                    at, to = at[near], to[near]
+                    np.add.at(from_query, at, theirs[to])
+                    blind = (probed[to] != home[at, None]).all(1)  # these do not look where the query lies
+                    np.add.at(from_vector, to[blind], mine[at[blind]])
+                    forest = np.concatenate([forest, np.stack([qid[at], vid[to]], 1)])
+            forest = _forest(forest[:, 0], forest[:, 1])
+        ids, count = np.concatenate([qid, vid]), np.concatenate([from_query, from_vector])
+        ids, count = ids[count > 0], count[count > 0]
+        return pa.table({"a": np.append(ids, forest[:, 0]), "b": pa.array(np.append(np.zeros(len(ids), np.int64), forest[:, 1]), mask=np.arange(len(ids) + len(forest)) < len(ids)), "n": np.append(count, np.zeros(len(forest), np.int64))}, schema=shape)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int | None = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding), linked at cosine ``least``."""
     spark = vectors.sparkSession
     workers(spark)
-    units = keep(_units(vectors))
-    counts = {r["n"]: r["count"] for r in units.groupBy(F.size("unit").alias("n")).count().collect()}
-    all_ = only(vectors, vec_id="long")
+    all_, units = only(vectors, vec_id="long"), _units(vectors)
+    reps = _classes(units)
+    counts = {r["n"]: r["count"] for r in reps.groupBy(F.size("unit").alias("n")).count().collect()}
     if not counts:
         return all_.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    index = spark.sparkContext.broadcast(_indices(units, counts))
+    index = spark.sparkContext.broadcast(_indices(reps, counts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,32 +254,42 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                     b = mine.slice(at, 1024)
                     if model:
                         x = _matrix(b.column("unit"))
-                        (own, codes, error), probes = model.encode(x), model.probes(x)
+                        (own, codes, error), probed = model.encode(x), model.probes(x, probes)
                     else:
-                        own, codes, error, probes = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 1), np.uint8), np.zeros(b.num_rows), np.zeros((b.num_rows, 1), np.int64)
-                    lists = pa.array(list((probes + first).astype(np.int32)), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "unit", "list", "codes", "error", "probes"])
+                        own, codes, error, probed = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 1), np.uint8), np.zeros(b.num_rows), np.zeros((b.num_rows, 1), np.int64)
+                    lists = pa.array(list((probed + first).astype(np.int32)), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), b.column("many"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "unit", "many", "list", "codes", "error", "probes"])
 
     # written, so that both sides of the search read the same lists
-    coded = keep(units.mapInArrow(lean(encode), "vec_id long, unit array<double>, list int, codes binary, error double, probes array<int>"))
-    drop(units)
-    asked = coded.select("vec_id", "unit", F.col("list").alias("home"), F.explode("probes").alias("list"))
+    coded = keep(reps.mapInArrow(lean(encode), "vec_id long, unit array<double>, many long, list int, codes binary, error double, probes array<int>"))
+    drop(reps)
+    asked = coded.select("vec_id", "unit", "many", F.col("list").alias("home"), F.explode("probes").alias("list"))
 
     def shares(df: DataFrame, most: int):
         """In how many shares a row's list is cut; at most as many lists as centres."""
         sizes = df.groupBy("list").count().collect()
         return F.element_at(F.create_map(*[F.lit(int(x)) for r in sizes for x in (r["list"], -(-r["count"] // most))]), F.col("list"))
 
-    blocks, parts = shares(coded, BLOCK), shares(asked, PART)
+    blocks, parts = shares(coded, BLOCK), shares(coded.select(F.explode("probes").alias("list")), PART)
     share = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = asked.withColumn("part", share(parts, 1)).withColumn("block", every(blocks))
     right = coded.where(parts.isNotNull()).withColumn("block", share(blocks, 2)).withColumn("part", every(parts))
     on = ["list", "block", "part"]
     found = keep(left.where("block is not null").groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_search(least, index), "a long, b long, n long"))
+    index.destroy()
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
-    drop(coded)
-    out = all_.join(links.join(comps, "id"), F.col("vec_id") == F.col("id"), "left")
+    named = coded.select(F.col("vec_id").alias("id"), "many").join(links, "id", "left").join(comps, "id", "left")
+    named = keep(named.select("id", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("comp", "id").alias("comp"), "many"))
+    drop(coded, found)
+    if named.where("many > 1").isEmpty():
+        each = named.select("id", "n", "comp")
+    else:  # each vector by its class's smallest
+        size = F.size("unit")
+        reps = units.groupBy("d1", "d2", size.alias("size")).agg(F.min("vec_id").alias("rep"))
+        each = units.select("vec_id", "d1", "d2", size.alias("size")).join(reps, ["d1", "d2", "size"]).select(F.col("vec_id").alias("id"), "rep")
+        each = each.join(named.select(F.col("id").alias("rep"), "n", "comp"), "rep").select("id", "n", "comp")
+    out = all_.join(each, F.col("vec_id") == F.col("id"), "left")
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))

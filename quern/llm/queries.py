@@ -35,6 +35,49 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, _read(spark, sf_dir, "benchmark", item_id="string", text="string")).drop("text")
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM, _SPACED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+#: Windows that two texts share, and runs of them along one alignment, whose length is the longest common stretch.
+SQL["op2_decontaminate"] = f"""
+WITH item AS (SELECT item_id::VARCHAR AS id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM documents),
+size AS (SELECT id, w, least(10, len(w)) AS k FROM item WHERE len(w) > 0),
+item_window AS (SELECT DISTINCT id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM size)),
+doc_window AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM doc, (SELECT DISTINCT k FROM size) WHERE len(w) >= k)),
+met AS (SELECT doc_id, id, k, p FROM doc_window JOIN item_window USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM met) GROUP BY doc_id),
+least_ AS (SELECT min(k) AS m FROM size),
+seed AS (SELECT d.doc_id, i.id, d.p, d.p - i.q AS d FROM
+  (SELECT doc_id, p, array_to_string(w[p:p + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM doc, least_ WHERE doc_id IN (SELECT doc_id FROM hit))) d
+  JOIN (SELECT id, q, array_to_string(w[q:q + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS q FROM item, least_ WHERE len(w) >= m)) i USING (g)),
+run AS (SELECT doc_id, count(*) + (SELECT m FROM least_) - 1 AS n, min(p) AS p FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, id, d ORDER BY p) AS r FROM seed) GROUP BY doc_id, id, d, r),
+best AS (SELECT doc_id, max(n) AS n FROM run GROUP BY doc_id),
+far AS (SELECT doc_id, any_value(best.n) AS n, min(p) AS p FROM run JOIN best USING (doc_id) WHERE run.n = best.n GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated, coalesce(f.n, 0)::BIGINT AS longest, (f.p - 1)::BIGINT AS longest_at
+FROM doc d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN far f USING (doc_id)
+"""
+
+#: From a table ``link`` (a, b), both ways, and ``node`` (id): the smallest id that each reaches.
+_REACH = "reach(id, to_) AS (SELECT id, id FROM node UNION SELECT link.b, to_ FROM reach JOIN link ON link.a = reach.id), comp AS (SELECT id, min(to_) AS c FROM reach GROUP BY id)"
+SQL["op4_minhash"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), []) AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM both_ m JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * m.n >= 80 * (x.n + y.n - m.n)),
+link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), node AS (SELECT DISTINCT a AS id FROM link), {_REACH}
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept FROM doc d LEFT JOIN size s USING (doc_id) LEFT JOIN comp c ON c.id = d.doc_id
+"""
+
+SQL["op1_near_vectors"] = f"""
+WITH RECURSIVE good AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9), node AS (SELECT DISTINCT a AS id FROM link), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(comp.c, vec_id) AS component_id, coalesce(comp.c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN comp ON comp.id = vec_id
+"""
+
+
 @_query
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents", doc_id="long", text="string"), public_tokenizers.path("word_bpe_49k.json"))

@@ -97,6 +97,35 @@ def test_near_vectors_of_all_dimensions(spark, monkeypatch):
     assert sum(n for n, _ in got.values()) % 2 == 0 and all(got[i][0] for i in got if sum(c == got[i][1] for _, c in got.values()) > 1)
 
 
+def test_near_vectors_of_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(pq, "FEW", 20)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 120, 0), rng.normal(size=(60, 8))])
+    x[120:140] = x[0] + 0.05 * rng.normal(size=(20, 8))
+    ids = list(range(180))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")).collect()}
+    assert got == links_of(ids, x) and got[0][0] >= 119
+
+
+@pytest.mark.parametrize("probes", [pq.PROBES, None])
+def test_recall_of_hard_neighbours(spark, monkeypatch, probes):
+    """Pairs whose cosine is hardly over the least one, in lists of few vectors; with all probes nothing is lost."""
+    monkeypatch.setattr(pq, "FEW", 100)
+    monkeypatch.setattr(pq, "LIST", 40)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.93, (1500, 1))
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * other])
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, probes).collect()}
+    want = links_of(list(range(len(x))), x)
+    found = sum(got.values()) / sum(n for n, _ in want.values())
+    assert found >= 0.9 if probes else all(got[i] == n for i, (n, _) in want.items())
+
+
 # --- op2 -----------------------------------------------------------------------------------------------------------
 
 
