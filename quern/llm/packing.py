@@ -2,13 +2,14 @@
 
 Each task packs the documents of its own partition as they come. Whole windows of a long document stand alone; what
 is left of it goes to the fill level that makes the sum of squared counts of partially filled windows least, kept in
-an array of counts by level (ties: the fullest). Token ids are at hand when a window closes, so texts are tokenized
-once and nothing is shuffled. Windows still open at the end of a partition, or when ``MOST_OPEN`` are open (which
-bounds memory), are run together and cut at window length; the very last part is cut into powers of two, which need
-no padding.
+an array of counts by level (ties: the fullest). Texts are tokenized once. Windows still open at the end of a partition, or
+when ``MOST_OPEN`` are open (which bounds memory), are taken apart again: their pieces, with their token ids, meet in
+second streams of about ``STREAM`` tokens, of however many partitions that takes, and are packed by the same rule. Only
+what is still open at the end of a second stream is run together and cut at window length; the very last part is cut into
+powers of two, which need no padding. Column ``run_together`` marks those sequences: their share falls as streams grow.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each by itself; sequence ids are
-unique over partitions (partition number times 2**40, counted on from there); other columns play no part.
+unique (partition number times 2**40, counted on from there; those of second streams over 2**62); other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textnum
-from .common import lean, only, workers
+from .common import keep, lean, only, workers
 
 WINDOW = 4096
 END_ID = 2
 MOST_OPEN = 2048
-CACHED_WORDS = 300_000
+STREAM = 1 << 24
+CACHED_WORDS = 200_000
+SLICE = 1 << 20
 
 _LETTERS = "a-zß-öø-ÿ"
 _SPACE = " \\t\\n\\r\\x0b\\x0c"
@@ -58,8 +62,13 @@ class _Places(dict):
         return n
 
 
+#: Texts by which a tokenizer shows whether pieces can be tokenized by themselves.
+_SHOWN = ("Hello, World's caf\u00e9 12.5 don't re-use A.B x_1", "a  b\n\tc UPPER Lower\u00c0 \u00fcber-\u00e9t\u00e9!?", " lead and trail ", "#x @y 'quoted' it's \"so\"")
+
+
 class Ids:
-    """Token ids of texts, by a bounded cache of their pieces' ids."""
+    """Token ids of texts, by a bounded cache of their pieces' ids. A tokenizer whose ids are not those of its texts'
+    pieces strung together (one that keeps case or white space, say) gets whole texts."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,6 +77,9 @@ class Ids:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
+        self.whole = False
+        with_pieces = [x.tolist() for x in self.of(list(_SHOWN))]
+        self.whole = with_pieces != [self.tokenizer.encode(t, add_special_tokens=False).ids for t in _SHOWN]
 
     def _clear(self) -> None:
         self.place = _Places()
@@ -81,7 +93,7 @@ class Ids:
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         if words := [new[i] for i in order[: plain.sum()]]:
             e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            size[: len(words)] = np.bincount(np.array(e.word_ids), minlength=len(words))
+            size[: len(words)] = np.bincount(np.array([w for w in e.word_ids if w is not None], np.int64), minlength=len(words))[: len(words)]
             ids[0] = np.array(e.ids, self.kind)
         if rest := [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in order[len(words) :]], add_special_tokens=False)]:
             size[len(words) :] = [len(x) for x in rest]
@@ -92,6 +104,8 @@ class Ids:
         self.table = np.concatenate([self.table, *ids])
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.place) > self.most:
             self._clear()
         known = len(self.place)
@@ -142,10 +156,11 @@ class Packer:
         best = used[len(used) - 1 - int(np.argmin(cost[used][::-1]))]
         return int(best) if cost[best] <= 2 * self.count[size] + 1 else 0
 
-    def put(self, document, ids: np.ndarray) -> Iterator[tuple[int, list]]:
+    def put(self, document, ids: np.ndarray, start: int = 0) -> Iterator[tuple[int, list]]:
+        """Take a document's ids, of which ``start`` come before these."""
         whole = len(ids) // self.window * self.window
         for at in range(0, whole, self.window):
-            yield self._done([(document, at, ids[at : at + self.window])])
+            yield self._done([(document, start + at, ids[at : at + self.window])])
         rest = ids[whole:]
         if not len(rest):
             return
@@ -155,7 +170,7 @@ class Packer:
             pieces = self.open[level].pop()
             self.count[level] -= 1
             self.n_open -= 1
-        pieces.append((document, whole, rest.copy()))
+        pieces.append((document, start + whole, rest.copy()))
         level += len(rest)
         if level == self.window:
             yield self._done(pieces)
@@ -163,8 +178,17 @@ class Packer:
         self.open.setdefault(level, []).append(pieces)
         self.count[level] += 1
         self.n_open += 1
-        if self.n_open > self.most_open:
-            yield from self.merge(False)
+
+    @property
+    def full(self) -> bool:
+        return self.n_open > self.most_open
+
+    def take_apart(self) -> list:
+        """The pieces of all open windows, which are gone then."""
+        pieces = [p for level in sorted(self.open) for w in self.open[level] for p in w]
+        self.open, self.n_open = {}, 0
+        self.count[:] = 0
+        return pieces
 
     def merge(self, last: bool) -> Iterator[tuple[int, list]]:
         """Run the open windows together, fullest first, and cut at window length."""
@@ -196,7 +220,38 @@ class Packer:
         yield from self.merge(True)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, run_together boolean"
+#: Pieces of a first stream; those without a sequence wait for a second one, in the order of part and place.
+_INNER = PIECES + ", ids array<int>, part int, place long"
+_KINDS = [pa.int64()] * 7 + [pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+_NAMES = [x.split()[0] for x in _INNER.split(", ")]
+
+
+class _Rows:
+    """Rows of _INNER, handed on in batches; ids only where they are asked for or waiting."""
+
+    def __init__(self, ids: bool, base: int, part: int):
+        self.ids, self.base, self.part, self.rows, self.place, self.held = ids, base, part, [], 0, 0
+
+    def closed(self, windows: Iterator[tuple[int, list]], together: bool = False) -> None:
+        for number, pieces in windows:
+            offset = 0
+            for (doc, total), start, ids in pieces:
+                row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.base + number, offset, together)
+                self.rows.append((*row, ids.astype(np.int32) if self.ids else None, None, None))
+                self.held += len(ids) if self.ids else 8
+                offset += len(ids)
+
+    def waiting(self, pieces: list) -> None:
+        for (doc, total), start, ids in pieces:
+            self.rows.append((doc, start, len(ids), None, total, None, None, None, ids.astype(np.int32), self.part, self.place))
+            self.place += 1
+            self.held += len(ids)
+
+    def batches(self, least: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+        if self.rows and self.held >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
+            self.rows, self.held = [], 0
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -207,45 +262,45 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
     workers(docs.sparkSession)
-    schema = PIECES + ", ids array<int>" * ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, base = _ids(tokenizer), Packer(window), TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
-
-        def made(closed) -> None:
-            for number, pieces in closed:
-                offset = 0
-                for (doc, total), start, part in pieces:
-                    row = (doc, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), total, base + number, offset)
-                    rows.append((*row, part.astype(np.int32)) if ids else row)
-                    offset += len(part)
-
-        def batch() -> pa.RecordBatch:
-            names = [x.split()[0] for x in schema.split(", ")]
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * ids
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-            rows.clear()
-            return out
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        tokens, packer, rows = _ids(tokenizer), Packer(window), _Rows(ids, part << 40, part)
         for whole in batches:
-            for b in textnum.slices(whole, "text"):
+            for b in textnum.slices(whole, "text", SLICE):
                 found = tokens.of(b.column("text").to_pylist())
                 for doc, got in zip(b.column("doc_id").to_pylist(), found, strict=True):
                     got = np.append(got, got.dtype.type(end_id))
-                    made(packer.put((doc, len(got)), got))
-                if len(rows) > 5000 or ids and rows:
-                    yield batch()
-        made(packer.close())
-        if rows:
-            yield batch()
-
-    return only(docs, doc_id="long", text="string").mapInArrow(lean(run), schema)
+                    rows.closed(packer.put((doc, len(got)), got))
+                    if packer.full:
+                        rows.waiting(packer.take_apart())
+                    yield from rows.batches()
+        rows.waiting(packer.take_apart())
+        yield from rows.batches(0)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, rows = Packer(window), _Rows(ids, (1 << 62) + (TaskContext.get().partitionId() << 40), 0)
+        for whole in batches:
+            lists = whole.column("ids")
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (doc, total, start) in enumerate(zip(*(whole.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start")), strict=True)):
+                rows.closed(packer.put((doc, total), values[at[i] : at[i + 1]], start))
+                if packer.full:
+                    rows.closed(packer.merge(False), True)
+                yield from rows.batches()
+        rows.closed(packer.close(), True)
+        yield from rows.batches(0)
+
+    # written, so that both reads of it see the same pieces
+    packed = keep(only(docs, doc_id="long", text="string").mapInArrow(lean(first), _INNER))
+    waiting = packed.where("sequence_id is null")
+    streams = -(-(waiting.agg(F.sum("length")).first()[0] or 1) // STREAM)
+    again = waiting.repartition(streams).sortWithinPartitions("part", "place").mapInArrow(lean(second), _INNER)
+    names = _NAMES[: 8 + ids]
+    return packed.where("sequence_id is not null").select(*names).unionAll(again.select(*names))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed token sequences, from ``pack(..., ids=True)``; a group is at most one window."""
-    from pyspark.sql import functions as F
-
     parts_ = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts_, lambda p: p["ids"])).alias("ids"))

@@ -453,6 +453,30 @@ def test_pack_odd(spark, odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_open_windows_meet_in_second_streams(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8)
+    share = {}
+    for stream in (100_000, 1 << 24):
+        monkeypatch.setattr(packing, "STREAM", stream)
+        out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True).cache()
+        whole = {r.sequence_id: (r.n, r.t) for r in out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.first("run_together").alias("t")).collect()}
+        share[stream] = sum(t for _, t in whole.values()) / len(whole)
+        assert all(n == 4096 or t and n & (n - 1) == 0 for n, t in whole.values())
+        got = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"), F.min("doc_tokens").alias("k")).where("n <> m or n <> k")
+        assert got.isEmpty() and out.where("size(ids) <> length").isEmpty()
+        out.unpersist()
+    assert share[1 << 24] < share[100_000]
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(__import__("os").listdir("/opt/tokenizers")) if n.endswith(".json")])
+def test_ids_of_any_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    path, texts = f"/opt/tokenizers/{name}", ["Hello World's  x\n\ty", "Straße ÀÉ 12.5", "", None, "a" * 300, "<|x|> é\u0301"]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.Ids(path).of(texts)] == want
+
+
 # --- op8 -----------------------------------------------------------------------------------------------------------
 
 
