@@ -3,7 +3,8 @@
 Words (runs of letters, lower-cased) are labelled with languages. A word's features are its prefixes and suffixes (the
 n-grams that touch its border), its inner n-grams of one to four letters, and the whole word, which is the lexicon:
 each is a row of weights in a table of ``BUCKETS`` rows, learned together with the transitions between languages. Labels'
-posteriors come from forward-backward over runs of ``STEPS`` words; a text's language is the one with the largest sum of
+posteriors come from forward-backward over the whole text, however long, as one chain (training takes sequences of ``STEPS``
+words); :func:`label_words` gives each word's. A text's language is the one with the largest sum of
 posteriors over all its words, its score that sum's share. How ``sure`` a text's words are is the mean over them of each
 one's largest posterior, so a text that switches between any number of languages is as sure as its words.
 
@@ -143,25 +144,43 @@ def _potentials(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(-1, keepdims=True))
 
 
-def posteriors(f: Features, model: Model) -> np.ndarray:
-    """(words, labels) for all words of the texts, each text in runs of STEPS words."""
-    count = np.diff(f.at)
-    runs = -(-count // STEPS)
-    text = np.repeat(np.arange(len(count)), runs)
-    first = f.at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)) * STEPS
-    length = np.minimum(f.at[1:][text] - first, STEPS)
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    e = _potentials(emissions(f, model.weights))
-    place = first[:, None] + np.arange(STEPS)
-    inside = np.arange(STEPS) < length[:, None]
-    padded = np.append(e, np.ones((1, e.shape[1])), axis=0)
-    marginal = forward_backward(padded[np.where(inside, place, len(e))], length, model.start, model.change)[0]
-    out = np.zeros_like(e)
-    out[place[inside]] = marginal[inside]
+def chains(e: np.ndarray, count: np.ndarray, start: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Posteriors (words, labels) of chains of ``count`` words each, one behind the other in ``e`` (potentials).
+
+    All chains go on together, a word at a time, from the longest one down; nothing is padded.
+    """
+    if not len(e):
+        return np.zeros_like(e)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(count), np.int64)
+    rank[order] = np.arange(len(count))
+    chain = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(e)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.lexsort((rank[chain], step))  # by step, then from the longest chain on
+    e = e[place]
+    live = np.bincount(step)
+    at = np.append(0, np.cumsum(live))
+    move, forward, backward = np.exp(change), np.empty_like(e), np.ones_like(e)
+    now = np.exp(start) * e[: live[0]]
+    for t, m in enumerate(live):
+        if t:
+            now = (forward[at[t - 1] : at[t - 1] + m] @ move) * e[at[t] : at[t] + m]
+        forward[at[t] : at[t] + m] = now / now.sum(1, keepdims=True)
+    for t in range(len(live) - 1, 0, -1):
+        m = live[t]
+        right = (e[at[t] : at[t] + m] * backward[at[t] : at[t] + m]) @ move.T
+        backward[at[t - 1] : at[t - 1] + m] = right / right.sum(1, keepdims=True)
+    both = forward * backward
+    out = np.empty_like(both)
+    out[place] = both / both.sum(1, keepdims=True)
     return out
 
 
+def posteriors(f: Features, model: Model) -> np.ndarray:
+    """(words, labels) for all words of the texts, each text one chain."""
+    return chains(_potentials(emissions(f, model.weights)), np.diff(f.at), model.start, model.change)
+
+
 def _sequences(texts: list[str], label: np.ndarray, n: int, seed: int) -> tuple[Features, np.ndarray, np.ndarray]:
     """Features, and word places and labels of spliced sequences: one to three stretches of different documents."""
     f = Features(texts)
@@ -291,6 +310,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lean(run), out)
 
 
+_WORD = "struct<start:int,end:int,lang:string,p:double>"
+
+
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, words: of each word of each row of ``docs`` (doc_id, text) in order where it starts and ends (code points,
+    end exclusive), its language and that one's posterior; null texts have no words."""
+    workers(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("p", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for b in textnum.slices(whole, "text", SLICE):
+                texts = b.column("text").to_pylist()
+                f = Features(texts)
+                each = posteriors(f, m) if m.labels else np.ones((int(f.at[-1]), 1))
+                best = each.argmax(1)
+                begin = np.cumsum([0, *(len(t or "") + 1 for t in texts)])[:-1]
+                shift = np.repeat(begin, np.diff(f.at)) + 1
+                lang = np.array(m.labels or [UNKNOWN], object)[best]
+                words = pa.StructArray.from_arrays([pa.array((f.first - shift).astype(np.int32)), pa.array((f.last - shift).astype(np.int32)), pa.array(lang, pa.string()), pa.array(each[np.arange(len(best)), best])], ["start", "end", "lang", "p"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(f.at.astype(np.int32)), words).cast(kind)], names=["doc_id", "words"])
+
+    return only(docs, doc_id="long", text="string").mapInArrow(lean(run), f"doc_id long, words array<{_WORD}>")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang)."""
     docs = only(docs, doc_id="long", text="string", lang="string")

@@ -593,6 +593,62 @@ def test_forward_backward():
     assert np.allclose(expected, moves)
 
 
+def test_chains_of_any_length_are_whole():
+    rng = np.random.default_rng(5)
+    k, count = 3, np.array([4, 0, 150, 1, 37])
+    start, change = rng.normal(size=k), rng.normal(size=(k, k))
+    e = langid._potentials(rng.normal(size=(int(count.sum()), k)))
+    got, at = langid.chains(e, count, start, change), 0
+    for n in count:
+        if n:
+            want = langid.forward_backward(e[None, at : at + n], np.array([n]), start, change)[0][0]
+            assert np.allclose(got[at : at + n], want)
+            at += n
+
+
+def test_words_are_labelled(spark):
+    words = {"x": ["lahon", "lemon", "lasson"], "y": ["grubst", "drabst", "knabst"]}
+    rnd = random.Random(1)
+    say = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    model = langid.fit([say(x, 80) for x in "xy" * 20], list("xy" * 20))
+    text = "1 " + say("x", 100) + ", é " + say("y", 100)
+    rows = {r.doc_id: r.words for r in langid.label_words(spark.createDataFrame([(1, text), (2, None), (3, "12")], "doc_id long, text string"), model).collect()}
+    got = [(text[w.start : w.end], w.lang) for w in rows[1]]
+    assert len(got) == 201 and {w for w, _ in got} <= {*words["x"], *words["y"], "é"} and [x for _, x in got[:100]] == ["x"] * 100 and [x for _, x in got[101:]] == ["y"] * 100
+    assert rows[2] == rows[3] == []
+
+
+def scores_of(texts, model):
+    """lang_pred and score of whole texts by the plain recursions, word by word."""
+    out = []
+    for t in texts:
+        f = langid.Features([t])
+        e = langid.emissions(f, model.weights)
+        if not len(e):
+            out.append(("und", 0.0))
+            continue
+        n, k = e.shape
+        log = lambda v: np.log(np.exp(v - v.max()).sum()) + v.max()
+        a, b = np.zeros((n, k)), np.zeros((n, k))
+        a[0] = model.start + e[0]
+        for i in range(1, n):
+            a[i] = [log(a[i - 1] + model.change[:, j]) + e[i, j] for j in range(k)]
+        for i in range(n - 2, -1, -1):
+            b[i] = [log(model.change[j] + e[i + 1] + b[i + 1]) for j in range(k)]
+        p = np.exp(a + b - log(a[-1]))
+        out.append((model.labels[int(p.sum(0).argmax())], float(p.sum(0).max() / n)))
+    return out
+
+
+def test_language_query_against_plain_recursions(spark):
+    docs = tables(spark, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op9_language"](spark, SF).collect()}
+    want = dict(zip(texts, scores_of(texts.values(), model), strict=True))
+    assert set(got) == set(want) and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
 def test_code_switching():
     words = {"x": ["lahon", "lemon", "lasson"], "y": ["grubst", "drabst", "knabst"]}
     rnd = random.Random(1)
