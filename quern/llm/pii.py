@@ -1,14 +1,17 @@
 """Personal data by weak supervision.
 
 Patterns propose spans: the base patterns (which always count) and looser ones (written-out e-mail addresses, phone
-numbers without a plus sign, base matches that fail their check). Four labelers vote yes, no or not at all on each: the
-pattern itself, a gazetteer (domain endings, address ranges, calling codes, issuer prefixes), the words around, and how the
-span stands in its surroundings. How often each combination of votes occurs is counted over all documents in Spark;
+numbers without a plus sign, keys and passwords, base matches that fail their check). Four labelers vote yes, no or not at all on each: the
+pattern itself, a gazetteer (domain endings, address ranges, calling codes, issuer prefixes, forms of keys), the words around, and how the
+span stands in its surroundings. How often each combination of votes and of a span's shape occurs is counted over all documents in Spark;
 expectation-maximisation on those counts estimates each labeler's reliability by kind, without any labels; and a
-logistic span classifier is trained on the combinations, weighted by the posteriors. A looser span is added where the
-classifier gives it one half at least and no other span overlaps it; a base match that fails its check is never added.
+logistic span classifier on votes, kind and shape (how long a span is, how much of it digits) is trained on the combinations, weighted by the
+posteriors. A looser span is added where the
+classifier gives it one half at least and no other span overlaps it; a base match that fails its check is never added, and
+takes no room from others.
 
-Counts n_* are of base spans; ``spans`` holds base and added ones. Offsets are in code points, ends exclusive.
+Counts n_* are of base spans; ``spans`` holds base and added ones, n_added counts the added, and ``personal`` says whether there
+is any. Offsets are in code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged each by itself; other columns play no
 part; with no candidates at all nothing is added.
@@ -17,7 +20,7 @@ part; with no candidates at all nothing is added.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +31,43 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import drop, keep, lean, numbered, only, workers
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 AROUND = 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DIGIT = re.compile("[0-9]")
+_ALPHA = re.compile("[A-Za-z]")
 # A match of either ends with a whole run of digits, so none can start inside one: the look-behinds change no result
 # and keep long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]{1,63})((?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{1,63}){1,6})", re.I)
-_SPELT_HINT = re.compile(r"[(\[{](?:at|dot)[)\]}]|\sdot\s", re.I)
+#: What no written-out address is without.
+_SPELT_HINT = re.compile(r"[(\[{]at[)\]}]|\sat\s", re.I)
+#: Long runs of key characters, and what stands behind the name of a key or password.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}={0,2}")
+_NAMED = re.compile(r"(?<![A-Za-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])")
 
-# What the gazetteer and the context labeler know.
-ENDINGS = {"com", "org", "net", "edu", "gov", "int", "info", "biz", "io", "co", "uk", "de", "fr", "es", "it", "nl", "eu", "ch", "at", "us", "ca", "au", "jp", "br", "in", "mx"}
+# What the gazetteer and the context labeler know. Domains end in two letters (countries) or in one of
+# ENDINGS; CALLING holds the calling codes of one and two digits, and the first two of those of three.
+ENDINGS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "app", "dev", "cloud", "online", "shop", "site", "store", "tech", "xyz", "club", "email"}
+CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+           "21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99"}
+ISSUERS = re.compile(r"4\d{12,18}$|5[1-5]\d{14}$|2[2-7]\d{14}$|3[47]\d{13}$|3[0689]\d{12}|6(?:011|5|4[4-9])\d|35\d{14}$|62\d{14}")
+RESERVED = re.compile(r"(?:0|10|127|2[2-5]\d)\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.")
+KEY_FORMS = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|xox[bap]-|sk[-_]|pk_|eyJ|AIza)|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")
 CUES = {
     "email": re.compile(r"mail|contact|write|courriel|correo|kontakt", re.I),
     "ip": re.compile(r"\bip\b|server|host|addr|login|client", re.I),
     "card": re.compile(r"card|visa|credit|karte|carte|tarjeta|payment", re.I),
     "phone": re.compile(r"phone|\btel|call|mobile|fax|telefon|m[oó]vil", re.I),
+    "secret": re.compile(r"token|secret|passw|pwd|key|auth|credential|bearer", re.I),
 }
-AGAINST = re.compile(r"version|\bver\b|isbn|issn|order|invoice|\bno\.|\bsection|serial|https?:", re.I)
+AGAINST = re.compile(r"version|\bver\b|isbn|issn|order|invoice|\bno\.|\bsection|serial|https?:|commit|digest|checksum", re.I)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -97,18 +113,26 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, int]]:
     if _SPELT_HINT.search(text):
         for m in _SPELT.finditer(text):
             yield "email", m.start(), m.end(), 1
+    named = {m.span(1) for m in _NAMED.finditer(text)} if "=" in text or ":" in text else set()
+    runs = {m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _ALPHA.search(m[0])}
+    for a, b in named | {(a, b) for a, b in runs if not any(x <= a < y for x, y in named)}:
+        yield "secret", a, b, 1
 
 
 def _gazetteer(kind: str, span: str) -> int:
     digits = re.sub("[^0-9]", "", span)
     if kind == "email":
-        return 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in ENDINGS else -1
-    if kind == "ip":
-        first = int(digits and span.split(".")[0][-3:] or 0)
-        return 1 if 1 <= first <= 223 else -1
-    if kind == "card":
-        return 1 if re.match("4|5[1-5]|2[2-7]|3[47]|6011|65", digits) else -1
-    return 1 if span[0] == "+" and digits[0] != "0" or span[0] != "+" and digits[0] in "23456789" else -1
+        ending = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
+        good = ending in ENDINGS or len(ending) == 2 and ending.isalpha()
+    elif kind == "ip":
+        good = not RESERVED.match(span.lstrip("0") or "0.")
+    elif kind == "card":
+        good = ISSUERS.match(digits)
+    elif kind == "phone":
+        good = digits[:1] in CALLING or digits[:2] in CALLING if span[0] == "+" else digits[:1] in set("23456789")
+    else:
+        good = KEY_FORMS.match(span)
+    return 1 if good else -1
 
 
 def votes(text: str, kind: str, start: int, end: int, source: int) -> tuple[int, int, int, int]:
@@ -116,40 +140,52 @@ def votes(text: str, kind: str, start: int, end: int, source: int) -> tuple[int,
     before = text[max(0, start - AROUND) : start]
     context = 1 if CUES[kind].search(before) else -1 if AGAINST.search(before) else 0
     glued = (start > 0 and text[start - 1].isalnum()) + (end < len(text) and text[end].isalnum())
+    if kind == "secret" and not glued:
+        glued = not re.search(r"[:=]\s{0,3}[\"']?$", before)  # a key is assigned to something
     return (source - 1, _gazetteer(kind, text[start:end]), context, 1 if not glued else -1)
 
 
-def code(kind: str, vote: tuple[int, ...]) -> int:
-    """One small number for a kind and its votes."""
+SHAPES = 4
+
+
+def shape(span: str) -> int:
+    """Two bits: whether a span is long, and whether most of it is digits."""
+    return 2 * (len(span) > 18) + (2 * sum("0" <= c <= "9" for c in span) > len(span))
+
+
+def code(kind: str, vote: tuple[int, ...], shape_: int = 0) -> int:
+    """One small number for a kind, its votes and the span's shape."""
     out = KINDS.index(kind)
     for v in vote:
         out = out * 3 + v + 1
-    return out
+    return out * SHAPES + shape_
 
 
-def decode(number: int) -> tuple[str, tuple[int, ...]]:
+def decode(number: int) -> tuple[str, tuple[int, ...], int]:
+    number, shape_ = divmod(number, SHAPES)
     vote = []
     for _ in range(4):
         vote.append(number % 3 - 1)
         number //= 3
-    return KINDS[number], tuple(reversed(vote))
+    return KINDS[number], tuple(reversed(vote)), shape_
 
 
 def spans(text: str | None) -> list[tuple[int, int, int, int, bool]]:
-    """(start, kind's place, end, code, base) in order; looser spans that overlap another are left out."""
+    """(start, kind's place, end, code, base) in order; looser spans that overlap another are left out. What fails its check
+    can't be added, and so keeps nothing out."""
     if not text:
         return []
-    found = sorted((a, KINDS.index(k), b, code(k, votes(text, k, a, b, s)), s == 2) for k, a, b, s in proposals(text))
-    taken = sorted((a, b) for a, _, b, _, base in found if base)
+    found = sorted((a, KINDS.index(k), b, code(k, votes(text, k, a, b, s), shape(text[a:b])), s) for k, a, b, s in proposals(text))
+    taken = sorted((a, b) for a, _, b, _, s in found if s == 2)
     starts, reach = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     out, end = [], 0
-    for s in found:
-        if not s[4]:
-            i = int(np.searchsorted(starts, s[2]))
-            if i and reach[i - 1] > s[0] or s[0] < end:
+    for a, k, b, c, s in found:
+        if s < 2:
+            i = bisect_left(starts, b)
+            if i and reach[i - 1] > a or s and a < end:
                 continue
-            end = s[2]
-        out.append(s)
+            end = b if s else end
+        out.append((a, k, b, c, s == 2))
     return out
 
 
@@ -184,16 +220,17 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, f
 
 
 def _row(number: int) -> np.ndarray:
-    kind, vote = decode(number)
-    out = np.zeros(len(KINDS) + 8)
+    kind, vote, shape_ = decode(number)
+    out = np.zeros(len(KINDS) * (1 + SHAPES) + 8)
     out[KINDS.index(kind)] = 1
+    out[len(KINDS) + KINDS.index(kind) * SHAPES + shape_] = 1
     for j, v in enumerate(vote):
-        out[len(KINDS) + 2 * j + (v > 0)] = abs(v)
+        out[len(KINDS) * (1 + SHAPES) + 2 * j + (v > 0)] = abs(v)
     return out
 
 
 def classifier(counts: dict[int, int], posterior: dict[int, float], rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression on the votes, each combination twice with its posterior's weights (Newton)."""
+    """Weights of a logistic regression on votes, kind and shape, each combination twice with its posterior's weights (Newton)."""
     x = np.array([_row(n) for n in sorted(counts)])
     weight = np.array([counts[n] for n in sorted(counts)], float)
     target = np.array([posterior[n] for n in sorted(counts)])
@@ -212,7 +249,7 @@ def accepted(counts: dict[int, int]) -> list[int]:
     if not counts:
         return []
     beta = classifier(counts, reliabilities(counts)[0])
-    return [n for n in range(len(KINDS) * 3**4) if decode(n)[1][0] == 0 and _row(n) @ beta >= 0]
+    return [n for n in range(len(KINDS) * 3**4 * SHAPES) if decode(n)[1][0] == 0 and _row(n) @ beta >= 0]
 
 
 _FOUND = "doc_id long, found array<struct<start:int,kind:string,end:int,code:int,base:boolean>>"
@@ -233,7 +270,7 @@ def propose(docs: DataFrame) -> DataFrame:
 
 
 def _counts(found: DataFrame) -> dict[int, int]:
-    """How often each vote combination occurs: at most 324 rows."""
+    """How often each combination of kind, votes and shape occurs: at most 1,620 rows."""
     return {r["code"]: r["count"] for r in found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()}
 
 
@@ -242,16 +279,18 @@ def _number(found, kind: str):
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, personal for each row of ``docs`` (doc_id, text)."""
     found = keep(propose(only(docs, doc_id="long", text="string")))
     good = F.array(*[F.lit(n) for n in accepted(_counts(found))]).cast("array<int>")
     line = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = F.filter("found", lambda s: s["base"])
+    base, added = F.filter("found", lambda s: s["base"]), F.filter("found", lambda s: ~s["base"] & F.array_contains(good, s["code"]))
     return found.select(
         "doc_id",
-        *[_number(base, k).alias(f"n_{k}") for k in KINDS],
+        *[_number(base, k).alias(f"n_{k}") for k in BASE],
         F.sha2(line(base).cast("binary"), 256).alias("base_sha256"),
         line(F.filter("found", lambda s: s["base"] | F.array_contains(good, s["code"]))).alias("spans"),
+        F.size(added).cast("long").alias("n_added"),
+        (F.size(base) + F.size(added) > 0).alias("personal"),
     )
 
 

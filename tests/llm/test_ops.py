@@ -705,6 +705,50 @@ def test_looser_spans_are_learned(spark):
     assert got[100].spans.startswith("email:") and got[101].spans.startswith("phone:") and got[102].spans == "" and got[100].n_email == 0
 
 
+def added_by_hand(texts):
+    """Spans that the method adds: proposals of its own patterns that overlap nothing before, and that EM and the classifier,
+    written out over single spans instead of counts, take."""
+    found = {d: pii.spans(t) for d, t in texts.items()}
+    every = [pii.decode(s[3]) for x in found.values() for s in x]
+    weight, y = {}, {}
+    for kind in pii.KINDS:
+        v = np.array([x[1] for x in every if x[0] == kind])
+        if not len(v):
+            continue
+        p = 1 / (1 + np.exp(-1.5 * v.sum(1)))
+        for _ in range(50):
+            t = {(c, j, k): (1 + 2 * (k == (1 if c else -1)) + ((p if c else 1 - p)[v[:, j] == k]).sum()) for c in (0, 1) for j in range(4) for k in (-1, 0, 1)}
+            t = {(c, j, k): n / sum(t[c, j, m] for m in (-1, 0, 1)) for (c, j, k), n in t.items()}
+            prior = (p.sum() + 1) / (len(p) + 2)
+            odds = np.array([np.log(prior / (1 - prior)) + sum(np.log(t[1, j, r[j]] / t[0, j, r[j]]) for j in range(4)) for r in v])
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        y |= {(kind, tuple(r)): q for r, q in zip(v.tolist(), p, strict=True)}
+    counts = {}
+    for k, v, sh in every:
+        counts[pii.code(k, v, sh)] = counts.get(pii.code(k, v, sh), 0) + 1
+    posterior = {n: y[pii.decode(n)[0], pii.decode(n)[1]] for n in counts}
+    beta = pii.classifier(counts, posterior)
+    good = lambda c: pii.decode(c)[1][0] == 0 and pii._row(c) @ beta >= 0
+    return {d: {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b, c, base in x if not base and good(c)} for d, x in found.items()}
+
+
+def test_added_spans_by_hand(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    want, seen = added_by_hand(texts), 0
+    for r in QUERIES["op10_personal"](spark, "/root/testdata/sf0.01").collect():
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(texts[r.doc_id])}
+        assert {*r.spans.split(",")} - {""} - base == want[r.doc_id] and r.n_added == len(want[r.doc_id]) and r.personal == bool(r.spans)
+        seen += r.n_added
+        keys = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer('token = "([0-9a-f]{40})"', texts[r.doc_id] or "")}
+        assert keys <= {*r.spans.split(","), *[k for k in keys if any(int(b.split(":")[1]) < int(k.split(":")[2]) and int(k.split(":")[1]) < int(b.split(":")[2]) for b in base)]}
+    assert seen > 10
+
+
+def test_failing_matches_take_no_room():
+    kinds = {(pii.KINDS[k], a) for a, k, _, c, _ in pii.spans("4112 555-123-4567 or mail bob at example.com") if pii.decode(c)[1][0] == 0}
+    assert kinds == {("phone", 5), ("email", 26)}
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = np.random.default_rng(0)
     counts = defaultdict(int)
