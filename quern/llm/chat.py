@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,50 +82,48 @@ def ending(state: str) -> tuple[str, ...]:
     return () if state == LAST else (*inserts(state, LAST), LAST)
 
 
-Table = list[list[int]]
+#: Least costs of one turn from each state to each, by its role's place in ROLES (any other role: the last).
+SINGLE = np.array([[[move(s, r, t)[0] for t in STATES] for s in STATES] for r in (*ROLES, None)], np.int64)
 
 
-def product(a: Table, b: Table) -> Table:
-    n = range(len(STATES))
-    return [[min(a[i][k] + b[k][j] for k in n) for j in n] for i in n]
+def codes(roles: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(roles, pa.array(ROLES)), len(ROLES)).to_numpy(zero_copy_only=False)
 
 
-def single(role: str | None) -> Table:
-    return [[move(s, role, t)[0] for t in STATES] for s in STATES]
-
-
-def table(roles: list[str | None]) -> Table:
-    """Least costs of a chunk from each state to each."""
-    out = [[0 if s == t else NEVER for t in STATES] for s in STATES]
-    for r in roles:
-        out = product(out, single(r))
+def products(tables: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(groups, states, states): the (min, +) product of each group's tables, which are those from ``at[i]`` to
+    ``at[i + 1]``. All groups go on together, a table at a time."""
+    length, n = np.diff(at), len(STATES)
+    out = np.where(np.eye(n, dtype=bool), 0, NEVER)[None].repeat(len(length), 0)
+    for t in range(int(length.max(initial=0))):
+        live = np.flatnonzero(length > t)
+        out[live] = np.minimum((out[live][:, :, :, None] + tables[at[live] + t][:, None]).min(2), NEVER)
     return out
 
 
-def path(tables: list[Table], first: int, last: int) -> list[int]:
-    """The states after each table, on a cheapest way from ``first`` to ``last`` (ties: the state that comes first)."""
-    best = [[0 if s == first else NEVER for s in range(len(STATES))]]
-    for t in tables:
-        best.append([min(best[-1][s] + t[s][j] for s in range(len(STATES))) for j in range(len(STATES))])
-    out, now = [], last
-    for i in range(len(tables), 0, -1):
-        out.append(now)
-        now = min(range(len(STATES)), key=lambda s: (best[i - 1][s] + tables[i - 1][s][now], s))
-    return out[::-1]
-
-
-def final(whole: Table) -> int:
-    """The state to end in."""
-    return min(range(1, len(STATES)), key=lambda j: (whole[0][j] + INSERT * len(ending(STATES[j])), j))
-
-
-def _flat(t: Table) -> list[int]:
-    return [x for row in t for x in row]
+def paths(tables: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The state after each table, on a cheapest way of each group from ``first`` to ``last`` (ties: the state that comes
+    first)."""
+    length, groups = np.diff(at), np.arange(len(at) - 1)
+    most = int(length.max(initial=0))
+    best = np.full((most + 1, len(groups), len(STATES)), NEVER)
+    best[0, groups, first] = 0
+    for t in range(most):
+        live = np.flatnonzero(length > t)
+        best[t + 1, live] = np.minimum((best[t, live][:, :, None] + tables[at[live] + t]).min(1), NEVER)
+    now, out = np.array(last), np.zeros(len(tables), np.int64)
+    for t in range(most, 0, -1):
+        live = np.flatnonzero(length >= t)
+        out[at[live] + t - 1] = now[live]
+        into = tables[at[live] + t - 1][np.arange(len(live)), :, now[live]]
+        now[live] = (best[t - 1, live] + into).argmin(1)
+    return out
 
 
-def _square(x: list[int]) -> Table:
-    n = len(STATES)
-    return [x[i * n : (i + 1) * n] for i in range(n)]
+def final(whole: np.ndarray) -> np.ndarray:
+    """The state in which each conversation should end."""
+    after = np.array([0, *(INSERT * len(ending(s)) for s in STATES[1:])])
+    return (whole[:, 0, 1:] + after[1:]).argmin(1) + 1
 
 
 _PLACED = "conv_id long, turn long, role string, text string, slice int, pos long, i long, lead boolean"
@@ -187,12 +186,28 @@ def _tables(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            costs = [_flat(table(r)) for r in b.column("roles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(costs, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
+            roles = b.column("roles")
+            yield _part(b, products(SINGLE[codes(roles.flatten())], _offsets(roles)))
 
     return chunks.mapInArrow(lean(run), _PART)
 
 
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Where each row's entries start in the flattened column, with the end behind."""
+    return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+
+
+def _part(b: pa.RecordBatch, tables: np.ndarray) -> pa.RecordBatch:
+    """_PART of a batch's conv_id and part."""
+    at = np.arange(len(tables) + 1, dtype=np.int32) * np.int32(len(STATES) ** 2)
+    return pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.ListArray.from_arrays(pa.array(at), pa.array(tables.ravel()))], names=["conv_id", "part", "costs"])
+
+
+def _square(parts: pa.Array) -> np.ndarray:
+    """The tables of a column of parts, one behind the other."""
+    return parts.flatten().field("costs").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATES), len(STATES))
+
+
 def _above():
     """The next level's part."""
     return F.expr(f"part div {FAN}")
@@ -206,13 +221,7 @@ def _grouped(parts: DataFrame, more: list[str]) -> DataFrame:
 def _up(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            costs = []
-            for group in b.column("parts").to_pylist():
-                whole = _square(group[0]["costs"])
-                for p in group[1:]:
-                    whole = product(whole, _square(p["costs"]))
-                costs.append(_flat(whole))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(costs, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
+            yield _part(b, products(_square(b.column("parts")), _offsets(b.column("parts"))))
 
     return _grouped(parts, ["costs"]).mapInArrow(lean(run), _PART)
 
@@ -223,8 +232,8 @@ _BORDERS = "conv_id long, part long, first int, last int, head boolean, tail boo
 def _down(parts: DataFrame, borders: DataFrame | None) -> DataFrame:
     """_BORDERS for ``parts``: the states before and after each, and whether it is its conversation's first and last;
     ``borders`` are the next level's (none above the top, where there is one group per conversation)."""
-    groups = _grouped(parts, ["costs"])
-    if borders is None:
+    groups, top = _grouped(parts, ["costs"]), borders is None
+    if top:
         groups = groups.select("conv_id", "parts", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(True).alias("head"), F.lit(True).alias("tail"))
     else:
         up = borders.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "first", "last", "head", "tail")
@@ -232,21 +241,18 @@ def _down(parts: DataFrame, borders: DataFrame | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for g in b.to_pylist():
-                tables = [_square(p["costs"]) for p in g["parts"]]
-                first, last = g["first"], g["last"]
-                if first is None:
-                    whole = tables[0]
-                    for t in tables[1:]:
-                        whole = product(whole, t)
-                    first, last = 0, final(whole)
-                before = first
-                for i, (p, after) in enumerate(zip(g["parts"], path(tables, first, last), strict=True)):
-                    rows.append((g["conv_id"], p["part"], before, after, g["head"] and i == 0, g["tail"] and i == len(tables) - 1))
-                    before = after
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "part", "first", "last", "head", "tail"])
+            tables, at = _square(b.column("parts")), _offsets(b.column("parts"))
+            if top:
+                first, last = np.zeros(len(at) - 1, np.int64), final(products(tables, at))
+            else:
+                first, last = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+            after, owner = paths(tables, at, first, last), np.repeat(np.arange(len(at) - 1), np.diff(at))
+            lead, end = np.zeros(len(after), bool), np.zeros(len(after), bool)
+            lead[at[:-1]], end[at[1:] - 1] = True, True
+            before = np.where(lead, first[owner], np.append(0, after[:-1]))
+            flag = lambda c: b.column(c).to_numpy(zero_copy_only=False)[owner]  # noqa: B023,E731
+            cols = [b.column("conv_id").take(pa.array(owner)), b.column("parts").flatten().field("part"), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(flag("head") & lead), pa.array(flag("tail") & end)]
+            yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "part", "first", "last", "head", "tail"])
 
     return groups.mapInArrow(lean(run), _BORDERS)
 
@@ -266,10 +272,9 @@ def written(role: str, text: str) -> str:
     return f"{OPEN}{role}\n{text}"
 
 
-def render(roles: list[str | None], texts: list[str], first: int, last: int, head: bool, tail: bool) -> list[tuple]:
-    """(new role, merged, inserted before, inserted behind, cost, piece) for each turn of a chunk."""
+def render(roles: list[str | None], texts: list[str], states: list[int], first: int, head: bool, tail: bool) -> list[tuple]:
+    """(new role, merged, inserted before, inserted behind, cost, piece) for each turn of a chunk; ``states``: after each."""
     out, state = [], STATES[first]
-    states = path([single(r) for r in roles], first, last)
     for i, (role, text, to) in enumerate(zip(roles, texts, states, strict=True)):
         now = STATES[to]
         cost, merged, before = move(state, role, now)
@@ -309,9 +314,12 @@ def repair(conversations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                rows = []
-                for g in b.slice(at, 200).to_pylist():
-                    done = render([t["role"] for t in g["turns"]], [t["text"] for t in g["turns"]], g["first"], g["last"], g["head"], g["tail"])
+                rows, some = [], b.slice(at, 200)
+                turns, cut = some.column("turns"), _offsets(some.column("turns"))
+                ends = [some.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last")]
+                states = paths(SINGLE[codes(turns.flatten().field("role"))], cut, *ends).tolist()
+                for g, x, y in zip(some.to_pylist(), cut, cut[1:], strict=False):
+                    done = render([t["role"] for t in g["turns"]], [t["text"] for t in g["turns"]], states[x:y], g["first"], g["head"], g["tail"])
                     rows += [(g["conv_id"], t["turn"], t["role"], *d) for t, d in zip(g["turns"], done, strict=True)]
                 names = [x.split()[0] for x in REPAIRED.split(", ")]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
