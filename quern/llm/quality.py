@@ -4,12 +4,11 @@ A document's evidence is a logistic classifier's over a few measures of form and
 not) weighs as the log-odds of its documents' labels, shrunk toward the base rate as if by ``SHRINK`` more documents;
 the classifier sees a text's largest weight, what exceeds ``STRONG`` in sum, and the mean. Sites are hosts, and paths within them. For both, evidence is summed by grouped aggregation over all documents; a host's mean is
 shrunk toward the global mean, and a path's toward its host's, by as much as the method of moments finds noise in the
-means of small groups. A document's posterior adds, to its own log-odds, how far its path's posterior is from the
-global mean, times ``SITE_WEIGHT``; toxicity, which is a property of a text and not of a site, is shrunk and
-reported by site alike but its decision is the document's own.
+means of small groups. A document's posterior, of quality and of toxicity alike, adds to its own log-odds how far its path's posterior is from the
+global mean, times ``SITE_WEIGHT``.
 
-The classifier is fitted on a bounded sample, the ``SAMPLE`` labelled rows with the smallest hashes of their ids;
-all else covers all documents and whole texts.
+The classifier is fitted on a bounded sample, the ``SAMPLE`` labelled rows with the smallest hashes of their ids, and of each
+text on its first ``SAMPLE_CHARS`` characters; all else covers all documents and whole texts.
 
 Defined cases: null and empty texts have the evidence of no words, and are not kept (score 0, toxic 0); null hosts or
 paths are groups of their own; rows with repeated ids count each; labels that contradict each other count each; with no
@@ -30,7 +29,7 @@ from . import textnum
 from .common import keep, lean, only, workers
 
 SAMPLE = 5000
-SAMPLE_BYTES = 100_000  # longer texts are not learned from
+SAMPLE_CHARS = 100_000  # of a text that is learned from
 BUCKETS = 1 << 18
 MEASURES = 7
 SHRINK, STRONG, RIDGE, NEWTON = 10.0, 1.5, 1.0, 25
@@ -134,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 words = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bucket.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), words, pa.array(list(form))], names=["doc_id", "words", "form"])
 
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = short.mapInArrow(lean(run), "doc_id long, words array<int>, form array<double>")
+    excerpts = docs.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = excerpts.mapInArrow(lean(run), "doc_id long, words array<int>, form array<double>")
     words, form, target = [np.zeros(0, np.int32)], [], []
     for r in sorted(((r["doc_id"], np.array(r["words"], np.int32), r["form"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[2])):
         for pair in truth[r[0]]:
@@ -143,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             form.append(r[2])
             target.append(pair)
     starts = np.cumsum([0, *map(len, words[1:])])
+    shared.destroy()
     return fit(np.concatenate(words), starts, np.array(form, float).reshape(-1, MEASURES), np.array(target, float).reshape(-1, len(TARGETS)))
 
 
@@ -215,6 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, host, path) -> DataFrame:
     scored = keep(score(docs, model))
     sites = posteriors(scored).withColumnRenamed("host", "h").withColumnRenamed("path", "p")
     known = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    quality = _probability(F.col("quality_odds") + SITE_WEIGHT * (_log_odds(F.col("path_quality")) - _log_odds(F.col("all_quality"))))
-    known = known.withColumn("quality", F.when(F.col("empty"), 0.0).otherwise(quality)).withColumn("toxic", F.when(F.col("empty"), 0.0).otherwise(_probability(F.col("toxic_odds"))))
+    for t in TARGETS:
+        both = _probability(F.col(f"{t}_odds") + SITE_WEIGHT * (_log_odds(F.col(f"path_{t}")) - _log_odds(F.col(f"all_{t}"))))
+        known = known.withColumn(t, F.when(F.col("empty"), 0.0).otherwise(both))
     return known.select("doc_id", _probability(F.col("quality_odds")).alias("evidence"), "host_quality", "path_quality", "quality", "toxic", "path_toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"))

@@ -226,6 +226,38 @@ def test_quality(spark, odd, empty):
     assert quality.judge(odd, labels.limit(0), F.col("source"), F.col("lang")).count() == len(ODD)
 
 
+def test_posteriors_against_plain_sums(spark):
+    docs, labels = tables(spark, "documents"), tables(spark, "labels")
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    named = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    rows = quality.score(named, model).collect()
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    want = {r.doc_id: {} for r in rows}
+    for t in ("quality", "toxic"):
+        p = {r.doc_id: sigmoid(r[f"{t}_odds"]) for r in rows}
+        mean = sum(p.values()) / len(p)
+
+        def shrunk(key, prior):
+            groups = defaultdict(list)
+            for r in rows:
+                groups[key(r)].append(p[r.doc_id])
+            n = sum(map(len, groups.values()))
+            s2 = max(sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups.values()) / max(n - len(groups), 1), 1e-9)
+            d2 = sum(len(g) * (np.mean(g) - prior(k)) ** 2 for k, g in groups.items()) / n
+            t2 = max(d2 - s2 * len(groups) / n, 1e-9)
+            return {k: (sum(g) + s2 / t2 * prior(k)) / (len(g) + s2 / t2) for k, g in groups.items()}
+
+        hosts = shrunk(lambda r: r.host, lambda k: mean)
+        paths = shrunk(lambda r: (r.host, r.path), lambda k: hosts[k[0]])
+        for r in rows:
+            want[r.doc_id][t] = 0.0 if r.empty else sigmoid(r[f"{t}_odds"] + 0.5 * (logit(paths[r.host, r.path]) - logit(mean)))
+            want[r.doc_id][f"path_{t}"] = paths[r.host, r.path]
+    got = {r.doc_id: r for r in QUERIES["op3_quality"](spark, SF).collect()}
+    for i, w in want.items():
+        assert all(abs(got[i][c] - v) < 1e-6 for c, v in w.items()) and (got[i].kept == (w["quality"] >= 0.5 and w["toxic"] < 0.5))
+
+
 def test_shrinkage(spark):
     rows = [("big", "p", 3.0, False)] * 50 + [("big", "q", 3.0, False)] * 50 + [("tiny", "p", -3.0, False)] + [("low", "p", -3.0, False)] * 60
     df = spark.createDataFrame([(i, h, p, o, 0.0, e) for i, (h, p, o, e) in enumerate(rows)], "doc_id long, host string, path string, quality_odds double, toxic_odds double, empty boolean")
