@@ -346,8 +346,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` (doc_id, text, lang and others) without the texts that have no language or whose words are not sure of
-    theirs: under ``least``, or ABOVE_CHANCE times what chance gives where that is less (with over four languages)."""
+    theirs: under ``least``, or ABOVE_CHANCE times what chance gives where that is less (with over four languages). Where
+    there is no labelled text to learn from, all texts with a letter stay."""
     model = train(only(docs, doc_id="long", text="string", lang="string"))
     plain = numbered(docs, "text")
+    if not model.labels:
+        return plain.where(F.rlike("text", F.lit(r"\p{L}"))).toDF(*docs.columns)
     least = min(least, ABOVE_CHANCE / max(1, len(model.labels)))
     return predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= least)).select(*plain.columns).toDF(*docs.columns)

@@ -19,6 +19,7 @@ component and is kept; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -225,21 +226,25 @@ def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> D
     both, full = _with_sets(docs, pairs, k)
     diff = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
     each = both.select("a", "b", "comp", F.size("of_a").alias("nc"), F.size("of_b").alias("n"), diff.alias("d")).withColumn("size", F.size("d"))
-    each = keep(each.withColumn("out", ~similar(F.col("n") + F.col("nc"), F.col("size"))))
+    each = each_ = keep(each.withColumn("out", ~similar(F.col("n") + F.col("nc"), F.col("size"))))
     direct = each.where("not out and comp <> a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    each = each.withColumn("first", F.col("size") - F.floor((F.col("size") + t * (F.col("nc") - F.col("n"))) / 2)).withColumn("e", F.explode("d")).drop("d", "nc")
-    mine = Window.partitionBy("a", "b")
-    each = each.withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).withColumn("rank", F.row_number().over(mine.orderBy("often", "e")))
-    # a shingle that one document alone has cannot be shared
-    each = each.where("often > 1").withColumn("d", F.collect_list("e").over(mine)).where("out or rank <= first")
-    ranked = keep(each.select("a", "e", "b", "out", "comp", "n", "size", (F.col("rank") <= F.col("first")).alias("early"), "d"))
+    single = each.withColumn("first", F.col("size") - F.floor((F.col("size") + t * (F.col("nc") - F.col("n"))) / 2)).withColumn("e", F.explode("d")).drop("d", "nc")
+    # how many documents have a shingle: sums before the shuffle, and a join whose sides are plain shuffles, so that a
+    # shingle which all near copies share is no task of its own
+    often = keep(single.groupBy("a", "e").agg(F.count("*").alias("often")).where("often > 1"))
+    # one that a document has alone cannot be shared; those come first in its order all the same
+    shared = single.join(often, ["a", "e"])
+    mine = Window.partitionBy("a", "b")  # a document's own shingles
+    lone = F.col("size") - F.count("*").over(mine)
+    shared = shared.withColumn("rank", lone + F.row_number().over(mine.orderBy("often", "e"))).withColumn("d", F.collect_list("e").over(mine)).where("out or rank <= first")
+    ranked = keep(shared.select("a", "e", "b", "out", "comp", "n", "size", (F.col("rank") <= F.col("first")).alias("early"), "d"))
     x = ranked.where("out").select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "comp", "early", "n", "size", "d")])
     y = ranked.where("early").select(F.col("a").alias("a2"), F.col("e").alias("e2"), *[F.col(c).alias(f"{c}_y") for c in ("b", "comp", "out", "n", "size", "d")])
     apart = F.col("size_x") + F.col("size_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
     new = F.expr("a = a2 and e = e2 and comp_x <> comp_y and (not out_y or early_x and b_x < b_y)")
     met = x.join(y, new & similar(F.col("n_x") + F.col("n_y"), apart))
     out = keep(met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).unionAll(direct).distinct())
-    drop(full, pairs)
+    drop(full, pairs, each_, often, ranked)
     return out
 
 
@@ -261,14 +266,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = _confirm(docs, _likely(to("c1").unionAll(to("c2")), reps, percent), k, percent)
     comps = components(links)
     mixed = _mixed(members, comps)
-    more = links
+    found = [links]
     if not mixed.where(F.col("size") <= SMALL).isEmpty():
-        more = more.unionAll(_confirm(docs, _by_signature(mixed, reps, percent), k, percent))
+        found.append(_confirm(docs, _by_signature(mixed, reps, percent), k, percent))
     if not mixed.where(F.col("size") > SMALL).isEmpty():
-        more = more.unionAll(_by_difference(docs, mixed, k, percent))
-    if more is not links:
-        comps = components(more)
-    drop(members, shared, reps)
+        found.append(_by_difference(docs, mixed, k, percent))
+    if len(found) > 1:
+        comps = components(functools.reduce(DataFrame.unionAll, found))
+    drop(members, shared, reps, mixed, *found)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("comp", "rep").alias("comp"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp1")).alias("f1"), F.col("fp2").alias("f2"))
     found = rows.join(named, (F.col("f1") == F.col("fp1")) & (F.col("f2") == F.col("fp2")) & (F.col("n_shingles") == F.col("n")), "left")

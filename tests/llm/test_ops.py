@@ -806,3 +806,22 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
     assert p.run(spark, SF).select("doc_id").distinct().count() <= len(want)
     assert [n for n, _ in p.STAGES] == ["language", "near_duplicates", "benchmark", "personal", "pack"]
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline as p
+
+    def saved(docs, name, items):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        return str(tmp_path / name)
+
+    items = spark.createDataFrame([(1, "some words"), (2, None)], "item_id long, text string")
+    got = p.run(spark, saved(odd, "odd", items)).collect()
+    assert {r.doc_id for r in got} <= {4, 6} and {r.doc_id for r in got if r.start == 0} == {4, 6} and sum(r.doc_id == 4 for r in got) == 1
+    assert p.run(spark, saved(empty, "empty", items)).count() == 0
+    clash = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(1).alias("ids"), F.lit("x").alias("n_hit"), F.lit(2).alias("component_id"), F.lit("y").alias("found"))
+    plain = p.run(spark, saved(clash, "clash", items.limit(0)))
+    assert {r.doc_id for r in plain.where("start = 0").collect()} == {4, 6, None}
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, clash, str(tmp_path / "clash")).columns == clash.columns
