@@ -33,8 +33,8 @@ WINDOW = 4096
 END_ID = 2
 MOST_OPEN = 2048
 STREAM = 1 << 24
-CACHED_WORDS = 200_000
-SLICE = 1 << 20
+CACHED_WORDS = 250_000
+SLICE = 2 << 20
 
 _LETTERS = "a-zß-öø-ÿ"
 _SPACE = " \\t\\n\\r\\x0b\\x0c"
