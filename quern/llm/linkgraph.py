@@ -123,6 +123,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD) ->
     links = keep(host_links(cut))
     nodes = keep(seen.unionByName(links.select(F.col("dst").alias("host"), *[F.lit(0.0).alias(c) for c in ("allow", "block", "other")])).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("allow", "block", "other")]))
     found = ranks(links.unionByName(_variants(nodes)), nodes)
+    drop(seen, links, nodes)
     bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("neutral"))
     verdict = F.coalesce("said", F.when(bad, "block").otherwise("allow"))
     known = placed.select("page_id", "host", "path", "rule", "said").join(found, "host", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import keep, lean, only, workers
+from .common import drop, keep, lean, only, workers
 
 SAMPLE = 5000
 SAMPLE_CHARS = 100_000  # of a text that is learned from
@@ -195,13 +195,15 @@ def posteriors(scored: DataFrame) -> DataFrame:
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(p[t]).alias(f"sum_{t}") for t in TARGETS], *[F.sum(p[t] * p[t]).alias(f"square_{t}") for t in TARGETS])
     paths = keep(paths)
     sums = [c for c in paths.columns if c not in ("host", "path")]
-    hosts = keep(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in sums]))
+    by_host = hosts = keep(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in sums]))
     total = hosts.agg(*[F.sum(c).alias(c) for c in sums]).first()
     mean = {t: (total[f"sum_{t}"] or 0.5) / (total["n"] or 1) for t in TARGETS}
     hosts = shrunk(hosts, "host", lambda t: F.lit(mean[t])).select("host", *[f"host_{t}" for t in TARGETS]).withColumnRenamed("host", "h")
     both = keep(paths.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h"))
     out = shrunk(both, "path", lambda t: F.col(f"host_{t}")).select("host", "path", *[f"{a}_{t}" for t in TARGETS for a in ("host", "path")], *[F.lit(mean[t]).alias(f"all_{t}") for t in TARGETS])
-    return keep(out)
+    out = keep(out)
+    drop(paths, by_host, both)
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, host, path) -> DataFrame:

@@ -171,3 +171,37 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(_read(spark, sf_dir, "conversations", conv_id="long", turn="long", role="string", text="string"))
+
+
+def _chat_sql() -> str:
+    """The automaton's tables as lists, a forward pass of least costs turn by turn, and the way back from the end."""
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    marks = lambda roles: "".join(chat.written(r, "") + chat.CLOSE for r in roles)
+    every = range(len(chat.STATES))
+    costs = ", ".join(f"({r + 1}, {chat.SINGLE[r].tolist()}::BIGINT[][])" for r in every)
+    between = [[() if s == t or chat.inserts(s, t) is None else chat.inserts(s, t) for t in chat.STATES] for s in chat.STATES]
+    table = lambda f: "[" + ", ".join("[" + ", ".join(q(f(x)) for x in row) + "]" for row in between) + "]"
+    ends = [() if s == "start" else chat.ending(s) for s in chat.STATES]
+    row = lambda f: "[" + ", ".join(q(f(x)) for x in ends) + "]"
+    after = [chat.NEVER if s == "start" else chat.INSERT * len(e) for s, e in zip(chat.STATES, ends, strict=True)]
+    states = "[" + ", ".join(map(q, chat.STATES)) + "]"
+    number = " ".join(f"WHEN '{r}' THEN {i + 1}" for i, r in enumerate(chat.ROLES))
+    least = "list_transform(range(1, 6), lambda j: list_min(list_transform(range(1, 6), lambda s: {0}[s] + {1}[s][j])))"
+    return f"""
+WITH RECURSIVE m(r, c) AS (VALUES {costs}),
+t AS MATERIALIZED (SELECT coalesce(conv_id, -1) AS k, conv_id, turn, role, coalesce(text, '') AS text, CASE role {number} ELSE 5 END AS r,
+  row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), role NULLS FIRST, coalesce(text, '')) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+f(k, i, best) AS (SELECT DISTINCT k, 0::BIGINT, [0, {", ".join([str(chat.NEVER)] * 4)}]::BIGINT[] FROM t
+  UNION ALL SELECT f.k, t.i, {least.format("f.best", "m.c")} FROM f JOIN t ON t.k = f.k AND t.i = f.i + 1 JOIN m USING (r)),
+ends AS (SELECT k, i, list_transform(range(1, 6), lambda j: best[j] + {after}[j]) AS total FROM f WHERE (k, i) IN (SELECT k, n FROM t)),
+b(k, i, state) AS (SELECT k, i, list_position(total, list_min(total))::BIGINT FROM ends
+  UNION ALL SELECT k, i, list_position(l, list_min(l))::BIGINT FROM (SELECT b.k, f.i, list_transform(range(1, 6), lambda s: f.best[s] + m.c[s][b.state]) AS l
+    FROM b JOIN t ON t.k = b.k AND t.i = b.i JOIN m USING (r) JOIN f ON f.k = b.k AND f.i = b.i - 1)),
+w AS (SELECT t.*, x.state AS x, y.state AS y, t.i = t.n AS last FROM t JOIN b x ON x.k = t.k AND x.i = t.i - 1 JOIN b y ON y.k = t.k AND y.i = t.i)
+SELECT conv_id, turn, role, {states}[y] AS new_role, x = y AS merged, {table(",".join)}[x][y] AS inserted, CASE WHEN last THEN {row(",".join)}[y] ELSE '' END AS appended, (m.c[x][y] + CASE WHEN last THEN {after}[y] ELSE 0 END)::BIGINT AS cost,
+CASE WHEN x = y THEN chr(10) || text ELSE CASE WHEN i > 1 THEN {q(chat.CLOSE)} ELSE '' END || {table(marks)}[x][y] || {q(chat.OPEN)} || {states}[y] || chr(10) || text END || CASE WHEN last THEN {q(chat.CLOSE)} || {row(marks)}[y] ELSE '' END AS piece
+FROM w JOIN m USING (r)
+"""
+
+
+SQL["op5_chat"] = _chat_sql()
