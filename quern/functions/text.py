@@ -182,11 +182,6 @@ def rate(c: Column) -> Column:
     return F.when((c > 1) & (c <= 100), c / 100).otherwise(c)
 
 
-def first_present(text: Column, paths: Sequence[str]) -> Column:
-    """The first value that JSON text has at one of the paths, as text."""
-    return F.coalesce(*[F.get_json_object(text, p) for p in paths])
-
-
 def _found(value, key: str):
     """The value of ``key`` in nested maps and lists: of the outermost map first, then the first in order that is not null."""
     if isinstance(value, dict):
