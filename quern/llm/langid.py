@@ -36,6 +36,7 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 STEPS = 64
+FEW_LABELS = 16
 SAMPLE = 150
 SAMPLE_CHARS = 8_000
 SEQUENCES = 2_400
@@ -144,35 +145,64 @@ def _potentials(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(-1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
 def chains(e: np.ndarray, count: np.ndarray, start: np.ndarray, change: np.ndarray) -> np.ndarray:
     """Posteriors (words, labels) of chains of ``count`` words each, one behind the other in ``e`` (potentials).
 
-    All chains go on together, a word at a time, from the longest one down; nothing is padded.
+    Chains are cut into runs of at most STEPS words (of any length for more than FEW_LABELS labels). A run is one matrix,
+    from the labels before it to those at its end; messages go from run to run along each chain with those, and then
+    through all runs at once, so a long chain does not hold up the rest, and nothing is lost at the cuts.
     """
     if not len(e):
         return np.zeros_like(e)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(count), np.int64)
-    rank[order] = np.arange(len(count))
-    chain = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(e)) - np.repeat(np.cumsum(count) - count, count)
-    place = np.lexsort((rank[chain], step))  # by step, then from the longest chain on
-    e = e[place]
-    live = np.bincount(step)
-    at = np.append(0, np.cumsum(live))
-    move, forward, backward = np.exp(change), np.empty_like(e), np.ones_like(e)
-    now = np.exp(start) * e[: live[0]]
-    for t, m in enumerate(live):
-        if t:
-            now = (forward[at[t - 1] : at[t - 1] + m] @ move) * e[at[t] : at[t] + m]
-        forward[at[t] : at[t] + m] = now / now.sum(1, keepdims=True)
-    for t in range(len(live) - 1, 0, -1):
+    k, move = e.shape[1], np.exp(change)
+    size = STEPS if k <= FEW_LABELS else max(1, int(count.max()))
+    runs = -(-count // size)  # of each chain
+    chain = np.repeat(np.arange(len(count)), runs)
+    turn = np.arange(len(chain)) - np.repeat(np.cumsum(runs) - runs, runs)  # which of its chain's
+    first = (np.cumsum(count) - count)[chain] + turn * size
+    length = np.minimum(count[chain] - turn * size, size)
+    order = np.argsort(-length, kind="stable")  # the longest first, so that those that go on stand in front
+    first, length, chain, turn = first[order], length[order], chain[order], turn[order]
+    live = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # runs of more than t words
+    # into each run: the message from before it (along the chain), and from behind it
+    ahead, behind = np.ones((len(chain), k)), np.ones((len(chain), k))
+    if runs.max() > 1:
+        # a chain's first run has no move before it: its matrix is from the labels of its first word
+        whole = np.where((turn == 0)[:, None, None], np.eye(k), move) * e[first][:, None]
+        for t, m in enumerate(live[1:], 1):
+            step = (whole[:m].reshape(-1, k) @ move).reshape(m, k, k) * e[first[:m] + t][:, None]
+            whole[:m] = step / step.sum((1, 2), keepdims=True)
+        opened = np.broadcast_to(np.exp(start), (len(chain), k))
+        table = np.full((len(count), int(runs.max())), -1)
+        table[chain, turn] = np.arange(len(chain))
+        for r in range(1, int(runs.max())):
+            now = table[:, r][table[:, r] >= 0]
+            before = table[chain[now], r - 1]
+            into = opened[before] if r == 1 else ahead[before]
+            ahead[now] = _scaled(np.einsum("ij,ijk->ik", into, whole[before]))
+        for r in range(int(runs.max()) - 2, -1, -1):
+            now = table[:, r]
+            now = now[(now >= 0) & (table[:, r + 1] >= 0)]
+            after = table[chain[now], r + 1]
+            behind[now] = _scaled(np.einsum("ijk,ik->ij", whole[after], behind[after]))
+    forward = np.empty_like(e)
+    now = np.where((turn == 0)[:, None], np.exp(start), ahead @ move) * e[first]
+    forward[first] = _scaled(now)
+    for t, m in enumerate(live[1:], 1):
+        at = first[:m] + t
+        forward[at] = _scaled((forward[at - 1] @ move) * e[at])
+    out = np.empty_like(e)
+    backward = behind
+    for t in range(len(live) - 1, -1, -1):
         m = live[t]
-        right = (e[at[t] : at[t] + m] * backward[at[t] : at[t] + m]) @ move.T
-        backward[at[t - 1] : at[t - 1] + m] = right / right.sum(1, keepdims=True)
-    both = forward * backward
-    out = np.empty_like(both)
-    out[place] = both / both.sum(1, keepdims=True)
+        at = first[:m] + t
+        out[at] = _scaled(forward[at] * backward[:m])
+        if t:
+            backward[:m] = _scaled((e[at] * backward[:m]) @ move.T)
     return out
 
 
