@@ -36,8 +36,13 @@ class Lexicon:
         return r"(?U)\b(?:" + "|".join(literal(t.lower()) for t in terms) + r")\b" if terms else None
 
 
+def word(term: str) -> str:
+    """A pattern for one term between word borders."""
+    return r"(?U)\b" + literal(term.lower()) + r"\b"
+
+
 def has_word(text: Column, term: str) -> Column:
-    return F.rlike(F.lower(text), F.lit(r"(?U)\b" + literal(term.lower()) + r"\b"))
+    return F.rlike(F.lower(text), F.lit(word(term)))
 
 
 def _shielded(lexicon: Lexicon, term: str, text: Column) -> Column:
@@ -48,10 +53,8 @@ def _shielded(lexicon: Lexicon, term: str, text: Column) -> Column:
 
 def reason(lexicon: Lexicon, constraint: str, item: Column) -> Column:
     """Of the longest key that is part of the item; of equals the first given."""
-    out = F.lit(f"violates_{constraint}")
-    for key, name in sorted(reversed(lexicon.reasons.get(constraint, {}).items()), key=lambda x: len(x[0])):
-        out = F.when(F.contains(F.lower(item), F.lit(key)), name).otherwise(out)
-    return out
+    keys = sorted(lexicon.reasons.get(constraint, {}).items(), key=lambda x: len(x[0]), reverse=True)
+    return F.coalesce(*[F.when(F.contains(F.lower(item), F.lit(key)), name) for key, name in keys], F.lit(f"violates_{constraint}"))
 
 
 def violations(items: Column, lexicon: Lexicon, constraint: str) -> Column:
@@ -64,9 +67,8 @@ def violations(items: Column, lexicon: Lexicon, constraint: str) -> Column:
 
     def step(acc: Column, item: Column) -> Column:
         low = F.lower(item)
-        term = F.lit(None).cast("string")
-        for t in reversed(terms):
-            term = F.when(has_word(item, t) & ~_shielded(lexicon, t, low) & ~F.array_contains(acc["seen"], F.lit(t)), t).otherwise(term)
+        # one flat choice of all terms, whose conditions are tried in order
+        term = F.coalesce(*[F.when(F.rlike(low, F.lit(word(t))) & ~_shielded(lexicon, t, low) & ~F.array_contains(acc["seen"], F.lit(t)), t) for t in terms])
         hit = F.struct(strip(item).alias("ingredient"), reason(lexicon, constraint, item).alias("reason"), term.alias("term"))
         new = F.struct(F.array_append(acc["seen"], term).alias("seen"), F.array_append(acc["hits"], hit).alias("hits"))
         # most items match nothing: one test of the combined pattern spares them the terms

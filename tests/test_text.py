@@ -134,3 +134,13 @@ def test_restriction_sources(spark):
     df = spark.createDataFrame([(["Vegan", "vegan!"], "nut free, Vegan", ""), (None, None, "x\nRestrictions: a, b"), (None, "", 'categories: ["q r", "s"]'), (None, None, "none")], "a array<string>, b string, u string")
     got = [r[0] for r in df.select(messages.restrictions([(F.col("a"), "array<string>"), (F.col("b"), "string")], F.col("u"))).collect()]
     assert got == [["Vegan", "nut free"], ["a", "b"], ["q r", "s"], []]
+
+
+def test_lexicons_of_hundreds_of_terms(spark):
+    from quern.functions.lexicon import Lexicon, all_violations
+
+    lex = Lexicon({f"c{k}": [f"w{k}x{i}" for i in range(184 if k == 0 else 60)] for k in range(10)}, reasons={"c0": {f"x{i}": f"r{i}" for i in range(60)}})
+    rows = spark.range(40).select("id", F.array(*[F.concat(F.lit(f"2 w{k}x"), ((F.col("id") * (k + 1)) % 60).cast("string"), F.lit(" fresh")) for k in range(10)]).alias("items"))
+    got = {(r.id, r.constraint): [(v.term, v.reason) for v in r.violations] for r in all_violations(rows, "items", lex).collect()}
+    assert len(got) == 400 and all(got[i, f"c{k}"][0][0] == f"w{k}x{i * (k + 1) % 60}" and len(got[i, f"c{k}"]) == 1 for i in range(40) for k in range(10))
+    assert got[12, "c0"] == [("w0x12", "r12")] and got[3, "c1"] == [("w1x6", "violates_c1")]
