@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, occurrences, passes, title_terms
@@ -70,6 +70,21 @@ def retained(source: Column, wanted: Column, adapted: Column) -> Column:
     return F.when(F.size(source) == 0, 0.0).when(F.size(wanted) == 0, 1.0).otherwise(F.bround(F.try_divide(F.size(kept), F.size(wanted)), 4))
 
 
+def with_names(rows: DataFrame, items: str, lexicon: Lexicon, constraint: str, vocabulary: Vocabulary, key: str = "id") -> DataFrame:
+    """``key``, names and wanted of ``rows`` (each key once): all items' names in order, and those of the items not banned.
+
+    Each distinct item is normalised once, whatever number of rows has it, and joined back; the join's small side is
+    broadcast where Spark's own size check allows it.
+    """
+    each = rows.select(key, F.posexplode(items).alias("_at", "_item"))
+    pattern = lexicon.pattern(constraint)
+    banned = F.rlike(F.lower("_item"), F.lit(pattern)) if pattern else F.lit(False)
+    distinct = each.select("_item").distinct().select(F.col("_item").alias("_i"), vocabulary.name(F.col("_item")).alias("_name"), banned.alias("_banned"))
+    got = each.join(distinct, F.col("_item") == F.col("_i")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_name", "_banned"))).alias("_x"))
+    name = lambda x: x["_name"]
+    return got.select(key, F.transform("_x", name).alias("names"), F.transform(F.filter("_x", lambda x: ~x["_banned"]), name).alias("wanted"))
+
+
 def relevance(source: Column, adapted: Column, lexicon: Lexicon, constraint: str, vocabulary: Vocabulary) -> Column:
     """The share of source items not banned that the adapted items still have (repeats in the source count)."""
     both = F.struct(names_of(allowed(source, lexicon, constraint), vocabulary).alias("wanted"), names_of(adapted, vocabulary).alias("adapted"))

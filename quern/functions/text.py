@@ -105,10 +105,11 @@ SINGULAR = (("ies", "y"), ("oes", "o"), ("ves", "f"), ("ches", "ch"), ("shes", "
 
 def singular(c: Column) -> Column:
     """By the first suffix of SINGULAR that the word has."""
-    out = c
-    for end, new in reversed(SINGULAR):
-        out = F.when(F.endswith(c, F.lit(end)), F.concat(F.left(c, F.length(c) - len(end)), F.lit(new))).otherwise(out)
-    return out
+
+    def cut(w: Column) -> Column:
+        return F.coalesce(*[F.when(F.endswith(w, F.lit(end)), F.concat(F.left(w, F.length(w) - len(end)), F.lit(new))) for end, new in SINGULAR], w)
+
+    return let(c, cut)  # or each test would make the word anew
 
 
 def strip_quantity(c: Column, units: Sequence[str]) -> Column:
@@ -136,7 +137,8 @@ def normal_item(c: Column, units: Sequence[str], adjectives: Sequence[str], alia
             s = F.regexp_replace(s, "(?i)" + at.format(literal(a)), "")
     s = singular(strip(F.trim(strip(s), F.lit(","))))
     if aliases:
-        s = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(aliases.items()) for x in pair]), s), s)
+        other = F.create_map(*[F.lit(x) for pair in sorted(aliases.items()) for x in pair])
+        s = let(s, lambda name: F.coalesce(F.element_at(other, name), name))
     return F.coalesce(strip(s), F.lit(""))
 
 

@@ -407,11 +407,11 @@ def step_change(spark, sf_dir):
 SELECT k, CASE WHEN len(ok) = 0 THEN 1.0 ELSE round_even(len(list_filter(ok, lambda i: list_contains(names2, i))) / len(ok), 4) END::DOUBLE AS relevance FROM x""")
 def relevance(spark, sf_dir):
     plain = scoring.Vocabulary(("cup",), ())
-    wanted, names = scoring.names_of(scoring.allowed(F.col("items"), LEXICON, "no_metal"), plain), scoring.names_of(F.col("items"), plain)
-    # each recipe's names are made once and written; the join then compares arrays
-    rows = keep(_recipes(spark, sf_dir).select(F.col("id").cast("bigint").alias("k"), "items", wanted.alias("wanted"), names.alias("names")))
-    both = rows.select("k", "items", "wanted").join(rows.select((F.col("k") - 1).alias("k"), "names"), "k")
-    return both.select("k", scoring.retained(F.col("items"), F.col("wanted"), F.col("names")).alias("relevance"))
+    named = scoring.with_names(_recipes(spark, sf_dir), "items", LEXICON, "no_metal", plain)
+    # written once, as both sides of the join
+    rows = keep(named.select(F.col("id").cast("bigint").alias("k"), "names", "wanted"))
+    both = rows.withColumnRenamed("names", "own").join(rows.select((F.col("k") - 1).alias("k"), "names"), "k")
+    return both.select("k", scoring.retained(F.col("own"), F.col("wanted"), F.col("names")).alias("relevance"))
 
 
 @_query(f"""WITH {_NEXT}, x AS (SELECT k, len(list_filter(items2, lambda i: i LIKE '2%')) AS made, n, ({_CHANGED}) AS changed FROM pair)

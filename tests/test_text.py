@@ -144,3 +144,12 @@ def test_lexicons_of_hundreds_of_terms(spark):
     got = {(r.id, r.constraint): [(v.term, v.reason) for v in r.violations] for r in all_violations(rows, "items", lex).collect()}
     assert len(got) == 400 and all(got[i, f"c{k}"][0][0] == f"w{k}x{i * (k + 1) % 60}" and len(got[i, f"c{k}"]) == 1 for i in range(40) for k in range(10))
     assert got[12, "c0"] == [("w0x12", "r12")] and got[3, "c1"] == [("w1x6", "violates_c1")]
+
+
+def test_relevance_of_joined_names(spark):
+    lex, words = lexicon.Lexicon({"d": ["butter"]}), scoring.Vocabulary(("cup",), ("fresh",))
+    rows = spark.createDataFrame([(1, ["1 cup butter", "2 eggs", "2 eggs", "fresh milk"], ["eggs", "oil"]), (2, ["butter"], ["oil"]), (3, ["milk"], [])], "id long, a array<string>, b array<string>")
+    direct = {r.id: r.x for r in rows.select("id", scoring.relevance(F.col("a"), F.col("b"), lex, "d", words).alias("x")).collect()}
+    a, b = scoring.with_names(rows, "a", lex, "d", words), scoring.with_names(rows, "b", lex, "d", words).select(F.col("id").alias("i"), F.col("names").alias("other"))
+    both = a.join(b, F.col("id") == F.col("i"), "left").select("id", scoring.retained(F.col("names"), F.col("wanted"), F.coalesce("other", F.array().cast("array<string>"))).alias("x"))
+    assert direct == {r.id: r.x for r in both.collect()} == {1: 0.6667, 2: 1.0, 3: 0.0}
