@@ -184,23 +184,22 @@ def rate(c: Column) -> Column:
     return F.when((c > 1) & (c <= 100), c / 100).otherwise(c)
 
 
-def _found(value, key: str):
-    """The value of ``key`` in nested maps and lists: of the outermost map first, then the first in order that is not null."""
-    if isinstance(value, dict):
-        if key in value:
-            return value[key]
-        value = list(value.values())
-    for v in value if isinstance(value, list) else ():
-        if (got := _found(v, key)) is not None:
-            return got
-    return None
-
-
 def find_key(text: Column, keys: Sequence[str]) -> Column:
     """The first of ``keys`` that JSON text has, as JSON text: a dotted key is a path from the root, any other is looked for
     at the top and then at all depths. For small documents such as reports: Python walks them, in Arrow batches."""
     keys = list(keys)
 
+    def found(value, key: str):
+        """The value of ``key`` in nested maps and lists: of the outermost map first, then the first in order that is not null."""
+        if isinstance(value, dict):
+            if key in value:
+                return value[key]
+            value = list(value.values())
+        for v in value if isinstance(value, list) else ():
+            if (got := found(v, key)) is not None:
+                return got
+        return None
+
     @F.pandas_udf("string")
     def search(texts: pd.Series) -> pd.Series:
         def one(t):
@@ -214,7 +213,7 @@ def find_key(text: Column, keys: Sequence[str]) -> Column:
                     for part in key.split("."):
                         value = value.get(part) if isinstance(value, dict) else None
                 else:
-                    value = _found(root, key)
+                    value = found(root, key)
                 if value is not None:
                     return json.dumps(value)
             return None

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import importable
 from ..functions.prompts import judge_messages
 from ..functions.text import json_object, optional_float
 
@@ -47,6 +48,7 @@ def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32) -> Dat
 
     Filters belong before this step: Catalyst does not move them across it. A task asks for ``batch`` rows at a time.
     """
+    importable(df.sparkSession)
     out = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("output", "error")]).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
