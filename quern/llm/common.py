@@ -5,11 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import drop as drop, keep as keep, scratch as scratch
+from ..common import drop as drop, importable, keep as keep, scratch as scratch
 
 #: Bounds of Arrow batches where nobody has set them: Spark's 10,000 rows and 64 MB of long texts fill an executor.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -22,10 +21,7 @@ def workers(spark: SparkSession) -> None:
     for key, value in BATCHES.items():
         if key not in have:
             spark.conf.set(key, value)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    importable(spark)
 
 
 def _give_back() -> None:
