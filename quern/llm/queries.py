@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import chat, linkgraph, quality
 from .common import only
 from .decontaminate import contamination
+from .importance import resample
 from .langid import identify
 from .linkgraph import Rule, judge
 from .minhash import near_duplicates
@@ -205,3 +206,28 @@ FROM w JOIN m USING (r)
 
 
 SQL["op5_chat"] = _chat_sql()
+
+
+@_query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents", doc_id="long", text="string"), _read(spark, sf_dir, "benchmark", text="string"))
+
+
+#: The CRC byte by byte through a table made by eight steps of its polynomial, over each different feature's text.
+SQL["op12_resample"] = f"""
+WITH RECURSIVE steps(v, x, i) AS (SELECT v, v, 0 FROM range(256) r(v) UNION ALL SELECT v, xor(x >> 1, (x & 1) * 3988292384), i + 1 FROM steps WHERE i < 8),
+crc AS (SELECT list(x ORDER BY v) AS t FROM steps WHERE i = 8),
+word AS (SELECT true AS target, row_number() OVER () AS r, NULL::BIGINT AS doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark WHERE text IS NOT NULL
+  UNION ALL SELECT false, row_number() OVER (), doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) FROM documents),
+feature AS (SELECT target, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM word),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature)),
+bucket AS (SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS b FROM bytes, crc),
+n AS (SELECT b, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM feature JOIN bucket USING (f) GROUP BY b),
+total AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM n),
+gain AS (SELECT b, floor(1000 * ln((n.t + 1)::DOUBLE * (total.s + 10000) / ((n.s + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS g FROM n, total),
+mean AS (SELECT r, floor(sum(g) / count(*))::BIGINT AS m FROM feature JOIN bucket USING (f) JOIN gain USING (b) WHERE NOT target GROUP BY r),
+doc AS (SELECT doc_id, len(w) AS n, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features, coalesce(m, 0) AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM word LEFT JOIN mean USING (r) WHERE NOT target),
+scored AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC NULLS LAST, doc_id) AS k, count(*) FILTER (n >= 20) OVER () AS total FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND k <= 25 * total // 100 AND score IS NOT NULL THEN k END AS rank FROM ranked
+"""

@@ -73,26 +73,32 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(texts: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of all words in order, each row's first word's place with the count behind)."""
-    raw, at = flat(texts)
+def bounds(raw: np.ndarray, at: np.ndarray, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of all words in order; no word reaches over a row's start (``at``, as of :func:`flat`)."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, U), np.zeros(len(at), np.int64)
     low, table = kind
     inside = table[low[raw]]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)
-    before[0] = False
+    before[:1] = False
     before[1:] = inside[:-1]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.empty(n, bool)
-    after[-1] = False
+    after[-1:] = False
     after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return start, np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def words(texts: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words in order, each row's first word's place with the count behind)."""
+    raw, at = flat(texts)
+    n = len(raw)
+    if not n:
+        return np.zeros(0, U), np.zeros(len(at), np.int64)
+    start, end = bounds(raw, at, kind)
     total = np.zeros(n + 1, U)
-    np.cumsum((low[raw].astype(U) + U(1)) * _pow(_BASE, n), out=total[1:])
+    np.cumsum((kind[0][raw].astype(U) + U(1)) * _pow(_BASE, n), out=total[1:])
     number = mix((total[end] - total[start]) * _pow(_INV, n)[start])
     return number, np.searchsorted(start, at)
 
