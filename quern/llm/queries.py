@@ -17,6 +17,7 @@ from .packing import pack
 from .pii import detect
 from .pq import near_vectors
 from .warc import round_trip
+from .yinyang import encoded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -231,3 +232,34 @@ scored AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 42949672
 ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC NULLS LAST, doc_id) AS k, count(*) FILTER (n >= 20) OVER () AS total FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND k <= 25 * total // 100 AND score IS NOT NULL THEN k END AS rank FROM ranked
 """
+
+
+@_query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _codes_sql() -> str:
+    """Lloyd's method with all distances, an assignment and a codebook a table."""
+    dot = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
+    out = []
+    for i in range(5):
+        far = f"{dot.format('x.v', 'x.v')} - 2 * {dot.format('x.v', 'c.v')} + {dot.format('c.v', 'c.v')}"
+        out.append(f"a{i} AS MATERIALIZED (SELECT x.vec_id, x.p, min({{'d': ({far})::BIGINT, 'e': c.e}}) AS m FROM part x JOIN b{i} c USING (p) GROUP BY 1, 2)")
+        mean = f"SELECT p, e, list(t ORDER BY q) AS v FROM (SELECT p, a.m.e AS e, q, floor(sum(v[q])::DOUBLE / count(*))::BIGINT AS t FROM a{i} a JOIN part USING (vec_id, p), (SELECT unnest(range(1, len(v) + 1)) AS q FROM b0 LIMIT (SELECT len(any_value(v)) FROM b0)) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+        if i < 4:
+            out.append(f"b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{i} b LEFT JOIN ({mean}) n USING (p, e))")
+    return f"""
+WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM whole, range(4) r(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM part WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT 256)),
+{", ".join(out)},
+code AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+total AS (SELECT label, sum(error)::BIGINT AS label_error FROM whole JOIN code USING (vec_id) GROUP BY label)
+SELECT w.vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b4) AS codebooks_sha256
+FROM whole w JOIN code USING (vec_id) JOIN total t ON t.label IS NOT DISTINCT FROM w.label
+"""
+
+
+SQL["op11_codes"] = _codes_sql()
