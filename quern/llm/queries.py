@@ -16,6 +16,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .pii import detect
 from .pq import near_vectors
+from .tokens import token_counts
 from .warc import round_trip
 from .yinyang import encoded
 
@@ -263,3 +264,8 @@ FROM whole w JOIN code USING (vec_id) JOIN total t ON t.label IS NOT DISTINCT FR
 
 
 SQL["op11_codes"] = _codes_sql()
+
+
+@_query
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents", doc_id="long", text="string"), public_tokenizers.path("byte_bpe_50k.json"))
