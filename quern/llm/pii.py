@@ -44,12 +44,12 @@ _ALPHA = re.compile("[A-Za-z]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]{1,63})((?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{1,63}){1,6})", re.I)
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]++)((?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]++)++)", re.I)
 #: What no written-out address is without.
 _SPELT_HINT = re.compile(r"[(\[{]at[)\]}]|\sat\s", re.I)
 #: Long runs of key characters, and what stands behind the name of a key or password.
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}={0,2}")
-_NAMED = re.compile(r"(?<![A-Za-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})", re.I)
+_NAMED = re.compile(r"(?<![A-Za-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])")
 
 # What the gazetteer and the context labeler know. Domains end in two letters (countries) or in one of
@@ -94,6 +94,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int, int]]:
+    """Long runs of letters and digits that begin within a stretch between named ones."""
+    for m in _RUN.finditer(text, start, end):  # none reaches from before a named one into it
+        if _DIGIT.search(m[0]) and _ALPHA.search(m[0]):
+            yield "secret", m.start(), m.end(), 1
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int, int]]:
     """(kind, start, end, source): source 2 for base spans, 1 for looser patterns, 0 for base matches that fail."""
     for a, b in _emails(text) if "@" in text else ():
@@ -113,10 +120,12 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, int]]:
     if _SPELT_HINT.search(text):
         for m in _SPELT.finditer(text):
             yield "email", m.start(), m.end(), 1
-    named = {m.span(1) for m in _NAMED.finditer(text)} if "=" in text or ":" in text else set()
-    runs = {m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _ALPHA.search(m[0])}
-    for a, b in named | {(a, b) for a, b in runs if not any(x <= a < y for x, y in named)}:
-        yield "secret", a, b, 1
+    end = 0
+    for m in _NAMED.finditer(text) if "=" in text or ":" in text else ():
+        yield from _keys(text, end, m.start(1))
+        yield "secret", m.start(1), m.end(1), 1
+        end = m.end(1)
+    yield from _keys(text, end, len(text))
 
 
 def _gazetteer(kind: str, span: str) -> int:
