@@ -53,7 +53,7 @@ def _letters() -> np.ndarray:
     global _letter
     if _letter is None:
         low = np.zeros(0x110000, np.int32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             if (s := chr(c)).isalpha():
                 low[c] = ord(t) if len(t := s.lower()) == 1 else c
         _letter = low
