@@ -1,12 +1,12 @@
 """Embedding near-duplicates by product quantisation.
 
-Vectors are scaled to length 1 inside Arrow tasks; those that are equal then are one class, searched once, so a group of
-exact copies of any size costs one row. Vectors of each number of components are searched by themselves, with an index of
+Vectors are scaled by powers of two inside Arrow tasks (which rounds nothing and keeps squares within range); those that are equal
+then are one class, searched once, so a group of exact copies of any size costs one row. Vectors of each number of components are searched by themselves, with an index of
 their own. Coarse centres (k-means) cut them into inverted lists; what is left of each vector after its centre is coded by
 subspace codebooks. Both are fitted on a bounded sample (``SAMPLE`` vectors of a dimension); every vector is indexed.
-Dimensions of at most ``FEW`` vectors are one list without codes, where all are held against all. A search looks
-a query's distances up in one table per subspace (asymmetric: the query is not coded) and reranks what comes near by the
-exact cosine in double precision.
+A search looks a query's distances up in one table per subspace (asymmetric: the query is not coded) and reranks what comes near by the
+cosine in double precision: the dot product over the product of the norms, of the components as given, so that a cosine of exactly
+the threshold is a link.
 
 A query probes the ``probes`` lists with the nearest centres (8 found all 616,930 links of 51,282 vectors in 200 lists,
 4 all of them too, 1 99.97 %; tests measure recall on neighbours that are hardly within reach, in many small lists). With
@@ -22,7 +22,7 @@ each query and a spanning forest of its links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
 vectors of different numbers of components never link; repeated rows of a vec_id are one vector (the
-smallest by its numbers at length 1); rows without vec_id link with nothing, have a null component and are kept; other columns play no part.
+smallest by its scaled numbers); rows without vec_id link with nothing, have a null component and are kept; other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,7 +45,6 @@ PROBES = 8
 SUBSPACES, CODES = 8, 64
 ROUNDS = 8
 BLOCK, PART = 16_384, 8_192
-FEW = 2048
 SLACK = 1e-6  # of rounding
 
 
@@ -127,20 +126,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-_UNIT = "vec_id long, unit array<double>, d1 long, d2 long"
+_VECTOR = "vec_id long, vector array<double>, d1 long, d2 long"
 
 
 def _scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(places, vectors of length 1) of the rows of one number of components that can link."""
+    """(places, vectors of about length 1) of the rows of one number of components that can link."""
     x = _matrix(column)
     good = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
     x = x[good]
-    x = x / np.abs(x).max(1, keepdims=True)  # first to about 1, so that no square over- or underflows
-    return good, x / np.sqrt((x * x).sum(1, keepdims=True))
+    return good, np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _norm(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """_UNIT for all rows that can link: the vector at length 1 and a digest of it, as a written table."""
+    """_VECTOR for all rows that can link: the scaled vector and a digest of it, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,45 +156,43 @@ def _units(vectors: DataFrame) -> DataFrame:
                 if len(good):
                     digest = np.frombuffer(b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x), np.int64).reshape(-1, 2)
                     at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(n)
-                    yield pa.RecordBatch.from_arrays([mine.column("vec_id").take(pa.array(good)), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel())), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["vec_id", "unit", "d1", "d2"])
+                    yield pa.RecordBatch.from_arrays([mine.column("vec_id").take(pa.array(good)), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel())), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["vec_id", "vector", "d1", "d2"])
 
-    units = keep(only(vectors, vec_id="long", embedding="array<double>").mapInArrow(lean(run), _UNIT))
+    units = keep(only(vectors, vec_id="long", embedding="array<double>").mapInArrow(lean(run), _VECTOR))
     again = units.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
     if again.isEmpty():
         return units
     # few as a rule: the arrays of repeated ids alone are sorted
     again = keep(again)
-    first = units.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("unit", "d1", "d2")).alias("x")).select("vec_id", "x.*")
+    first = units.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("vector", "d1", "d2")).alias("x")).select("vec_id", "x.*")
     out = keep(units.join(again, "vec_id", "left_anti").unionAll(first))
     drop(units, again)
     return out
 
 
 def _classes(units: DataFrame) -> DataFrame:
-    """vec_id (the class's smallest), unit, many: a row for each class of equal vectors, as a written table."""
-    n = F.size("unit").alias("size")
+    """vec_id (the class's smallest), vector, many: a row for each class of equal vectors, as a written table."""
+    n = F.size("vector").alias("size")
     classes = keep(units.groupBy("d1", "d2", n).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
     if classes.where("many > 1").isEmpty():
         drop(classes)
-        return keep(units.select("vec_id", "unit", F.lit(1).cast("long").alias("many")))
-    out = keep(units.select("vec_id", "unit").join(classes.select("rep", "many"), F.col("vec_id") == F.col("rep")).select("vec_id", "unit", "many"))
+        return keep(units.select("vec_id", "vector", F.lit(1).cast("long").alias("many")))
+    out = keep(units.select("vec_id", "vector").join(classes.select("rep", "many"), F.col("vec_id") == F.col("rep")).select("vec_id", "vector", "many"))
     drop(classes)
     return out
 
 
-def _indices(units: DataFrame, counts: dict[int, int]) -> dict[int, tuple[int, Index | None]]:
-    """For each dimension of ``counts``: the number of its first list, and its index (None for at most FEW vectors)."""
+def _indices(vectors: DataFrame, counts: dict[int, int]) -> dict[int, tuple[int, Index]]:
+    """For each dimension of ``counts``: the number of its first list, and its index."""
     out, first = {}, 0
     for n, rows in sorted(counts.items()):
-        index = None
-        if rows > FEW:
-            share = min(1 << 20, 2 * SAMPLE * (1 << 20) // rows + 1)
-            mine = units.where(F.size("unit") == n)
-            picked = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("unit").limit(SAMPLE)
-            sample = np.array([r["unit"] for r in picked.toLocalIterator()] or [mine.first()["unit"]])
-            index = Index(sample, rows)
+        share = min(1 << 20, 2 * SAMPLE * (1 << 20) // rows + 1)
+        mine = vectors.where(F.size("vector") == n)
+        picked = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("vector").limit(SAMPLE)
+        sample = np.array([r["vector"] for r in picked.toLocalIterator()] or [mine.first()["vector"]])
+        index = Index(sample / _norm(sample)[:, None], rows)
         out[n] = (first, index)
-        first += len(index.centre) if index else 1
+        first += len(index.centre)
     return out
 
 
@@ -204,22 +204,23 @@ def _search(least: float, index):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
-        first, model = index.value[len(left.column("unit")[0])]
-        q, qid = _matrix(left.column("unit").combine_chunks()), left.column("vec_id").to_numpy()
-        v, vid = _matrix(right.column("unit").combine_chunks()), right.column("vec_id").to_numpy()
+        first, model = index.value[len(left.column("vector")[0])]
+        q, qid = _matrix(left.column("vector").combine_chunks()), left.column("vec_id").to_numpy()
+        v, vid = _matrix(right.column("vector").combine_chunks()), right.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
         error, list_ = right.column("error").to_numpy(), right.column("list")[0].as_py() - first
         home, probed = left.column("home").to_numpy(), _matrix(right.column("probes").combine_chunks())
         mine, theirs = left.column("many").to_numpy(), right.column("many").to_numpy()  # how many vectors each stands for
+        long_q, long_v = _norm(q), _norm(v)
         from_query, from_vector = np.zeros(len(q), np.int64), np.zeros(len(v), np.int64)
         forest = np.zeros((0, 2), np.int64)
         for i in range(0, len(q), 256):
             for j in range(0, len(v), 2048):
                 some, these = slice(i, i + 256), slice(j, j + 2048)
-                x, y = np.nonzero(model.estimates(q[some], list_, codes[these]) <= reach + error[these] + SLACK if model else np.ones((len(q[some]), len(v[these])), bool))
+                x, y = np.nonzero(model.estimates(q[some] / long_q[some, None], list_, codes[these]) <= reach + error[these] + SLACK)
                 for s in range(0, len(x), 1 << 15):
                     at, to = x[s : s + (1 << 15)] + i, y[s : s + (1 << 15)] + j
-                    near = ((q[at] * v[to]).sum(1) >= least) & (qid[at] != vid[to])
+                    near = ((q[at] * v[to]).sum(1) / (long_q[at] * long_v[to]) >= least) & (qid[at] != vid[to])
                     at, to = at[near], to[near]
                     np.add.at(from_query, at, theirs[to])
                     blind = (probed[to] != home[at, None]).all(1)  # these do not look where the query lies
@@ -239,31 +240,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int | None = PR
     workers(spark)
     all_, units = only(vectors, vec_id="long"), _units(vectors)
     reps = _classes(units)
-    counts = {r["n"]: r["count"] for r in reps.groupBy(F.size("unit").alias("n")).count().collect()}
+    counts = {r["n"]: r["count"] for r in reps.groupBy(F.size("vector").alias("n")).count().collect()}
     if not counts:
         return all_.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     index = spark.sparkContext.broadcast(_indices(reps, counts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = pc.list_value_length(whole.column("unit")).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(whole.column("vector")).to_numpy(zero_copy_only=False)
             for n in np.unique(size):
                 mine = whole.filter(pa.array(size == n))
                 first, model = index.value[int(n)]
                 for at in range(0, mine.num_rows, 1024):
                     b = mine.slice(at, 1024)
-                    if model:
-                        x = _matrix(b.column("unit"))
-                        (own, codes, error), probed = model.encode(x), model.probes(x, probes)
-                    else:
-                        own, codes, error, probed = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 1), np.uint8), np.zeros(b.num_rows), np.zeros((b.num_rows, 1), np.int64)
+                    x = _matrix(b.column("vector"))
+                    x = x / _norm(x)[:, None]
+                    (own, codes, error), probed = model.encode(x), model.probes(x, probes)
                     lists = pa.array(list((probed + first).astype(np.int32)), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), b.column("many"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "unit", "many", "list", "codes", "error", "probes"])
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vector"), b.column("many"), pa.array((own + first).astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), lists], names=["vec_id", "vector", "many", "list", "codes", "error", "probes"])
 
     # written, so that both sides of the search read the same lists
-    coded = keep(reps.mapInArrow(lean(encode), "vec_id long, unit array<double>, many long, list int, codes binary, error double, probes array<int>"))
+    coded = keep(reps.mapInArrow(lean(encode), "vec_id long, vector array<double>, many long, list int, codes binary, error double, probes array<int>"))
     drop(reps)
-    asked = coded.select("vec_id", "unit", "many", F.col("list").alias("home"), F.explode("probes").alias("list"))
+    asked = coded.select("vec_id", "vector", "many", F.col("list").alias("home"), F.explode("probes").alias("list"))
 
     def shares(df: DataFrame, most: int):
         """In how many shares a row's list is cut; at most as many lists as centres."""
@@ -286,7 +285,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int | None = PR
     if named.where("many > 1").isEmpty():
         each = named.select("id", "n", "comp")
     else:  # each vector by its class's smallest
-        size = F.size("unit")
+        size = F.size("vector")
         reps = units.groupBy("d1", "d2", size.alias("size")).agg(F.min("vec_id").alias("rep"))
         each = units.select("vec_id", "d1", "d2", size.alias("size")).join(reps, ["d1", "d2", "size"]).select(F.col("vec_id").alias("id"), "rep")
         each = each.join(named.select(F.col("id").alias("rep"), "n", "comp"), "rep").select("id", "n", "comp")

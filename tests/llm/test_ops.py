@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -81,9 +82,7 @@ def test_near_vectors(spark, monkeypatch):
 
 
 def test_near_vectors_of_all_dimensions(spark, monkeypatch):
-    monkeypatch.setattr(pq, "FEW", 100, raising=False)  # 16 components are indexed, 24 are one list
     monkeypatch.setattr(pq, "LIST", 4)
-    monkeypatch.setattr(pq, "PROBES", 1)  # many links are found from one end alone
     rng = np.random.default_rng(4)
     rows, want = [], {}
     for n, size, spread in ((16, 200, 0.08), (24, 60, 0.05)):
@@ -91,14 +90,30 @@ def test_near_vectors_of_all_dimensions(spark, monkeypatch):
         ids = list(range(len(rows), len(rows) + size))
         rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
         want |= links_of(ids, x)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert all(got[i] == want[i] for i in range(200, 260)) and any(n for n, _ in want.values())
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(df, probes=None).collect()} == want and any(n for n, _ in want.values())
+    # with one probe many links are found from one end alone
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(df, probes=1).collect()}
     # an end's links are those of its component: with both ends counted the sum is even, and no linked vector has none
     assert sum(n for n, _ in got.values()) % 2 == 0 and all(got[i][0] for i in got if sum(c == got[i][1] for _, c in got.values()) > 1)
 
 
-def test_near_vectors_of_large_groups_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(pq, "FEW", 20)
+def test_near_vectors_at_the_threshold(spark):
+    """Integer pairs whose cosine is exactly nine tenths are links, those a hair below are none."""
+    exact = [([1, 0, 0, 0, 0], [9, 3, 3, 1, 0]), ([0, 0, 3, 0, 0], [1, 1, 9, 4, 1]), ([0, 2, 0, 0, 0], [3, 18, 3, 0, 5]), ([10, 0, 0, 0, 0], [18, 6, 6, 2, 0])]
+    for a, b in exact:
+        short = [float(b[0]), *map(float, b[1:])]
+        hair = [x * (1 - 1e-12) if y else x for x, y in zip(short, a, strict=True)]
+        rows = [(1, [float(x) for x in a]), (2, short), (3, hair)]
+        got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        x = np.array([r[1] for r in rows])
+        cos = lambda u, v: float((u * v).sum() / (np.sqrt((u * u).sum()) * np.sqrt((v * v).sum())))
+        assert got[1][0] == (cos(x[0], x[1]) >= 0.9) + (cos(x[0], x[2]) >= 0.9) and got[1][1] == 1, (a, b)
+    both = [(i, [float(v) for v in e]) for i, e in enumerate(([1, 0, 0, 0, 0], [9, 3, 3, 1, 0]))]
+    assert [(r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(both, "vec_id long, embedding array<double>")).collect()] == [(1, 0), (1, 0)]
+
+
+def test_near_vectors_of_large_groups_of_copies(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 120, 0), rng.normal(size=(60, 8))])
     x[120:140] = x[0] + 0.05 * rng.normal(size=(20, 8))
@@ -110,7 +125,6 @@ def test_near_vectors_of_large_groups_of_copies(spark, monkeypatch):
 @pytest.mark.parametrize("probes", [pq.PROBES, None])
 def test_recall_of_hard_neighbours(spark, monkeypatch, probes):
     """Pairs whose cosine is hardly over the least one, in lists of few vectors; with all probes nothing is lost."""
-    monkeypatch.setattr(pq, "FEW", 100)
     monkeypatch.setattr(pq, "LIST", 40)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(1500, 32))
@@ -730,6 +744,18 @@ def test_personal_odd(spark, odd, empty):
     assert out.columns == odd.columns and out.where("text like '%[EMAIL]'").count() == 1 and pii.detect(empty).count() == 0
 
 
+def test_long_secrets_and_addresses():
+    """Whatever their length, to their end; and a text of many keys in time that grows with it."""
+    assert list(pii.proposals("api_key=" + "a1" * 5000)) == [("secret", 8, 10_008, 1)]
+    (spelt,) = pii.proposals("b" * 300 + " (at) " + "c" * 100 + " (dot) d" * 9)
+    assert spelt == ("email", 0, 300 + 6 + 100 + 72, 1)
+    between = "K1" * 20 + " token=abcdefgh " + "Q2" * 20 + " pwd: 'xyz123' " + "R3" * 20
+    assert [(a, b) for _, a, b, _ in pii.proposals(between)] == [(0, 40), (47, 55), (56, 96), (103, 109), (111, 151)]
+    began = time.time()
+    assert len(pii.spans("".join(f"password: hunter{i:06d} and key AKIA{i:032d}\n" for i in range(20_000)))) == 40_000
+    assert time.time() - began < 10
+
+
 def test_looser_spans_are_learned(spark):
     good = [(i, f"mail bob{i}@site.com or call +1 (555) 123-456{i % 10} now") for i in range(50)]
     rows = [*good, (100, "mail ann (at) site (dot) org today"), (101, "call (555) 123-4567 today"), (102, "order no. 1234567890123456 version 1.2.3.999")]
