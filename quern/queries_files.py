@@ -12,7 +12,7 @@ from .functions import messages
 from .operators import select, validate
 from .plans import commands
 from .queries import _CHECKED, _chats, _lines, _query, _t
-from .sources import readers, sinks
+from .sources import quoted, readers, sinks
 from .streaming import snapshots
 
 
@@ -34,6 +34,21 @@ def csv_scan(spark, sf_dir):
     return readers.recipes_csv(spark, path)
 
 
+_COMMENT = "'said \"' || l_returnflag || '\", ' || l_partkey || CASE WHEN l_suppkey % 3 = 0 THEN chr(10) || '\"' || l_quantity::INT || chr(10) ELSE ', \"\"' END || ' é'"
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, {_COMMENT} AS note, CASE WHEN l_linenumber <> 2 THEN l_suppkey END AS supplier FROM lineitem")
+def csv_blocks(spark, sf_dir):
+    """Lines of orders with remarks that hold line breaks, commas and quotes, in files that are read in many blocks."""
+    path, k = scratch(spark), F.col("l_suppkey")
+    broken = F.when(k % 3 == 0, F.concat(F.lit('\n"'), F.col("l_quantity").cast("int").cast("string"), F.lit("\n"))).otherwise(F.lit(', ""'))
+    note = F.concat(F.lit('said "'), "l_returnflag", F.lit('", '), F.col("l_partkey").cast("string"), broken, F.lit(" é"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", note.alias("note"), F.when(F.col("l_linenumber") != 2, k).alias("supplier"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    got = quoted.scan(spark, path, block=1 << 18)
+    return got.select(F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), "note", F.col("supplier").cast("bigint").alias("supplier"))
+
+
 @_query("""SELECT 'part-' || printf('%05d', (c_custkey % 3)::INT) AS file, count(*)::BIGINT AS n, max(r)::BIGINT AS last, sum(r)::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS r FROM customer) GROUP BY 1""")
 def numbered_lines(spark, sf_dir):
     """Lines of three files; the numbers must be each file's own, whatever blocks it is read in."""

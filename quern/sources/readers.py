@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_json, strip
+from . import quoted
 
 
 class MissingColumns(ValueError):
@@ -42,11 +43,13 @@ def resolve(columns: list[str], wanted: dict[str, tuple[str, ...]] = RECIPE_COLU
     return got
 
 
-def recipes_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The wanted columns of a recipe CSV as strings; NA tokens are null, broken lines are dropped."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
+def recipes_csv(spark: SparkSession, path: str, block: int = quoted.BLOCK) -> DataFrame:
+    """The wanted columns of a recipe CSV as strings; NA tokens are null, records with too many fields are dropped. Files of any size are
+    read in blocks, cells with line breaks and all."""
+    found = resolve(quoted.header(spark, path))
+    raw = quoted.scan(spark, path, list(dict.fromkeys(c for c in found.values() if c)), block)
     col = lambda c: F.when(~F.col(f"`{c}`").isin(*NA), F.col(f"`{c}`")) if c else F.lit(None).cast("string")
-    return raw.select(*[col(c).alias(n) for n, c in resolve(raw.columns).items()])
+    return raw.select(*[col(c).alias(n) for n, c in found.items()])
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
