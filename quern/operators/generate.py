@@ -1,12 +1,18 @@
-"""External model steps as pluggable partition functions. The default provider is a deterministic mock."""
+"""External model steps as pluggable partition functions. The default provider is a deterministic mock.
+
+Each task keeps a bounded number of calls in flight, gives every call a deadline, hands rows on as calls end, and cancels
+what is still running when it stops.
+"""
 
 from __future__ import annotations
 
+import queue
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +20,28 @@ from ..common import importable
 from ..functions.prompts import judge_messages
 from ..functions.text import json_object, optional_float
 
-#: Takes a list of (system, user, max_tokens), returns texts or raises.
+#: Takes a list of (system, user, max_tokens), returns texts or raises. It may look at :func:`cancelled` now and then.
 Provider = Callable[[list[tuple[str, str, int]]], list[str]]
 
+#: Calls of a task in flight, seconds for each.
+IN_FLIGHT, TIMEOUT = 16, 240.0
+#: Rows are handed on when so many are done, or after so many seconds.
+HAND_ON, PAUSE = 256, 1.0
+
+_call = threading.local()
+
+
+class Cancelled(RuntimeError):
+    pass
+
+
+def cancelled() -> threading.Event:
+    """Set when nobody waits for the running call any more (its time is up, or its task ends)."""
+    if not hasattr(_call, "event"):
+        _call.event = threading.Event()
+    return _call.event
+
+
 # Parts of messages of errors that are worth another try.
 RETRYABLE = ("502", "503", "504", "429", "bad gateway", "service unavailable", "gateway timeout", "rate limit", "too many requests", "connection", "timeout", "reset")
 
@@ -27,41 +52,120 @@ def mock(requests: list[tuple[str, str, int]]) -> list[str]:
     return [body.format("Keep as is.") for _ in requests]
 
 
-def with_retry(provider: Provider, tries: int = 3, base: float = 5.0, most: float = 60.0, sleep=time.sleep) -> Provider:
-    """Try again with doubling, jittered waits where the error looks passing."""
+def with_retry(provider: Provider, tries: int = 3, base: float = 5.0, most: float = 60.0, sleep=None) -> Provider:
+    """Try again with doubling, jittered waits where the error looks passing. A cancelled call neither waits nor tries again."""
 
     def call(requests):
+        over = cancelled()
+        pause = sleep or over.wait
         for k in range(tries):
+            if over.is_set():
+                raise Cancelled("call cancelled by caller")
             try:
                 return provider(requests)
             except Exception as e:
                 if k + 1 == tries or not any(t in str(e).lower() for t in RETRYABLE):
                     raise
-                sleep(min(most, base * 2**k) * (1 + random.random() / 4))
+                pause(min(most, base * 2**k) * (1 + random.random() / 4))
         return []
 
     return call
 
 
-def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32) -> DataFrame:
+class Calls:
+    """Calls in flight, each in a thread of its own (a hanging one keeps no other from its turn)."""
+
+    def __init__(self, provider: Provider, timeout: float):
+        self.provider, self.timeout = provider, timeout
+        self.done: queue.SimpleQueue = queue.SimpleQueue()
+        self.running: dict[int, tuple[float, threading.Event, object]] = {}
+        self.started = 0
+
+    def start(self, requests: list[tuple[str, str, int]], what) -> None:
+        key, over = self.started, threading.Event()
+        self.started += 1
+
+        def run():
+            _call.event = over
+            try:
+                self.done.put((key, self.provider(requests), None))
+            except BaseException as e:
+                self.done.put((key, None, str(e)))
+
+        self.running[key] = (time.monotonic() + self.timeout, over, what)
+        threading.Thread(target=run, daemon=True).start()
+
+    def wait(self, most: float) -> Iterator[tuple[object, list[str] | None, str | None]]:
+        """(what, texts, error) of the calls that end, or whose time is up, within ``most`` seconds; waits for one at least."""
+        until = time.monotonic() + most
+        first = min((t for t, _, _ in self.running.values()), default=until)
+        try:
+            key, texts, error = self.done.get(timeout=max(0.0, min(until, first) - time.monotonic()))
+            while True:
+                if key in self.running:  # else its time was up before
+                    yield self.running.pop(key)[2], texts, error
+                key, texts, error = self.done.get_nowait()
+        except queue.Empty:
+            pass
+        now = time.monotonic()
+        for key in [k for k, (t, _, _) in self.running.items() if t <= now]:
+            _, over, what = self.running.pop(key)
+            over.set()
+            yield what, None, f"timeout after {self.timeout:g} seconds"
+
+    def cancel(self) -> None:
+        for _, over, _ in self.running.values():
+            over.set()
+
+
+def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32, in_flight: int = IN_FLIGHT, timeout: float = TIMEOUT) -> DataFrame:
     """``df`` (system, user, max_tokens and others) with ``output`` and ``error``: one of them is null.
 
-    Filters belong before this step: Catalyst does not move them across it. A task asks for ``batch`` rows at a time.
+    Filters belong before this step: Catalyst does not move them across it. A call asks for ``batch`` rows; a task has up to ``in_flight``
+    calls running and reads on only as they end. A call that takes over ``timeout`` seconds, or answers for another number of rows, gives
+    error rows. Rows come out in the order in which calls end.
     """
     importable(df.sparkSession)
     out = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("output", "error")]).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for at in range(0, len(whole), batch):
-                f = whole.iloc[at : at + batch].copy()
-                try:
-                    f["output"], f["error"] = provider(list(zip(f["system"], f["user"], f["max_tokens"], strict=True))), None
-                except Exception as e:  # the row says what went wrong; the job goes on
-                    f["output"], f["error"] = None, str(e)
-                yield f
-
-    return df.mapInPandas(run, out)
+    at = [df.columns.index(c) for c in ("system", "user", "max_tokens")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls, ready, held = Calls(provider, timeout), [], 0
+        last = time.monotonic()
+        chunks = (b.slice(i, batch) for b in batches for i in range(0, b.num_rows, batch))
+
+        def finished(rows: pa.RecordBatch, texts, error) -> pa.RecordBatch:
+            n = rows.num_rows
+            if error is None and len(texts) != n:
+                texts, error = None, f"{len(texts)} answers to {n} requests"
+            both = pa.array(texts if texts is not None else [None] * n, pa.string()), pa.array([error] * n, pa.string())
+            return pa.RecordBatch.from_arrays([*rows.columns, *both], names=[*rows.schema.names, "output", "error"])
+
+        def hand_on():
+            table = pa.Table.from_batches(ready).combine_chunks()
+            ready.clear()
+            return table.to_batches()
+
+        try:
+            more = True
+            while more or calls.running:
+                while more and len(calls.running) < in_flight:
+                    if (rows := next(chunks, None)) is None:
+                        more = False
+                    else:
+                        calls.start(list(zip(*(rows.column(i).to_pylist() for i in at), strict=True)), rows)
+                for rows, texts, error in calls.wait(PAUSE) if calls.running else ():
+                    ready.append(finished(rows, texts, error))
+                    held += rows.num_rows
+                if ready and (held >= HAND_ON or time.monotonic() - last > PAUSE):
+                    yield from hand_on()
+                    held, last = 0, time.monotonic()
+            if ready:
+                yield from hand_on()
+        finally:
+            calls.cancel()
+
+    return df.mapInArrow(run, out)
 
 
 # The reply of a judge in a dry run.
