@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +81,7 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     names = df.columns
     keyed = df.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
-    parts = keyed.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 2, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    parts = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
     parts = keep(parts.select(*names, "_p", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)).alias("_r")))
     before = parts.groupBy("_p").agg(F.count("*").alias("n"))
     shift = before.select("_p", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_s"))
@@ -106,6 +109,33 @@ def until_target(df: DataFrame, kept: Column, target: int, *order: Column) -> Da
     return ranked.crossJoin(F.broadcast(last)).where((F.col("n") < target) | (F.col("rank") <= F.col("last"))).drop("_kept", "last", "n", "rank")
 
 
+def in_waves(df: DataFrame, work, kept: Column, target: int, *order: Column, first: int | None = None, spare: float = 1.1) -> DataFrame:
+    """What :func:`until_target` keeps of ``work(df)``, without doing the work on rows behind the target.
+
+    ``work`` takes rows of ``df`` with their ``rank`` and gives them back, changed but one for one, with whatever ``kept`` needs. Rows go
+    through it in waves by rank. The first has ``first`` rows (the target by default); each next one as many as should reach the
+    target by the share kept so far, and ``spare`` times that, at most four times the last. A wave's results are written before the next one
+    begins, so nothing is done twice, and rows of the last wave behind the target are cut off.
+    """
+    ranked = global_rank(df, *order)
+    total, done, have, size, waves = ranked.count(), 0, 0, first or target, []
+    while done < total and have < target:
+        end = min(total, done + max(1, size))
+        part = work(ranked.where((F.col("rank") > done) & (F.col("rank") <= end)))
+        wave = keep(part.withColumn("_kept", F.coalesce(kept, F.lit(False))))
+        got = wave.where("_kept").count()
+        if have + got >= target:
+            last = wave.where("_kept").orderBy("rank").select("rank").limit(target - have).agg(F.max("rank")).first()[0] if target > have else done
+            wave = wave.where(F.col("rank") <= last)
+        waves.append(wave)
+        share = (have + got) / end
+        size = min(4 * (end - done), math.ceil((target - have - got) / share * spare) if share else 4 * (end - done))
+        done, have = end, have + got
+    if not waves:
+        return work(ranked.limit(0)).drop("rank")
+    return functools.reduce(DataFrame.unionAll, waves).drop("_kept", "rank")
+
+
 def unseen(pool: DataFrame, *done: DataFrame, key: str = "id") -> DataFrame:
     """``pool`` without the rows whose key is in any of ``done`` (resume)."""
     seen = None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import Vocabulary
 from ..operators import audit, decide, evals, pairwise, validate
+from ..operators import generate as calls
 from ..sources import readers, sinks
 from ..streaming import snapshots
 from . import curation
@@ -44,11 +45,16 @@ def ingest(spark: SparkSession, a) -> int:
 
 
 def generate(spark: SparkSession, a) -> int:
-    """Scored candidates of a pool; with --resume those that are not done."""
+    """Scored candidates of a pool, up to --target-pairs kept ones; with --resume those that are not done, counting the kept ones there are."""
     lexicon = readers.lexicon(spark, a.lexicon)
     vocabulary = readers.vocabulary(spark, a.vocabulary) if a.vocabulary else Vocabulary()
-    done = (spark.read.json(a.out).select(F.col("id").cast("string").alias("id")),) if a.resume else ()
-    scored = curation.run_generation(spark.read.parquet(a.pool), lexicon, vocabulary, readers.document(spark, a.systems), done=done)
+    pool, systems, limits = spark.read.parquet(a.pool), readers.document(spark, a.systems), {"in_flight": a.concurrency, "timeout": a.timeout}
+    have = readers.routed(spark, a.out, f"id {dict(pool.dtypes)['id']}")
+    done, kept = ((have,), have.where("kept").count()) if a.resume else ((), 0)
+    if a.target_pairs is None:
+        scored = curation.run_generation(pool, lexicon, vocabulary, systems, done=done, **limits)
+    else:
+        scored = curation.generate_until(pool, lexicon, vocabulary, systems, max(0, a.target_pairs - kept), done, a.seed, **limits)
     sinks.routed(scored, a.out, a.resume)
     return OK
 
@@ -155,7 +161,7 @@ def parser() -> argparse.ArgumentParser:
 
     number = lambda kind, default: {"type": kind, "default": default}
     command(ingest, ("csv",), ("out",), ("--lexicon",), ("--shares", {"default": None}), ("--target-size", number(int, 2400)), ("--seed", number(int, 42)))
-    command(generate, ("pool",), ("out",), ("--lexicon",), ("--systems",), ("--vocabulary", {"default": None}), ("--resume", {"action": "store_true"}))
+    command(generate, ("pool",), ("out",), ("--lexicon",), ("--systems",), ("--vocabulary", {"default": None}), ("--resume", {"action": "store_true"}), ("--target-pairs", number(int, None)), ("--concurrency", number(int, calls.IN_FLIGHT)), ("--timeout", number(float, calls.TIMEOUT)), ("--seed", number(int, 42)))
     command(gate, ("--master",))
     command(export, ("out",), ("--master",), ("--valid-fraction", number(float, 0.1)), ("--seed", number(int, 42)))
     command(check_gate, ("report",), ("--target-kept-rows", number(int, 1200)))

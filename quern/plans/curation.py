@@ -37,7 +37,7 @@ def score(rows: DataFrame, lexicon: Lexicon, vocabulary: scoring.Vocabulary) ->
     return scored.withColumn("kept", F.col("reject_reason").isNull())
 
 
-def run_generation(pool: DataFrame, lexicon: Lexicon, vocabulary: scoring.Vocabulary, systems: dict[str, str], provider: generate.Provider = generate.mock, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+def run_generation(pool: DataFrame, lexicon: Lexicon, vocabulary: scoring.Vocabulary, systems: dict[str, str], provider: generate.Provider = generate.mock, done: tuple[DataFrame, ...] = (), in_flight: int = generate.IN_FLIGHT, timeout: float = generate.TIMEOUT) -> DataFrame:
     """Scored candidates of a pool: resume, pre-filter, prompt, model, parse, score. Cheap filters come before the model."""
     todo = select.unseen(pool, *done)
     why = by_constraint(lexicon, lambda c: scoring.prefilter_reason(F.col("title"), F.col("ingredients"), F.col("steps"), F.col("violations"), lexicon, c))
@@ -46,11 +46,19 @@ def run_generation(pool: DataFrame, lexicon: Lexicon, vocabulary: scoring.Vocabu
     go = go.withColumn("richness_tier", hashing.richness(F.col("id"), F.col("target_restriction")))
     user = prompts.user_prompt(F.col("template_id"), F.col("title"), F.col("ingredients"), F.col("steps"), F.col("target_restriction"), F.col("cuisine"), F.col("flavor_notes"))
     go = go.withColumn("user", user).withColumn("system", prompts.by_tier(F.col("richness_tier"), systems)).withColumn("max_tokens", prompts.by_tier(F.col("richness_tier"), prompts.BUDGET))
-    scored = score(generate.call_model(go, provider), lexicon, vocabulary)
+    scored = score(generate.call_model(go, provider, in_flight=in_flight, timeout=timeout), lexicon, vocabulary)
     scored = scored.withColumn("messages", prompts.export_messages(prompts.chat(F.col("system"), F.col("user")), F.col("parsed")))
     return scored.unionByName(stop.withColumn("kept", F.lit(False)), allowMissingColumns=True)
 
 
+def generate_until(pool: DataFrame, lexicon: Lexicon, vocabulary: scoring.Vocabulary, systems: dict[str, str], target: int, done: tuple[DataFrame, ...] = (), seed: int = 42, **calls) -> DataFrame:
+    """:func:`run_generation` of candidates in shuffled order up to the one with which ``target`` are kept; the model is asked in waves, so
+    hardly for more."""
+    todo = select.unseen(pool, *done)
+    work = lambda rows: run_generation(rows, lexicon, vocabulary, systems, **calls)
+    return select.in_waves(todo, work, F.col("kept"), target, select.shuffled(F.col("id"), seed), F.col("id"))
+
+
 def gate(scored: DataFrame) -> DataFrame:
     s = F.col("scores")
     rows = scored.select("kept", s["constraint_pass"].alias("constraint_pass"), s["semantic_completeness_pass"].alias("semantic_pass"), (F.size(s["completeness_failures"]) == 0).alias("complete"), s["relevance_score"].alias("relevance"), s["nontriviality_score"].alias("nontriviality"), F.col("template_id").alias("template"))

@@ -266,6 +266,23 @@ def generation(spark, sf_dir):
     return done.groupBy("template").agg(F.count("*").alias("n"), F.count("output").alias("answered"), F.count("error").alias("failed"), F.max("max_tokens").alias("most"))
 
 
+def _third(requests):
+    """A provider whose answer hangs on the request alone: yes for about a third."""
+    import hashlib
+
+    return ["yes" if int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % 3 == 0 else "no" for _, u, _ in requests]
+
+
+@_query("""WITH a AS (SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('order ' || o_orderkey), 1, 8))::BIGINT % 3 = 0 THEN 'yes' ELSE 'no' END AS output, row_number() OVER (ORDER BY md5('11:' || o_orderkey), o_orderkey) AS r FROM orders),
+s AS (SELECT *, sum((output = 'yes')::INT) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) - (output = 'yes')::INT AS before FROM a)
+SELECT o_orderkey, output FROM s WHERE before < 400""")
+def target_waves(spark, sf_dir):
+    """Orders in shuffled order up to the 400th that a model accepts; it is asked in waves, several calls at a time."""
+    ask = lambda rows: generate.call_model(rows.withColumns({"system": F.lit("s"), "user": F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "max_tokens": F.lit(8)}), _third, batch=8)
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey")
+    return select.in_waves(orders, ask, F.col("output") == "yes", 400, select.shuffled(F.col("o_orderkey"), 11), F.col("o_orderkey")).select("o_orderkey", "output")
+
+
 def _half(requests):
     """A provider that fails for every batch whose first user text has an even length."""
     if len(requests[0][1]) % 2 == 0:

@@ -103,6 +103,22 @@ def pool(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFram
     return spark.read.schema(f"recipes array<{schema}>").option("multiLine", True).json(path).select(F.explode("recipes").alias("r")).select("r.*")
 
 
+def committed(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of a routed table's committed batches."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {int(f.getPath().getName()) for f in files.listStatus(log) if f.getPath().getName().isdigit()} if files.exists(log) else set()
+
+
+def routed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the committed batches of a table that :func:`sinks.routed` has written, with ``kept`` and ``batch``."""
+    have = sorted(committed(spark, path))
+    schema = f"{schema}, kept boolean, batch int"
+    if not have:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).json([f"{path}/batch={n}" for n in have])
+
+
 def number_log(spark: SparkSession, path: str) -> DataFrame:
     """value: one number per line; what is no number is skipped."""
     return spark.read.text(path).select(strip(F.col("value")).try_cast("double").alias("value")).where("value is not null")

@@ -47,10 +47,39 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite", ascii_only: bool =
     df.write.mode(mode).option("writeNonAsciiCharacterAsCodePoint", str(ascii_only).lower()).json(path)
 
 
-def routed(scored: DataFrame, path: str, resume: bool = False) -> None:
-    """Kept and rejected rows to folders of one table; rejected ones always carry their reason."""
+class Committed(RuntimeError):
+    """Another run has committed a batch of this number."""
+
+
+def routed(scored: DataFrame, path: str, resume: bool = False, batch: int | None = None) -> int:
+    """Kept and rejected rows (which always carry their reason) to a table of batches; returns the batch's number.
+
+    A batch is a folder of its own, and counts once its mark lies in the log beside the data: what a failed run has written is
+    not read (:func:`readers.routed`), and is overwritten by the run that repeats the batch. ``batch`` names one that may be
+    repeated (as a stream's batch id does): once committed, nothing is written again. Without it the next free number is taken. With
+    ``resume`` batches are added, else the table begins anew.
+    """
+    from .readers import committed
+
+    spark = scored.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not resume:
+        files.delete(top, True)
+    have = committed(spark, path)
+    if batch in have:
+        return batch
+    number = batch if batch is not None else max(have, default=-1) + 1
     rows = scored.withColumn("reject_reason", F.when(~F.col("kept"), F.coalesce("reject_reason", F.lit("rejected"))))
-    rows.write.mode("append" if resume else "overwrite").partitionBy("kept").json(path)
+    rows.write.mode("overwrite").partitionBy("kept").json(f"{path}/batch={number}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{number}")
+    try:
+        files.create(mark, False).close()
+    except Exception as e:
+        if batch is None:
+            raise Committed(f"{path}: batch {number}") from e
+        raise
+    return number
 
 
 def export_messages(rows: DataFrame, path: str) -> None:
