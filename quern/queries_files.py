@@ -13,7 +13,7 @@ from .operators import select, validate
 from .plans import commands
 from .queries import _CHECKED, _chats, _lines, _query, _t
 from .sources import quoted, readers, sinks
-from .streaming import snapshots
+from .streaming import jobs, snapshots
 
 
 def _strings(spark, rows: list[tuple], names: str) -> DataFrame:
@@ -241,6 +241,34 @@ def snapshot_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("job_id", "status", "final")
 
 
+@_query("""WITH e AS (SELECT user_id::VARCHAR AS job_id, date_trunc('millisecond', ts) AS seen, CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 9 = 0 THEN 'success' ELSE 'running' END WHEN 'signup' THEN CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'queued' END ELSE event_type END AS status, event_id FROM events),
+n AS (SELECT *, row_number() OVER w AS k, lag(seen) OVER w AS before, lag(status) OVER w AS previous, min(seen) OVER w AS first, status IN ('success', 'failed') AS final FROM e WINDOW w AS (PARTITION BY job_id ORDER BY seen, status)),
+d AS (SELECT *, least(first + INTERVAL 20 DAY, before + to_milliseconds((1000 * least(259200, 43200 * 1.5 ** (k - 2)))::BIGINT)) AS due FROM n),
+l AS (SELECT job_id, max(seen) AS seen, min(first) AS first, count(*) AS k, max_by(status, (seen, status)) AS status FROM n GROUP BY job_id),
+x AS (SELECT job_id, k, seen, status, previous, final, due, coalesce(seen > due, false) AS late FROM d UNION ALL
+  SELECT job_id, k + 1, NULL, NULL, status, false, least(first + INTERVAL 20 DAY, seen + to_milliseconds((1000 * least(259200, 43200 * 1.5 ** (k - 1)))::BIGINT)), true FROM l),
+s AS (SELECT job_id, min(k) AS stop FROM x WHERE late OR final GROUP BY job_id)
+SELECT job_id, epoch_ms(CASE WHEN late THEN due ELSE seen END) AS at_ms, CASE WHEN late THEN 'timeout' ELSE status END AS status, previous, (CASE WHEN late THEN 3 WHEN status = 'success' THEN 0 WHEN status = 'failed' THEN 2 END)::INT AS exit_code
+FROM x JOIN s USING (job_id) WHERE k <= stop AND (k = stop OR k = 1 OR status IS DISTINCT FROM previous)""")
+def watched_jobs(spark, sf_dir):
+    """Users as jobs, their events as snapshots in files that come out of order: changes of status, ends, and jobs that fall silent."""
+    path, e = scratch(spark), F.col("event_id")
+    kind = F.when(F.col("event_type") == "purchase", F.when(e % 9 == 0, "Success").otherwise("running")).when(F.col("event_type") == "signup", F.when(e % 9 == 0, "failed").otherwise("queued")).otherwise(F.col("event_type"))
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    events = _t(spark, sf_dir, "events")
+    rows = events.select(F.date_format("ts", iso).alias("captured_at"), e.cast("int").alias("poll_index"), kind.alias("status"), F.col("user_id").cast("string").alias("job_id"), F.lit("{}").alias("payload"))
+    rows.repartition(5, "poll_index").write.json(f"{path}/in")
+    # a snapshot far ahead moves the watermark over all that is held
+    over = events.agg(F.date_format(F.timestamp_add("DAY", F.lit(200), F.max("ts")), iso).alias("captured_at"))
+    snapshot = over.select("captured_at", F.lit(0).alias("poll_index"), F.lit("queued").alias("status"), F.lit("~").alias("job_id"), F.lit("{}").alias("payload"))
+    patience = jobs.Patience(interval=43_200, backoff=1.5, most=259_200, all_=20 * 86_400, forget=400 * 86_400)
+    for _ in range(2):  # the second run goes on from the first one's checkpoint
+        with jobs.keyed_state(spark):
+            snapshots.write(jobs.watched(snapshots.read(spark, f"{path}/in", 2), patience, "60 days"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        snapshot.coalesce(1).write.mode("append").json(f"{path}/in")
+    return spark.read.schema(jobs.OUT).parquet(f"{path}/out").where("job_id <> '~'").select("job_id", F.unix_millis("at").alias("at_ms"), "status", "previous", "exit_code")
+
+
 @_query("""SELECT * FROM (VALUES ('gate', 2), ('export', 0), ('check-gate', 0), ('check-gate refused', 2), ('preflight', 0), ('compare', 1), ('watch', 2), ('watch late', 3), ('no such file', 1)) t(command, code)""")
 def exit_codes(spark, sf_dir):
     """Commands on files made of the tables, and what they return."""
