@@ -11,8 +11,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import automaton
 from .text import literal, normal_name, strip
 
+#: Lexicons of more terms are matched by an automaton, with the same results.
+LARGE = 256
+
 
 @dataclass
 class Lexicon:
@@ -26,6 +30,13 @@ class Lexicon:
         cut = (p.partition("(")[0].strip() if self.mode == "stripped" else p for p in self.false_positives)
         return [p.lower() for p in cut if p]
 
+    @property
+    def large(self) -> bool:
+        return sum(map(len, self.terms.values())) > LARGE
+
+    def place(self, constraint: str) -> int:
+        return list(self.terms).index(constraint)
+
     def ordered(self, constraint: str) -> list[str]:
         """Longest first; equals as given."""
         return sorted(self.terms.get(constraint, []), key=len, reverse=True)
@@ -64,6 +75,8 @@ def violations(items: Column, lexicon: Lexicon, constraint: str) -> Column:
     if not terms:
         return none
     start = F.struct(F.array().cast("array<string>").alias("seen"), none.alias("hits"))
+    if lexicon.large:
+        return _violations_by_hits(items, automaton.item_terms(F.transform(items, F.lower), lexicon.terms, lexicon.phrases()), lexicon, constraint)
 
     def step(acc: Column, item: Column) -> Column:
         low = F.lower(item)
@@ -78,10 +91,29 @@ def violations(items: Column, lexicon: Lexicon, constraint: str) -> Column:
     return F.when(any_, F.aggregate(items, start, step, lambda acc: acc["hits"])).otherwise(none)
 
 
+def _violations_by_hits(items: Column, found: Column, lexicon: Lexicon, constraint: str) -> Column:
+    """:func:`violations` from what an automaton has found in each item: the fold meets hits alone."""
+    none = F.array().cast("array<struct<ingredient:string,reason:string,term:string>>")
+    start = F.struct(F.array().cast("array<string>").alias("seen"), none.alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.filter(x["terms"], lambda t: (t["constraint"] == constraint) & ~F.array_contains(acc["seen"], t["term"]))
+        term = F.try_element_at(fresh, F.lit(1))["term"]
+        hit = F.struct(strip(x["item"]).alias("ingredient"), reason(lexicon, constraint, x["item"]).alias("reason"), term.alias("term"))
+        return F.when(term.isNotNull(), F.struct(F.array_append(acc["seen"], term).alias("seen"), F.array_append(acc["hits"], hit).alias("hits"))).otherwise(acc)
+
+    folded = F.aggregate(F.zip_with(items, found, lambda i, t: F.struct(i.alias("item"), t.alias("terms"))), start, step, lambda acc: acc["hits"])
+    return F.coalesce(folded, none)
+
+
 def all_violations(df: DataFrame, items: str, lexicon: Lexicon) -> DataFrame:
     """A row for each row and constraint with a violation: ``constraint``, its ``rank``, ``violations``."""
-    each = F.array(*[F.struct(F.lit(c).alias("constraint"), F.lit(i).alias("rank"), violations(F.col(items), lexicon, c).alias("violations")) for i, c in enumerate(lexicon.terms)])
-    out = df.withColumn("_v", F.explode(F.filter(each, lambda x: F.size(x["violations"]) > 0)))
+    of, source = (lambda c: violations(F.col(items), lexicon, c)), df
+    if lexicon.large:  # one scan for all constraints
+        source = df.withColumn("_found", automaton.item_terms(F.transform(items, F.lower), lexicon.terms, lexicon.phrases()))
+        of = lambda c: _violations_by_hits(F.col(items), F.col("_found"), lexicon, c)
+    each = F.array(*[F.struct(F.lit(c).alias("constraint"), F.lit(i).alias("rank"), of(c).alias("violations")) for i, c in enumerate(lexicon.terms)])
+    out = source.withColumn("_v", F.explode(F.filter(each, lambda x: F.size(x["violations"]) > 0)))
     return out.select(*df.columns, "_v.*")
 
 
@@ -101,6 +133,8 @@ def passes(text: Column, lexicon: Lexicon, constraint: str) -> Column:
     if not lexicon.pattern(constraint):
         return F.lit(1)
     low = F.lower(text)
+    if lexicon.large:
+        return (automaton.counts(low, lexicon.terms, lexicon.phrases())[lexicon.place(constraint)] == 0).cast("int")
     active = F.greatest(*[F.contains(low, F.lit(p)) for p in lexicon.phrases()], F.lit(False)) if lexicon.phrases() else F.lit(False)
     plain = ~F.rlike(low, F.lit(lexicon.pattern(constraint)))
     return F.when(active, F.size(_unshielded(low, lexicon, constraint)) == 0).otherwise(plain).cast("int")
@@ -108,6 +142,8 @@ def passes(text: Column, lexicon: Lexicon, constraint: str) -> Column:
 
 def occurrences(text: Column, lexicon: Lexicon, constraint: str) -> Column:
     """How often banned terms occur in the text."""
+    if lexicon.large and lexicon.pattern(constraint):
+        return automaton.counts(F.lower(text), lexicon.terms, lexicon.phrases())[lexicon.place(constraint)]
     return F.size(_unshielded(F.lower(text), lexicon, constraint)) if lexicon.pattern(constraint) else F.lit(0)
 
 
@@ -147,6 +183,9 @@ def coverage(items: DataFrame, lexicon: Lexicon, signals: dict[str, list[str]],
     terms match, how many hold one of its signals but no term, and the first of those."""
     distinct = items.select(strip(F.lower("item")).alias("item")).where("item <> ''").distinct()
     hit = lambda c: F.rlike("item", F.lit(lexicon.pattern(c))) if lexicon.pattern(c) else F.lit(False)
+    if lexicon.large:
+        distinct = distinct.withColumn("_n", automaton.counts(F.col("item"), lexicon.terms, []))
+        hit = lambda c: F.col("_n")[lexicon.place(c)] > 0
     sign = lambda c: F.greatest(*[F.contains("item", F.lit(s)) for s in signals.get(c, [])], F.lit(False)) if signals.get(c) else F.lit(False)
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("constraint"), hit(c).alias("hit"), (sign(c) & ~hit(c)).alias("gap")) for c in lexicon.terms]))
     rows = distinct.select("item", each.alias("x")).select("item", "x.*")

@@ -252,6 +252,25 @@ def _items_of(spark, sf_dir) -> DataFrame:
     return _items(spark, sf_dir).select("id", "items")
 
 
+# --- large lexicons ----------------------------------------------------------------------------------------------------
+
+_WORDS = "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+"
+
+
+@_query(f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS w FROM documents),
+term AS (SELECT w, min(lang) AS c FROM w WHERE length(w) > 3 AND lang IS NOT NULL GROUP BY w ORDER BY md5(w), w LIMIT 10000),
+n AS (SELECT doc_id, c, count(*)::INT AS n FROM w JOIN term USING (w) GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(max(n) FILTER (c = 'en'), 0)::INT AS en, coalesce(max(n) FILTER (c = 'fr'), 0)::INT AS fr, (coalesce(max(n) FILTER (c = 'de'), 0) = 0)::INT AS no_de FROM (SELECT * FROM documents WHERE text IS NOT NULL) d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""")
+def large_lexicon(spark, sf_dir):
+    """A lexicon of thousands of the documents' own words, by the first of their languages, against all documents."""
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), 0)).alias("w")).where("length(w) > 3 and lang is not null")
+    # a lexicon has a bounded number of terms
+    terms = words.groupBy("w").agg(F.min("lang").alias("c")).orderBy(F.md5(F.col("w").cast("binary")), "w").limit(10_000).collect()
+    known = lexicon.Lexicon({c: [r["w"] for r in terms if r["c"] == c] for c in ("en", "fr", "de", "es")})
+    return docs.select("doc_id", lexicon.occurrences(F.col("text"), known, "en").alias("en"), lexicon.occurrences(F.col("text"), known, "fr").alias("fr"), lexicon.passes(F.col("text"), known, "de").alias("no_de"))
+
+
 # --- model steps -----------------------------------------------------------------------------------------------------
 
 
