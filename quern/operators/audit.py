@@ -22,6 +22,12 @@ def cross_tab(df: DataFrame, row: str, column: str, rows: list[str], columns: li
     return frame.join(counts, row, "left").select(row, "rank", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in columns])
 
 
+def cross_totals(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Counts by both, by each, and of all in one pass. ``level`` tells what a row is (0: both, 1: a ``row``'s total, 2: a ``column``'s, 3:
+    all), as a null may also be a value."""
+    return df.cube(row, column).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
 @dataclass(frozen=True)
 class Check:
     metric: str

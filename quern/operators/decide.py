@@ -115,8 +115,8 @@ def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key", "output"), "key", "left")
 
 
-def launch_checks(facts: DataFrame) -> DataFrame:
-    """``check`` and ``status`` of what must hold before a launch, from ``facts`` (kind, name, value, other, required): one
+def launch_checks(facts: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, ``check`` and ``status`` of what must hold before a launch, from ``facts`` (kind, name, value, other, required): one
     row each.
 
     set: ``value`` is not blank; path: ``value`` says that it exists (true; a missing one that is not required warns);
@@ -136,4 +136,4 @@ def launch_checks(facts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "split", F.when(filled(v) & filled(o), passed(v != o)).otherwise(passed(yes)))
         .otherwise("SKIP")
     )
-    return facts.select(F.col("name").alias("check"), status.alias("status"))
+    return facts.select(*keep, F.col("name").alias("check"), status.alias("status"))

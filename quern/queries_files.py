@@ -197,15 +197,26 @@ def ignore_file(spark, sf_dir):
     return readers.ignore_patterns(spark, path)
 
 
-@_query("SELECT 'big recipes.csv' AS chosen, 'data.csv' AS other")
+@_query("""WITH f AS (SELECT o_orderpriority AS p, o_orderstatus = 'O' AS open, sum(strlen(o_orderkey || ',' || o_totalprice) + 1)::BIGINT AS bytes FROM (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice::BIGINT AS o_totalprice FROM orders) GROUP BY 1, 2)
+SELECT open, lower(CASE WHEN open AND p <> '5-LOW' THEN 'old recipes ' || p || '.csv' ELSE 'data ' || p || '.csv' END) AS name, bytes FROM f QUALIFY row_number() OVER (PARTITION BY open ORDER BY open AND p <> '5-LOW' DESC, bytes DESC, p) = 1""")
 def largest_csv(spark, sf_dir):
-    path = scratch(spark)
-    for name, size in (("small recipes.csv", 10), ("big Recipes.csv", 20), ("data.csv", 99), ("recipes.txt", 500)):
-        sinks.write_text(spark, f"{path}/a/{name}", "x" * size)
-    for name, size in (("data.csv", 9), ("d2.csv", 5)):
-        sinks.write_text(spark, f"{path}/b/{name}", "x" * size)
-    names = [(readers.largest_csv(spark, f"{path}/{f}") or "").rsplit("/", 1)[-1].replace("%20", " ") for f in "ab"]
-    return _strings(spark, [(names[0].lower(), names[1])], "chosen other")
+    """Orders as a CSV for each status and priority, whose sizes come from the rows; of each folder the file that a run would take."""
+    path, fs = scratch(spark), spark._jvm.org.apache.hadoop.fs
+    is_open = F.col("o_orderstatus") == "O"
+    rows = _t(spark, sf_dir, "orders").select(is_open.alias("open"), F.col("o_orderpriority").alias("p"), F.concat_ws(",", F.col("o_orderkey").cast("string"), F.bround("o_totalprice").cast("bigint").cast("string")).alias("value"))
+    rows.repartition("open", "p").write.partitionBy("open", "p").text(f"{path}/parts")
+    out, files = [], fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/parts").select("path").collect():
+        open_, p = f["path"].split("/open=")[1].split("/")[:2]
+        p = p.removeprefix("p=").replace("%20", " ")
+        name = f"old Recipes {p}.csv" if open_ == "true" and p != "5-LOW" else f"data {p}.csv"
+        files.mkdirs(fs.Path(f"{path}/{open_}"))
+        files.rename(fs.Path(f["path"].replace("%20", " ").replace("%3D", "=")), fs.Path(f"{path}/{open_}/{name}"))
+    sinks.write_text(spark, f"{path}/true/recipes.txt", "x" * 10_000_000)  # the largest, but no CSV
+    for open_ in ("true", "false"):
+        chosen = readers.largest_csv(spark, f"{path}/{open_}").replace("%20", " ")
+        out.append((open_ == "true", chosen.rsplit("/", 1)[-1].lower(), files.getFileStatus(fs.Path(chosen)).getLen()))
+    return spark.createDataFrame(out, "open boolean, name string, bytes long")
 
 
 @_query("""SELECT '| rank | name |' AS head, (SELECT count(*) FROM region)::BIGINT AS rows, true AS cut, 'N/A YES [1]' AS shown""")

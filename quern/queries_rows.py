@@ -239,11 +239,11 @@ def master_rows(spark, sf_dir):
 _REASONS = lexicon.Lexicon(LEXICON.terms, reasons={"no_metal": {"ring": "first", "bolt": "never", "rods": "long", "gear": "gears", "red ": "equal", "old ": "late"}})
 
 
-@_query(f"""WITH {_LI}, x AS (SELECT id, items[1] AS item FROM orders_of WHERE regexp_matches(items[1], '\\b(red ring|old rod|ring|rod)\\b'))
-SELECT id, CASE WHEN contains(item, 'ring') THEN 'first' WHEN contains(item, 'red ') THEN 'equal' WHEN contains(item, 'old ') THEN 'late' ELSE 'violates_no_metal' END AS reason FROM x""")
+@_query(f"""WITH {_LI}, x AS (SELECT id, unnest(items) AS item FROM orders_of)
+SELECT id, CASE WHEN contains(item, 'ring') THEN 'first' WHEN contains(item, 'red ') THEN 'equal' WHEN contains(item, 'old ') THEN 'late' ELSE 'violates_no_metal' END AS reason, count(*)::BIGINT AS n FROM x WHERE regexp_matches(item, '\\b(red ring|old rod|ring|rod)\\b') GROUP BY 1, 2""")
 def violation_reasons(spark, sf_dir):
-    rows = _items_of(spark, sf_dir).withColumn("v", lexicon.violations(F.slice("items", 1, 1), _REASONS, "no_metal"))
-    return rows.where(F.size("v") > 0).select("id", F.col("v")[0]["reason"].alias("reason"))
+    rows = _items_of(spark, sf_dir).withColumn("item", F.explode("items")).withColumn("v", lexicon.violations(F.array("item"), _REASONS, "no_metal"))
+    return rows.where(F.size("v") > 0).groupBy("id", F.col("v")[0]["reason"].alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _items_of(spark, sf_dir) -> DataFrame:
@@ -315,10 +315,10 @@ def endpoint_rows(spark, sf_dir):
     return generate.call_model(todo, _half, batch=1).select("p_partkey", generate.scored_output(F.col("output"), F.col("error")).alias("output_text"))
 
 
-@_query(f"""WITH {_LI} SELECT r.id, 'no_metal' AS "constraint", regexp_matches(array_to_string(names, '|'), '\\b(red ring|old rod|ring|rod)\\b') AS banned, n::INT AS items FROM rec r WHERE n >= 12""")
+@_query(f"""WITH {_LI} SELECT r.id, 'no_metal' AS "constraint", regexp_matches(array_to_string(names, '|'), '\\b(red ring|old rod|ring|rod)\\b') AS banned, n::INT AS items FROM rec r""")
 def pool_scan(spark, sf_dir):
-    """One constraint over the longest recipes, as a pool's first look at them."""
-    rows = _recipes(spark, sf_dir).where(F.size("items") >= 12)
+    """One constraint over all recipes, as a pool's first look at them."""
+    rows = _recipes(spark, sf_dir)
     return rows.select("id", F.lit("no_metal").alias("constraint"), (lexicon.passes(F.array_join("items", "|"), LEXICON, "no_metal") == 0).alias("banned"), F.size("items").alias("items"))
 
 
@@ -342,13 +342,18 @@ def gate_reports(spark, sf_dir):
     return decide.check_report(_t(spark, sf_dir, "nation").select(k.alias("k"), doc.alias("document")))
 
 
-_FACTS = [("set", "key", "abc", None, True), ("set", "no_key", " ", None, True), ("path", "train", "true", None, True), ("path", "valid", "false", None, True), ("path", "quick", "false", None, False), ("gate", "gate", "true", None, True), ("manifest", "manifest", '{"job": {}}', None, False),
-          ("manifest", "no_manifest", None, None, False), ("manifest", "bad_manifest", "[1]", None, True), ("split", "split", "a", " b", True), ("split", "same", "a", "a", True), ("split", "agreed", "yes", None, True), ("split", "unsaid", None, None, True)]
-
-
-@_query("""SELECT * FROM (VALUES ('key', 'PASS'), ('no_key', 'FAIL'), ('train', 'PASS'), ('valid', 'FAIL'), ('quick', 'WARN'), ('gate', 'PASS'), ('manifest', 'PASS'), ('no_manifest', 'SKIP'), ('bad_manifest', 'FAIL'), ('split', 'PASS'), ('same', 'FAIL'), ('agreed', 'PASS'), ('unsaid', 'FAIL')) t("check", status)""")
+@_query("""SELECT c_custkey, 'fact ' || c_custkey AS "check", CASE k WHEN 0 THEN CASE WHEN c_acctbal > 0 THEN 'PASS' ELSE 'FAIL' END WHEN 1 THEN CASE WHEN c_acctbal > 5000 THEN 'PASS' WHEN need THEN 'FAIL' ELSE 'WARN' END
+ WHEN 2 THEN CASE WHEN c_acctbal > 5000 THEN 'PASS' ELSE 'FAIL' END WHEN 3 THEN CASE WHEN c_acctbal < 0 THEN CASE WHEN need THEN 'FAIL' ELSE 'SKIP' END WHEN c_acctbal < 5000 THEN 'PASS' ELSE 'FAIL' END
+ WHEN 4 THEN CASE WHEN c_acctbal < 0 THEN 'FAIL' WHEN c_mktsegment <> 'BUILDING' THEN 'PASS' ELSE 'FAIL' END ELSE 'SKIP' END AS status FROM (SELECT *, c_custkey % 6 AS k, c_custkey % 4 < 2 AS need FROM customer)""")
 def launch_checks(spark, sf_dir):
-    return decide.launch_checks(spark.createDataFrame(_FACTS, "kind string, name string, value string, other string, required boolean"))
+    """Facts of every kind from customers: set, path, gate, manifest, split, and kinds that nobody knows."""
+    k, bal = F.col("c_custkey") % 6, F.col("c_acctbal")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("set", "path", "gate", "manifest", "split", "other")]), (k + 1).cast("int"))
+    value = F.when(k == 0, F.when(bal > 0, F.col("c_name")).otherwise(" ")).when(k == 1, F.when(bal > 5000, "true").otherwise("false")).when(k == 2, F.when(bal > 5000, "Yes").when(bal > 0, "maybe"))
+    value = value.when(k == 3, F.when(bal < 0, None).when(bal < 5000, F.to_json(F.struct("c_name"))).otherwise("[1]")).when(k == 4, F.when(bal < 0, "no").otherwise(F.col("c_mktsegment")))
+    other = F.when((k == 4) & (bal >= 0), " BUILDING")
+    facts = _t(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), F.concat(F.lit("fact "), F.col("c_custkey").cast("string")).alias("name"), value.alias("value"), other.alias("other"), (F.col("c_custkey") % 4 < 2).alias("required"))
+    return decide.launch_checks(facts, "c_custkey")
 
 
 @_query("""SELECT count(*) FILTER (event_id % 4 = 0)::BIGINT AS "PASS", count(*) FILTER (event_id % 4 = 1)::BIGINT AS "FAIL", 0::BIGINT AS "WARN", count(*) FILTER (event_id % 4 = 3)::BIGINT AS "SKIP" FROM events""")
