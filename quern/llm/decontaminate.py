@@ -11,8 +11,12 @@ that share ranges are kept as sets of items, and a document's items are the unio
 text matches any test suffix (``longest``) falls out of how many of the nested ranges cover it.
 
 The suffix array leaves out suffixes that cannot match: those at a word that no item has, or in a run of known words
-shorter than the shortest window. The benchmark is sent to the tasks in blocks of ``BLOCK_CHARS`` characters at most
-(one longer item stands alone); each block is one pass.
+shorter than the shortest window; and of the benchmark's suffixes only those are searched whose first words (as many as the
+shortest window has) are somewhere in the shard, so what a shard costs hangs on what it holds, and a clean one is not even indexed.
+
+The benchmark is sent to the tasks in blocks of ``BLOCK_CHARS`` characters at most (one longer item stands alone). Each block
+but the last is a pass that writes findings alone, by the digests of the texts that are hit; they join the last pass, and
+no pass writes texts.
 
 Defined cases: null or wordless texts have no words and no hits, longest 0 and longest_at null; a null or wordless item never occurs; repeated rows
 are judged each by itself; items that share an id count once; other columns of either table play no part.
@@ -20,6 +24,7 @@ are judged each by itself; items that share an id count once; other columns of e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textnum
 from .common import drop, keep, lean, numbered, only, workers
@@ -52,9 +58,16 @@ class Tests:
     sets: list[np.ndarray]  # the items of each set
     order: np.ndarray  # suffixes in order
     shared: np.ndarray  # how many words each has in common with the one before in that order (-1: the first)
+    least: int = 0  # words of the shortest window, of all blocks
+    alone: bool = True  # whether this is the only block
+    grams: np.ndarray | None = None  # sorted numbers of the suffixes' first ``least`` words, and whose each is
+    owner: np.ndarray | None = None
+    seen: np.ndarray | None = None  # a table of which grams there may be
+    rank: np.ndarray | None = None  # each suffix's place in the order
 
 
-def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Tests:
+def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW, least: int | None = None) -> Tests:
+    """``rows`` (id, text) as tests; ``least``: words of the shortest window where there are more blocks than this."""
     number, at = textnum.words(pa.array([t for _, t in rows], pa.string()), textnum.ALNUM)
     count = np.diff(at)
     vocabulary, ids = np.unique(number, return_inverse=True)
@@ -76,7 +89,49 @@ def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Tests:
         same = same[(left[a] > depth) & (left[b] > depth) & (words[suffix[a] + depth] == words[suffix[b] + depth])]
         shared[same] += 1
     shared[:1] = -1
-    return Tests([str(i) for i, _ in rows], vocabulary, words, suffix, item, left, size, group, sets, order, shared)
+    tests = Tests([str(i) for i, _ in rows], vocabulary, words, suffix, item, left, size, group, sets, order, shared)
+    if size.any():
+        tests.least, tests.alone = least or int(size[size > 0].min()), least is None
+        whole = np.flatnonzero(left >= tests.least)
+        number = _grams(words, suffix[whole], tests.least)
+        by = np.argsort(number, kind="stable")
+        tests.grams, tests.owner = number[by], whole[by]
+        tests.seen = np.zeros(1 << min(24, max(10, (8 * len(whole)).bit_length())), bool)
+        tests.seen[(number & textnum.U(len(tests.seen) - 1)).astype(np.int64)] = True
+        tests.rank = np.empty(len(order), np.int64)
+        tests.rank[order] = np.arange(len(order))
+    return tests
+
+
+def _grams(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """A number for the ``n`` words from each start on."""
+    out = np.zeros(len(start), textnum.U)
+    for j in range(n):
+        out = textnum.mix(out * textnum.U(0xD6E8FEB86659FD93) + words[start + j].astype(textnum.U))
+    return out
+
+
+def _within(tests: Tests, text: np.ndarray) -> Tests | None:
+    """The tests with those suffixes alone whose first words are in ``text`` (0 between runs of known words); None for none.
+
+    No other can be found there: a match of fewer words is no window, and no longest match of a text that is hit.
+    """
+    if tests.grams is None:
+        return None
+    ends = np.append(np.flatnonzero(text == 0), len(text))
+    starts = np.append(-1, ends[:-1]) + 1
+    spot, _ = _ranges(starts, np.maximum(ends - tests.least + 1, starts))
+    number = _grams(text, spot, tests.least)
+    number = np.unique(number[tests.seen[(number & textnum.U(len(tests.seen) - 1)).astype(np.int64)]])
+    place, _ = _ranges(np.searchsorted(tests.grams, number), np.searchsorted(tests.grams, number, "right"))
+    if not len(place):
+        return None
+    pick = np.sort(tests.owner[place])
+    at = np.sort(tests.rank[pick])
+    # what two have in common is the least that any between them have
+    shared = np.append(-1, np.minimum.reduceat(tests.shared[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else [])
+    order = np.searchsorted(pick, tests.order[at])
+    return Tests(tests.ids, tests.vocabulary, tests.words, tests.suffix[pick], tests.item[pick], tests.left[pick], tests.window[pick], tests.group[pick], tests.sets, order, shared.astype(np.int64), tests.least, tests.alone)
 
 
 def _sets(words: np.ndarray, suffix: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -139,7 +194,7 @@ def search(text: np.ndarray, tests: Tests) -> dict[str, np.ndarray]:
     """For every test suffix: the range of window occurrences and of its longest match in ``places`` (of ``text``), the
     suffixes of the index in order; and for each of those how many words of it some test suffix starts with."""
     n = len(tests.suffix)
-    shortest, widest = int(tests.window[tests.window > 0].min()), int(tests.window.max())
+    shortest, widest = tests.least, int(tests.window.max())
     ends = np.append(np.flatnonzero(text == 0), len(text))
     starts = np.append(-1, ends[:-1]) + 1
     run = np.flatnonzero(ends - starts >= shortest)
@@ -211,8 +266,9 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + low[who], who
 
 
-def _shard(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """(word ids of the shard with a 0 behind each row, the rows' starts in it, their word counts, search results)."""
+def _shard(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tests | None, dict]:
+    """(word ids of the shard with a 0 behind each row, the rows' starts in it, their word counts, the tests that may be there, search
+    results)."""
     number, at = textnum.words(texts, textnum.ALNUM)
     count = np.diff(at)
     spot = np.minimum(np.searchsorted(tests.vocabulary, number), len(tests.vocabulary) - 1)
@@ -220,7 +276,8 @@ def _shard(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nd
     row = np.repeat(np.arange(len(count)), count)
     text = np.zeros(len(number) + len(count), np.int64)
     text[np.arange(len(number)) + row] = ids
-    return text, at[:-1] + np.arange(len(count)), count, search(text, tests)
+    some = _within(tests, text)
+    return text, at[:-1] + np.arange(len(count)), count, some, search(text, some) if some else {}
 
 
 @dataclass
@@ -237,7 +294,9 @@ def _judge(texts: pa.Array, tests: Tests, rows: dict[int, Found]) -> np.ndarray:
     """Add this block's findings to ``rows`` (those with a hit alone); returns the rows' word counts."""
     if not len(tests.suffix):
         return np.diff(textnum.words(texts, textnum.ALNUM)[1])
-    text, start, count, found = _shard(texts, tests)
+    text, start, count, tests, found = _shard(texts, tests)
+    if not found:
+        return count
     some = np.flatnonzero(found["high"] > found["low"])
     # each distinct range once: suffixes with one range have one window, and so one set of items
     some = some[np.unique(np.stack([tests.window[some], found["low"][some]]), axis=1, return_index=True)[1]]
@@ -263,6 +322,8 @@ def _judge(texts: pa.Array, tests: Tests, rows: dict[int, Found]) -> np.ndarray:
     order = np.lexsort((found["places"], -found["match"], row))
     of = row[order]
     for i in order[np.append(True, of[1:] != of[:-1])] if len(order) else order:
+        if not tests.alone and found["match"][i] >= tests.least:  # another block may hit it
+            rows.setdefault(int(row[i]), Found([], set(), 0, None))
         if (mine := rows.get(int(row[i]))) is not None:
             longest, at = int(found["match"][i]), int(found["places"][i] - start[row[i]])
             if longest > mine.longest or longest == mine.longest and at < mine.at:
@@ -282,24 +343,41 @@ _STATE = {"_hits": "array<array<long>>", "_items": "array<string>", "_longest":
 RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "longest": "long", "longest_at": "long"}
 
 
-def _batches(tests, final: bool, names: list[str], schema: pa.Schema):
+def _findings(tests):
+    """A pass of a block but the last: the digest and what is found of each text that is hit, or may be by another block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, nothing = tests.value, Found([], set(), 0, None)
+        schema = pa.schema([("_text", pa.string()), ("_hits", pa.list_(pa.list_(pa.int64()))), ("_items", pa.list_(pa.string())), ("_longest", pa.int64()), ("_at", pa.int64())])
+        for whole in batches:
+            for b in textnum.slices(whole, "text", SHARD_BYTES):
+                rows: dict[int, Found] = {}
+                _judge(b.column("text"), tests.value, rows)
+                if rows:
+                    texts = b.column("text").take(pa.array(sorted(rows))).to_pylist()
+                    each = [rows[i] for i in sorted(rows)]
+                    cols = [[hashlib.md5(t.encode()).hexdigest() for t in texts], [[list(x) for x in r.hits] for r in each], [sorted(r.items) for r in each], [r.longest for r in each], [r.at for r in each]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _final(tests, names: list[str], schema: pa.Schema):
+    """The last block's pass: RESULT behind the rows' own columns, with what other blocks have found where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = Found([], set(), 0, None)
         for whole in batches:
             for b in textnum.slices(whole, "text", SHARD_BYTES):
                 rows: dict[int, Found] = {}
                 if "_hits" in b.schema.names:
                     for i, (h, items, longest, at) in enumerate(zip(*(b.column(c).to_pylist() for c in _STATE), strict=True)):
-                        if h:
+                        if longest:
                             rows[i] = Found([tuple(x) for x in h], set(items), longest, at)
-                count = _judge(b.column("text"), block, rows)
+                count = _judge(b.column("text"), tests.value, rows)
                 each = [rows.get(i, nothing) for i in range(b.num_rows)]
-                if final:
-                    n_hit = [_union(r.hits) for r in each]
-                    digests = [hashlib.sha256(",".join(sorted(r.items)).encode()).hexdigest() for r in each]
-                    more = [count.tolist(), n_hit, [len(r.items) for r in each], digests, [x > 0 for x in n_hit], [r.longest for r in each], [r.at for r in each]]
-                else:
-                    more = [[[list(x) for x in r.hits] for r in each], [sorted(r.items) for r in each], [r.longest for r in each], [r.at for r in each]]
+                n_hit = [_union(r.hits) for r in each]
+                digests = [hashlib.sha256(",".join(sorted(r.items)).encode()).hexdigest() for r in each]
+                more = [count.tolist(), n_hit, [len(r.items) for r in each], digests, [x > 0 for x in n_hit], [r.longest if x else 0 for x, r in zip(n_hit, each, strict=True)], [r.at if x else None for x, r in zip(n_hit, each, strict=True)]]
                 cols = [b.column(n) for n in names] + [pa.array(x, f.type) for x, f in zip(more, list(schema)[len(names) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -310,17 +388,20 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Tests]:
     """The items in blocks of bounded size, read by the driver one block at a time."""
     items = only(benchmark, item_id="string", text="string").where("text is not null").withColumn("_n", F.length("text"))
     total = items.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    parts = max(1, -(-2 * total // BLOCK_CHARS))
+    parts, least = max(1, -(-2 * total // BLOCK_CHARS)), None
+    if parts > 1:
+        words = F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), 0))
+        least = items.where(words > 0).agg(F.least(F.min(words), F.lit(window))).first()[0]
     for k in range(parts):
         rows, chars = [], 0
         for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toLocalIterator():
             if rows and chars + r["_n"] > BLOCK_CHARS:
-                yield prepare(rows, window)
+                yield prepare(rows, window, least)
                 rows, chars = [], 0
             rows.append((r["item_id"], r["text"]))
             chars += r["_n"]
         if rows or k == 0 and total == 0:
-            yield prepare(rows, window)
+            yield prepare(rows, window, least)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -329,25 +410,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     longest, longest_at: of a document that is hit, the most consecutive words that an item has too, and at which of its
     words (from 0) they first start.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    workers(docs.sparkSession)
+    spark, names = docs.sparkSession, docs.columns
+    workers(spark)
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(k).alias(c) for c, k in RESULT.items()]).schema
     blocks = iter(_blocks(benchmark, window))
-    block, names, before = next(blocks), docs.columns, None
-    while block is not None:
-        after = next(blocks, None)
-        made = _STATE if after is not None else RESULT
-        out = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(k).alias(c) for c, k in made.items()]).schema
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(lean(_batches(shared, after is None, names, to_arrow_schema(out))), out)
-        if after is not None:
-            docs, stale = keep(docs), before
-            shared.destroy()
-            before = docs
-            if stale is not None:
-                drop(stale)
+    block, found = next(blocks), []
+    while (after := next(blocks, None)) is not None:
+        shared, kinds = spark.sparkContext.broadcast(block), ", ".join(f"{c} {k}" for c, k in _STATE.items())
+        # equal texts have equal findings
+        found.append(keep(docs.select("text").mapInArrow(lean(_findings(shared)), f"_text string, {kinds}").dropDuplicates(["_text"])))
+        shared.destroy()
         block = after
-    return docs
+    if found:
+        best = F.max(F.struct("_longest", (-F.col("_at")).alias("at")))
+        each = functools.reduce(DataFrame.unionAll, found).groupBy("_text")
+        all_ = keep(each.agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"), best.alias("_best")))
+        drop(*found)
+        joined = docs.withColumn("_md5", F.md5(F.col("text").cast("binary"))).join(all_, F.col("_md5") == F.col("_text"), "left")
+        docs = joined.select(*[F.col(f"`{c}`") for c in names], "_hits", "_items", F.col("_best._longest").alias("_longest"), (-F.col("_best.at")).alias("_at"))
+    return docs.mapInArrow(lean(_final(spark.sparkContext.broadcast(block), names, to_arrow_schema(schema))), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -373,14 +454,17 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 for b in textnum.slices(whole, "text", SHARD_BYTES):
                     if not len(t.suffix):
                         continue
-                    _, start, _, found = _shard(b.column("text"), t)
+                    _, start, _, t, found = _shard(b.column("text"), tests.value)
+                    if not found:
+                        continue
                     good = (t.window > 0) & (found["longest"] >= t.window)
                     place, who = _ranges(np.where(good, found["best_low"], 0), np.where(good, found["best_high"], 0))
                     place = found["places"][place]
                     row = np.searchsorted(start, place, "right") - 1
-                    first = np.searchsorted(t.item, t.item)  # each suffix's item's first suffix
+                    begin = np.searchsorted(tests.value.item, t.item)  # each suffix's item's first suffix
+                    nth = t.suffix - tests.value.suffix[begin]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([t.ids[i] for i in t.item[who]], pa.string()), pa.array((np.arange(len(t.item)) - first)[who]), b.column("doc_id").take(pa.array(row)), pa.array(place - start[row]), pa.array(found["longest"][who])],
+                        [pa.array([t.ids[i] for i in t.item[who]], pa.string()), pa.array(nth[who]), b.column("doc_id").take(pa.array(row)), pa.array(place - start[row]), pa.array(found["longest"][who])],
                         names=["item_id", "item_start", "doc_id", "doc_start", "length"],
                     )
 

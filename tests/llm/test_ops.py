@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,40 @@ def test_contamination(spark, monkeypatch, block):
     assert got == hits_of(docs, items, 4)
 
 
+def test_shards_cost_what_they_hold():
+    """Thousands of items more cost a shard little, and find the same."""
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    few, docs = [(f"i{i:05}", text(60)) for i in range(40)], [text(300) for _ in range(500)]
+    docs[7] += " " + few[3][1]
+    docs[9] = few[5][1][:200] + " " + docs[9]
+    took, found = [], []
+    for items in (few, few + [(f"j{i:05}", text(60)) for i in range(20_000)]):
+        tests, texts = decontaminate.prepare(items), pa.array(docs)
+        decontaminate._judge(texts, tests, {})
+        best = float("inf")
+        for _ in range(3):
+            rows, began = {}, time.perf_counter()
+            decontaminate._judge(texts, tests, rows)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+        found.append({i: (r.hits, r.items, r.longest, r.at) for i, r in rows.items()})
+    assert found[0] == found[1] and set(found[0]) == {7, 9} and took[1] < 3 * took[0] + 0.05
+
+
+def test_passes_write_no_texts(spark, monkeypatch):
+    """With many blocks all that is written are findings of hit texts, and what another block finds partly counts for ``longest``."""
+    written, keep = [], decontaminate.keep
+    monkeypatch.setattr(decontaminate, "keep", lambda df: written.append(df.columns) or keep(df))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 30)
+    docs = [(1, "a b c d e f g h"), (2, "x a b y"), (3, "none"), (4, "a b c d e f g h"), (5, None)]
+    items = [(1, "a b"), (2, "c d e f g z z z z z"), (3, "q q q q q q q q q q"), (4, "b c d q r")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10)
+    assert sorted((tuple(r) for r in got.drop("text").collect()), key=str) == hits_of(docs, items, 10)
+    assert len(written) > 1 and all("text" not in c for c in written)
+
+
 def test_contamination_query(spark):
     d = [(r.doc_id, r.text) for r in tables(spark, "documents").collect()]
     b = [(r.item_id, r.text) for r in tables(spark, "benchmark").collect()]
