@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from .components import components
 
 BANDS, ROWS, BITS = 42, 6, 2
 SMALL = 64
+#: Bits that stand for a document's differences while pairs are looked for.
+SKETCH = 2048
 MASK_BITS = 1 << 26  # of the filter that keeps texts without candidates out of the shuffle: 8 MB at most
 SLICE = 1 << 20
 #: The estimate's standard deviation at similarity 0.8 is 0.03; four of them below the threshold.
@@ -207,6 +210,22 @@ def _by_signature(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def _sketched(each: DataFrame) -> DataFrame:
+    """``each`` (with a list ``d`` of longs) and ``sketch``: SKETCH bits as longs, one set for each element's hash."""
+    out = each.select("*", F.array().cast("array<long>").alias("sketch")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.column("d")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(d).to_numpy(zero_copy_only=False))
+            bit = textnum.mix(d.flatten().to_numpy().view(textnum.U)) & textnum.U(SKETCH - 1)
+            bits = np.zeros((b.num_rows, SKETCH // 64), textnum.U)
+            np.bitwise_or.at(bits, (row, (bit >> textnum.U(6)).astype(np.int64)), textnum.U(1) << (bit & textnum.U(63)))
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(bits.view(np.int64), np.arange(b.num_rows), b.num_rows)], names=[*b.schema.names, "sketch"])
+
+    return each.mapInArrow(lean(run), out)
+
+
 def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different components in buckets of over SMALL documents, without holding all against all.
 
@@ -215,7 +234,9 @@ def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> D
     t = (1 - s) / (1 + s), that is if d(x) and d(y) share at least (|d(x)| + |d(y)| - t (|x| + |y|)) / 2 shingles. Where
     x does not link with c, |d(x)| > t (|x| + |c|), so y must share more than h(y) = (|d(y)| + t (|c| - |y|)) / 2 of its
     own, and one of them is among the first |d(y)| - floor(h(y)) in any common order. The rarest come first, and near
-    copies rarely share those. The join on them counts what both share and lets out links alone.
+    copies rarely share those. A row of that join has a sketch of fixed size, a bit for each difference's hash: bits that
+    one has alone are differences that it has alone, so pairs that share too few for a link stay inside (lists of
+    differences are kept once for each document, and decide on what comes out).
     """
     t = (100 - percent) / (100 + percent)
 
@@ -226,7 +247,7 @@ def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> D
     both, full = _with_sets(docs, pairs, k)
     diff = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
     each = both.select("a", "b", "comp", F.size("of_a").alias("nc"), F.size("of_b").alias("n"), diff.alias("d")).withColumn("size", F.size("d"))
-    each = each_ = keep(each.withColumn("out", ~similar(F.col("n") + F.col("nc"), F.col("size"))))
+    each = each_ = keep(_sketched(each.withColumn("out", ~similar(F.col("n") + F.col("nc"), F.col("size")))))
     direct = each.where("not out and comp <> a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     single = each.withColumn("first", F.col("size") - F.floor((F.col("size") + t * (F.col("nc") - F.col("n"))) / 2)).withColumn("e", F.explode("d")).drop("d", "nc")
     # how many documents have a shingle: sums before the shuffle, and a join whose sides are plain shuffles, so that a
@@ -236,15 +257,21 @@ def _by_difference(docs: DataFrame, mixed: DataFrame, k: int, percent: int) -> D
     shared = single.join(often, ["a", "e"])
     mine = Window.partitionBy("a", "b")  # a document's own shingles
     lone = F.col("size") - F.count("*").over(mine)
-    shared = shared.withColumn("rank", lone + F.row_number().over(mine.orderBy("often", "e"))).withColumn("d", F.collect_list("e").over(mine)).where("out or rank <= first")
-    ranked = keep(shared.select("a", "e", "b", "out", "comp", "n", "size", (F.col("rank") <= F.col("first")).alias("early"), "d"))
-    x = ranked.where("out").select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "comp", "early", "n", "size", "d")])
-    y = ranked.where("early").select(F.col("a").alias("a2"), F.col("e").alias("e2"), *[F.col(c).alias(f"{c}_y") for c in ("b", "comp", "out", "n", "size", "d")])
-    apart = F.col("size_x") + F.col("size_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    shared = shared.withColumn("rank", lone + F.row_number().over(mine.orderBy("often", "e"))).where("out or rank <= first")
+    ranked = keep(shared.select("a", "e", "b", "out", "comp", "n", "size", (F.col("rank") <= F.col("first")).alias("early"), "sketch"))
+    x = ranked.where("out").select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "comp", "early", "n", "size", "sketch")])
+    y = ranked.where("early").select(F.col("a").alias("a2"), F.col("e").alias("e2"), *[F.col(c).alias(f"{c}_y") for c in ("b", "comp", "out", "n", "size", "sketch")])
+    alone = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, n: s + n)
+    both = F.least(F.col("size_x") - alone(F.col("sketch_x"), F.col("sketch_y")), F.col("size_y") - alone(F.col("sketch_y"), F.col("sketch_x")))  # at most
     new = F.expr("a = a2 and e = e2 and comp_x <> comp_y and (not out_y or early_x and b_x < b_y)")
-    met = x.join(y, new & similar(F.col("n_x") + F.col("n_y"), apart))
-    out = keep(met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).unionAll(direct).distinct())
-    drop(full, pairs, each_, often, ranked)
+    met = x.join(y, new & similar(F.col("n_x") + F.col("n_y"), F.col("size_x") + F.col("size_y") - 2 * both))
+    met = keep(met.select("a", "b_x", "b_y").distinct())
+    of = lambda c: each.select(F.col("a").alias(f"a_{c}"), F.col("b").alias(f"to_{c}"), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "size", "d")])
+    sure = met.join(of("x"), F.expr("a = a_x and b_x = to_x")).join(of("y"), F.expr("a = a_y and b_y = to_y"))
+    apart = F.col("size_x") + F.col("size_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    sure = sure.where(similar(F.col("n_x") + F.col("n_y"), apart))
+    out = keep(sure.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).unionAll(direct).distinct())
+    drop(full, pairs, each_, often, ranked, met)
     return out
 
 

@@ -373,6 +373,51 @@ def test_near_duplicates_query(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op4_minhash"](spark, SF).collect()} == near_of(docs, 4, 80)
 
 
+def test_large_groups_through_sql(spark, monkeypatch, tmp_path):
+    """Buckets of over SMALL near copies, whose differences from one centre decide, through the query and its SQL."""
+    rnd, entered = random.Random(12), []
+    by_difference = minhash._by_difference
+    monkeypatch.setattr(minhash, "_by_difference", lambda *a: entered.append(1) or by_difference(*a))
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+
+    def variant(changed):
+        w = list(base)
+        for i in changed:
+            w[i] = f"v{rnd.randrange(10**6)}"
+        return w
+
+    # two variants too far apart to link, each with near copies; some in between
+    texts = [" ".join(variant(range(0, 400, 8))) for _ in range(3)]
+    for far in (range(0, 40), range(360, 400)):
+        one = variant(far)
+        for _ in range(70):
+            w = list(one)
+            for i in rnd.sample(range(400), rnd.randrange(4)):
+                w[i] = f"u{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    (part,) = (tmp_path / "x").glob("part-*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    check(spark, QUERIES["op4_minhash"], SQL["op4_minhash"], str(tmp_path))
+    assert entered
+
+
+def test_long_near_copies(spark):
+    """Work on large groups grows with texts' length, not with its square: 80 texts of 6,000 words."""
+    rnd = random.Random(13)
+    base, texts = [f"w{i}" for i in range(6_000)], []
+    for far in (0, 5_400):
+        one = list(base)
+        one[far : far + 600] = [f"v{far}{i}" for i in range(600)]
+        for _ in range(40):
+            w = list(one)
+            w[rnd.randrange(6_000)] = "u"
+            texts.append(" ".join(w))
+    began = time.time()
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 40 else 40 for i in range(80)} and time.time() - began < 90
+
+
 def test_deduplicate_odd(spark, odd, empty):
     out = minhash.deduplicate(odd)
     assert out.columns == odd.columns and sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, None, None], key=str)
