@@ -102,9 +102,9 @@ def export_messages(prompt: Column, parsed: Column) -> Column:
 
 
 def endpoint_message(user: Column, names: Column) -> Column:
-    """The user text behind its restrictions, where there are any."""
+    """The user text behind its restrictions, where there are any (the words before them are a fixed value)."""
     shown = F.array_join(F.transform(names, lambda n: F.replace(n, F.lit("_"), F.lit(" "))), ", ")
-    return F.when(F.size(names) > 0, F.concat(F.lit("Restrictions: "), shown, F.lit("\n\n"), user)).otherwise(user)
+    return F.when(F.size(names) > 0, F.concat(F.lit("Adapt this recipe for: "), shown, F.lit("\n\n"), user)).otherwise(user)
 
 
 def demo_prompt(user: Column, names: Column) -> Column:

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 import time
@@ -15,6 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import keep
+from ..functions import lexicon as lex
+from ..functions import messages, prompts, text
 from ..functions.scoring import Vocabulary
 from ..operators import audit, decide, evals, pairwise, validate
 from ..operators import generate as calls
@@ -110,6 +114,68 @@ def evaluate(spark: SparkSession, a) -> int:
     return OK
 
 
+def evaluate_endpoint(spark: SparkSession, a) -> int:
+    """Chat rows sent to an endpoint (its errors are outputs too), checked and summed up."""
+    rows = readers.jsonl(spark, a.rows, "row_id string, id string, restrictions array<string>, target_restrictions array<string>, messages array<struct<role:string,content:string>>")
+    if a.limit is not None:
+        rows = rows.orderBy("path", "line").limit(max(0, a.limit))
+    text = messages.user_text(messages.valid(F.col("messages")))
+    names = messages.restrictions([(F.col(c), "array<string>") for c in ("target_restrictions", "restrictions")], text)
+    todo = rows.where(text != "").select(messages.row_id([F.col("row_id"), F.col("id")], F.col("line")).alias("row_id"), names.alias("restrictions"), F.lit("").alias("system"), prompts.endpoint_message(text, names).alias("user"), F.lit(a.max_tokens).alias("max_tokens"))
+    module, _, name = a.provider.partition(":")
+    done = calls.call_model(todo, getattr(importlib.import_module(module), name), batch=1, in_flight=a.concurrency, timeout=a.timeout)
+    none = F.lit(None)
+    outputs = keep(done.select("row_id", "restrictions", calls.scored_output(F.col("output"), F.col("error")).alias("output_text"), none.cast("double").alias("judge"), none.cast("long").alias("tokens_in"), none.cast("long").alias("tokens_out"), F.col("error").isNotNull().alias("failed")))
+    checked, summary = curation.evaluate(outputs, readers.lexicon(spark, a.lexicon))
+    sinks.jsonl(checked, f"{a.out}/rows", ascii_only=True)
+    sinks.document(summary.crossJoin(outputs.agg(F.count_if("failed").alias("endpoint_errors"))), f"{a.out}/metrics.json")  # one row and one row
+    return OK
+
+
+def suggest(spark: SparkSession, a) -> int:
+    """What a coverage check's gaps would add to a lexicon, constraint by constraint in the lexicon's order."""
+    lexicon = readers.lexicon(spark, a.lexicon)
+    units = readers.vocabulary(spark, a.vocabulary).units if a.vocabulary else ()
+    found = readers.document(spark, a.summary).get("constraints_coverage_check") or {}
+    gaps = [(c, i, g) for c in lexicon.terms if c in found for i, g in enumerate(found[c].get("potential_gaps_sample", []))]
+    named = spark.createDataFrame(gaps, "constraint string, place int, raw string").withColumn("item", text.strip_quantity(F.col("raw"), units))
+    rows = lex.triage(named, lexicon).orderBy("constraint", "place").collect()
+    for c in lexicon.terms:
+        if c not in found:
+            print(f"[{c}] not in the coverage check")
+            continue
+        print(f"[{c}] {found[c].get('matched_ingredients', 0)} matched, {found[c].get('potential_gaps_count', 0)} gaps")
+        for r in (r for r in rows if r["constraint"] == c):
+            print(f"  {r['status']}: {r['item']} ({r['raw']})")
+    return OK
+
+
+def decision(spark: SparkSession, a) -> int:
+    """A report on whether to go on with a tuned model, from two runs' metrics and their comparison; 2 where not."""
+    runs = [readers.optional_document(spark, p).get("summary") or {} for p in (a.baseline, a.candidate)]
+    wins = (readers.optional_document(spark, a.comparison).get("summary") or {}).get("hard_case_win_rate")
+    frame = lambda d: spark.createDataFrame([tuple(_real(d.get(k)) for k in _METRICS)], ", ".join(f"{k} double" for k in _METRICS))
+    won = F.lit(_real(wins)).cast("double")
+    got = decide.go_or_not(frame(runs[0]), frame(runs[1]), won)
+    cost = [_real((d.get("estimated_cost_usd") or {}).get("total_cost")) for d in runs]
+    shown = got.select("decision", text.show_delta(F.col("constraint_delta")).alias("constraint"), text.show_score_delta(F.col("judge_delta")).alias("judge"), text.show_float(won).alias("wins"), *[text.show_money(F.lit(c).cast("double")).alias(f"cost_{i}") for i, c in enumerate(cost)]).first()
+    go = shown["decision"] == "GO_5A"
+    fields = {
+        "Inputs": [("Fine-tuned model id", readers.model_name(spark, a.manifest)), ("Baseline metrics", a.baseline), ("Candidate metrics", a.candidate), ("Comparison", a.comparison)],
+        "Decision metrics": [("constraint_pass_rate delta", shown["constraint"]), ("average judge score delta", shown["judge"]), ("hard_case_win_rate", shown["wins"]), ("Cost (baseline / candidate)", f"{shown['cost_0']} / {shown['cost_1']}")],
+        "Result": [("Condition met", go), ("Decision", shown["decision"])],
+    }
+    sinks.write_text(spark, a.out, sinks.report("Decision", fields))
+    return OK if go else REFUSED
+
+
+_METRICS = ("constraint_pass_rate", "judge_average", "judge_average_scored")
+
+
+def _real(v) -> float | None:
+    return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+
+
 def compare(spark: SparkSession, a) -> int:
     """Two runs row by row; their rows must be the same."""
     rows, summary, lost = curation.compare(*(readers.jsonl(spark, p, RESULT) for p in (a.baseline, a.candidate)), a.min_win_delta)
@@ -167,6 +233,9 @@ def parser() -> argparse.ArgumentParser:
     command(check_gate, ("report",), ("--target-kept-rows", number(int, 1200)))
     command(preflight, ("train",), ("valid",), ("--max-validation-bytes", number(int, 1 << 20)), ("--show-errors", number(int, 20)))
     command(evaluate, ("rows",), ("out",), ("--lexicon",), ("--limit", number(int, None)), ("--input-price", number(float, 0.0)), ("--output-price", number(float, 0.0)))
+    command(evaluate_endpoint, ("rows",), ("out",), ("--lexicon",), ("--limit", number(int, None)), ("--provider", {"default": "quern.operators.generate:mock"}), ("--max-tokens", number(int, 1024)), ("--concurrency", number(int, calls.IN_FLIGHT)), ("--timeout", number(float, calls.TIMEOUT)))
+    command(suggest, ("summary",), ("--lexicon",), ("--vocabulary", {"default": None}))
+    command(decision, ("baseline",), ("candidate",), ("comparison",), ("manifest",), ("out",))
     command(compare, ("baseline",), ("candidate",), ("out",), ("--min-win-delta", number(float, 0.0)))
     command(watch, ("status",), ("out",), ("--interval-seconds", number(float, 30.0)), ("--backoff", number(float, 1.3)), ("--max-interval-seconds", number(float, 120.0)), ("--max-wait-seconds", number(float, 7200.0)))
     command(prelaunch, ("facts",))

@@ -304,6 +304,20 @@ def exit_codes(spark, sf_dir):
     return spark.createDataFrame(codes, "command string, code int")
 
 
+@_query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user' AND trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> '') AS users FROM conversations GROUP BY conv_id)
+SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS answered, 0::BIGINT AS endpoint_errors, count(*)::BIGINT AS passed FROM c WHERE users > 0""")
+def endpoint_evaluation(spark, sf_dir):
+    """All conversations through the endpoint command with the offline model: rows and metrics that it writes."""
+    p = scratch(spark)
+    chats = _chats(spark, sf_dir).select(F.col("conv_id").cast("string").alias("row_id"), F.array(F.lit("no_metal")).alias("restrictions"), "messages")
+    sinks.jsonl(chats, f"{p}/chats")
+    sinks.write_text(spark, f"{p}/lexicon.json", json.dumps({"no_metal": {"banned": ["ring", "rod"]}}))
+    commands.main(["evaluate-endpoint", f"{p}/chats", f"{p}/out", "--lexicon", f"{p}/lexicon.json"], spark)
+    rows = spark.read.schema("row_id string, output_text string, constraint_pass boolean").json(f"{p}/out/rows")
+    errors = readers.document(spark, f"{p}/out/metrics.json")["endpoint_errors"]
+    return rows.agg(F.count_distinct("row_id").alias("rows"), F.count("output_text").alias("answered"), F.lit(errors).cast("bigint").alias("endpoint_errors"), F.count_if("constraint_pass").alias("passed"))
+
+
 @_query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role, text) AS roles FROM conversations GROUP BY conv_id")
 def chat_documents(spark, sf_dir):
     """Chat rows through JSON Lines and back, as evaluation takes them."""

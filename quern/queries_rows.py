@@ -112,7 +112,7 @@ def system_prompts(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", prompts.by_tier(tier, prompts.BUDGET).alias("budget"), F.length(prompts.by_tier(tier, prompts.SYSTEMS)).alias("chars"))
 
 
-@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Restrictions: nut free, ' || p_brand || chr(10) || chr(10) || p_name || ' ' ELSE p_name || ' ' END AS endpoint, CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || chr(10) || 'Restrictions: nut_free, ' || p_brand ELSE p_name END AS demo FROM part""")
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Adapt this recipe for: nut free, ' || p_brand || chr(10) || chr(10) || p_name || ' ' ELSE p_name || ' ' END AS endpoint, CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || chr(10) || 'Restrictions: nut_free, ' || p_brand ELSE p_name END AS demo FROM part""")
 def restriction_prompts(spark, sf_dir):
     user = F.concat("p_name", F.lit(" "))
     named = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("nut_free"), F.col("p_brand"))).otherwise(F.array().cast("array<string>"))

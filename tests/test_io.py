@@ -111,3 +111,25 @@ def test_watch_waits_longer_each_time(spark, tmp_path):
 def test_reports_say_what_is_cut(spark):
     text = sinks.markdown("T", spark.range(5), most=3)
     assert text.count("\n| ") == 4 and "more than these 3 rows" in text
+
+
+def test_commands_over_documents(spark, tmp_path, capsys):
+    """Suggestions from gaps, a decision from metrics, and generation up to a target that goes on where it stopped."""
+    from quern.plans import commands
+
+    def put(name, d):
+        (tmp_path / name).write_text(json.dumps(d))
+        return str(tmp_path / name)
+
+    run = lambda *a: commands.main([str(x) for x in a], spark)
+    words = put("lexicon.json", {"_meta": {"known_false_positives": ["cream of tartar (powder)"]}, "dairy": {"banned": ["milk"]}, "nuts": {"banned": ["nut"]}})
+    names = put("names.json", {"units_to_strip": ["cups", "cup"]})
+    summary = put("summary.json", {"constraints_coverage_check": {"dairy": {"matched_ingredients": 3, "potential_gaps_count": 2, "potential_gaps_sample": ["2 cups creamer", "1 cup cream of tartar"]}}})
+    assert run("suggest", summary, "--lexicon", words, "--vocabulary", names) == 0
+    assert capsys.readouterr().out.splitlines() == ["[dairy] 3 matched, 2 gaps", "  suggest: creamer (2 cups creamer)", "  false_positive: cream of tartar (1 cup cream of tartar)", "[nuts] not in the coverage check"]
+    base, good = put("base.json", {"summary": {"constraint_pass_rate": 0.5, "judge_average_scored": 5}}), put("good.json", {"summary": {"constraint_pass_rate": 0.56, "judge_average": 5.1, "estimated_cost_usd": {"total_cost": 0.25}}})
+    versus, manifest = put("versus.json", {"summary": {"hard_case_win_rate": True}}), put("manifest.json", {"job": {"fine_tuned_model": "m"}})
+    assert run("decision", base, good, versus, manifest, tmp_path / "report.md") == 0
+    report = (tmp_path / "report.md").read_text()
+    assert "- constraint_pass_rate delta: +6.00%" in report and "- Cost (baseline / candidate): N/A / $0.250000" in report and "- Decision: GO_5A" in report and "- Fine-tuned model id: m" in report
+    assert run("decision", base, tmp_path / "none.json", versus, manifest, tmp_path / "report.md") == 2 and "RUN_5B" in (tmp_path / "report.md").read_text()
