@@ -184,45 +184,63 @@ def rate(c: Column) -> Column:
     return F.when((c > 1) & (c <= 100), c / 100).otherwise(c)
 
 
-def find_key(text: Column, keys: Sequence[str]) -> Column:
-    """The first of ``keys`` that JSON text has, as JSON text: a dotted key is a path from the root, any other is looked for
-    at the top and then at all depths. For small documents such as reports: Python walks them, in Arrow batches."""
-    keys = list(keys)
+def find_keys(text: Column, wanted: dict[str, Sequence[str]]) -> Column:
+    """A struct of JSON texts: under each name the first of its keys that JSON text has. A dotted key is a path from the root, any other is
+    looked for at the top and then at all depths: of the outermost map first, then the first in order that is not null.
+
+    Each document is parsed and walked once, however many names there are. Maps keep the order of the text, which variants
+    do not, so this is a Python step over Arrow batches.
+    """
+    wanted = {name: list(keys) for name, keys in wanted.items()}
+    plain_keys = {k for keys in wanted.values() for k in keys if "." not in k}
 
-    def found(value, key: str):
-        """The value of ``key`` in nested maps and lists: of the outermost map first, then the first in order that is not null."""
+    def walk(value, left: set[str], found: dict) -> None:
+        """Add what is under ``value`` for the keys in ``left`` that nothing has been found for."""
         if isinstance(value, dict):
-            if key in value:
-                return value[key]
-            value = list(value.values())
-        for v in value if isinstance(value, list) else ():
-            if (got := found(v, key)) is not None:
-                return got
-        return None
-
-    @F.pandas_udf("string")
-    def search(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                root = json.loads(t)
-            except (TypeError, ValueError):
-                return None
-            for key in keys:
-                value = root if isinstance(root, dict) else None
-                if "." in key:
-                    for part in key.split("."):
-                        value = value.get(part) if isinstance(value, dict) else None
-                else:
-                    value = found(root, key)
-                if value is not None:
-                    return json.dumps(value)
-            return None
-
-        return texts.map(one).astype("object")
+            here = left & value.keys()
+            for k in here:
+                if value[k] is not None and k not in found:
+                    found[k] = value[k]
+            left, value = left - here, value.values()  # a map that has the key hides what is below it
+        elif not isinstance(value, list):
+            return
+        for v in value:
+            if not (left := left - found.keys()):
+                return
+            if isinstance(v, dict | list):
+                walk(v, left, found)
+
+    def one(t):
+        try:
+            root = json.loads(t)
+        except (TypeError, ValueError):
+            return dict.fromkeys(wanted)
+        found: dict = {}
+        walk(root, plain_keys, found)
+
+        def value(key: str):
+            if "." not in key:
+                return found.get(key)
+            at = root
+            for part in key.split("."):
+                at = at.get(part) if isinstance(at, dict) else None
+            return at
+
+        first = {name: next((v for v in map(value, keys) if v is not None), None) for name, keys in wanted.items()}
+        return {name: None if v is None else json.dumps(v) for name, v in first.items()}
+
+    @F.pandas_udf("struct<" + ",".join(f"`{name}`:string" for name in wanted) + ">")
+    def search(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=list(wanted), dtype="object")
 
     return search(text)
 
 
+def find_key(text: Column, keys: Sequence[str]) -> Column:
+    """:func:`find_keys` for one name."""
+    return find_keys(text, {"found": keys})["found"]
+
+
 def plain(c: Column) -> Column:
     """JSON text of a string without its quotes; other JSON text as it is."""
     return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "string"), c)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import find_key, float_like, plain, rate, strip, truthy
+from ..functions.text import find_keys, float_like, plain, rate, strip, truthy
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def check_report(report: DataFrame, kept: Requirement = KEPT, requirements: tupl
     text = F.col(document)
     found = {"decision": DECISION, **{f"flag_{f}": (f,) for f in FLAGS}, **{r.name: r.keys for r in (kept, *requirements)}, **{f"fraction_{t}": _fraction(t) for t in mix}, "distribution": DISTRIBUTION}
     names = [c for c in report.columns if c != document]
-    got = report.select(*names, *[find_key(text, keys).alias(f"_{n}") for n, keys in found.items()])
+    got = report.select(*names, find_keys(text, {f"_{n}": keys for n, keys in found.items()}).alias("_found")).select(*names, "_found.*")
     at = lambda n: F.col(f"_{n}")
     word = F.upper(strip(F.when(F.startswith(at("decision"), F.lit('"')), plain(at("decision")))))
     refused = F.coalesce(word.isin(*_FAIL), F.lit(False)) | F.coalesce(F.greatest(*[(at(f"flag_{f}") == "false").cast("int") for f in FLAGS]) == 1, F.lit(False))

@@ -39,20 +39,19 @@ def quota_select(candidates: DataFrame, quotas: dict[str, int], seed: int = 42)
     """``candidates`` (id, constraint) with each id once: constraints in the order of ``quotas`` take up to their number
     of ids that none before has taken, in shuffled order.
 
-    The pairs are written once with their order, and what each constraint takes is a small table of its own: a
-    constraint's turn reads its pairs and the tables before it, so plans and work grow in proportion to constraints.
+    The pairs are written once, sorted by constraint (so that a turn reads its own), with their order; what each constraint
+    takes is a small table of its own. A turn counts its pairs by prefix and writes what it takes: two jobs, and plans that do not
+    grow.
     """
     names = list(quotas)
     pairs = candidates.where(F.col("constraint").isin(names)).select("id", "constraint").distinct()
-    pairs = keep(pairs.withColumn("_h", shuffled(F.concat("constraint", F.lit(":"), F.col("id").cast("string")), seed)))
+    pairs = keep(pairs.withColumn("_h", shuffled(F.concat("constraint", F.lit(":"), F.col("id").cast("string")), seed)).sortWithinPartitions("constraint"))
     taken = None
     for constraint in names:
         mine = pairs.where(F.col("constraint") == constraint)
         if taken is not None:
             mine = mine.join(taken.select("id"), "id", "left_anti")
-        mine = keep(mine)
         got = keep(first_by(mine, F.col("_h"), "id", quotas[constraint]).select("id", "constraint"))
-        drop(mine)
         taken = got if taken is None else taken.unionAll(got)
     drop(pairs)
     return taken if taken is not None else candidates.select("id", "constraint").limit(0)

@@ -153,3 +153,50 @@ def test_relevance_of_joined_names(spark):
     a, b = scoring.with_names(rows, "a", lex, "d", words), scoring.with_names(rows, "b", lex, "d", words).select(F.col("id").alias("i"), F.col("names").alias("other"))
     both = a.join(b, F.col("id") == F.col("i"), "left").select("id", scoring.retained(F.col("names"), F.col("wanted"), F.coalesce("other", F.array().cast("array<string>"))).alias("x"))
     assert direct == {r.id: r.x for r in both.collect()} == {1: 0.6667, 2: 1.0, 3: 0.0}
+
+
+def test_find_keys_at_once(spark):
+    """All names in one walk give what a search for each gives."""
+    import json
+    import random
+
+    from quern.functions.text import find_key, find_keys
+
+    draw, names = random.Random(5), ["a", "b", "c", "a.b", "c.a", "d"]
+
+    def tree(depth):
+        kind = draw.randrange(5) if depth else 4
+        if kind < 2:
+            return {k: tree(depth - 1) for k in draw.sample("abcde", draw.randrange(4))}
+        return [tree(depth - 1) for _ in range(draw.randrange(3))] if kind == 2 else draw.choice([None, 1, "x", True, 2.5])
+
+    def plain(value, key):
+        if isinstance(value, dict):
+            if key in value:
+                return value[key]
+            value = list(value.values())
+        for v in value if isinstance(value, list) else ():
+            if (got := plain(v, key)) is not None:
+                return got
+        return None
+
+    def want(t, keys):
+        root = json.loads(t)
+        for key in keys:
+            at = root
+            if "." in key:
+                for part in key.split("."):
+                    at = at.get(part) if isinstance(at, dict) else None
+            else:
+                at = plain(root, key)
+            if at is not None:
+                return json.dumps(at)
+        return None
+
+    texts = [json.dumps(tree(4)) for _ in range(300)]
+    wanted = {"one": ["a"], "two": ["a.b", "b"], "three": ["d", "c.a", "c"], "none": ["zz"]}
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "no json"]], "t string")
+    got = df.select("t", find_keys(F.col("t"), wanted).alias("f"), find_key(F.col("t"), names[:1]).alias("g")).collect()
+    for r in got[:300]:
+        assert r.f.asDict() == {n: want(r.t, keys) for n, keys in wanted.items()} and r.g == want(r.t, ["a"])
+    assert all(set(r.f.asDict().values()) == {None} for r in got[300:])
