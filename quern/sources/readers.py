@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_json, strip
-from . import quoted
+from . import elements, quoted
 
 
 class MissingColumns(ValueError):
@@ -96,11 +96,9 @@ def optional_document(spark: SparkSession, path: str) -> dict:
     return document(spark, path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else {}
 
 
-def pool(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The ``recipes`` array of a summary document as rows."""
-    if not isinstance(schema, str):
-        schema = schema.simpleString()
-    return spark.read.schema(f"recipes array<{schema}>").option("multiLine", True).json(path).select(F.explode("recipes").alias("r")).select("r.*")
+def pool(spark: SparkSession, path: str, schema: T.StructType | str, block: int = quoted.BLOCK) -> DataFrame:
+    """The ``recipes`` array of a summary document (of any size, in one file or several) as rows."""
+    return elements.elements(spark, path, "recipes", schema, block)
 
 
 def committed(spark: SparkSession, path: str) -> set[int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MISSING
@@ -35,6 +35,19 @@ def document(one: DataFrame, path: str) -> dict:
     return out
 
 
+def pool(rows: DataFrame, order: Column, path: str, **fields) -> None:
+    """A summary document with ``fields`` and its rows as the array ``recipes``, in order: tasks write the pieces, one file behind the other."""
+    spark = rows.sparkSession
+    head = json.dumps(fields, ensure_ascii=False)[:-1] + (", " if fields else "") + '"recipes": ['
+    n = rows.count()
+    # every element but the last has a comma; which that is the order says
+    last = rows.select(order.alias("o")).agg(F.max("o")).first()[0]
+    body = rows.select(F.lit(1).alias("part"), order.alias("o"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    body = body.select("part", "o", F.when(F.col("o") < F.lit(last), F.concat("value", F.lit(","))).otherwise(F.col("value")).alias("value")) if n else body
+    ends = spark.createDataFrame([(0, head), (2, "]}")], "part int, value string").select("part", F.lit(None).cast(body.schema["o"].dataType).alias("o"), "value")
+    ends.unionAll(body).repartitionByRange("part", "o").sortWithinPartitions("part", "o").select("value").write.mode("overwrite").text(path)
+
+
 def update_manifest(spark: SparkSession, path: str, new: dict) -> dict:
     from .readers import optional_document
 
