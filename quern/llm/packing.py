@@ -4,9 +4,11 @@ Each task packs the documents of its own partition as they come. Whole windows o
 is left of it goes to the fill level that makes the sum of squared counts of partially filled windows least, kept in
 an array of counts by level (ties: the fullest). Texts are tokenized once. Windows still open at the end of a partition, or
 when ``MOST_OPEN`` are open (which bounds memory), are taken apart again: their pieces, with their token ids, meet in
-second streams of about ``STREAM`` tokens, of however many partitions that takes, and are packed by the same rule. Only
-what is still open at the end of a second stream is run together and cut at window length; the very last part is cut into
-powers of two, which need no padding. Column ``run_together`` marks those sequences: their share falls as streams grow.
+second streams of about ``STREAM`` tokens, of however many partitions that takes, and are packed by the same rule. What is
+still open at the end of a second stream is packed by that rule once more, with levels counted in ever larger units
+(``LEVELS``) and cuts allowed: a piece may go to any window, fills it, and its end is placed on. So hardly more windows
+stay open than there are levels. The few that the last, two levels leave are run together and cut at window length, the
+very last part into powers of two, which need no padding. Column ``run_together`` marks those sequences.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each by itself; sequence ids are
 unique (partition number times 2**40, counted on from there; those of second streams over 2**62); other columns play no part.
@@ -33,6 +35,8 @@ WINDOW = 4096
 END_ID = 2
 MOST_OPEN = 2048
 STREAM = 1 << 24
+#: Numbers of levels by which what is open at the end is packed again.
+LEVELS = (64, 8, 2)
 CACHED_WORDS = 250_000
 SLICE = 2 << 20
 
@@ -132,23 +136,38 @@ def _ids(path: str) -> Ids:
 
 
 class Packer:
-    """One task's open windows. ``put`` and ``close`` yield (sequence number, pieces); a piece is (document, start, ids)."""
+    """One task's open windows. ``put``, ``settle`` and ``close`` yield (sequence number, pieces); a piece is (document, start, ids).
 
-    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN):
-        self.window, self.most_open = window, most_open
-        self.count = np.zeros(window + 1, np.int64)  # partially filled windows by level; none at 0 or window
-        self.open: dict[int, list[list]] = {}
+    Levels are counted in units of ``unit`` ids. With a unit over one pieces may be cut, so that any window takes any piece.
+    """
+
+    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN, unit: int = 1):
+        self.window, self.most_open, self.unit = window, most_open, unit
+        self.count = np.zeros(window // unit + 1, np.int64)  # partially filled windows by level; none at the last
+        self.open: dict[int, list[tuple[int, list]]] = {}  # level: windows as (ids in it, pieces)
         self.n_open = self.sequence = 0
 
     def _done(self, pieces: list) -> tuple[int, list]:
         self.sequence += 1
         return self.sequence - 1, pieces
 
+    def _keep(self, fill: int, pieces: list) -> None:
+        level = fill // self.unit
+        self.open.setdefault(level, []).append((fill, pieces))
+        self.count[level] += 1
+        self.n_open += 1
+
     def level(self, size: int) -> int:
-        """The level (0: a new window) where a piece of ``size`` adds least to the sum of squared counts."""
-        top = self.window - size
-        here = self.count[: top + 1]
-        cost = 2 * (self.count[size:] - here) + 2
+        """The level (0 without a window there: a new one) where a piece of ``size`` adds least to the sum of squared counts."""
+        size //= self.unit
+        top = len(self.count) - 1 - size
+        here, after = self.count[: top + 1], self.count[size:]
+        if self.unit > 1:
+            if not size:  # changes no level
+                return int(max(np.flatnonzero(self.count), default=0))
+            # cut where it does not fit: the window is gone, the rest of the piece counts as a new one
+            here, after = self.count[:-1], np.concatenate([after, self.count[1:size]])
+        cost = 2 * (after - here) + 2
         cost[top] -= 1  # a full window counts no more
         used = np.flatnonzero(here)
         if not len(used):
@@ -161,23 +180,21 @@ class Packer:
         whole = len(ids) // self.window * self.window
         for at in range(0, whole, self.window):
             yield self._done([(document, start + at, ids[at : at + self.window])])
-        rest = ids[whole:]
-        if not len(rest):
-            return
-        level = self.level(len(rest))
-        pieces = []
-        if level:
-            pieces = self.open[level].pop()
-            self.count[level] -= 1
-            self.n_open -= 1
-        pieces.append((document, start + whole, rest.copy()))
-        level += len(rest)
-        if level == self.window:
-            yield self._done(pieces)
-            return
-        self.open.setdefault(level, []).append(pieces)
-        self.count[level] += 1
-        self.n_open += 1
+        start, rest = start + whole, ids[whole:]
+        while len(rest):
+            level = self.level(len(rest))
+            fill, pieces = 0, []
+            if self.count[level]:
+                fill, pieces = self.open[level].pop()
+                self.count[level] -= 1
+                self.n_open -= 1
+            part, rest = rest[: self.window - fill], rest[self.window - fill :]
+            pieces.append((document, start, part.copy()))
+            start, fill = start + len(part), fill + len(part)
+            if fill == self.window:
+                yield self._done(pieces)
+            else:
+                self._keep(fill, pieces)
 
     @property
     def full(self) -> bool:
@@ -185,18 +202,29 @@ class Packer:
 
     def take_apart(self) -> list:
         """The pieces of all open windows, which are gone then."""
-        pieces = [p for level in sorted(self.open) for w in self.open[level] for p in w]
+        pieces = [p for level in sorted(self.open) for _, w in self.open[level] for p in w]
         self.open, self.n_open = {}, 0
         self.count[:] = 0
         return pieces
 
-    def merge(self, last: bool) -> Iterator[tuple[int, list]]:
-        """Run the open windows together, fullest first, and cut at window length."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
+    def settle(self) -> Iterator[tuple[int, list]]:
+        """Pack the pieces of open windows again by fewer and fewer levels, with cuts; hardly more than two stay open."""
+        for unit in (self.window // n for n in LEVELS):
+            if unit < 2:
+                continue
+            again = Packer(self.window, unit=unit)
+            for piece in self.take_apart():
+                for _, pieces in again.put(piece[0], piece[2], piece[1]):
+                    yield self._done(pieces)
+            for windows in again.open.values():
+                for fill, pieces in windows:
+                    self._keep(fill, pieces)
+
+    def close(self) -> Iterator[tuple[int, list]]:
+        """Run the open windows together and cut at window length, the last part into powers of two."""
+        pieces = self.take_apart()
         left = sum(len(p[2]) for p in pieces)
-        room = want = self._next(left, last)
+        room = want = self._next(left)
         now: list = []
         for document, start, ids in pieces:
             while len(ids):
@@ -206,18 +234,11 @@ class Packer:
                 if not room:
                     yield self._done(now)
                     left -= want
-                    room = want = self._next(left, last)
+                    room = want = self._next(left)
                     now = []
-        if now:
-            level = want - room
-            self.open[level], self.n_open = [now], 1
-            self.count[level] = 1
-
-    def _next(self, left: int, last: bool) -> int:
-        return self.window if left >= self.window or not last else 1 << max(0, left.bit_length() - 1)
 
-    def close(self) -> Iterator[tuple[int, list]]:
-        yield from self.merge(True)
+    def _next(self, left: int) -> int:
+        return self.window if left >= self.window else 1 << max(0, left.bit_length() - 1)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, run_together boolean"
@@ -286,8 +307,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             for i, (doc, total, start) in enumerate(zip(*(whole.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start")), strict=True)):
                 rows.closed(packer.put((doc, total), values[at[i] : at[i + 1]], start))
                 if packer.full:
-                    rows.closed(packer.merge(False), True)
+                    rows.closed(packer.settle())
                 yield from rows.batches()
+        rows.closed(packer.settle())
         rows.closed(packer.close(), True)
         yield from rows.batches(0)
 

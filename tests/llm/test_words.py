@@ -96,7 +96,10 @@ def test_packer_keeps_all_ids():
         for d in range(300):
             docs[d] = rng.integers(0, 1000, rng.integers(1, 3 * window)).astype(np.uint16)
             closed += p.put(d, docs[d])
-        closed += p.close()
+            if p.full:
+                closed += p.settle()
+                assert p.n_open <= 6
+        closed += [*p.settle(), *p.close()]
         for _, pieces in closed:
             n = sum(len(x[2]) for x in pieces)
             assert 0 < n <= window and (n == window or n & (n - 1) == 0)
@@ -107,6 +110,31 @@ def test_packer_keeps_all_ids():
         assert len({s for s, _ in closed}) == len(closed)
 
 
+def test_sizes_that_do_not_fill_windows_leave_few_open():
+    for sizes in ([1800], [2049], [1500, 2700], [4095], [1], list(range(1, 4096, 17))):
+        p = packing.Packer()
+        for d in range(1000):
+            list(p.put(d, np.zeros(sizes[d % len(sizes)], np.uint16)))
+        before, closed = p.n_open, list(p.settle())
+        assert p.n_open <= 4 and all(sum(len(x[2]) for x in pieces) == 4096 for _, pieces in closed), (sizes, before, p.n_open)
+
+
+def test_packer_level_with_cuts_is_the_best_one():
+    rng = np.random.default_rng(2)
+    p = packing.Packer(32, unit=4)
+    for _ in range(300):
+        p.count[:8] = rng.integers(0, 4, 8)
+        p.count[8] = 0
+        size = int(rng.integers(1, 32))
+        t, cost = size // 4, {}
+        for h in {0, *np.flatnonzero(p.count).tolist()}:
+            c = p.count.copy()
+            c[h] -= c[h] > 0
+            c[(h + t) % 8] += h + t != 8
+            cost[h] = int((c.astype(int) ** 2).sum())
+        assert cost[p.level(size)] == min(cost.values())
+
+
 def test_packer_level_is_the_best_one():
     rng = np.random.default_rng(1)
     p = packing.Packer(32)
