@@ -744,26 +744,26 @@ def test_words_are_labelled(spark):
     assert rows[2] == rows[3] == []
 
 
+def posteriors_of(text, model):
+    """Posteriors (words by languages) of a whole text by the plain recursions, word by word."""
+    e = langid.emissions(langid.Features([text]), model.weights)
+    n, k = e.shape
+    log = lambda v: np.log(np.exp(v - v.max()).sum()) + v.max()
+    a, b = np.zeros((n, k)), np.zeros((n, k))
+    if not n:
+        return a
+    a[0] = model.start + e[0]
+    for i in range(1, n):
+        a[i] = [log(a[i - 1] + model.change[:, j]) + e[i, j] for j in range(k)]
+    for i in range(n - 2, -1, -1):
+        b[i] = [log(model.change[j] + e[i + 1] + b[i + 1]) for j in range(k)]
+    return np.exp(a + b - log(a[-1]))
+
+
 def scores_of(texts, model):
-    """lang_pred and score of whole texts by the plain recursions, word by word."""
-    out = []
-    for t in texts:
-        f = langid.Features([t])
-        e = langid.emissions(f, model.weights)
-        if not len(e):
-            out.append(("und", 0.0))
-            continue
-        n, k = e.shape
-        log = lambda v: np.log(np.exp(v - v.max()).sum()) + v.max()
-        a, b = np.zeros((n, k)), np.zeros((n, k))
-        a[0] = model.start + e[0]
-        for i in range(1, n):
-            a[i] = [log(a[i - 1] + model.change[:, j]) + e[i, j] for j in range(k)]
-        for i in range(n - 2, -1, -1):
-            b[i] = [log(model.change[j] + e[i + 1] + b[i + 1]) for j in range(k)]
-        p = np.exp(a + b - log(a[-1]))
-        out.append((model.labels[int(p.sum(0).argmax())], float(p.sum(0).max() / n)))
-    return out
+    """lang_pred and score of whole texts."""
+    found = [posteriors_of(t, model) for t in texts]
+    return [(model.labels[int(p.sum(0).argmax())], float(p.sum(0).max() / len(p))) if len(p) else ("und", 0.0) for p in found]
 
 
 def test_language_query_against_plain_recursions(spark):
@@ -914,6 +914,70 @@ def test_pipeline(spark):
     assert [n for n, _ in p.STAGES] == ["language", "near_duplicates", "benchmark", "personal", "pack"]
 
 
+def masked(text, spans):
+    """The text with each run of overlapping spans (start, kind, end) replaced by its first one's kind."""
+    runs = []
+    for start, kind, end in sorted(spans):
+        if runs and start < runs[-1][2]:
+            runs[-1][2] = max(runs[-1][2], end)
+        else:
+            runs.append([start, kind, end])
+    for start, kind, end in reversed(runs):
+        text = text[:start] + f"[{pii.KINDS[kind].upper()}]" + text[end:]
+    return text
+
+
+def test_pipeline_against_plain_forms(spark, tmp_path):
+    """All stages by their brute-force forms, one after the other, on the test table and planted documents."""
+    import corpus_pipeline as p
+
+    from test_words import TOKENIZER
+
+    rnd = random.Random(3)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in tables(spark, "documents").collect()]
+    items = [(r.item_id, r.text) for r in tables(spark, "benchmark").collect()]
+    long = [r for r in rows if r[1] and len(r[1].split()) > 60]
+    planted = [r[1] for r in long[:5]]
+    for _, t, *_ in long[5:15]:
+        w = t.split()
+        w[rnd.randrange(len(w))] = "changed"
+        planted.append(" ".join(w))
+    planted += [f"{r[1]} {t} {r[1][::-1]}" for r, (_, t) in zip(long[15:25], items, strict=False)]
+    planted += [f"{r[1]}\nmail ann{i} (at) site (dot) org or bob{i}@site.com, call +1 (555) 123-45{i:02} from 10.0.0.{i}" for i, r in enumerate(long[25:35])]
+    planted += ["", " ", "12 34!", None]
+    first = max(r[0] for r in rows) + 1
+    rows += [(first + i, t, None, "planted", len(t or "")) for i, t in enumerate(planted)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    found = {r[0]: (r[1], posteriors_of(r[1], model)) for r in rows}
+    least = min(p.LEAST_SCORE, langid.ABOVE_CHANCE / len(model.labels))
+    by_language = {d: t for d, (t, x) in found.items() if len(x) and x.max(1).mean() >= least}
+    by_copies = {d: by_language[d] for d, (_, _, kept) in near_of(by_language.items(), p.SHINGLE, p.PERCENT).items() if kept}
+    by_items = {r[0]: by_copies[r[0]] for r in hits_of(by_copies.items(), items, 10) if not r[5]}
+    assert len(rows) > len(by_language) >= len(by_copies) + 14 and len(by_copies) > len(by_items)
+    kinds = {k: i for i, k in enumerate(pii.KINDS)}
+    added = {d: {(int(a), kinds[k], int(b)) for k, a, b in (x.split(":") for x in v)} for d, v in added_by_hand(by_items).items()}
+    texts = {d: masked(t, {*base_spans(t), *added[d]}) for d, t in by_items.items()}
+    assert sum(t != by_items[d] for d, t in texts.items()) >= 5
+
+    ids = {d: np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in p.run(spark, str(tmp_path)).collect():
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for parts, most in [(pieces[d], len(x)) for d, x in ids.items()] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == most if most else at == 4096 or at & (at - 1) == 0
+
+
 def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
     import corpus_pipeline as p
 
