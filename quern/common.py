@@ -25,6 +25,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many tasks as the session has cores, and more, by ``keys`` that hardly repeat. A file of few row groups is read by as
+    few tasks, and whatever follows in the same stage stays with them: for rows that are small and costly to work on."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession)

@@ -26,11 +26,10 @@ def lines(text: Column) -> Column:
 
 
 def _header(line: Column, headers: Sequence[str]) -> Column:
-    """The header that a decorated line is, else null."""
-    out = F.lit(None).cast("string")
-    for h in reversed(headers):
-        out = F.when(F.rlike(strip(line), F.lit(rf"(?i)^[*#\s]*{literal(h)}[*#:\s]*$")), h).otherwise(out)
-    return out
+    """The header that a decorated line is, else null: one pattern for all of them."""
+    said = F.regexp_extract(strip(line), rf"(?i)^[*#\s]*({'|'.join(literal(h) for h in headers)})[*#:\s]*$", 1)
+    names = {h.lower(): h for h in reversed(headers)}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(said))
 
 
 def split_sections(text: Column, headers: Sequence[str] = HEADERS) -> Column:
@@ -41,14 +40,15 @@ def split_sections(text: Column, headers: Sequence[str] = HEADERS) -> Column:
     """
     marks = lambda rows: F.filter(F.transform(rows, lambda l, i: F.struct(i.alias("at"), _header(l, headers).alias("header"))), lambda m: m["header"].isNotNull())
 
-    def body(rows: Column, found: Column, h: str) -> Column:
-        mine = F.transform(F.filter(found, lambda m: m["header"] == h), lambda m: m["at"])
-        last = F.array_max(mine)
-        end = F.coalesce(F.array_min(F.transform(F.filter(found, lambda m: m["at"] > last), lambda m: m["at"])), F.size(rows))
-        return F.struct(F.array_min(mine).alias("first"), F.lit(h).alias("header"), strip(F.array_join(F.slice(rows, last + 2, end - last - 1), "\n")).alias("body"))
+    def body(rows: Column, spans: Column, h: str) -> Column:
+        return let(F.filter(spans, lambda m: m["header"] == h), lambda mine: span(rows, mine, F.try_element_at(mine, F.lit(-1)), h))
+
+    def span(rows: Column, mine: Column, last: Column, h: str) -> Column:
+        return F.struct(F.try_element_at(mine, F.lit(1))["at"].alias("first"), F.lit(h).alias("header"), strip(F.array_join(F.slice(rows, last["at"] + 2, last["end"] - last["at"] - 1), "\n")).alias("body"))
 
     def build(rows: Column, found: Column) -> Column:
-        each = F.array_sort(F.filter(F.array(*[body(rows, found, h) for h in headers]), lambda s: s["first"].isNotNull()))
+        spans = F.transform(found, lambda m, i: F.struct(m["at"].alias("at"), F.coalesce(F.get(found, i + 1)["at"], F.size(rows)).alias("end"), m["header"].alias("header")))
+        each = F.array_sort(F.filter(let(spans, lambda all_: F.array(*[body(rows, all_, h) for h in headers])), lambda s: s["first"].isNotNull()))
         return F.map_from_entries(F.transform(each, lambda s: F.struct(s["header"], s["body"])))
 
     return let(lines(text), lambda rows: let(marks(rows), lambda found: build(rows, found)))
@@ -78,30 +78,35 @@ def arrow_pairs(text: Column) -> Column:
 
 def table_pairs(text: Column) -> Column:
     """Rows of a markdown table whose head names an original and a substitute column (the last such cells), up to the
-    first line that is no table row."""
+    first line that is no table row. Lines are cut into cells once, and the head and the table's end are looked for once."""
     cells = F.transform(lines(text), lambda l: F.when(F.contains(l, F.lit("|")), F.transform(F.split(l, r"\|"), lambda c: F.replace(strip(c), F.lit("**"), F.lit("")))))
     place = lambda row, pattern: F.array_max(F.transform(row, lambda c, i: F.when(F.rlike(c, F.lit(pattern)), i).otherwise(-1)))
-    heads = F.transform(cells, lambda row, i: F.struct(i.alias("at"), place(row, _OLD).alias("old"), place(row, _NEW).alias("new")))
-    head = F.try_element_at(F.filter(heads, lambda h: (h["old"] >= 0) & (h["new"] >= 0)), F.lit(1))
-    end = F.array_min(F.transform(cells, lambda row, i: F.when(row.isNull() & (i >= head["at"] + 2), i).otherwise(F.size(cells))))
-    body = F.filter(cells, lambda row, i: (i >= head["at"] + 2) & (i < end))
-    pairs = F.transform(body, lambda row: F.struct(F.get(row, head["old"]).alias("from"), F.get(row, head["new"]).alias("to"), F.lit("").alias("reason")))
-    good = F.filter(pairs, lambda p: (p["from"] != "") & (p["to"] != "") & ~F.rlike(p["from"], F.lit("^[-:]+$")))
-    return F.when(head.isNotNull(), good).otherwise(F.array().cast(PAIR))
+
+    def first_head(rows: Column) -> Column:
+        heads = F.transform(rows, lambda row, i: F.struct(i.alias("at"), place(row, _OLD).alias("old"), place(row, _NEW).alias("new")))
+        return F.try_element_at(F.filter(heads, lambda h: (h["old"] >= 0) & (h["new"] >= 0)), F.lit(1))
+
+    def under(rows: Column, head: Column) -> Column:
+        behind = F.slice(rows, head["at"] + 3, F.greatest(F.size(rows) - head["at"] - 2, F.lit(0)))
+        found = let(behind, lambda left: F.slice(left, F.lit(1), F.coalesce(F.array_min(F.filter(F.transform(left, lambda row, i: F.when(row.isNull(), i)), lambda i: i.isNotNull())), F.size(left))))
+        pairs = F.transform(found, lambda row: F.struct(F.get(row, head["old"]).alias("from"), F.get(row, head["new"]).alias("to"), F.lit("").alias("reason")))
+        good = F.filter(pairs, lambda p: (p["from"] != "") & (p["to"] != "") & ~F.rlike(p["from"], F.lit("^[-:]+$")))
+        return F.when(head.isNotNull(), good).otherwise(F.array().cast(PAIR))
+
+    return let(cells, lambda rows: let(first_head(rows), lambda head: under(rows, head)))
 
 
 def prose_pairs(text: Column) -> Column:
     """``replace X with Y``; leading letters of "the " go from X, as a set of characters."""
-    plain = F.replace(text, F.lit("**"), F.lit(""))
-    both = F.arrays_zip(F.regexp_extract_all(plain, F.lit(_PROSE), 1).alias("x"), F.regexp_extract_all(plain, F.lit(_PROSE), 2).alias("y"))
+    both = let(F.replace(text, F.lit("**"), F.lit("")), lambda plain: F.arrays_zip(F.regexp_extract_all(plain, F.lit(_PROSE), 1).alias("x"), F.regexp_extract_all(plain, F.lit(_PROSE), 2).alias("y")))
     pairs = F.transform(both, lambda p: F.struct(strip(F.ltrim(strip(p["x"]), F.lit("the "))).alias("from"), strip(p["y"]).alias("to"), F.lit("").alias("reason")))
     return F.filter(pairs, lambda p: (p["from"] != "") & (p["to"] != ""))
 
 
 def pairs(text: Column) -> Column:
     """By the first of the three forms that gives any."""
-    arrows, table = arrow_pairs(text), table_pairs(text)
-    return F.when(F.size(arrows) > 0, arrows).when(F.size(table) > 0, table).otherwise(prose_pairs(text))
+    some = lambda first, other: let(first, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+    return let(text, lambda t: some(arrow_pairs(t), some(table_pairs(t), prose_pairs(t))))
 
 
 def ingredient_list(text: Column) -> Column:
@@ -135,32 +140,45 @@ _LINE = rf"(?im)^\s{{0,3}}(?:#{{1,6}}\s*)?({_NAMES})\s*:?\s*$"
 
 def output_sections(text: Column) -> Column:
     """array<struct<name, body>> in order, bodies from behind a header line to the next one."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(_LINE), 1), lambda n: F.lower(strip(n)))
-    bodies = F.slice(F.split(text, _LINE), 2, F.greatest(F.size(names), F.lit(1)))
-    return F.when(F.size(names) > 0, F.transform(F.arrays_zip(names.alias("name"), bodies.alias("body")), lambda s: F.struct(s["name"].alias("name"), strip(s["body"]).alias("body")))).otherwise(F.array().cast("array<struct<name:string,body:string>>"))
+    none = F.array().cast("array<struct<name:string,body:string>>")
+
+    def build(t: Column, names: Column) -> Column:
+        bodies = F.slice(F.split(t, _LINE), 2, F.greatest(F.size(names), F.lit(1)))
+        each = F.transform(F.arrays_zip(names.alias("name"), bodies.alias("body")), lambda s: F.struct(s["name"].alias("name"), strip(s["body"]).alias("body")))
+        return F.when(F.size(names) > 0, each).otherwise(none)
+
+    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(_LINE), 1), lambda n: F.lower(strip(n)))
+    return let(text, lambda t: let(found(t), lambda names: build(t, names)))
 
 
 def missing_sections(text: Column) -> Column:
     """Headers that are missing, in order, and marks of placeholders."""
     present = F.transform(output_sections(text), lambda s: s["name"])
-    wanted = F.filter(F.array(*[F.lit(h.lower()) for h in HEADERS]), lambda h: ~F.array_contains(present, h))
+    wanted = let(present, lambda names: F.filter(F.array(*[F.lit(h.lower()) for h in HEADERS]), lambda h: ~F.array_contains(names, h)))
     marks = F.array(F.when(F.contains(text, F.lit("...")), "placeholder_ellipsis"), F.when(F.contains(F.lower(text), F.lit("same as original")), "placeholder_same_as_original"))
     return F.concat(wanted, F.filter(marks, lambda m: m.isNotNull()))
 
 
 def scan_text(text: Column) -> Column:
     """struct<text, mode>: what restrictions are held against: adapted sections, else all but the first constraint check."""
-    got = output_sections(text)
-    body = lambda name: F.try_element_at(F.filter(got, lambda s: s["name"] == name), F.lit(-1))["body"]
-    adapted = F.array_join(F.filter(F.array(*[body(n) for n in SCANNED]), lambda b: b.isNotNull() & (b != "")), "\n\n")
     header = r"(?im)^\s{0,3}(?:#{1,6}\s*)?constraint check\s*:?\s*$"
-    halves = F.split(text, header, 2)
-    tail = F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
-    # from the next header line on
-    behind = F.substring(tail, F.length(F.get(F.split(tail, _LINE, 2), F.lit(0))) + 1, F.length(tail))
-    before = F.get(halves, F.lit(0))
-    rest = strip(F.concat(before, F.lit("\n"), behind))
-    out = F.when(adapted != "", F.struct(adapted.alias("text"), F.lit("adapted_sections_only").alias("mode")))
-    has = F.exists(got, lambda s: s["name"] == "constraint check")
-    out = out.when(has & (rest != ""), F.struct(rest.alias("text"), F.lit("full_output_minus_constraint_check").alias("mode")))
-    return out.otherwise(F.struct(text.alias("text"), F.lit("full_output").alias("mode")))
+
+    def adapted(got: Column) -> Column:
+        body = lambda name: F.try_element_at(F.filter(got, lambda s: s["name"] == name), F.lit(-1))["body"]
+        return F.array_join(F.filter(F.array(*[body(n) for n in SCANNED]), lambda b: b.isNotNull() & (b != "")), "\n\n")
+
+    def rest(halves: Column) -> Column:
+        # from the next header line on
+        tail = F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        behind = let(tail, lambda b: F.substring(b, F.length(F.get(F.split(b, _LINE, 2), F.lit(0))) + 1, F.length(b)))
+        return strip(F.concat(F.get(halves, F.lit(0)), F.lit("\n"), behind))
+
+    def other(t: Column, got: Column) -> Column:
+        has = F.exists(got, lambda s: s["name"] == "constraint check")
+        left = let(F.when(has, let(F.split(t, header, 2), rest)), lambda r: F.when(r != "", F.struct(r.alias("text"), F.lit("full_output_minus_constraint_check").alias("mode"))))
+        return F.coalesce(left, F.struct(t.alias("text"), F.lit("full_output").alias("mode")))
+
+    def build(t: Column, got: Column) -> Column:
+        return let(adapted(got), lambda a: F.when(a != "", F.struct(a.alias("text"), F.lit("adapted_sections_only").alias("mode"))).otherwise(other(t, got)))
+
+    return let(text, lambda t: let(output_sections(t), lambda got: build(t, got)))

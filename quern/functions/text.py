@@ -16,9 +16,13 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: All characters that Unicode calls white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space (Unicode's) at either end; F.trim takes off U+0020 alone."""
-    return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
+    """Without white space (Unicode's) at either end; F.trim by itself takes off U+0020 alone. A pattern would look at every character."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def normal_name(c: Column) -> Column:

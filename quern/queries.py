@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, spread
 from .functions import hashing, lexicon, messages, prompts, scoring, sections, text
 from .operators import audit, decide, evals, pairwise, select, validate
 
@@ -29,6 +29,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts over all tasks: their table is narrow, and what is made of them is not."""
+    return spread(_t(spark, sf_dir, "part"), "p_partkey")
+
+
 # --- stand-ins -----------------------------------------------------------------------------------------------------
 
 LEXICON = lexicon.Lexicon(
@@ -149,7 +154,7 @@ g AS (SELECT p_partkey, CASE WHEN s LIKE '%s' THEN left(s, length(s) - 1) ELSE s
 SELECT p_partkey, CASE WHEN s IN ('ring', 'blue ring') THEN 'band' ELSE s END AS name FROM g""")
 def normalize_item(spark, sf_dir):
     raw = F.concat(F.lit("2 1/2 cup **"), "p_name", F.lit("s** (chopped), hot"))
-    return _t(spark, sf_dir, "part").select("p_partkey", VOCABULARY.name(raw).alias("name"))
+    return _parts(spark, sf_dir).select("p_partkey", VOCABULARY.name(raw).alias("name"))
 
 
 @_query("""WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 2) || ['s', 'ies', 'oes', 'ves', 'ches', 'shes', 'xes', 'ses', 't'][1 + p_partkey % 9] AS w FROM part)
@@ -363,7 +368,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, F.concat(F.lit("adapted steps:\n1. Mix "), name, F.when(k % 2 == 0, "...").otherwise("."), F.lit("\n"))).otherwise(""),
         F.lit("Constraint Check\nno "), name,
     )
-    return _t(spark, sf_dir, "part").select(k, name, out.alias("text"))
+    return _parts(spark, sf_dir).select(k, name, out.alias("text"))
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 5 <> 0 THEN '- 1 cup ' || p_name || chr(10) || '2) two' || chr(10) || chr(10) || '1. Mix ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '...' ELSE '.' END

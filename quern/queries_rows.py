@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, lexicon, messages, prompts, scoring, sections, text
 from .operators import audit, decide, evals, generate, pairwise, recipes, select
 from .plans import curation
-from .queries import LEXICON, _CHATS_SQL, _EVAL, _LI, _RUNS, _chats, _evaluated, _query, _recipes, _runs, _t, _template
+from .queries import LEXICON, _CHATS_SQL, _EVAL, _LI, _RUNS, _chats, _evaluated, _parts, _query, _recipes, _runs, _t, _template
 
 # --- cells and names -------------------------------------------------------------------------------------------------
 
@@ -38,7 +38,7 @@ def nested_keys(spark, sf_dir):
     k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
     doc = F.when(k == 0, '{"a": {"key": 1}, "key": "top"}').when(k == 1, F.concat(F.lit('{"a": [{"x": null}, {"b": {"key": '), size, F.lit('}}], "m": {"key": '), size, F.lit("}}")))
     doc = doc.when(k == 2, '{"a": {"key": null}, "z": {"key": [1]}}').when(k == 3, '{"a": {"other": true}}').otherwise("no json")
-    return _t(spark, sf_dir, "part").select("p_partkey", text.find_key(doc, ["key", "other"]).alias("found"), text.find_key(doc, ["m.key"]).alias("dotted"))
+    return _parts(spark, sf_dir).select("p_partkey", text.find_key(doc, ["key", "other"]).alias("found"), text.find_key(doc, ["m.key"]).alias("dotted"))
 
 
 
@@ -139,14 +139,14 @@ def table_pairs(spark, sf_dir):
     head = F.when(F.col("p_partkey") % 2 == 0, "| Ingredient | Why | Swap |").otherwise("| A | B | C |")
     table = F.concat(F.lit("before\n"), head, F.lit("\n|---|---|---|\n| **"), n, F.lit("** | x | plain "), n, F.lit(" |\n| | x | y |\n| old | x | "), F.col("p_brand"), F.lit(" |\nafter\n| a | b | c |"))
     pairs = sections.table_pairs(table)
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["from"], F.lit(">"), p["to"])), "|").alias("pairs"))
+    return _parts(spark, sf_dir).select("p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["from"], F.lit(">"), p["to"])), "|").alias("pairs"))
 
 
 @_query("""SELECT p_partkey, p_brand || '>plain ' || p_type || '|old>new ' || p_brand AS pairs FROM part""")
 def prose_pairs(spark, sf_dir):
     said = F.concat(F.lit("We replace "), F.col("p_brand"), F.lit(" with plain "), F.col("p_type"), F.lit(". Then **Replaced** old with new "), F.col("p_brand"), F.lit(", and so on"))
     pairs = sections.prose_pairs(said)
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["from"], F.lit(">"), p["to"])), "|").alias("pairs"))
+    return _parts(spark, sf_dir).select("p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["from"], F.lit(">"), p["to"])), "|").alias("pairs"))
 
 
 def _response(k: Column, name: Column, brand: Column) -> Column:
@@ -161,7 +161,7 @@ def _response(k: Column, name: Column, brand: Column) -> Column:
 
 def _parsed(spark, sf_dir) -> DataFrame:
     k, n, b = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", _response(k, n, b).alias("text")).withColumn("p", sections.parse(F.col("text")))
+    return _parts(spark, sf_dir).select("p_partkey", "p_name", "p_brand", _response(k, n, b).alias("text")).withColumn("p", sections.parse(F.col("text")))
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name || '>plain ' || p_brand || '>lighter' ELSE '' END AS pairs, '2 cups plain ' || p_brand || '|1 ' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'water' END || CASE WHEN p_partkey % 7 = 0 THEN '|salt|oil|rice' ELSE '|1 pinch salt' END AS items,
@@ -311,7 +311,7 @@ def _half(requests):
 
 @_query("SELECT p_partkey, CASE WHEN length(p_name) % 2 = 0 THEN '[space_error] overloaded' ELSE upper(p_name) END AS output_text FROM part")
 def endpoint_rows(spark, sf_dir):
-    todo = _t(spark, sf_dir, "part").select("p_partkey", F.lit("s").alias("system"), F.col("p_name").alias("user"), F.lit(16).alias("max_tokens"))
+    todo = _parts(spark, sf_dir).select("p_partkey", F.lit("s").alias("system"), F.col("p_name").alias("user"), F.lit(16).alias("max_tokens"))
     return generate.call_model(todo, _half, batch=1).select("p_partkey", generate.scored_output(F.col("output"), F.col("error")).alias("output_text"))
 
 
