@@ -73,38 +73,48 @@ def with_retry(provider: Provider, tries: int = 3, base: float = 5.0, most: floa
 
 
 class Calls:
-    """Calls in flight, each in a thread of its own (a hanging one keeps no other from its turn)."""
+    """Calls in flight, each in a thread that nothing else runs in (a hanging one keeps no other from its turn). A thread whose
+    call has ended takes the next one."""
 
     def __init__(self, provider: Provider, timeout: float):
         self.provider, self.timeout = provider, timeout
         self.done: queue.SimpleQueue = queue.SimpleQueue()
         self.running: dict[int, tuple[float, threading.Event, object]] = {}
         self.started = 0
+        self.inboxes: list[queue.SimpleQueue] = []
+        self.idle: list[queue.SimpleQueue] = []
 
     def start(self, requests: list[tuple[str, str, int]], what) -> None:
         key, over = self.started, threading.Event()
         self.started += 1
 
-        def run():
-            _call.event = over
+        if not self.idle:
+            self.inboxes.append(inbox := queue.SimpleQueue())
+            self.idle.append(inbox)
+            threading.Thread(target=self._run, args=(inbox,), daemon=True).start()
+        self.running[key] = (time.monotonic() + self.timeout, over, what)
+        self.idle.pop().put((key, over, requests))
+
+    def _run(self, inbox: queue.SimpleQueue) -> None:
+        while (call := inbox.get()) is not None:
+            key, _call.event, requests = call
             try:
-                self.done.put((key, self.provider(requests), None))
+                ended = key, self.provider(requests), None
             except BaseException as e:
-                self.done.put((key, None, str(e)))
-
-        self.running[key] = (time.monotonic() + self.timeout, over, what)
-        threading.Thread(target=run, daemon=True).start()
+                ended = key, None, str(e)
+            self.done.put((*ended, inbox))
 
     def wait(self, most: float) -> Iterator[tuple[object, list[str] | None, str | None]]:
         """(what, texts, error) of the calls that end, or whose time is up, within ``most`` seconds; waits for one at least."""
         until = time.monotonic() + most
         first = min((t for t, _, _ in self.running.values()), default=until)
         try:
-            key, texts, error = self.done.get(timeout=max(0.0, min(until, first) - time.monotonic()))
+            key, texts, error, inbox = self.done.get(timeout=max(0.0, min(until, first) - time.monotonic()))
             while True:
+                self.idle.append(inbox)
                 if key in self.running:  # else its time was up before
                     yield self.running.pop(key)[2], texts, error
-                key, texts, error = self.done.get_nowait()
+                key, texts, error, inbox = self.done.get_nowait()
         except queue.Empty:
             pass
         now = time.monotonic()
@@ -116,6 +126,8 @@ class Calls:
     def cancel(self) -> None:
         for _, over, _ in self.running.values():
             over.set()
+        for inbox in self.inboxes:  # a thread ends with the call that it is in
+            inbox.put(None)
 
 
 def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32, in_flight: int = IN_FLIGHT, timeout: float = TIMEOUT) -> DataFrame:
@@ -132,28 +144,36 @@ def call_model(df: DataFrame, provider: Provider = mock, batch: int = 32, in_fli
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         calls, ready, held = Calls(provider, timeout), [], 0
         last = time.monotonic()
-        chunks = (b.slice(i, batch) for b in batches for i in range(0, b.num_rows, batch))
 
-        def finished(rows: pa.RecordBatch, texts, error) -> pa.RecordBatch:
+        def each():
+            for b in batches:
+                asked = list(zip(*(b.column(i).to_pylist() for i in at), strict=True))
+                for i in range(0, b.num_rows, batch):
+                    yield b.slice(i, batch), asked[i : i + batch]
+
+        chunks = each()
+
+        def finished(rows: pa.RecordBatch, texts, error) -> tuple[pa.RecordBatch, list, list]:
             n = rows.num_rows
             if error is None and len(texts) != n:
                 texts, error = None, f"{len(texts)} answers to {n} requests"
-            both = pa.array(texts if texts is not None else [None] * n, pa.string()), pa.array([error] * n, pa.string())
-            return pa.RecordBatch.from_arrays([*rows.columns, *both], names=[*rows.schema.names, "output", "error"])
+            return rows, texts if texts is not None else [None] * n, [error] * n
 
         def hand_on():
-            table = pa.Table.from_batches(ready).combine_chunks()
+            table = pa.Table.from_batches([rows for rows, _, _ in ready])
+            for name, i in (("output", 1), ("error", 2)):
+                table = table.append_column(name, pa.array([x for r in ready for x in r[i]], pa.string()))
             ready.clear()
-            return table.to_batches()
+            return table.combine_chunks().to_batches()
 
         try:
             more = True
             while more or calls.running:
                 while more and len(calls.running) < in_flight:
-                    if (rows := next(chunks, None)) is None:
+                    if (chunk := next(chunks, None)) is None:
                         more = False
                     else:
-                        calls.start(list(zip(*(rows.column(i).to_pylist() for i in at), strict=True)), rows)
+                        calls.start(chunk[1], chunk[0])
                 for rows, texts, error in calls.wait(PAUSE) if calls.running else ():
                     ready.append(finished(rows, texts, error))
                     held += rows.num_rows

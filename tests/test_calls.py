@@ -37,6 +37,23 @@ def test_calls_overlap(spark):
     assert {r.id: r.output for r in out.collect()} == {i: f"U{i}" for i in range(200)} and time.monotonic() - began < 5
 
 
+def test_calls_share_threads():
+    seen = []
+
+    def provider(requests):
+        seen.append(threading.current_thread())
+        return ["x"]
+
+    calls = generate.Calls(provider, 10)
+    for i in range(100):
+        calls.start([("s", "u", 1)], i)
+        assert list(calls.wait(5)) == [(i, ["x"], None)]
+    assert len(set(seen)) == 1
+    calls.cancel()
+    seen[0].join(5)
+    assert not seen[0].is_alive()
+
+
 def test_hanging_call_is_an_error_row(spark):
     def hangs(requests):
         if requests[0][1] == "u3":
