@@ -40,9 +40,10 @@ def completeness_failures(text: Column, parsed: Column, violations: Column, voca
     plan = F.lower(parsed["plan"])
     words = lambda i: F.filter(F.split(i, r"\s+"), lambda w: F.length(w) > 2)
     # the plan's words between borders stand for a test of each word by pattern: a column pattern is compiled per row
-    named = lambda w: F.contains(F.concat(F.lit(" "), F.regexp_replace(plan, r"(?U)\W+", " "), F.lit(" ")), F.concat(F.lit(" "), F.trim(F.regexp_replace(w, r"(?U)\W+", " ")), F.lit(" ")))
+    said = F.concat(F.lit(" "), F.regexp_replace(plan, r"(?U)\W+", " "), F.lit(" "))
+    named = lambda said, w: F.contains(said, F.concat(F.lit(" "), F.trim(F.regexp_replace(w, r"(?U)\W+", " ")), F.lit(" ")))
     wanted = F.filter(F.transform(violations, lambda v: F.lower(v["ingredient"])), lambda i: i.isNotNull() & (i != ""))
-    unmapped = F.filter(wanted, lambda i: ~F.exists(words(i), named))
+    unmapped = let(said, lambda s: F.filter(wanted, lambda i: ~F.exists(words(i), lambda w: named(s, w))))
     unmapped = F.transform(unmapped, lambda i: F.concat(F.lit("violation_unmapped_in_substitution_plan: "), i))
 
     name = lambda c: vocabulary.name(c, aliased=False)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
-from quern.functions import sections, text
+from quern.functions import scoring, sections, text
 
 from compare import SF
 
@@ -25,6 +25,16 @@ def test_long_table(spark):
     assert time.monotonic() - began < 20
 
 
+def test_plan_words_once(spark):
+    plan = "- ring -> band\n" * 10_000 + "- red-hot -> x"
+    row = spark.createDataFrame([(plan, ["blue rods"] * 400 + ["the red hot one"])], "plan string, said array<string>")
+    parsed = F.struct(F.col("plan"), F.array(F.lit("1 cup x")).alias("ingredients"), F.array().cast(sections.PAIR).alias("pairs"))
+    found = F.transform("said", lambda s: F.struct(s.alias("ingredient")))
+    began = time.monotonic()
+    got = row.select(scoring.completeness_failures(F.lit("t"), parsed, found, scoring.Vocabulary()).alias("f")).first().f
+    assert got == ["violation_unmapped_in_substitution_plan: blue rods"] * 400 and time.monotonic() - began < 10
+
+
 def test_strip_takes_all_white_space(spark):
     chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
     rows = spark.createDataFrame([(c, f"{c}{c}a{c}b{c}") for c in chars], "c string, t string")
