@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..common import importable
 
 BLOCK = 64 << 20
+#: Tasks for small blocks, where there are so many.
+TASKS = 64
 
 # A field is quoted (with doubled quotes, and whatever follows up to the comma) or plain; a quote inside a plain one is a character.
 _OPEN = re.compile(r'(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+)?+,)*+"(?:[^"]++|"")*+\Z')
@@ -136,12 +138,18 @@ def _fields(rows: Iterator[list[str]], width: int, places: list[int], schema: pa
 
 
 def _lines(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """file, block, value: lines in blocks of ``block`` bytes, whatever this session's settings and executors are."""
+    """file, block, value: lines in blocks of ``block`` bytes, whatever this session's settings and executors are.
+
+    A task takes several small blocks, one behind the other: each task is sent what is known of all blocks, so their number must
+    not grow with that of the blocks.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", str(block))
     own.conf.set("spark.sql.files.minPartitionNum", "1")
     raw = own.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    return spark.createDataFrame([], raw.schema).unionAll(raw)
+    raw = spark.createDataFrame([], raw.schema).unionAll(raw)
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return raw.coalesce(max(tasks, -(-raw.rdd.getNumPartitions() * block // BLOCK)))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
 from quern.functions import scoring, sections, text
+from quern.sources import quoted
 
 from compare import SF
 
@@ -40,3 +41,19 @@ def test_strip_takes_all_white_space(spark):
     rows = spark.createDataFrame([(c, f"{c}{c}a{c}b{c}") for c in chars], "c string, t string")
     bad = rows.select("c", text.strip(F.col("t")).alias("got"), F.regexp_replace("t", r"^(?U)\s+|(?U)\s+$", "").alias("want")).where("got <> want")
     assert bad.collect() == []
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    n = 3000
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(n)))
+    got = quoted.scan(spark, str(tmp_path), block=64)
+    assert sorted((int(r.a), r.b) for r in got.collect()) == [(i, f"x\n{i}") for i in range(n)]
+    assert quoted._lines(spark, str(tmp_path), 64).rdd.getNumPartitions() <= quoted.TASKS < (tmp_path / "a.csv").stat().st_size // 64
+
+
+def test_quantities_once(spark):
+    n = 3000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("p"), i.cast("string"))).alias("p"), F.sequence(F.lit(0), F.lit(n - 1)).alias("q"))
+    began = time.monotonic()
+    got = rows.select("p", F.transform("q", lambda i: i.cast("string")).alias("q")).select(text.combine(F.col("q"), F.col("p")).alias("x")).first().x
+    assert got == [f"{i} p{i}" for i in range(n)] and time.monotonic() - began < 5
