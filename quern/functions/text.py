@@ -60,12 +60,12 @@ def combine(quantities: Column, parts: Column, aligned: bool = True) -> Column:
 
     Quantities pair with parts by place, whatever was dropped from either list before.
     """
-    def item(part: Column, i: Column) -> Column:
-        name, amount = strip(part), strip(F.coalesce(F.try_element_at(quantities, i + 1), F.lit("")))
-        return F.when(amount.isin("", "NA", "nan"), name).otherwise(F.concat(amount, F.lit(" "), name))
+    def pairs(amounts: Column) -> Column:
+        return F.transform(parts, lambda p, i: F.struct(strip(p).alias("name"), strip(F.coalesce(F.try_element_at(amounts, i + 1), F.lit(""))).alias("amount")))
 
-    named = F.filter(F.transform(parts, lambda p, i: F.struct(strip(p).alias("name"), item(p, i).alias("item"))), lambda x: x["name"] != "")
-    return F.transform(named, lambda x: x["item"])
+    # the quantities are made once a row: Spark would put what they are made of into each item
+    named = F.filter(let(quantities, pairs), lambda x: x["name"] != "")
+    return F.transform(named, lambda x: F.when(x["amount"].isin("", "NA", "nan"), x["name"]).otherwise(F.concat(x["amount"], F.lit(" "), x["name"])))
 
 
 def first_category(c: Column, names: Sequence[tuple[str, str]], other: str) -> Column:
