@@ -114,10 +114,13 @@ _PROMPT = (
 
 
 def prompt_complete(user: Column) -> Column:
-    out = F.lit(True)
-    for p in _PROMPT:
-        out = out & F.rlike(F.lower(user), F.lit("(?U)" + p))
-    return out.cast("int")
+    def all_of(low: Column) -> Column:
+        out = F.lit(True)
+        for p in _PROMPT:
+            out = out & F.rlike(low, F.lit("(?U)" + p))
+        return out.cast("int")
+
+    return let(F.lower(user), all_of)  # or each test would make the prompt anew
 
 
 def audit_scores(text: Column, user: Column, parsed: Column, source: Column, steps: Column, violations: Column, lexicon: Lexicon, constraint: str, vocabulary: Vocabulary) -> Column:

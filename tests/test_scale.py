@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
-from quern.functions import scoring, sections, text
+from quern.functions import hashing, scoring, sections, text
 from quern.sources import quoted
 
 from compare import SF
@@ -57,3 +57,14 @@ def test_quantities_once(spark):
     began = time.monotonic()
     got = rows.select("p", F.transform("q", lambda i: i.cast("string")).alias("q")).select(text.combine(F.col("q"), F.col("p")).alias("x")).first().x
     assert got == [f"{i} p{i}" for i in range(n)] and time.monotonic() - began < 5
+
+
+def test_prompt_made_once(spark):
+    rows = spark.range(10).select(F.col("id").cast("string").alias("id"))
+    assert [r.c for r in rows.select(scoring.prompt_complete(F.concat(F.lit(""), "id")).alias("c")).collect()] == [0] * 10
+    text_of = F.lit("Recipe: x\nIngredients: y\nSteps: z\nRestrictions: w")
+    plan = rows.select(scoring.prompt_complete(F.concat(text_of, F.md5(F.col("id").cast("binary")))).alias("c"))
+    assert [r.c for r in plan.collect()] == [1] * 10
+    assert str(plan._jdf.queryExecution().optimizedPlan()).count("md5(") == 1
+    once = rows.select(hashing.template(F.col("id"), F.lit("c")).alias("t"))
+    assert str(once._jdf.queryExecution().optimizedPlan()).count("md5(") == 1
