@@ -269,14 +269,15 @@ def watched_jobs(spark, sf_dir):
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
     events = _t(spark, sf_dir, "events")
     rows = events.select(F.date_format("ts", iso).alias("captured_at"), e.cast("int").alias("poll_index"), kind.alias("status"), F.col("user_id").cast("string").alias("job_id"), F.lit("{}").alias("payload"))
-    rows.repartition(5, "poll_index").write.json(f"{path}/in")
+    files = max(5, 2 * spark.sparkContext.defaultParallelism)
+    rows.repartition(files, "poll_index").write.json(f"{path}/in")
     # a snapshot far ahead moves the watermark over all that is held
     over = events.agg(F.date_format(F.timestamp_add("DAY", F.lit(200), F.max("ts")), iso).alias("captured_at"))
     snapshot = over.select("captured_at", F.lit(0).alias("poll_index"), F.lit("queued").alias("status"), F.lit("~").alias("job_id"), F.lit("{}").alias("payload"))
     patience = jobs.Patience(interval=43_200, backoff=1.5, most=259_200, all_=20 * 86_400, forget=400 * 86_400)
     for _ in range(2):  # the second run goes on from the first one's checkpoint
         with jobs.keyed_state(spark):
-            snapshots.write(jobs.watched(snapshots.read(spark, f"{path}/in", 2), patience, "60 days"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+            snapshots.write(jobs.watched(snapshots.read(spark, f"{path}/in", -(-2 * files // 5)), patience, "60 days"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
         snapshot.coalesce(1).write.mode("append").json(f"{path}/in")
     return spark.read.schema(jobs.OUT).parquet(f"{path}/out").where("job_id <> '~'").select("job_id", F.unix_millis("at").alias("at_ms"), "status", "previous", "exit_code")
 

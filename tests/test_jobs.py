@@ -34,3 +34,35 @@ def test_watched_jobs(spark, tmp_path):
     assert [r for r in got if r[0] == "b"] == [("b", "01:00:00", "queued", None, None), ("b", "01:10:00", "timeout", "queued", 3)]
     # an ended job is forgotten after an hour: its number begins anew
     assert [r for r in got if r[0] == "c"] == [("c", "01:00:00", "success", None, 0), ("c", "03:00:00", "queued", None, None), ("c", "03:10:00", "timeout", "queued", 3)]
+
+
+def test_jobs_share_calls(spark, tmp_path):
+    """Jobs of one shard do not mix, and a shard is called once a batch, however many jobs it has."""
+    patience, n = jobs.Patience(interval=600, backoff=1.5, most=1200, all_=7200, forget=3600), 300
+    put(tmp_path, "a", [(f"j{i}", f"01:00:{i % 60:02d}", "QUEUED") for i in range(n)])
+    put(tmp_path, "b", [(f"j{i}", f"01:05:{i % 60:02d}", "SUCCESS" if i % 3 == 0 else "RUNNING") for i in range(n)] + [("~", "05:00:00", "QUEUED")])
+    with jobs.keyed_state(spark):
+        query = snapshots.write(jobs.watched(snapshots.read(spark, str(tmp_path / "in")), patience, "10 minutes", shards=5), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+    got = {}
+    for r in spark.read.schema(jobs.OUT).parquet(str(tmp_path / "out")).orderBy("at").collect():
+        got.setdefault(r.job_id, []).append((r.at.strftime("%H:%M:%S"), r.status, r.previous, r.exit_code))
+    for i in range(n):
+        s = f"{i % 60:02d}"
+        end = [(f"01:05:{s}", "success", "queued", 0)] if i % 3 == 0 else [(f"01:05:{s}", "running", "queued", None), (f"01:20:{s}", "timeout", "running", 3)]
+        assert got[f"j{i}"] == [(f"01:00:{s}", "queued", None, None), *end]
+    states = [op["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert sum(states) <= 3 * 5
+
+
+def test_times_in_any_zone(spark, tmp_path):
+    had = spark.conf.get("spark.sql.session.timeZone")
+    put(tmp_path, "a", [("a", "01:00:00", "QUEUED"), ("~", "05:00:00", "QUEUED")])
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with jobs.keyed_state(spark):
+            snapshots.write(jobs.watched(snapshots.read(spark, str(tmp_path / "in")), late="10 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = spark.read.schema(jobs.OUT).parquet(str(tmp_path / "out")).where("job_id = 'a'").selectExpr("unix_millis(at) AS ms").orderBy("ms").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", had)
+    assert [r.ms for r in got] == [1704070800000, 1704070830000]
