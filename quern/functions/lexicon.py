@@ -6,6 +6,8 @@ literal patterns on the driver, so a scan compiles each once; the ordered greedy
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -117,6 +119,33 @@ def all_violations(df: DataFrame, items: str, lexicon: Lexicon) -> DataFrame:
     return out.select(*df.columns, "_v.*")
 
 
+def breaks(item: Column, lexicon: Lexicon, constraint: str) -> Column:
+    """Whether one item has a term that no phrase shields. A list of items has :func:`violations` where one of them does: its first such item
+    is always a hit, so who asks for no more needs no fold."""
+    terms, low = lexicon.ordered(constraint), F.lower(item)
+    if not terms:
+        return F.lit(False)
+    if lexicon.large:
+        found = automaton.item_terms(F.array(low), lexicon.terms, lexicon.phrases())
+        return F.coalesce(F.exists(F.try_element_at(found, F.lit(1)), lambda t: t["constraint"] == constraint), F.lit(False))
+    hit = F.rlike(low, F.lit(lexicon.pattern(constraint)))
+    if any(t.lower() in p for t in terms for p in lexicon.phrases()):
+        hit = hit & functools.reduce(operator.or_, [F.rlike(low, F.lit(word(t))) & ~_shielded(lexicon, t, low) for t in terms])
+    return F.coalesce(hit, F.lit(False))
+
+
+def broken(items: DataFrame, key: str, item: str, lexicon: Lexicon, least: int = 1) -> DataFrame:
+    """``key``, ``constraint``: of each key with at least ``least`` items (rows whose item is not null) the constraints that one of them breaks.
+
+    Items are looked at where they are, and of each key only flags are shuffled.
+    """
+    flags = [breaks(F.col(item), lexicon, c).alias(f"_{i}") for i, c in enumerate(lexicon.terms)]
+    rows = items.select(key, F.col(item).isNotNull().alias("_named"), *flags)
+    each = rows.groupBy(key).agg(F.count_if("_named").alias("_n"), *[F.max(f"_{i}").alias(f"_{i}") for i in range(len(flags))]).where(F.col("_n") >= least)
+    names = F.array(*[F.when(F.col(f"_{i}"), F.lit(c)) for i, c in enumerate(lexicon.terms)])
+    return each.select(key, F.explode(names).alias("constraint")).where("constraint is not null")
+
+
 def _unshielded(text: Column, lexicon: Lexicon, constraint: str) -> Column:
     """All occurrences of terms in the (lower-cased) text, without those that an active false-positive phrase covers."""
     pattern = lexicon.pattern(constraint)

@@ -65,7 +65,16 @@ def combine(quantities: Column, parts: Column, aligned: bool = True) -> Column:
 
     # the quantities are made once a row: Spark would put what they are made of into each item
     named = F.filter(let(quantities, pairs), lambda x: x["name"] != "")
-    return F.transform(named, lambda x: F.when(x["amount"].isin("", "NA", "nan"), x["name"]).otherwise(F.concat(x["amount"], F.lit(" "), x["name"])))
+    return F.transform(named, lambda x: _combined(x["amount"], x["name"]))
+
+
+def _combined(amount: Column, name: Column) -> Column:
+    return F.when(amount.isin("", "NA", "nan"), name).otherwise(F.concat(amount, F.lit(" "), name))
+
+
+def combine_one(quantity: Column, part: Column) -> Column:
+    """What :func:`combine` makes of one quantity and part; null where the part is blank."""
+    return F.when(strip(part) != "", _combined(strip(F.coalesce(quantity, F.lit(""))), strip(part)))
 
 
 def first_category(c: Column, names: Sequence[tuple[str, str]], other: str) -> Column:

@@ -16,45 +16,85 @@ def shuffled(key: Column, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def _prefix(order: Column) -> Column:
+    return F.substring(order, 1, 4)
+
+
+def _cuts(df: DataFrame, group: Column, order: Column, needs: dict[str, int]) -> dict[str, tuple[str, int]]:
+    """For each group that has as many rows as it needs, the prefix of ``order`` at which it has them, and how many rows come before it.
+
+    Rows are counted by the first four digits (65,536 counts at most a group meet), and a row a group comes to the driver.
+    """
+    counts = df.groupBy(group.alias("g"), _prefix(order).alias("p")).agg(F.count("*").alias("n"))
+    need = F.element_at(F.create_map(*[F.lit(x) for pair in needs.items() for x in pair]), F.col("g"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("p"))).where(F.col("upto") >= need)
+    return {r["g"]: (r["cut"]["p"], r["cut"]["before"]) for r in running.groupBy("g").agg(F.min(F.struct("p", (F.col("upto") - F.col("n")).alias("before"))).alias("cut")).collect()}
+
+
 def first_by(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
     """The first ``n`` rows of ``df`` by ``order`` (hexadecimal text, evenly spread, as of :func:`shuffled`) and ``key``.
 
-    Rows are counted by the first four digits (65,536 counts at most meet), which says where the cut falls: whole prefixes
-    below it are a filter, and only the rows of the one prefix that is cut are sorted. ``df`` is read twice, so it should
-    be a table or cheap.
+    Counts by prefix say where the cut falls: whole prefixes below it are a filter, and only the rows of the one prefix that is cut are
+    sorted. ``df`` is read twice, so it should be a table or cheap.
+    """
+    if n <= 0:
+        return df.limit(0)
+    found = _cuts(df, F.lit(""), order, {"": n})
+    if not found:
+        return df
+    cut, before = found[""]
+    prefix = _prefix(order)
+    return df.where(prefix < cut).unionAll(df.where(prefix == cut).orderBy(order, key).limit(n - before))
+
+
+def _heads(df: DataFrame, group: Column, order: Column, needs: dict[str, int], distinct) -> DataFrame:
+    """``distinct`` of the rows that come first in each group, written: at least as many as the group needs, or all that it has.
+
+    Rows are counted as they are. Where some are equal so that too few are left, four times as many are taken, so all rows are never
+    shuffled unless they are needed. ``distinct`` gives rows with their group, ``g``.
     """
-    prefix = F.substring(order, 1, 4)
-    left, cut = max(0, n), None
-    for r in df.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
-        if r["n"] >= left:
-            cut = r["p"]
-            break
-        left -= r["n"]
-    if cut is None:
-        return df if left else df.limit(0)
-    return df.where(prefix < cut).unionAll(df.where(prefix == cut).orderBy(order, key).limit(left))
+    most = dict(needs)
+    while True:
+        cuts = _cuts(df, group, order, most)
+        cut = F.element_at(F.create_map(*[F.lit(x) for g, (p, _) in cuts.items() for x in (g, p)]), group) if cuts else F.lit(None)
+        out = keep(distinct(df.where(cut.isNull() | (_prefix(order) <= cut)).withColumn("g", group)))
+        have = {r["g"]: r["count"] for r in out.groupBy("g").count().collect()}
+        short = [g for g in cuts if have.get(g, 0) < needs[g]]
+        if not short:
+            return out
+        drop(out)
+        most |= {g: 4 * most[g] for g in short}
 
 
 def quota_select(candidates: DataFrame, quotas: dict[str, int], seed: int = 42) -> DataFrame:
     """``candidates`` (id, constraint) with each id once: constraints in the order of ``quotas`` take up to their number
     of ids that none before has taken, in shuffled order.
 
-    The pairs are written once, sorted by constraint (so that a turn reads its own), with their order; what each constraint
-    takes is a small table of its own. A turn counts its pairs by prefix and writes what it takes: two jobs, and plans that do not
-    grow.
+    Those before a constraint can take no more of its ids than they may take in all, so of each constraint only as many first pairs matter
+    as its own quota and those before it make. These are written (two passes over ``candidates``, or a copy of it), and turns read them
+    alone. A turn counts its pairs by prefix and writes what it takes: two jobs, and plans that do not grow.
     """
-    names = list(quotas)
-    pairs = candidates.where(F.col("constraint").isin(names)).select("id", "constraint").distinct()
-    pairs = keep(pairs.withColumn("_h", shuffled(F.concat("constraint", F.lit(":"), F.col("id").cast("string")), seed)).sortWithinPartitions("constraint"))
+    needs, sum_ = {}, 0
+    for constraint, n in quotas.items():
+        sum_ += max(0, n)
+        needs[constraint] = sum_
+    if not needs:
+        return candidates.select("id", "constraint").limit(0)
+    order = shuffled(F.concat("constraint", F.lit(":"), F.col("id").cast("string")), seed)
+    table = candidates if hasattr(candidates, "_quern_path") else keep(candidates.where(F.col("constraint").isin(list(needs))).select("id", "constraint"))
+    mine = table.where(F.col("constraint").isin(list(needs)))
+    pairs = _heads(mine, F.col("constraint"), order, needs, lambda x: x.select("id", "constraint", "g", order.alias("_h")).distinct())
+    if table is not candidates:
+        drop(table)
     taken = None
-    for constraint in names:
+    for constraint in needs:
         mine = pairs.where(F.col("constraint") == constraint)
         if taken is not None:
             mine = mine.join(taken.select("id"), "id", "left_anti")
         got = keep(first_by(mine, F.col("_h"), "id", quotas[constraint]).select("id", "constraint"))
         taken = got if taken is None else taken.unionAll(got)
     drop(pairs)
-    return taken if taken is not None else candidates.select("id", "constraint").limit(0)
+    return taken
 
 
 def top_up(candidates: DataFrame, taken: DataFrame, short: int, order: list[str], seed: int = 42) -> DataFrame:

@@ -66,6 +66,15 @@ def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").cast("string").alias("id"), F.element_at("names", 1).alias("title"), "items", F.transform("names", lambda n: F.concat(F.lit("Mix "), n, F.lit(" into the pot"))).alias("steps"))
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, constraint of :func:`_recipes` with their violations, without making lists of their lines."""
+    line = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    item = text.combine_one(F.col("l_quantity").cast("int").cast("string"), F.col("p_name"))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), item.alias("item"))
+    return lexicon.broken(rows, "id", "item", LEXICON, least=3).withColumn("id", F.col("id").cast("string"))
+
+
 _LI = """
 li AS (SELECT l_orderkey AS id, p_name, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS qty,
               CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' ' || p_name AS item,
@@ -285,8 +294,7 @@ _QUOTAS = _quota_sql()
 
 @_query(f"""WITH {_PAIRS} {_QUOTAS} SELECT id, con AS "constraint" FROM taken""")
 def quota_select(spark, sf_dir):
-    found = lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint")
-    return select.quota_select(found, select.quotas(4000, SHARES))
+    return select.quota_select(_broken(spark, sf_dir), select.quotas(4000, SHARES))
 
 
 @_query(f"""WITH {_PAIRS} {_QUOTAS}, r(con, rank) AS (VALUES ('no_metal', 1), ('no_hot', 2), ('no_cold', 3), ('no_large', 4), ('no_gizmo', 5)),
@@ -294,7 +302,7 @@ f AS (SELECT id, arg_min(con, rank) AS con FROM pairs JOIN r USING (con) WHERE i
 SELECT id, con AS "constraint" FROM f ORDER BY md5('42:top-up:' || id), id LIMIT 500""")
 def quota_topup(spark, sf_dir):
     # read by the quotas and by the top-up
-    found = keep(lexicon.all_violations(_recipes(spark, sf_dir).select("id", "items"), "items", LEXICON).select("id", "constraint"))
+    found = keep(_broken(spark, sf_dir))
     taken = select.quota_select(found, select.quotas(4000, SHARES))
     return select.top_up(found, taken, 500, list(LEXICON.terms))
 

@@ -1,12 +1,15 @@
 """Work that grows no faster than its input, and lies in as many tasks as there are cores."""
 
+import hashlib
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
-from quern.functions import hashing, scoring, sections, text
+from quern.common import keep
+from quern.functions import hashing, lexicon, scoring, sections, text
+from quern.operators import select
 from quern.sources import quoted
 
 from compare import SF
@@ -68,3 +71,51 @@ def test_prompt_made_once(spark):
     assert str(plan._jdf.queryExecution().optimizedPlan()).count("md5(") == 1
     once = rows.select(hashing.template(F.col("id"), F.lit("c")).alias("t"))
     assert str(once._jdf.queryExecution().optimizedPlan()).count("md5(") == 1
+
+
+def _written(monkeypatch) -> list[int]:
+    """Row counts of the tables that selection writes from now on."""
+    counts = []
+
+    def counting(df):
+        out = keep(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(select, "keep", counting)
+    return counts
+
+
+def test_quotas_write_what_may_count(spark, monkeypatch):
+    # each pair twice, and those of one constraint forty times
+    n = 20_000
+    pairs = spark.range(n).select("id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("constraint"), F.lit(1).alias("x"))
+    again = pairs.where("constraint = 'c' AND id < 500").select("id", "constraint", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("x"))
+    candidates = keep(pairs.where("constraint <> 'c'").unionAll(pairs.where("constraint <> 'c'")).unionAll(again).select("id", "constraint"))
+    written = _written(monkeypatch)
+    got = [(r.id, r.constraint) for r in select.quota_select(candidates, {"a": 50, "b": 30, "c": 450}).collect()]
+    assert max(written) < 5000
+    taken = {}
+    for c, k, ids in (("a", 50, range(n)), ("b", 30, range(n)), ("c", 450, range(500))):
+        by = sorted((i for i in ids if i not in taken), key=lambda i: hashlib.md5(f"42:{c}:{i}".encode()).hexdigest())  # noqa: B023
+        taken |= dict.fromkeys(by[:k], c)
+    assert sorted(got) == sorted(taken.items())
+    assert select.quota_select(candidates, {"a": 0, "b": 2}).count() == 2 and select.quota_select(candidates, {}).count() == 0
+
+
+def test_items_by_themselves(spark):
+    many = {f"k{i}": [f"term{i}x{j}" for j in range(10)] for i in range(30)} | {"hot": ["hot", "hot plate"]}
+    for words in (lexicon.Lexicon({"hot": ["hot plate", "hot"], "red": ["red", "(raw)"], "none": []}, ["Hot Plate (appliance)", "red"]), lexicon.Lexicon(many, ["hot plate (appliance)"])):
+        lists = [["2 Hot Plates", "hot dog", None], ["a hot plate (appliance)", "x"], ["hot plate (appliance)", "hot"], ["ahot", "hotb", "été hoté"], ["RED (raw)", "bored"], [None, ""], ["term3x7", "a term29x0 b"], []]
+        rows = spark.createDataFrame(list(enumerate(lists)), "id long, items array<string>")
+        want = {(r.id, r.constraint) for r in lexicon.all_violations(rows.select("id", F.filter("items", lambda x: x.isNotNull()).alias("items")), "items", words).collect()}
+        got = lexicon.broken(rows.select("id", F.explode("items").alias("item")), "id", "item", words).collect()
+        assert want and {(r.id, r.constraint) for r in got} == want and len(got) == len(want)
+    few = lexicon.broken(spark.createDataFrame([(1, "hot"), (1, None), (2, "hot"), (2, "x")], "id long, item string"), "id", "item", words, least=2)
+    assert [r.id for r in few.collect()] == [2]
+
+
+def test_one_combined(spark):
+    rows = spark.createDataFrame([("1", "a"), (" NA ", " b "), (None, "c"), ("2", " "), ("3", None), ("\u00a0", "d"), ("nan", "e")], "q string, p string")
+    got = rows.select(text.combine_one(F.col("q"), F.col("p")).alias("one"), F.try_element_at(text.combine(F.array("q"), F.array("p")), F.lit(1)).alias("want")).collect()
+    assert [r.one for r in got] == [r.want for r in got] == ["1 a", "b", "c", None, None, "d", "e"]
