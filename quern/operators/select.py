@@ -98,11 +98,21 @@ def quota_select(candidates: DataFrame, quotas: dict[str, int], seed: int = 42)
 
 
 def top_up(candidates: DataFrame, taken: DataFrame, short: int, order: list[str], seed: int = 42) -> DataFrame:
-    """``short`` more ids (id, constraint), of those not taken, each with its first constraint in ``order``."""
+    """``short`` more ids (id, constraint), of those not taken, each with its first constraint in ``order``.
+
+    Only the ids that come first, as many as are taken and wanted, are grouped and compared with those taken.
+    """
+    if short <= 0 or not order:
+        return candidates.select("id", "constraint").limit(0)
     rank = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("constraint"))
-    first = candidates.where(rank > 0).groupBy("id").agg(F.min(rank).alias("rank")).join(taken.select("id"), "id", "left_anti")
-    named = first.select("id", F.element_at(F.array(*[F.lit(c) for c in order]), F.col("rank").cast("int")).alias("constraint"))
-    named = keep(named.withColumn("_h", shuffled(F.concat(F.lit("top-up:"), F.col("id").cast("string")), seed)))
+    hash_ = shuffled(F.concat(F.lit("top-up:"), F.col("id").cast("string")), seed)
+    table = candidates if hasattr(candidates, "_quern_path") else keep(candidates.where(rank > 0).select("id", "constraint"))
+    need = short + taken.select("id").distinct().count()
+    first = _heads(table.where(rank > 0), F.lit(""), hash_, {"": need}, lambda x: x.groupBy("id", "g").agg(F.min(rank).alias("rank")))
+    if table is not candidates:
+        drop(table)
+    left = first.join(taken.select("id"), "id", "left_anti")
+    named = left.select("id", F.element_at(F.array(*[F.lit(c) for c in order]), F.col("rank").cast("int")).alias("constraint"), hash_.alias("_h"))
     return first_by(named, F.col("_h"), "id", short).select("id", "constraint")
 
 

@@ -103,6 +103,17 @@ def test_quotas_write_what_may_count(spark, monkeypatch):
     assert select.quota_select(candidates, {"a": 0, "b": 2}).count() == 2 and select.quota_select(candidates, {}).count() == 0
 
 
+def test_top_up_writes_what_may_count(spark, monkeypatch):
+    n = 20_000
+    candidates = keep(spark.range(n).select("id", F.explode(F.array(*[F.lit(c) for c in "bbbbba"])).alias("constraint")))
+    first = sorted(range(n), key=lambda i: hashlib.md5(f"42:top-up:{i}".encode()).hexdigest())
+    taken = spark.createDataFrame([(i, "a") for i in first[:40]], "id long, constraint string")
+    written = _written(monkeypatch)
+    got = select.top_up(candidates, taken, 100, ["a", "b"]).collect()
+    assert {(r.id, r.constraint) for r in got} == {(i, "a") for i in first[40:140]} and max(written) < 5000
+    assert select.top_up(candidates, taken, 10 * n, ["b"]).count() == n - 40 and select.top_up(candidates, taken, 0, ["b"]).count() == 0
+
+
 def test_items_by_themselves(spark):
     many = {f"k{i}": [f"term{i}x{j}" for j in range(10)] for i in range(30)} | {"hot": ["hot", "hot plate"]}
     for words in (lexicon.Lexicon({"hot": ["hot plate", "hot"], "red": ["red", "(raw)"], "none": []}, ["Hot Plate (appliance)", "red"]), lexicon.Lexicon(many, ["hot plate (appliance)"])):
